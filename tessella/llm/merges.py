@@ -1,0 +1,40 @@
+"""Batched byte-pair merging by rank, for vocabularies of merge lists."""
+
+from __future__ import annotations
+
+
+class Merges:
+    """Merge rules in sorted arrays; `counts` replays them for many symbol rows of equal length at once."""
+
+    def __init__(self, pairs: list[tuple[int, int, int]], n_symbols: int):
+        """pairs: (left symbol, right symbol, merged symbol) in the order of rank."""
+        import numpy as np
+
+        self.n = n_symbols
+        keys = np.array([a * n_symbols + b for a, b, _ in pairs], np.int64)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.rank = keys[order], order
+        self.made = np.array([m for _, _, m in pairs], np.int64)[order]
+
+    def counts(self, rows):
+        """How many symbols are left of each row when no rule applies any more; best rank first, leftmost first."""
+        import numpy as np
+
+        rows = rows.astype(np.int64)
+        left = np.full(len(rows), rows.shape[1], np.int64)
+        live = np.arange(len(rows))
+        p = rows
+        far = len(self.keys)
+        while len(live) and p.shape[1] > 1:
+            keys = np.where(p[:, 1:] >= 0, p[:, :-1] * self.n + p[:, 1:], -1)
+            at = np.minimum(np.searchsorted(self.keys, keys), far - 1)
+            rank = np.where(self.keys[at] == keys, self.rank[at], far)
+            best = rank.argmin(1)
+            go = np.flatnonzero(rank[np.arange(len(p)), best] < far)
+            live, p, best, at = live[go], p[go], best[go], at[go]
+            cols = np.arange(p.shape[1] - 1)[None]
+            rest = np.take_along_axis(p, cols + (cols > best[:, None]), 1)
+            rest[np.arange(len(p)), best] = self.made[at[np.arange(len(p)), best]]
+            left[live] -= 1
+            p = rest
+        return left

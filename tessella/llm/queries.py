@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import mixing, pieces, secrets, simhash, toxicity
+from tessella.llm import mixing, mpeg, pieces, secrets, simhash, tokens, topk, toxicity, urls, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +21,18 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.captures(_read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "range_no", "position")
+
+
+def op4_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpeg.digests(_read(spark, sf_dir, "documents"))
+
+
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.sampling_plan(_read(spark, sf_dir, "documents"))
 
@@ -29,13 +41,21 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), ids=False)
 
 
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(_read(spark, sf_dir, "pages"))
+
+
+def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", "finding_no", F.length("cand").alias("length"), F.sha2("cand", 256).alias("cand_sha256"), "probability", "is_secret")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op6_mixing, op7_pieces, op10_secrets)}
+    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_warc, op4_mpeg, op5_topk, op6_mixing, op7_pieces, op8_urls, op9_tokens, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
