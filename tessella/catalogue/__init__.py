@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-MODULES: tuple = ()
+from tessella.catalogue import chunk_q, corpus_q, log_q, retrieval_q, store_q, stream_q, text_q, verify_q
+
+MODULES = (corpus_q, text_q, retrieval_q, store_q, verify_q, log_q, chunk_q, stream_q)
 
 
 def queries() -> dict:
-    return {name: run for m in MODULES for name, run in m.QUERIES.items()}
+    return {name: run for m in MODULES for name, run in m.query.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
+    return {name: sql for m in MODULES for name, sql in m.query.SQL.items()}
