@@ -107,23 +107,24 @@ def label_model(ballots, rounds: int = 30):
 
     v = np.asarray(ballots, np.int64) + 1
     n, m = v.shape
-    post = np.clip(0.5 + 0.45 * np.sign((v - 1).sum(1)), 0.05, 0.95)
+    raw = v - 1 - (v - 1).mean(0)
+    size = np.sqrt(np.maximum((raw**2).sum(0), 1e-9))
+    alike = ((raw.T @ raw / size / size[:, None]) ** 2).sum(1)  # to begin with, voters that agree share a vote
+    post = np.clip(0.5 + 0.45 * np.sign(((v - 1) / np.maximum(alike, 1)).sum(1)), 0.05, 0.95)
     hot = np.eye(3)[v]  # row, voter, vote
-    weight = np.ones(m)
-    for turn in range(rounds):
+    for _ in range(rounds):
         prior = np.clip(post.mean(), 0.01, 0.99)
         table = np.stack([np.einsum("r,rjk->jk", 1 - post, hot), np.einsum("r,rjk->jk", post, hot)], 1) + 1.0
         table /= table.sum(2, keepdims=True)
-        if turn == rounds // 2:  # what the classes leave unexplained: correlations of the votes given the class
-            rest = np.zeros((m, m))
-            for k, p in ((0, 1 - post), (1, post)):
-                mean = table[:, k, 2] - table[:, k, 0]
-                dev = (v - 1 - mean) * np.sqrt(p)[:, None]
-                rest += dev.T @ dev
-            scale = np.sqrt(np.maximum(np.diag(rest), 1e-9))
-            rho = np.clip(rest / scale / scale[:, None], 0, 1)
-            np.fill_diagonal(rho, 0)
-            weight = 1 / (1 + np.where(rho > 0.2, rho, 0).sum(1))
+        rest = np.zeros((m, m))  # what the classes leave unexplained: correlations of the votes given the class
+        for k, p in ((0, 1 - post), (1, post)):
+            mean = table[:, k, 2] - table[:, k, 0]
+            dev = (v - 1 - mean) * np.sqrt(p)[:, None]
+            rest += dev.T @ dev
+        scale = np.sqrt(np.maximum(np.diag(rest), 1e-9))
+        rho = np.clip(rest / scale / scale[:, None], 0, 1)
+        np.fill_diagonal(rho, 0)
+        weight = 1 / (1 + np.where(rho > 0.2, rho, 0).sum(1))
         ratio = np.log(table[:, 1] / table[:, 0])  # voter, vote
         score = math.log(prior / (1 - prior)) + (np.take_along_axis(ratio.T, v, 0) * weight).sum(1)
         post = 1 / (1 + np.exp(-np.clip(score, -30, 30)))

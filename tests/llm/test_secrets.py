@@ -1,0 +1,69 @@
+from __future__ import annotations
+
+import pytest
+
+from tessella.llm import secrets as S
+
+HEX = "9c8b45435718dcc700c184a7e303cdc64c6a8f7f"
+ROWS = [
+    (1, f'the token = "{HEX}" of', "x"), (2, f"commit {HEX} fixes it", "x"), (3, None, "x"), (4, "", "x"), (5, "card 4068516892505468 ok", "x"), (None, f'token = "{HEX}"', "x"),
+    (7, f'a token = "{HEX}" and sha256: {HEX * 2} and token = "{HEX}"', "x"), (8, "word " * 30_000 + f'token = "{HEX}"', "x"), (8, f'TOKEN = "{HEX.upper()}"!!', "x"), (9, "see https://news.site.example/story-of-the-year-2024.html now", "x"),
+]
+
+
+@pytest.fixture(scope="module")
+def trees(spark):
+    return S.train(spark)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(ROWS, "doc_id long, text string, cand string")
+
+
+def test_findings(spark, trees, docs):
+    got = [(r["doc_id"], r["finding_no"], r["is_secret"]) for r in S.scan(docs, trees=trees).collect()]
+    assert sorted(got, key=str) == sorted([(1, 1, True), (2, 1, False), (5, 1, False), (None, 1, True), (7, 1, True), (7, 2, False), (7, 3, True), (8, 1, True), (8, 1, True), (9, 1, False)], key=str)
+
+
+def test_redaction_keeps_all_else(spark, trees, docs):
+    out = S.redact(docs, trees=trees)
+    assert out.columns == docs.columns
+    got = sorted((r["doc_id"], r["text"]) for r in out.where("doc_id is not null").collect() if r["text"] is not None)
+    want = [(i, t) for i, t, _ in ROWS if i is not None and t is not None]
+    want = sorted((i, t if i in (2, 5, 9) else t.replace(f'"{HEX}"', f'"{S.MASK}"').replace(f'"{HEX.upper()}"', f'"{S.MASK}"')) for i, t in want)
+    assert got == want and out.count() == len(ROWS)
+
+
+def test_forest_on_other_findings(spark, trees):
+    """Held-out findings: numbers that the training rows don't have."""
+    from pyspark.sql import functions as F
+
+    rows = S.labelled_findings(spark, 6000).withColumn("n", F.monotonically_increasing_id()).where(f"n >= {S.N_FINDINGS}")
+    p = S.forest(trees)(F.col("cand"), F.col("before"), F.col("after"))
+    right = rows.select(((p >= 0.5).cast("double") == F.col("label")).cast("double").alias("r")).agg(F.avg("r")).first()[0]
+    assert right > 0.98
+
+
+def test_sql_forest_equals_its_trees(spark, trees):
+    from pyspark.sql import functions as F
+
+    rows = S.labelled_findings(spark, 200)
+    p = S.forest(trees)(F.col("cand"), F.col("before"), F.col("after")).alias("p")
+    for r in rows.select(p, *(c.alias(k) for k, c in S.features(F.col("cand"), F.col("before"), F.col("after")).items())).collect():
+        total = 0.0
+        for t in trees:
+            while isinstance(t, tuple):
+                t = t[2] if r[t[0]] <= t[1] else t[3]
+            total += t
+        assert abs(total / len(trees) - r["p"]) < 1e-9
+
+
+def test_empty_table(spark, trees, docs):
+    assert S.scan(docs.limit(0), trees=trees).count() == 0 and S.redact(docs.limit(0), trees=trees).count() == 0
+
+
+def test_no_python_in_the_plan(spark, trees, docs):
+    for df in (S.scan(docs, trees=trees), S.redact(docs, trees=trees)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("EvalPython", "MapInArrow", "MapInPandas", "PythonUDF", "Exchange"))
