@@ -12,7 +12,7 @@ def jsonl_strict(spark: SparkSession, path: str, schema: StructType | str) -> tu
 
     Line numbers come from the byte order of a file: it is read as one text, so this is for manifests, not for bulk data.
     """
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
     body = F.regexp_replace("value", "\r?\n$", "")
     lines = whole.select("file", F.posexplode(F.split(body, "\r?\n")).alias("n", "line")).select("file", (F.col("n") + 1).alias("line_no"), "line")
     blank, broken = F.trim("line") == "", ~F.coalesce(F.trim("line").rlike(r"(?s)^\{.*\}$") & F.try_parse_json("line").isNotNull(), F.lit(False))
