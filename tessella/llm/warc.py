@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from tessella.llm.common import new_folder, small_batches, stored
 
 SEGMENT = 32 << 20
+SLICE = 1 << 13
 BLOCK = 500
 RANGE = 20_000
 #: Runs that one loser tree takes; a range with more is merged in passes.
@@ -68,11 +69,16 @@ def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
 
 def read_records(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
     """(offset, length, headers, block) of each gzip member in an archive."""
-    at = 0
+    at, view = 0, memoryview(data)
     while at < len(data):
-        z = zlib.decompressobj(31)
-        raw = z.decompress(memoryview(data)[at:]) + z.flush()
-        size = len(data) - at - len(z.unused_data)
+        z, parts, end = zlib.decompressobj(31), [], at
+        while not z.eof:  # in slices: what is left over of a slice is copied, so slices are short
+            if end >= len(data):
+                raise ValueError("the last member is cut off")
+            parts.append(z.decompress(view[end : end + SLICE]))
+            end = min(end + SLICE, len(data))
+        size = end - len(z.unused_data) - at
+        raw = b"".join(parts)
         head, _, rest = raw.partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         headers = dict(x.split(": ", 1) for x in lines[1:])
@@ -237,11 +243,11 @@ def merged(runs: list[Iterator]) -> Iterator:
     return iter(LoserTree(runs))
 
 
-def splitters(index: DataFrame, lines: int = RANGE) -> list[str]:
-    """Bounds of ranges of about `lines` lines; they are for balance only and come from SPLITTERS index rows at most."""
+def splitters(index: DataFrame) -> list[str]:
+    """Bounds of ranges of about RANGE lines; they are for balance only and come from SPLITTERS index rows at most."""
     total = index.agg(F.sum("lines").alias("n")).first()["n"] or 0
     firsts = sorted(r["first"] for r in index.select("first").orderBy(F.xxhash64("first"), "first").limit(SPLITTERS).collect())
-    count = min(len(firsts), -(-total // lines))
+    count = min(len(firsts), -(-total // RANGE))
     return sorted({firsts[i * len(firsts) // count] for i in range(1, count)}) if count else []
 
 
