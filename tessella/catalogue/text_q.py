@@ -42,7 +42,8 @@ TOK = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 
 @query(f"with t as (select unnest(list_distinct({TOK})) term from documents) select term, count(*) df from t group by 1")
 def tokens_df(spark, sf):
-    return read(spark, sf, "documents").select(F.explode(F.array_distinct(T.retrieval_tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    terms = read(spark, sf, "documents").select(F.explode_outer(F.array_distinct(T.retrieval_tokens(F.col("text")))).alias("term"))
+    return terms.where("term is not null").groupBy("term").agg(F.count("*").alias("df"))
 
 
 @query(f"select doc_id, cast(len({TOK}) as bigint) doc_length, cast(len(list_distinct({TOK})) as bigint) n_terms from documents")

@@ -51,7 +51,7 @@ def answer(questions: DataFrame, passages: DataFrame, top_k: int = 5, mode: str
     hits = search(questions, passages, top_k, mode).select("query_id", F.col("doc_id").cast("string").alias("evidence_id"), "rank")
     evidence = passages.select(F.col("doc_id").cast("string").alias("evidence_id"), "text", "page_number", F.lit(None).cast("int").alias("page_end"), "title")
     located = research.located(hits.join(evidence, "evidence_id"))
-    drafts = research.drafts(located, questions)
+    drafts = research.drafts(located, questions).persist()  # a few rows for each question, used four times
     claims = drafts.groupBy("claim_id").agg(F.first("claim_text").alias("text"), F.array_sort(F.collect_set("evidence_id")).alias("evidence_ids"))
     judged = verify.verdicts(claims, evidence.select("evidence_id", "text")).select("claim_id", "status", F.col("evidence_id").alias("support"))
     published = drafts.join(judged, "claim_id")

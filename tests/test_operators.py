@@ -297,3 +297,38 @@ def test_web_and_runs(spark):
     rows = spark.createDataFrame([("supported", "supported"), ("supported", "partial"), ("supported", "insufficient"), ("partial", "partial")], "expected string, predicted string")
     m = evaluate.publication(rows).first()
     assert (m["accuracy"], m["precision"], m["recall"]) == (0.5, 1.0, 0.333333)
+
+
+def test_command_line(spark, tmp_path):
+    from tessella import cli
+
+    text = "The river model detects anomalies in microservice traces using graph attention over spans. It was tested widely in three different regions of the network during the whole year."
+    p, v = f"file://{tmp_path}/p", f"file://{tmp_path}/v"
+    spark.createDataFrame([(1, text, "Method", 3, "River", "development"), (2, text, "Method", 3, "River", "test")], "doc_id long, text string, section string, page_number int, title string, dataset_split string").write.parquet(p)
+    run = lambda *argv: cli.run(spark, cli.parser().parse_args(argv))
+    assert run("index", "--passages", p, "--vectors", v, "--dry-run") == (0, '{"requested": 1, "pending": 1}')
+    for _ in range(2):
+        assert run("index", "--passages", p, "--vectors", v) == (0, '{"requested": 1, "vectors": 1}')
+    assert run("doctor", "--passages", p, "--vectors", v)[0] == 0 and run("doctor", "--passages", p, "--vectors", v, "--embedding-dimension", "3")[0] == 2
+    assert '"doc_id":1' in run("search", "anomalies in traces", "--passages", p, "--top-k", "1", "--retrieval-mode", "dense")[1]
+    assert run("research", "which model detects anomalies", "--passages", p)[0] == 0 and run("research", "zzz", "--passages", p, "--retrieval-mode", "hybrid")[0] in (0, 2)
+
+
+def test_first_sentence_and_abstract(spark):
+    long = "word " * 20
+    assert one(spark, T.first_sentence(F.lit(f"{long}ends here. Next one."))) == f"{long}ends here."
+    assert one(spark, T.first_sentence(F.lit("Short. " + "x" * 600))) == "Short. " + "x" * 493
+    assert one(spark, T.abstract(F.lit(f"T\nAbstract\n{long * 2}\n\n1. Introduction\nmore"))) == (long * 2).strip()
+    assert one(spark, T.abstract(F.lit("Abstract: short\nKeywords: x"))) is None
+
+
+def test_entailment_port_fails_closed(spark):
+    from tessella.operators import ports
+
+    def judge(text, texts):
+        if text == "boom":
+            raise RuntimeError("down")
+        return {"label": "supported", "confidence": 0.9}
+
+    claims = spark.createDataFrame([("a", "ok", ["t"]), ("b", "boom", ["t"])], "claim_id string, text string, texts array<string>")
+    assert [r["claim_id"] for r in ports.entailment(claims, judge).collect()] == ["a"]
