@@ -22,7 +22,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.captures(_read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "range_no", "position")
+    return warc.captures(_read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op4_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,5 +58,15 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_warc, op4_mpeg, op5_topk, op6_mixing, op7_pieces, op8_urls, op9_tokens, op10_secrets)}
 
 
+#: Base32 of a SHA-1: 32 groups of five bits.
+OP3_SQL = """with p as (select page_id, coalesce(html, '') h from pages), g as (select h, max(page_id) m, count(*) n from p group by 1),
+b as (select page_id, octet_length(encode(p.h)) payload_bytes, cast(unhex(sha1(p.h)) as bit)::varchar bits, n > 1 and m is not null and page_id is distinct from m revisit, m from p join g on p.h = g.h)
+select page_id, cast(payload_bytes as bigint) payload_bytes, array_to_string(list_transform(range(0, 160, 5), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * cast(substr(bits, i + 1, 1) as int) + 8 * cast(substr(bits, i + 2, 1) as int)
+ + 4 * cast(substr(bits, i + 3, 1) as int) + 2 * cast(substr(bits, i + 4, 1) as int) + cast(substr(bits, i + 5, 1) as int), 1)), '') payload_digest, case when revisit then 'revisit' else 'response' end record_type, case when revisit then m end refers_to from b"""
+
+OP5_SQL = """with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) v from embeddings where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)
+select q.vec_id query_id, cast(row_number() over (partition by q.vec_id order by list_dot_product(q.v, c.v) desc, c.vec_id) as int) as "rank", c.vec_id, cast(list_dot_product(q.v, c.v) as bigint) score from v q, v c where q.vec_id % 50 = 0 and c.vec_id <> q.vec_id qualify "rank" <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_warc": OP3_SQL, "op5_topk": OP5_SQL}
