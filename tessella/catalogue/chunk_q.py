@@ -22,7 +22,7 @@ def blocks(spark, sf):
     return d.select("paper_id", (F.floor(n / 6) + 1).alias("page_number"), n.cast("bigint").alias("reading_order"), "text", (size < 40).alias("is_heading"), F.array(x, y, x + 40 + size % 400, y + 12).alias("bbox"), (8 + size % 5).alias("median_font_size"))
 
 
-@query(f"with {BLOCKS} select paper_id, page_number, reading_order, coalesce(last_value(case when is_heading then text end ignore nulls) over (partition by paper_id, page_number order by reading_order rows between unbounded preceding and current row), 'document') section from bl")
+@query(f"with {BLOCKS} select paper_id, page_number, reading_order, coalesce(last_value(case when is_heading then trim(regexp_replace(text, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')) end ignore nulls) over (partition by paper_id, page_number order by reading_order rows between unbounded preceding and current row), 'document') section from bl")
 def sections_ffill(spark, sf):
     return chunking.with_section(blocks(spark, sf)).select("paper_id", "page_number", "reading_order", "section")
 
@@ -37,7 +37,7 @@ def body_font(spark, sf):
     return chunking.body_size(blocks(spark, sf))
 
 
-@query(f"""with {BLOCKS}, pg as (select paper_id, count(distinct page_number) pages from bl group by 1), k as (select distinct paper_id, page_number, lower(trim(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g'))) text_key from bl where is_heading), c as (select paper_id, text_key, count(*) n from k where text_key <> '' group by all)
+@query(f"""with {BLOCKS}, pg as (select paper_id, count(distinct page_number) pages from bl group by 1), k as (select distinct paper_id, page_number, regexp_replace(lower(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'))), '\\d+', '#', 'g') text_key from bl where is_heading), c as (select paper_id, text_key, count(*) n from k group by all)
 select paper_id, text_key, n from c join pg using (paper_id) where n >= greatest(3, round_even(pages * 0.3, 0))""")
 def repeated_margins(spark, sf):
     return chunking.repeated_margins(blocks(spark, sf).withColumn("in_margin", F.col("is_heading")))

@@ -38,11 +38,11 @@ def node_durations(spark, sf):
     return agentlog.durations(e).select("run_id", "ms")
 
 
-@query("""with c as (select conv_id, turn, case turn % 4 when 0 then '{"type": "tool_error", "m": 1}' when 1 then 'Error: ' || text when 2 then '  ' else text end content from conversations)
-select conv_id, turn, length(trim(content)) > 0 and not (starts_with(content, '{') and json_extract_string(case when json_valid(content) then content end, '$.type') is not distinct from 'tool_error') and not regexp_matches(lower(trim(content)), '^(error:|error |tool error|failed to)') valid from c""")
+@query("""with c as (select conv_id, turn, case turn % 4 when 0 then '{"type": "tool_error", "error": {"m": 1}}' when 1 then 'Tool Error: ' || text when 2 then '  ' else text end content from conversations)
+select conv_id, turn, length(trim(content)) > 0 and not (starts_with(content, '{') and json_extract_string(case when json_valid(content) then content end, '$.type') is not distinct from 'tool_error') and not regexp_matches(lower(trim(content)), '^(error executing tool:|error synthesizing research report:|tool error:)') valid from c""")
 def tool_content_valid(spark, sf):
     t = F.col("turn") % 4
-    content = F.when(t == 0, '{"type": "tool_error", "m": 1}').when(t == 1, F.concat(F.lit("Error: "), "text")).when(t == 2, "  ").otherwise(F.col("text"))
+    content = F.when(t == 0, '{"type": "tool_error", "error": {"m": 1}}').when(t == 1, F.concat(F.lit("Tool Error: "), "text")).when(t == 2, "  ").otherwise(F.col("text"))
     return read(spark, sf, "conversations").select("conv_id", "turn", agentlog.valid_content(content).alias("valid"))
 
 
@@ -61,11 +61,11 @@ def tool_evidence_valid(spark, sf):
 
 
 @query("""with c as (select conv_id, count(*) filter (role = 'assistant') e, count(*) filter (turn % 3 = 2) x, count(*) filter (role = 'user') n from conversations group by 1)
-select conv_id, case when e = 0 then 'failed' when x > 0 then 'partial' else 'success' end interim, case when n = 0 or e = 0 then 'failed' when x > 0 then 'partial' else 'success' end final, case when conv_id % 7 = 0 then 'failed' when conv_id % 5 = 0 then 'report_error' when conv_id % 3 = 0 then 'partial' else 'success' end run from c""")
+select conv_id, case when e = 0 then 'failed' when x > 0 then 'partial' else 'success' end interim, case when n = 0 or e = 0 then 'failed' when x > 0 then 'partial' else 'success' end final, case when conv_id % 7 = 0 then 'failed' when conv_id % 3 = 0 then 'partial' when conv_id % 5 = 0 then 'report_error' else 'success' end run from c""")
 def research_status(spark, sf):
     c = read(spark, sf, "conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "assistant").alias("e"), F.count_if(F.col("turn") % 3 == 2).alias("x"), F.count_if(F.col("role") == "user").alias("n"))
     i = F.col("conv_id")
-    run = agentlog.run_status(F.when(i % 7 == 0, "boom"), F.when(i % 3 == 0, "partial").otherwise("success"), F.when(i % 5 == 0, " ").otherwise("report"))
+    run = agentlog.run_status(F.when(i % 7 == 0, "boom"), F.when(i % 3 == 0, "partial").otherwise("success"), F.when(i % 10 == 0, "").when(i % 5 == 0, "Error generating final report: x").otherwise("report"))
     return c.select("conv_id", agentlog.interim_status(F.col("e"), F.col("x")).alias("interim"), agentlog.final_status(F.col("n"), F.col("e"), F.col("x")).alias("final"), run.alias("run"))
 
 
@@ -149,12 +149,27 @@ def snippet_stitch(spark, sf):
     return web.stitched(read(spark, sf, "documents").select(F.col("source").alias("url"), F.col("doc_id").alias("ordinal"), F.substring("text", 1, 30).alias("snippet")))
 
 
-@query(f"""with {RES}, b as (select query_id, ordinal, '--- SOURCE ' || row_number() over (partition by query_id order by ordinal) || ': ' || host || ' ---' || chr(10) || 'URL: ' || url || chr(10) || chr(10) || length(html) b from rs) select query_id, string_agg(b, chr(10) || chr(10) order by ordinal) sources from b group by 1""")
+@query(f"""with {RES}, b as (select query_id, ordinal, chr(10) || chr(10) || '--- SOURCE ' || row_number() over (partition by query_id order by ordinal) || ': ' || host || ' ---' || chr(10) || 'URL: ' || url || chr(10) || chr(10) || 'SUMMARY:' || chr(10) || length(html) || repeat(chr(10), 4) || repeat('-', 80) || chr(10) b from rs) select query_id, 'Search results: ' || chr(10) || chr(10) || string_agg(b, '' order by ordinal) sources from b group by 1""")
 def source_list(spark, sf):
     r = results(spark, sf).select("query_id", "ordinal", "url", F.col("host").alias("title"), F.length("html").cast("string").alias("content"))
     return web.source_list(r)
 
 
+@query(f"""with {RES}, b as (select query_id, ordinal, repeat('=', 80) || chr(10) || 'Source: ' || host || chr(10) || repeat('-', 80) || chr(10) || 'URL: ' || url || chr(10) || '===' || chr(10) || 'Most relevant content from source: c' || chr(10) || '===' || chr(10) || 'Full source content limited to 10 tokens: '
+ || case when ordinal % 3 = 0 then '' else substr(html, 1, 40) || case when length(html) > 40 then '... [truncated]' else '' end end || chr(10) || chr(10) || repeat('=', 80) || chr(10) || chr(10) b from rs) select query_id, rtrim('Content from sources:' || chr(10) || string_agg(b, '' order by ordinal), chr(10) || ' ') sources from b group by 1""")
+def content_list(spark, sf):
+    r = results(spark, sf).select("query_id", "ordinal", "url", F.col("host").alias("title"), F.lit("c").alias("content"), F.when(F.col("ordinal") % 3 != 0, F.col("html")).alias("raw_content"))
+    return web.content_list(r, 10)
+
+
+@query("""with r as (select user_id case_id, event_id % 5 attempt, event_id, value * 10 d, event_id % 97 t, event_id % 7 s, event_id % 3 q, event_type = 'error' g from events), l as (select * from r qualify row_number() over (partition by case_id order by attempt desc, event_id desc) = 1)
+select count(*) n_cases, cast(round_even(avg(d), 0) as double) mean_duration_ms, cast(round_even(avg(t), 0) as double) mean_tokens, cast(round_even(avg(s), 2) as double) mean_sources, cast(sum(q) as bigint) n_searches, count(*) filter (g) n_degraded from l""")
+def run_summary(spark, sf):
+    i = F.col("event_id")
+    r = read(spark, sf, "events").select(F.col("user_id").alias("case_id"), (i % 5).alias("attempt"), i.alias("ordinal"), (F.col("value") * 10).alias("duration_ms"), (i % 97).alias("tokens"), (i % 7).alias("sources"), (i % 3).alias("searches"), (F.col("event_type") == "error").alias("degraded"))
+    return evaluate.run_summary(r)
+
+
 @query("with u as (select page_id, case when page_id % 9 = 0 then 'http://localhost:80/x' when page_id % 9 = 1 then 'http://127.0.0.1/' else url end u from pages) select page_id, lower(regexp_extract(u, '://([^/?#:]+)', 1)) in ('localhost', '127.0.0.1') loopback from u")
 def loopback_urls(spark, sf):
     u = F.when(F.col("page_id") % 9 == 0, "http://localhost:80/x").when(F.col("page_id") % 9 == 1, "http://127.0.0.1/").otherwise(F.col("url"))
@@ -162,7 +177,7 @@ def loopback_urls(spark, sf):
 
 
 @query(f"""with {RES}, c as (select query_id, list(url order by ordinal) cs from rs group by 1), e as (select query_id, unnest(cs) url, generate_subscripts(cs, 1) - 1 i from c)
-select cast(query_id as varchar) query, cast(i as int) ordinal, url, case when i = 0 then 'A' else 'See the first source for the full answer' end content, case when i = 0 then 1.0::double else 0.5 end score from e""")
+select cast(query_id as varchar) query, cast(i as int) ordinal, url, case when i = 0 then 'A' else 'See primary source for full content' end content, case when i = 0 then 1.0::double else 0.5 end score from e""")
 def connector_cited_answer(spark, sf):
     r = results(spark, sf).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "url"))), lambda x: x["url"]).alias("citations"))
     return web.cited_answer(r.select(F.col("query_id").cast("string").alias("query"), F.lit("A").alias("answer"), "citations")).select("query", "ordinal", "url", "content", "score")

@@ -106,15 +106,15 @@ def research_outcomes(spark, sf):
     return research.outcomes(read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id")), c)
 
 
-LAB = """lab as (select doc_id, case when toxic = 1 then 'true' else 'false' end citation_present, case when doc_id % 3 = 0 then 'true' else 'false' end source_exists, case when quality = 1 then 'true' else 'false' end citation_support, case when doc_id % 4 = 0 then '' when doc_id % 4 = 1 then 'true' else 'false' end factual_correct,
- case when doc_id % 5 < 2 then 'TRUE' else 'false' end temporal_correct, case when quality = 1 then 'true' else 'false' end numeric_correct, case when doc_id % 2 = 0 then 'true' else '' end scope_complete, case doc_id % 3 when 0 then 'numeric|scope' when 1 then ' temporal ' else '' end error_types from labels)"""
+LAB = """lab as (select doc_id, case when toxic = 1 then 'true' else 'false' end citation_present, case when doc_id % 3 = 0 then 'true' else 'false' end source_exists, case when quality = 1 then 'supported' else 'unsupported' end citation_support, case when doc_id % 4 = 0 then '' when doc_id % 4 = 1 then 'true' else 'false' end factual_correct,
+ case when doc_id % 5 < 2 then 'true' when doc_id % 5 = 2 then '' else 'false' end temporal_correct, case when quality = 1 then 'true' else 'false' end numeric_correct, case when doc_id % 2 = 0 then 'true' else '' end scope_complete, case doc_id % 3 when 0 then 'numeric|scope' when 1 then 'temporal' else '' end error_types from labels)"""
 
 
 def label_rows(spark, sf):
     i, w = F.col("doc_id"), lambda c: F.when(c, "true").otherwise("false")
     return read(spark, sf, "labels").select(
-        w(F.col("toxic") == 1).alias("citation_present"), w(i % 3 == 0).alias("source_exists"), w(F.col("quality") == 1).alias("citation_support"), F.when(i % 4 == 0, "").when(i % 4 == 1, "true").otherwise("false").alias("factual_correct"),
-        F.when(i % 5 < 2, "TRUE").otherwise("false").alias("temporal_correct"), w(F.col("quality") == 1).alias("numeric_correct"), F.when(i % 2 == 0, "true").otherwise("").alias("scope_complete"), F.when(i % 3 == 0, "numeric|scope").when(i % 3 == 1, " temporal ").otherwise("").alias("error_types"),
+        w(F.col("toxic") == 1).alias("citation_present"), w(i % 3 == 0).alias("source_exists"), F.when(F.col("quality") == 1, "supported").otherwise("unsupported").alias("citation_support"), F.when(i % 4 == 0, "").when(i % 4 == 1, "true").otherwise("false").alias("factual_correct"),
+        F.when(i % 5 < 2, "true").when(i % 5 == 2, "").otherwise("false").alias("temporal_correct"), w(F.col("quality") == 1).alias("numeric_correct"), F.when(i % 2 == 0, "true").otherwise("").alias("scope_complete"), F.when(i % 3 == 0, "numeric|scope").when(i % 3 == 1, "temporal").otherwise("").alias("error_types"),
     )
 
 
@@ -122,13 +122,13 @@ def pct(a: str, b: str) -> str:
     return f"coalesce(round(100.0::double * count(*) filter ({a}) / nullif(count(*) filter ({b}), 0), 2), 0)"
 
 
-@query(f"""with {LAB} select count(*) n_claims, {pct("citation_present = 'true' and citation_support = 'true'", "citation_present = 'true'")} citation_precision, {pct("citation_present = 'true'", "true")} citation_coverage, {pct("citation_present = 'true' and source_exists = 'true'", "citation_present = 'true'")} source_validity,
- {", ".join(pct(f"lower({c}) = 'true'", f"lower({c}) in ('true', 'false')") + " " + c for c in ("factual_correct", "temporal_correct", "numeric_correct", "scope_complete"))} from lab""")
+@query(f"""with {LAB} select count(*) n_claims, {pct("citation_present = 'true' and citation_support = 'supported'", "citation_present = 'true'")} citation_precision, {pct("citation_present = 'true'", "true")} citation_coverage, {pct("citation_present = 'true' and source_exists = 'true'", "citation_present = 'true'")} source_validity,
+ {", ".join(pct(f"{c} = 'true'", "true") + " " + c for c in ("factual_correct", "scope_complete"))}, {", ".join(pct(f"{c} = 'true'", f"{c} in ('true', 'false')") + " " + c for c in ("temporal_correct", "numeric_correct"))} from lab""")
 def label_metrics(spark, sf):
     return evaluate.label_metrics(label_rows(spark, sf))
 
 
-@query(f"with {LAB}, e as (select trim(unnest(string_split(error_types, '|'))) error_type from lab) select error_type, count(*) n from e where error_type <> '' group by 1")
+@query(f"with {LAB}, e as (select unnest(string_split(error_types, '|')) error_type from lab) select error_type, count(*) n from e where error_type <> '' group by 1")
 def error_histogram(spark, sf):
     return evaluate.error_histogram(label_rows(spark, sf))
 

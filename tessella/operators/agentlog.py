@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from tessella.functions import ids
 
-ERROR_PREFIXES = ["error:", "error ", "tool error", "failed to"]
+# Beginnings of placeholder contents, and of reports that could not be made.
+ERROR_PREFIXES = ["error executing tool:", "error synthesizing research report:", "tool error:"]
+FAILED_REPORT = "Error generating final report"
 
 
 def valid_content(content: Column) -> Column:
-    """Not blank, not a JSON object of the type tool_error, and without an error prefix."""
+    """Not blank, not a JSON object of the type tool_error that holds an error object, and without an error prefix."""
     low = F.lower(F.trim(content))
-    bad = F.coalesce(F.get_json_object(content, "$.type") == "tool_error", F.lit(False))
+    bad = F.coalesce((F.get_json_object(content, "$.type") == "tool_error") & F.startswith(F.get_json_object(content, "$.error"), F.lit("{")), F.lit(False))
     for p in ERROR_PREFIXES:
         bad = bad | F.startswith(low, F.lit(p))
     return F.coalesce((F.length(low) > 0) & ~bad, F.lit(False))
@@ -36,9 +38,10 @@ def final_status(notes: Column, evidence: Column, failures: Column) -> Column:
 
 
 def run_status(runtime_error: Column, structured: Column, report: Column) -> Column:
-    """The status of a run record; a missing report is report_error."""
-    empty = F.coalesce(F.trim(report), F.lit("")) == ""
-    return F.when(runtime_error.isNotNull() | (structured == "failed"), "failed").when(empty, "report_error").when(structured == "partial", "partial").otherwise("success")
+    """The status of a run record: a runtime error fails it; a structured status stands, but success needs a report; without one the report decides."""
+    missing = (F.coalesce(report, F.lit("")) == "") | F.startswith(F.coalesce(report, F.lit("")), F.lit(FAILED_REPORT))
+    stands = F.coalesce(structured.isin("partial", "failed"), F.lit(False))
+    return F.when(F.coalesce(runtime_error, F.lit("")) != "", "failed").when(stands, structured).when(missing, "report_error").otherwise("success")
 
 
 def capacity(units: DataFrame, most: int) -> DataFrame:
@@ -85,10 +88,11 @@ def model_limit(names: DataFrame, limits: list[tuple[str, int]]) -> DataFrame:
     return names.withColumn("token_limit", out)
 
 
-def token_limit_exceeded(provider: Column, error_class: Column, message: Column) -> Column:
-    """Whether an error says that the model's context is too small."""
+def token_limit_exceeded(provider: Column, error_class: Column, message: Column, code: Column | None = None, kind: Column | None = None) -> Column:
+    """Whether an error says that the model's context is too small; code and kind are those of structured errors."""
+    structured = F.lit(False) if code is None or kind is None else (provider == "openai") & ((code == "context_length_exceeded") | (kind == "invalid_request_error"))
     low = F.lower(message)
     open_ai = (provider == "openai") & error_class.isin("BadRequestError", "InvalidRequestError") & low.rlike("token|context|length|maximum context|reduce")
     anthropic = (provider == "anthropic") & (error_class == "BadRequestError") & F.contains(low, F.lit("prompt is too long"))
     google = (provider == "google") & (error_class.isin("ResourceExhausted", "GoogleGenerativeAIFetchError"))
-    return F.coalesce(open_ai | anthropic | google, F.lit(False))
+    return F.coalesce(open_ai, F.lit(False)) | F.coalesce(anthropic, F.lit(False)) | F.coalesce(google, F.lit(False)) | F.coalesce(structured, F.lit(False))

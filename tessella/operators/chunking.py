@@ -10,13 +10,26 @@ from pyspark.sql import functions as F
 from tessella.functions import vectors as V
 
 MAX_CHARS = 1800
+# Fixed value: where a text may be cut.
 BOUNDARY = re.compile(r"\n|[.!?。！？；;]\s*|\s+")
 
 
+def in_margin(y0: Column, y1: Column, height: Column) -> Column:
+    return (y1 <= height * F.lit(0.09)) | (y0 >= height * F.lit(0.91))
+
+
+def margin_key(text: Column) -> Column:
+    return F.regexp_replace(F.lower(F.trim(F.regexp_replace(text, r"\s+", " "))), r"\d+", "#")
+
+
 def repeated_margins(blocks: DataFrame) -> DataFrame:
-    """(paper_id, text_key) of margin texts on at least max(3, 30 % of the pages) pages of a paper."""
+    """(paper_id, text_key, n) of margin texts on at least max(3, 30 % of the pages) pages of a paper.
+
+    in_margin says that a block ends in the upper or begins in the lower 9 % of its page; up to 180 characters count, digits
+    are alike.
+    """
     pages = blocks.groupBy("paper_id").agg(F.countDistinct("page_number").alias("pages"))
-    on = blocks.where("in_margin").select("paper_id", "page_number", F.lower(F.trim(F.regexp_replace("text", r"\s+", " "))).alias("text_key")).where("text_key <> ''").distinct().groupBy("paper_id", "text_key").agg(F.count("*").alias("n"))
+    on = blocks.where("in_margin").select("paper_id", "page_number", margin_key(F.col("text")).alias("text_key")).where(F.length("text_key") <= 180).distinct().groupBy("paper_id", "text_key").agg(F.count("*").alias("n"))
     return on.join(pages, "paper_id").where(F.col("n") >= F.greatest(F.lit(3), F.bround(F.col("pages") * F.lit(0.3)))).select("paper_id", "text_key", "n")
 
 
@@ -26,9 +39,9 @@ def body_size(blocks: DataFrame) -> DataFrame:
 
 
 def with_section(blocks: DataFrame) -> DataFrame:
-    """blocks with section: the last heading on the page so far, else `document`."""
+    """blocks with section: the last heading on the page so far with its white space normalized, else `document`."""
     w = Window.partitionBy("paper_id", "page_number").orderBy("reading_order").rowsBetween(Window.unboundedPreceding, 0)
-    return blocks.withColumn("section", F.coalesce(F.last(F.when(F.col("is_heading"), F.col("text")), ignorenulls=True).over(w), F.lit("document")))
+    return blocks.withColumn("section", F.coalesce(F.last(F.when(F.col("is_heading"), F.trim(F.regexp_replace("text", r"\s+", " "))), ignorenulls=True).over(w), F.lit("document")))
 
 
 def split_text(text: str, most: int = MAX_CHARS) -> list[str]:
@@ -68,10 +81,12 @@ def overlapping(text: Column, size: int = 1500, overlap: int = 200) -> Column:
 def packed(blocks: DataFrame, most: int = MAX_CHARS) -> DataFrame:
     """(paper_id, page_number, ordinal, section, text, block_orders): blocks of a page packed in order up to `most` characters.
 
-    A heading starts a new chunk; two characters stand between the blocks of a chunk. The fold runs over the blocks of
-    one page, which are few, so a page is one row and no more than a page is ever in one place.
+    Blocks that are longer are split first. A heading starts a new chunk, and so does each part of a long one; two
+    characters stand between the blocks of a chunk. The fold runs over the blocks of one page, which are few, so a page is
+    one row and no more than a page is ever in one place. Ordinals count the chunks of a paper.
     """
-    rows = with_section(blocks).select("paper_id", "page_number", F.struct("reading_order", "section", "is_heading", "text").alias("b"))
+    parts = with_section(blocks).select("paper_id", "page_number", "reading_order", "section", "is_heading", F.posexplode(split_column(F.col("text"), most)).alias("part", "text"))
+    rows = parts.select("paper_id", "page_number", F.struct("reading_order", "part", "section", "is_heading", "text").alias("b"))
     pages = rows.groupBy("paper_id", "page_number").agg(F.array_sort(F.collect_list("b")).alias("blocks"))
     kind = "array<struct<section:string,text:string,orders:array<int>>>"
 
@@ -83,7 +98,9 @@ def packed(blocks: DataFrame, most: int = MAX_CHARS) -> DataFrame:
         return F.when(fresh, F.concat(acc, F.array(part))).otherwise(F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined)))
 
     folded = pages.select("paper_id", "page_number", F.aggregate("blocks", F.array().cast(kind), step).alias("chunks"))
-    return folded.select("paper_id", "page_number", F.posexplode("chunks").alias("ordinal", "c")).select("paper_id", "page_number", "ordinal", "c.section", "c.text", F.col("c.orders").alias("block_orders"))
+    chunks = folded.select("paper_id", "page_number", F.posexplode("chunks").alias("n", "c")).where(F.trim("c.text") != "")
+    ordinal = F.row_number().over(Window.partitionBy("paper_id").orderBy("page_number", "n")) - 1
+    return chunks.select("paper_id", "page_number", ordinal.alias("ordinal"), "c.section", "c.text", F.array_distinct("c.orders").alias("block_orders"))
 
 
 def linked(chunks: DataFrame) -> DataFrame:

@@ -36,20 +36,31 @@ def percentage(part: Column, whole: Column) -> Column:
 
 
 def label_metrics(labels: DataFrame) -> DataFrame:
-    """One row of percentages over claims labelled with the words true and false."""
-    yes = lambda c: F.count_if(F.lower(F.col(c)) == "true")
-    known = lambda c: F.count_if(F.lower(F.col(c)).isin("true", "false"))
-    cited = F.count_if(F.lower(F.col("citation_present")) == "true")
-    both = lambda c: F.count_if((F.lower(F.col("citation_present")) == "true") & (F.lower(F.col(c)) == "true"))
+    """One row of percentages over claims labelled with the words true and false; citation_support says `supported`.
+
+    Facts and scope count against all claims, times and numbers against those that have a label.
+    """
+    has = lambda c, v="true": F.coalesce(F.col(c) == v, F.lit(False))
+    known = lambda c: F.count_if(F.coalesce(F.col(c).isin("true", "false"), F.lit(False)))
+    cited, all_ = F.count_if(has("citation_present")), F.count("*")
     return labels.agg(
-        F.count("*").alias("n_claims"), percentage(both("citation_support"), cited).alias("citation_precision"), percentage(cited, F.count("*")).alias("citation_coverage"), percentage(both("source_exists"), cited).alias("source_validity"),
-        *(percentage(yes(c), known(c)).alias(c) for c in ("factual_correct", "temporal_correct", "numeric_correct", "scope_complete")),
+        all_.alias("n_claims"), percentage(F.count_if(has("citation_present") & has("citation_support", "supported")), cited).alias("citation_precision"), percentage(cited, all_).alias("citation_coverage"), percentage(F.count_if(has("citation_present") & has("source_exists")), cited).alias("source_validity"),
+        *(percentage(F.count_if(has(c)), all_).alias(c) for c in ("factual_correct", "scope_complete")), *(percentage(F.count_if(has(c)), known(c)).alias(c) for c in ("temporal_correct", "numeric_correct")),
+    )
+
+
+def run_summary(runs: DataFrame) -> DataFrame:
+    """One row over the latest attempts: cases, mean duration, tokens and sources, searches, degraded cases."""
+    latest = latest_attempts(runs)
+    return latest.agg(
+        F.count("*").alias("n_cases"), F.coalesce(F.bround(F.avg("duration_ms")), F.lit(0.0)).alias("mean_duration_ms"), F.coalesce(F.bround(F.avg("tokens")), F.lit(0.0)).alias("mean_tokens"), F.coalesce(F.bround(F.avg("sources"), 2), F.lit(0.0)).alias("mean_sources"),
+        F.coalesce(F.sum("searches"), F.lit(0)).alias("n_searches"), F.count_if(F.coalesce("degraded", F.lit(False))).alias("n_degraded"),
     )
 
 
 def error_histogram(labels: DataFrame) -> DataFrame:
     """(error_type, n) of the types that stand between bars."""
-    return labels.select(F.explode(F.split("error_types", r"\|")).alias("error_type")).select(F.trim("error_type").alias("error_type")).where("error_type <> ''").groupBy("error_type").agg(F.count("*").alias("n"))
+    return labels.select(F.explode(F.split("error_types", r"\|")).alias("error_type")).where("error_type <> ''").groupBy("error_type").agg(F.count("*").alias("n"))
 
 
 def latest_attempts(runs: DataFrame) -> DataFrame:

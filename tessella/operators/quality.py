@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions import text as T
 
 MIN_CHARACTERS, MIN_SCORE = 48, 0.45
+# Patterns of reference sections, entries and markers.
 REFERENCE_SECTION = r"(?iU)\b(?:references|bibliography|works cited)\b|参考文献"
 REFERENCE_ENTRY = r"(?i)^(?:\[\d{1,4}\]|\d{1,4}\.)\s+.{0,100}\b(?:19|20)\d{2}\b"
 REFERENCE_MARKER = r"(?:^|\s)\[\d{1,4}\]\s+(?=[A-Z])"

@@ -37,11 +37,19 @@ def citations(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     return joined.select("claim_id", "evidence_id", ids.citation_id(F.col("claim_id"), F.col("evidence_id")).alias("citation_id"), citation_label(F.col("title"), F.col("page_number"), F.col("page_end")).alias("label"))
 
 
-def reports(claims: DataFrame, cited: DataFrame) -> DataFrame:
-    """(query_id, report): a list of the supported claims(query_id, draft_no, claim_id, claim_text, status) with their labels."""
+def reports(claims: DataFrame, cited: DataFrame, questions: DataFrame | None = None) -> DataFrame:
+    """(query_id, report): a list of the supported claims(query_id, draft_no, claim_id, claim_text, status) with their labels.
+
+    With questions(query_id, text) a heading and the question come first.
+    """
     labels = cited.groupBy("claim_id").agg(F.array_join(F.array_sort(F.collect_set("label")), " ").alias("labels"))
     lines = claims.where("status = 'supported'").join(labels, "claim_id", "left").select("query_id", F.struct("draft_no", F.concat(F.lit("- "), "claim_text", F.lit(" "), F.coalesce("labels", F.lit(""))).alias("line")).alias("x"))
-    return lines.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: F.rtrim(x["line"])), "\n").alias("report"))
+    return lines.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: F.rtrim(x["line"])), "\n").alias("report")).transform(lambda r: r if questions is None else _headed(r, questions))
+
+
+def _headed(rows: DataFrame, questions: DataFrame) -> DataFrame:
+    top = F.concat(F.lit("# Local evidence report\n\n**Question:** "), "text", F.lit("\n\n"), "report")
+    return rows.join(questions.select("query_id", "text"), "query_id").select("query_id", top.alias("report"))
 
 
 def research_status(n_drafts: Column, n_claims: Column, n_published: Column, n_errors: Column) -> Column:

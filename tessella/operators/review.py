@@ -26,7 +26,7 @@ def review_errors(reviews: DataFrame) -> DataFrame:
     agree = F.col("decision") == F.col("decision2")
     rules = [
         ("keep_is_clean", (d == "keep") & ~(good & (issues == 0) & empty)), ("edit_is_complete", (d == "edit") & ~(~good & (issues > 0) & full)),
-        ("reject_is_reasoned", d.isin("reject", "adjudicate") & ~((issues > 0) & noted)), ("reject_has_no_revision", (d == "reject") & ~empty),
+        ("reject_is_reasoned", d.isin("reject", "needs_adjudication") & ~((issues > 0) & noted)), ("reject_has_no_revision", (d == "reject") & ~empty),
         ("other_needs_notes", F.array_contains(F.coalesce("issues", F.array().cast("array<string>")), "OTHER") & ~noted),
         ("zoned_times", ~(zoned("round1_at") & zoned("round2_at"))), ("round_order", t2 < t1), ("single_reviewer_gap", (F.col("mode") == "single") & ((F.col("reviewer1") != F.col("reviewer2")) | (t2 < t1 + F.expr(GAP)))),
         ("independent_reviewers", (F.col("mode") == "independent") & (F.col("reviewer1") == F.col("reviewer2"))), ("agreement", (F.col("resolution") == "not_required") & ~agree),

@@ -47,11 +47,22 @@ def capped(text: Column, tokens: int, characters_per_token: int = 4) -> Column:
 
 
 def source_list(results: DataFrame) -> DataFrame:
-    """(query_id, sources): numbered blocks of title, url and content in order."""
+    """(query_id, sources): numbered blocks of title, url and summary in order."""
     w = Window.partitionBy("query_id").orderBy("ordinal")
-    block = F.concat(F.lit("--- SOURCE "), F.row_number().over(w).cast("string"), F.lit(": "), "title", F.lit(" ---\nURL: "), "url", F.lit("\n\n"), "content")
+    rule = F.lit("\n\n\n\n" + "-" * 80 + "\n")
+    block = F.concat(F.lit("\n\n--- SOURCE "), F.row_number().over(w).cast("string"), F.lit(": "), "title", F.lit(" ---\nURL: "), "url", F.lit("\n\nSUMMARY:\n"), "content", rule)
     rows = results.select("query_id", F.struct("ordinal", block.alias("b")).alias("x"))
-    return rows.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["b"]), "\n\n").alias("sources"))
+    return rows.groupBy("query_id").agg(F.concat(F.lit("Search results: \n\n"), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["b"]), "")).alias("sources"))
+
+
+def content_list(results: DataFrame, tokens: int = 1000, raw: bool = True) -> DataFrame:
+    """(query_id, sources): ruled blocks of title, url, content and the capped raw content, in order."""
+    thick, thin = "=" * 80 + "\n", "-" * 80 + "\n"
+    parts = [F.lit(thick + "Source: "), F.col("title"), F.lit("\n" + thin + "URL: "), F.col("url"), F.lit("\n===\nMost relevant content from source: "), F.col("content"), F.lit("\n===\n")]
+    if raw:
+        parts += [F.lit(f"Full source content limited to {tokens} tokens: "), capped(F.coalesce("raw_content", F.lit("")), tokens), F.lit("\n\n")]
+    rows = results.select("query_id", F.struct("ordinal", F.concat(*parts, F.lit(thick + "\n")).alias("b")).alias("x"))
+    return rows.groupBy("query_id").agg(F.rtrim(F.trim(F.concat(F.lit("Content from sources:\n"), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["b"]), ""))), F.lit("\n ")).alias("sources"))
 
 
 def loopback(url: Column) -> Column:
@@ -65,7 +76,7 @@ def cited_answer(rows: DataFrame) -> DataFrame:
     """rows(query, answer, citations): the first citation carries the answer (1.0), the others a note (0.5)."""
     r = rows.select("query", "answer", F.posexplode("citations").alias("ordinal", "url"))
     first = F.col("ordinal") == 0
-    return r.select("query", "ordinal", F.concat(F.lit("Source "), (F.col("ordinal") + 1).cast("string")).alias("title"), "url", F.when(first, F.col("answer")).otherwise("See the first source for the full answer").alias("content"), F.when(first, 1.0).otherwise(0.5).alias("score"), F.when(first, F.col("answer")).alias("raw_content"))
+    return r.select("query", "ordinal", F.concat(F.lit("Perplexity Search, Source "), (F.col("ordinal") + 1).cast("string")).alias("title"), "url", F.when(first, F.col("answer")).otherwise("See primary source for full content").alias("content"), F.when(first, 1.0).otherwise(0.5).alias("score"), F.when(first, F.col("answer")).alias("raw_content"))
 
 
 def pages_with_subpages(rows: DataFrame) -> DataFrame:

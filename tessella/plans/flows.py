@@ -56,7 +56,7 @@ def answer(questions: DataFrame, passages: DataFrame, top_k: int = 5, mode: str
     judged = verify.verdicts(claims, evidence.select("evidence_id", "text")).select("claim_id", "status", F.col("evidence_id").alias("support"))
     published = drafts.join(judged, "claim_id")
     cited = research.citations(judged.select("claim_id", F.col("support").alias("evidence_id"), "status"), evidence)
-    out = research.outcomes(questions, published).join(research.reports(published, cited), "query_id", "left")
+    out = research.outcomes(questions, published).join(research.reports(published, cited, questions), "query_id", "left")
     return out.withColumn("report", F.when(F.col("status") == "failed", F.lit(None)).otherwise(F.col("report")))
 
 

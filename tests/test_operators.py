@@ -162,7 +162,7 @@ def test_answers_are_cited_or_failed(spark):
     p = spark.createDataFrame([(1, text, "Method", 3, "River"), (2, "Unrelated words about cooking rice and beans at home every single day of the week, with salt and oil and patience and time for everyone who eats it.", "Food", 1, "Rice")], "doc_id long, text string, section string, page_number int, title string")
     q = spark.createDataFrame([(1, "which model detects anomalies in traces"), (2, "zzz qqq")], "query_id long, text string")
     got = {r["query_id"]: r for r in flows.answer(q, p, 1, "hybrid").collect()}
-    assert got[1]["status"] == "success" and got[1]["report"] == "- The river model detects anomalies in microservice traces using graph attention over spans. [River, p. 3]"
+    assert got[1]["status"] == "success" and got[1]["report"] == "# Local evidence report\n\n**Question:** which model detects anomalies in traces\n\n- The river model detects anomalies in microservice traces using graph attention over spans. [River, p. 3]"
     with pytest.raises(ValueError):
         flows.search(q, p, 0)
     with pytest.raises(ValueError):
@@ -213,6 +213,13 @@ def slow_pack(rows, most):
     return out
 
 
+def test_long_blocks_and_headings_are_split_before_packing(spark):
+    rows = [(1, 1, 0, True, "Head\nline"), (1, 1, 1, False, "a " * 40), (1, 2, 0, False, "tail"), (1, 2, 1, False, " ")]
+    got = chunking.packed(spark.createDataFrame(rows, "paper_id int, page_number int, reading_order int, is_heading boolean, text string"), 30).orderBy("ordinal").collect()
+    assert [r["ordinal"] for r in got] == list(range(len(got))) and all(len(r["text"]) <= 30 for r in got)
+    assert [r["section"] for r in got] == ["Head line"] * (len(got) - 1) + ["document"] and got[-1]["text"] == "tail"
+
+
 def test_packing_against_a_loop(spark):
     rng = random.Random(5)
     rows = [(p, g, i, rng.random() < 0.1, "x" * rng.randint(1, 300)) for p in range(3) for g in range(3) for i in range(rng.randint(1, 20))]
