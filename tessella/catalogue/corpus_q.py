@@ -20,6 +20,11 @@ def exact_dup_groups(spark, sf):
     return C.duplicate_groups(files(spark, sf)).withColumn("aliases", F.array_join("aliases", "|"))
 
 
+@query(f"with {CANON} select sha256, canonical_path, relative_path alias from marked where is_exact_duplicate")
+def exact_dup_members(spark, sf):
+    return C.duplicate_members(files(spark, sf))
+
+
 @query(f"with {CANON} select doc_id, canonical_path, is_exact_duplicate, case when is_exact_duplicate then canonical_id end duplicate_of from marked")
 def canonical_docs(spark, sf):
     return C.canonical(files(spark, sf)).select("doc_id", "canonical_path", "is_exact_duplicate", "duplicate_of")

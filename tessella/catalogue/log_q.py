@@ -46,14 +46,11 @@ def tool_content_valid(spark, sf):
     return read(spark, sf, "conversations").select("conv_id", "turn", agentlog.valid_content(content).alias("valid"))
 
 
-@query("""with r as (select conv_id, turn, text, row_number() over (order by conv_id, turn) o, case when turn % 5 = 0 then sha256('x') else sha256(text) end h from conversations),
+@query("""with r as (select conv_id, turn, text, conv_id * 100000 + turn o, case when turn % 5 = 0 then sha256('x') else sha256(text) end h from conversations),
 i as (select *, sha256(encode('chat') || unhex('00') || encode(cast(conv_id % 9 as varchar)) || unhex('00') || encode('c') || unhex('00') || encode(h)) id from r)
 select id evidence_id, min(o) first_ordinal from i where h = sha256(text) group by 1""")
 def tool_evidence_valid(spark, sf):
-    from pyspark.sql import Window
-
-    c = read(spark, sf, "conversations")
-    o = c.withColumn("ordinal", F.row_number().over(Window.orderBy("conv_id", "turn")).cast("bigint"))  # a fixture's order, not an operator
+    o = read(spark, sf, "conversations").withColumn("ordinal", F.col("conv_id") * 100000 + F.col("turn"))
     h = F.when(F.col("turn") % 5 == 0, F.sha2(F.lit("x"), 256)).otherwise(F.sha2("text", 256))
     r = o.select(F.lit("chat").alias("source"), (F.col("conv_id") % 9).cast("string").alias("tool"), F.lit("c").alias("call_id"), F.col("text").alias("content"), h.alias("content_hash"), "ordinal")
     r = r.withColumn("evidence_id", ids.tool_evidence_id(F.col("source"), F.col("tool"), F.col("call_id"), F.col("content_hash")))

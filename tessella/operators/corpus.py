@@ -107,12 +107,20 @@ def canonical(files: DataFrame) -> DataFrame:
 
 
 def duplicate_groups(files: DataFrame) -> DataFrame:
-    """(sha256, n, canonical_path, aliases) of every digest that repeats; aliases are the other paths, sorted."""
+    """(sha256, n, canonical_path, aliases) of every digest that repeats; aliases are the other paths, sorted.
+
+    For reports: a row holds a whole group. Where groups may be very large, `duplicate_members` gives a row for each alias.
+    """
     order = F.struct(*(c.alias(f"o{i}") for i, c in enumerate(_preference(F.col("relative_path")))))
     g = files.groupBy("sha256").agg(F.count("*").alias("n"), F.min(order)["o2"].alias("canonical_path"), F.sort_array(F.collect_list("relative_path")).alias("paths"))
     return g.where("n > 1").select("sha256", "n", "canonical_path", F.filter("paths", lambda p: p != F.col("canonical_path")).alias("aliases"))
 
 
+def duplicate_members(files: DataFrame) -> DataFrame:
+    """(sha256, canonical_path, alias): one row for every file that another one stands for; no group is gathered anywhere."""
+    return canonical(files).where("is_exact_duplicate").select("sha256", "canonical_path", F.col("relative_path").alias("alias"))
+
+
 def index_policies(records: DataFrame) -> DataFrame:
     """Canonical records (work_id, paper_id, document_type, relative_path) with index_policy, indexable and the links to the primary."""
     by_type = Window.partitionBy("work_id", "document_type").orderBy(*_preference(F.col("relative_path")))
