@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding: batched numpy Viterbi over words of equal length.
 
-A text is cut into words at spaces (a word keeps the spaces before it) and newlines; no piece reaches over such a cut.
-The distinct words of a batch that aren't known yet are encoded together, those of equal length in one matrix that
+A text is cut into units at spaces (a unit keeps the spaces before it), newlines, and before marks that follow a letter in
+no piece; no piece reaches over such a cut. The distinct units of a batch that aren't known yet are encoded together, those of equal length in one matrix that
 advances character by character: hashes of all substrings that end there probe the sorted keys of the pieces, and the
 vectorised maximum over them is stored as a back-pointer.
 
@@ -70,7 +70,7 @@ class Table:
         self.maybe[(keys[real] >> np.uint64(44)).astype(np.int64)] = True
         # a word also ends before a mark that follows a letter in no piece
         marks = [m for m in MARKS if not any(re.search(f"[{LETTERS}]{re.escape(m)}", names[i]) for i in real)]
-        self.words = re.compile((f" *[{LETTERS}]+(?=[{re.escape(''.join(marks))}])|" if marks else "") + " *[^ \n]+|\n| +")
+        self.units = re.compile((f"{SPACE}*[{LETTERS}]+(?=[{re.escape(''.join(marks))}])|" if marks else "") + f"{SPACE}*[^{SPACE}\n]+|\n|{SPACE}+")
         order = np.array(sorted(real, key=lambda i: int(keys[i])))
         self.keys, self.ids = keys[order], order
         by_name = {names[i]: i for i in real}
@@ -91,8 +91,10 @@ class Table:
         self.raw_length = np.array([len(r) for r in raw], np.int64)
         self.raw_start = np.cumsum(self.raw_length) - self.raw_length
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
-        self.apart: dict[int, bool] = {}
-        self.known: dict[str, bytes] = {}
+        self.pair_keys, self.pair_answers = np.full(1 << 16, -1, np.int64), np.zeros(1 << 16, bool)
+        self.n_pairs = 0
+        self.known: dict[str, bytes] = {}  # of units
+        self.words: dict[str, bytes] = {}  # of words as `encode` cuts them
 
     @staticmethod
     def _mix(points):
@@ -146,27 +148,58 @@ class Table:
             parts[live, :-1], parts[live, -1] = rest, -1
         return parts
 
+    def _slots(self, keys):
+        """The slot of each pair in the open hash table: its own, or the empty one where it belongs."""
+        import numpy as np
+
+        size = len(self.pair_keys)
+        at = ((keys.astype(np.uint64) * self.base) >> np.uint64(64 - size.bit_length() + 1)).astype(np.int64)
+        todo = np.flatnonzero((self.pair_keys[at] != keys) & (self.pair_keys[at] >= 0))
+        while len(todo):
+            at[todo] = (at[todo] + 1) % size
+            held = self.pair_keys[at[todo]]
+            todo = todo[(held != keys[todo]) & (held >= 0)]
+        return at
+
+    def _remember(self, keys, answers) -> None:
+        """Put distinct new pairs into the table."""
+        import numpy as np
+
+        if self.n_pairs + len(keys) > len(self.pair_keys) // 2:
+            old = np.flatnonzero(self.pair_keys >= 0) if self.n_pairs < 8 * MEMORY else np.zeros(0, np.int64)
+            keys, answers = np.concatenate([self.pair_keys[old], keys]), np.concatenate([self.pair_answers[old], answers])
+            size = max(len(self.pair_keys), 1 << (4 * len(keys)).bit_length())
+            self.pair_keys, self.pair_answers, self.n_pairs = np.full(size, -1, np.int64), np.zeros(size, bool), 0
+        self.n_pairs += len(keys)
+        while len(keys):
+            at = self._slots(keys)
+            _, first = np.unique(at, return_index=True)  # two of them may want one slot
+            self.pair_keys[at[first]], self.pair_answers[at[first]] = keys[first], answers[first]
+            left = np.ones(len(keys), bool)
+            left[first] = False
+            keys, answers = keys[left], answers[left]
+
     def _stay_apart(self, left, right):
         """Whether the pieces of each pair stay as they are when they are merged as one text."""
         import numpy as np
 
-        keys, back = np.unique(left * (self.size + 1) + right, return_inverse=True)
-        new = np.array([k for k in keys.tolist() if k not in self.apart], np.int64)
-        if len(new):
-            if len(self.apart) > 4 * MEMORY:
-                self.apart.clear()
-                new = keys
+        keys = left * (self.size + 1) + right
+        at = self._slots(keys)
+        if (missing := self.pair_keys[at] < 0).any():
+            new = np.unique(keys[missing])
             a, b = new // (self.size + 1), new % (self.size + 1)
-            la, lb = self.length[a], self.length[b]
-            answer = np.zeros(len(new), bool)
-            for x, y in set(zip(la.tolist(), lb.tolist(), strict=True)):
-                rows = np.flatnonzero((la == x) & (lb == y))
-                chars = [self._chars(self.points[ids[rows], :k]) for ids, k in ((a, x), (b, y))]
-                end = self._merged(np.concatenate(chars, 1))
-                answer[rows] = (end[:, 0] == a[rows]) & (end[:, 1] == b[rows]) & (end[:, 2] < 0 if end.shape[1] > 2 else True)
-            answer |= (a == self.size) | (b == self.size)
-            self.apart.update(zip(new.tolist(), answer.tolist(), strict=True))
-        return np.fromiter(map(self.apart.__getitem__, keys.tolist()), bool, len(keys))[back]
+            la = self.length[a]
+            both = la + self.length[b]
+            answer = (a == self.size) | (b == self.size)
+            for n in np.unique(both[~answer]).tolist():
+                rows = np.flatnonzero((both == n) & ~answer)
+                col, cut = np.arange(n)[None], la[rows][:, None]
+                points = np.where(col < cut, self.points[a[rows][:, None], np.minimum(col, self.longest - 1)], self.points[b[rows][:, None], np.clip(col - cut, 0, self.longest - 1)])
+                end = self._merged(self._chars(points))
+                answer[rows] = (end[:, 0] == a[rows]) & (end[:, 1] == b[rows]) & (end[:, 2] < 0 if n > 2 else True)
+            self._remember(new, answer)
+            at = self._slots(keys)
+        return self.pair_answers[at]
 
     def _viterbi(self, points):
         """The best path of each row of characters: (rows, ends) of pieces, -1 where no piece of the path ends."""
@@ -182,18 +215,23 @@ class Table:
         total[:, 0] = 0
         last = np.full((n, length + 1), -1, np.int64)
         for j in range(1, length + 1):
+            steps = []  # all pieces that end here, by length
             for k in range(1, min(self.longest, j) + 1):
-                i = j - k
-                piece = self._find(hashes[:, j] - hashes[:, i] * powers[k], points[:, i:j])
+                piece = self._find(hashes[:, j] - hashes[:, j - k] * powers[k], points[:, j - k : j])
                 if k == 1:
                     piece[piece < 0] = self.size
-                rows = np.flatnonzero((piece >= 0) & np.isfinite(total[:, i]))
-                rows = rows[self.whole[piece[rows]]]
-                if self.kind == "bpe" and i and len(rows):
-                    rows = rows[self._stay_apart(last[rows, i], piece[rows])]
-                sums = total[rows, i] + self.score[piece[rows]]
-                rows, sums = rows[better := sums > total[rows, j]], sums[better]
-                total[rows, j], last[rows, j] = sums, piece[rows]
+                rows = np.flatnonzero(piece >= 0)
+                steps.append((rows, piece[rows], np.full(len(rows), j - k)))
+            rows, piece, start = (np.concatenate(x) for x in zip(*steps, strict=True))
+            ok = np.isfinite(total[rows, start]) & self.whole[piece]
+            if self.kind == "bpe":
+                inside = np.flatnonzero(ok & (start > 0))
+                ok[inside] = self._stay_apart(last[rows[inside], start[inside]], piece[inside])
+            rows, piece, start = rows[ok], piece[ok], start[ok]
+            sums = total[rows, start] + self.score[piece]
+            np.maximum.at(total[:, j], rows, sums)
+            best = sums == total[rows, j]
+            last[rows[best], j] = piece[best]
         path = np.full((n, length), -1, np.int64)
         at = np.full(n, length)
         while (live := np.flatnonzero(at > 0)).size:
@@ -202,20 +240,18 @@ class Table:
             at[live] = ends - self.length[last[live, ends]]
         return path
 
-    def learn(self, words: list[str]) -> None:
-        """Encode words that aren't known yet; known[word] holds the ids as little-endian int32."""
+    def learn(self, units: list[str]) -> None:
+        """Encode distinct units; known[unit] holds the ids as little-endian int32."""
         import numpy as np
 
-        if len(self.known) + len(words) > MEMORY:
-            self.known.clear()
         by_length: dict[int, list[str]] = {}
-        for w in words:
+        for w in units:
             by_length.setdefault(len(w), []).append(w)
         for length, group in by_length.items():
             step = max(1, 400_000 // length)
             for at in range(0, len(group), step):
                 part = group[at : at + step]
-                points = np.frombuffer("".join(part).replace(" ", SPACE).encode("utf-32-le"), np.uint32).reshape(len(part), length)
+                points = np.frombuffer("".join(part).encode("utf-32-le"), np.uint32).reshape(len(part), length)
                 path = self._viterbi(points)
                 used = path >= 0
                 ids, counts = path[used].astype("<i4"), used.sum(1)
@@ -240,28 +276,43 @@ class Table:
         return np.array(out, "<i4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian int32."""
-        cut = [self.words.findall(" " + t.replace(SPACE, " ")) if t else [] for t in texts]
+        """The ids of each text as little-endian int32.
+
+        A word is what stands between blanks, with a blank before it, or after a newline, with that before it. Texts with
+        blanks in a row or at their ends are cut into units at once.
+        """
         out: list[bytes] = []
-        held: list[list[str]] = []
-        new: set[str] = set()
-        for words in cut:
-            held.append(words)
-            new.update(w for w in words if w not in self.known)
-            if len(new) > MEMORY // 8:
-                self._flush(held, new, out)
-        self._flush(held, new, out)
+        held: list[tuple[bool, list[str]]] = []
+        new, raw = set(), set()
+        for t in texts:
+            t = (t or "").replace(SPACE, " ")
+            words = t.replace("\n", " \n").split(" ") if t else []
+            if plain := "" not in words:
+                new.update(set(words).difference(self.words))
+            else:
+                words = self.units.findall(SPACE + t.replace(" ", SPACE))
+                raw.update(set(words).difference(self.known))
+            held.append((plain, words))
+            if len(new) + len(raw) > MEMORY // 8:
+                self._flush(held, new, raw, out)
+        self._flush(held, new, raw, out)
         return out
 
-    def _flush(self, held: list, new: set, out: list) -> None:
-        if len(self.known) + len(new) > MEMORY:
+    def _flush(self, held: list, new: set, raw: set, out: list) -> None:
+        if len(self.words) + len(self.known) + 2 * len(new) + len(raw) > MEMORY:
+            self.words.clear()
             self.known.clear()
-            new.update(w for words in held for w in words)
-        self.learn(sorted(new))
-        get = self.known.__getitem__
-        out.extend(b"".join(map(get, words)) for words in held)
-        held.clear()
-        new.clear()
+            for plain, words in held:
+                (new if plain else raw).update(words)
+        cut = {w: ["\n", *self.units.findall(w[1:])] if w[0] == "\n" else self.units.findall(SPACE + w) for w in new}
+        raw.update(u for units in cut.values() for u in units)
+        self.learn(sorted(raw.difference(self.known)))
+        known = self.known.__getitem__
+        self.words.update((w, known(units[0]) if len(units) == 1 else b"".join(map(known, units))) for w, units in cut.items())
+        own = self.words.__getitem__
+        out.extend(b"".join(map(own if plain else known, words)) for plain, words in held)
+        for x in (held, new, raw):
+            x.clear()
 
     def decode(self, encoded: list[bytes]) -> list[bytes]:
         """The UTF-8 of each text from its ids."""
