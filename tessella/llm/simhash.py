@@ -81,7 +81,7 @@ def links(fps: DataFrame, radius: int = 2, blocks: int = 5, crowd: int = 256) ->
     masks = F.array(*(F.lit(_signed(m)) for m in block_keys(blocks, radius)))
     dealt = fps.select("fp", F.posexplode(F.transform(masks, lambda m: F.col("fp").bitwiseAND(m))).alias("way", "key"))
     full = dealt.groupBy("way", "key").agg(F.count("*").alias("n")).where("n > 1")
-    met = dealt.join(full, ["way", "key"])
+    met = _spread(dealt, full, ["way", "key"], "fp")
     a, b = met.where(F.col("n") <= crowd), met.where(F.col("n") <= crowd).select("way", "key", F.col("fp").alias("other"))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius
     pairs = a.join(b, ["way", "key"]).where((F.col("fp") < F.col("other")) & near).select(F.col("fp").alias("u"), F.col("other").alias("v"))
@@ -92,6 +92,20 @@ def links(fps: DataFrame, radius: int = 2, blocks: int = 5, crowd: int = 256) ->
     return pairs.unionByName(stars).distinct()
 
 
+#: Shares that the rows of one key are dealt to in joins with one row for each key.
+SHARES = 4
+
+
+def _spread(rows: DataFrame, single: DataFrame, on: list[str], by: str) -> DataFrame:
+    """rows joined with the one row of each key in `single`, the rows of a key dealt to SHARES by another column.
+
+    Both sides are exchanged anew for this key, so adaptive execution can split what is still too large.
+    """
+    dealt = rows.withColumn("share", F.pmod(F.xxhash64(by), F.lit(SHARES)).cast("int"))
+    every = single.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    return dealt.join(every, [*on, "share"]).drop("share")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the undirected edges (u, v): alternating large and small stars until nothing changes."""
     now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
@@ -100,9 +114,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("m", "u").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = _spread(both.where("v > u"), least, ["u"], "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        small = _spread(large, least, ["u"], "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         now = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         last, seen = seen, now.agg(mark.alias("m")).first()["m"]
         if last == seen:
