@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.operators.layout import spread
+
 
 class Registry:
     """The queries of one module."""
@@ -29,6 +31,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def read_spread(spark: SparkSession, sf_dir: str, table: str, key: str) -> DataFrame:
+    """A table for work that is heavy for each row."""
+    return spread(read(spark, sf_dir, table), key)
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents in the role of files: a path, a digest, a type and a language each."""
     d = read(spark, sf_dir, "documents")

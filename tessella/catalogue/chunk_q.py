@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.catalogue.base import Registry, read
+from tessella.catalogue.base import Registry, read, read_spread
 from tessella.functions import ids
 from tessella.functions import vectors as V
 from tessella.operators import chunking
@@ -16,7 +16,7 @@ BLOCKS = """bl as (select doc_id paper_id, n // 6 + 1 page_number, n reading_ord
 
 
 def blocks(spark, sf):
-    d = read(spark, sf, "documents").select(F.col("doc_id").alias("paper_id"), F.posexplode(F.split("text", "\n")).alias("n", "text")).where("text <> ''")
+    d = read_spread(spark, sf, "documents", "doc_id").select(F.col("doc_id").alias("paper_id"), F.posexplode(F.split("text", "\n")).alias("n", "text")).where("text <> ''")
     n, size = F.col("n"), F.length("text")
     x, y = (n % 5) * F.lit(10.5), (n % 7) * F.lit(3.0)
     return d.select("paper_id", (F.floor(n / 6) + 1).alias("page_number"), n.cast("bigint").alias("reading_order"), "text", (size < 40).alias("is_heading"), F.array(x, y, x + 40 + size % 400, y + 12).alias("bbox"), (8 + size % 5).alias("median_font_size"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.catalogue.base import Registry, read
+from tessella.catalogue.base import Registry, read, read_spread
 from tessella.functions import vectors as V
 from tessella.operators import evaluate, quality, retrieval
 from tessella.plans import flows
@@ -18,12 +18,12 @@ def asked(spark, sf):
 
 
 def corpus(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", "text")
+    return read_spread(spark, sf, "documents", "doc_id").select("doc_id", "text")
 
 
 def passages(spark, sf):
     """documents as passages: the source is the section, every seventh has no page."""
-    d = read(spark, sf, "documents")
+    d = read_spread(spark, sf, "documents", "doc_id")
     section = F.when(F.col("doc_id") % 11 == 0, "References").when(F.col("doc_id") % 13 == 0, "12:3 running").when(F.col("doc_id") % 4 == 0, "").otherwise(F.col("source"))
     return d.select("doc_id", F.substring("text", 1, 600).alias("text"), section.alias("section"), F.when(F.col("doc_id") % 7 == 0, F.lit(None)).otherwise(1).cast("int").alias("page_number"), F.col("source").alias("title"))
 
@@ -46,7 +46,7 @@ ds as (select a.vec_id query_id, b.vec_id doc_id, round(list_dot_product(a.v, b.
 
 
 def vectors(spark, sf):
-    return read(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    return read_spread(spark, sf, "embeddings", "vec_id").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
 
 
 def vector_queries(spark, sf):

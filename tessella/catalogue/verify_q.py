@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.catalogue.base import Registry, read
+from tessella.catalogue.base import Registry, read, read_spread
 from tessella.functions import text as T
 from tessella.operators import evaluate, research, review, verify
 
@@ -37,7 +37,7 @@ v as (select cl.claim_id, cl.text, coalesce(missing = 0, false) linked, contains
 
 
 def claims(spark, sf):
-    d, i = read(spark, sf, "documents"), F.col("doc_id")
+    d, i = read_spread(spark, sf, "documents", "doc_id"), F.col("doc_id")
     e = lambda x: F.concat(F.lit("e"), x.cast("string"))
     text = F.when(i % 5 == 0, F.concat(F.lit("not "), F.substring("text", 1, 120))).when(i % 5 == 1, F.concat(F.substring("text", 1, 90), F.lit(" 42% more"))).when(i % 5 == 2, F.concat(F.substring("text", 1, 60), F.lit(" wholly invented words follow here"))).otherwise(F.substring("text", 1, 100))
     links = F.when(i % 17 == 0, F.array().cast("array<string>")).when(i % 19 == 0, F.array(e(i), F.lit("none"))).otherwise(F.array(e(i), e((i + 1) % 1000)))
@@ -78,7 +78,7 @@ def semantic_verdicts(spark, sf):
 
 @query()
 def claim_drafts(spark, sf):
-    hits = read(spark, sf, "documents").select((F.col("doc_id") % 40).alias("query_id"), F.col("doc_id").cast("string").alias("evidence_id"), F.col("doc_id").alias("rank"), "text")
+    hits = read_spread(spark, sf, "documents", "doc_id").select((F.col("doc_id") % 40).alias("query_id"), F.col("doc_id").cast("string").alias("evidence_id"), F.col("doc_id").alias("rank"), "text")
     return research.drafts(hits, read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
 
 
