@@ -7,10 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import mixing, mpeg, pieces, secrets, simhash, tokens, topk, toxicity, urls, warc
+from tessella.operators.layout import spread
+
+
+KEYS = {"documents": "doc_id", "pages": "page_id", "embeddings": "vec_id"}
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table; one of fewer partitions than cores is dealt to all of them."""
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(rows, KEYS[table]) if table in KEYS else rows
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +48,7 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judged(_read(spark, sf_dir, "pages"))
+    return urls.judged(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +56,7 @@ def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(_read(spark, sf_dir, "documents"))
+    found = secrets.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "finding_no", F.length("cand").alias("length"), F.sha2("cand", 256).alias("cand_sha256"), "probability", "is_secret")
 
 
