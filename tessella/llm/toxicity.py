@@ -28,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import small_batches
+from tessella.llm.common import cut, small_batches
 
 #: Bound of the labelled sample that the classifier is fitted on.
 MAX_LABELLED = 8000
@@ -87,15 +87,26 @@ def votes(n: int, found: Counter, stems: tuple[str, ...]) -> list[int]:
     return out
 
 
-def mine_stems(texts: list[str], labels: list[int], least: int = 5, log_odds: float = 3.0, most: int = 64) -> tuple[str, ...]:
-    """Word beginnings that at least `least` toxic texts repeat, with smoothed log odds above `log_odds`."""
-    seen = {0: Counter(), 1: Counter()}
-    for text, label in zip(texts, labels, strict=True):
-        counts = Counter(w[:STEM] for w in WORD.findall(text.lower()) if len(w) > STEM and w not in SEEDS)
-        seen[label].update(s for s, c in counts.items() if c >= 2)
-    n1, n0 = sum(labels), len(labels) - sum(labels)
-    odds = {s: math.log((c + 0.5) / (n1 + 1)) - math.log((seen[0][s] + 0.5) / (n0 + 1)) for s, c in seen[1].items() if c >= least}
-    return tuple(sorted(sorted((s for s, o in odds.items() if o > log_odds), key=lambda s: (-odds[s] * math.sqrt(seen[1][s]), s))[:most]))
+def repeated_stems(text: str | None) -> list[str]:
+    """Word beginnings that a text repeats."""
+    counts = Counter(w[:STEM] for w in WORD.findall((text or "").lower()) if len(w) > STEM and w not in SEEDS)
+    return [s for s, c in counts.items() if c >= 2]
+
+
+def mine_stems(sample: DataFrame, n1: int, n0: int, least: int = 5, log_odds: float = 3.0, most: int = 64) -> tuple[str, ...]:
+    """Of sample(text, toxic), the `most` best word beginnings that at least `least` toxic texts repeat, with smoothed log odds above `log_odds`."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            found = [(s, y) for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for s in repeated_stems(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.string()), pa.array([y for _, y in found], pa.int32())], ["stem", "toxic"])
+
+    n = sample.mapInArrow(run, "stem string, toxic int").groupBy("stem").agg(F.count_if(F.col("toxic") == 1).alias("p"), F.count_if(F.col("toxic") == 0).alias("q"))
+    odds = F.log((F.col("p") + 0.5) / (n1 + 1)) - F.log((F.col("q") + 0.5) / (n0 + 1))
+    best = n.where(F.col("p") >= least).withColumn("odds", odds).where(F.col("odds") > log_odds)
+    return tuple(sorted(r["stem"] for r in best.orderBy(F.desc(F.col("odds") * F.sqrt("p")), "stem").limit(most).collect()))
 
 
 def label_model(ballots, rounds: int = 30):
@@ -147,34 +158,46 @@ def logistic(x, y, ridge: float = 0.5, rounds: int = 40):
     return w
 
 
-def fit(texts: list[str], labels: list[int]) -> Model:
-    """The classifier from labelled texts; PRIOR if a class is missing."""
+def fit(rows: list[tuple[list[float], list[int], int]], stems: tuple[str, ...]) -> Model:
+    """The classifier from (features, votes, label) of labelled texts; PRIOR if a class is missing."""
     import numpy as np
 
-    if len(set(labels)) < 2:
+    if len({y for _, _, y in rows}) < 2:
         return PRIOR
-    stems = mine_stems(texts, labels)
-    held = frozenset(stems)
-    seen = [evidence(t, held) for t in texts]
-    ballots = [[*votes(n, c, stems), 2 * y - 1] for (n, c), y in zip(seen, labels, strict=True)]
-    post, _, _ = label_model(ballots)
-    weights = logistic(np.array([vector(n, c, stems) for n, c in seen]), post)
-    return Model(stems, tuple(float(round(w, 12)) for w in weights))
+    post, _, _ = label_model([[*v, 2 * y - 1] for _, v, y in rows])
+    weights = logistic(np.array([x for x, _, _ in rows]), post)
+    return Model(stems, tuple(float(round(w, 9)) for w in weights))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> list[tuple[str, int]]:
-    """At most `most` labelled rows that aren't held out: those with the smallest hash of the id."""
+def training_sample(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
+    """(text, toxic) of at most `most` labelled rows that aren't held out: those with the smallest hash of the id."""
     key = F.col("doc_id").cast("string")
     picked = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(F.crc32(key.cast("binary")) % 3 != 1)
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", "text").limit(most)  # broadcast: `most` rows of 12 bytes
-    return [(r["text"] or "", r["toxic"]) for r in rows.collect()]
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # `most` rows of 12 bytes
+    return found.select("text", "toxic")
 
 
 def trained(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model:
-    """The classifier of the labelled rows of docs."""
-    sample = training_sample(docs, labels, most)
-    return fit([t for t, _ in sample], [y for _, y in sample])
+    """The classifier of the labelled rows of docs. Texts stay on the executors: the driver gets stems and numbers of `most` rows."""
+    small_batches(docs.sparkSession)
+    sample = cut(training_sample(docs, labels, most))
+    n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    if len(n) < 2:
+        return PRIOR
+    stems = mine_stems(sample, n[1], n[0])
+
+    def run(batches):
+        import pyarrow as pa
+
+        held = frozenset(stems)
+        for b in batches:
+            seen = [evidence(t, held) for t in b.column(0).to_pylist()]
+            cols = [pa.array([vector(*e, stems) for e in seen], pa.list_(pa.float64())), pa.array([votes(*e, stems) for e in seen], pa.list_(pa.int32())), b.column(1)]
+            yield pa.RecordBatch.from_arrays(cols, ["x", "v", "toxic"])
+
+    rows = sample.mapInArrow(run, "x array<double>, v array<int>, toxic int").orderBy(F.xxhash64("x", "v", "toxic")).limit(most).collect()  # a repeated id may bring more
+    return fit(sorted((list(r["x"]), list(r["v"]), r["toxic"]) for r in rows), stems)
 
 
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:
