@@ -29,6 +29,8 @@ from tessella.llm.common import small_batches
 SPACE, UNKNOWN = "▁", 0
 #: Known words a worker keeps; beyond, it starts anew.
 MEMORY = 600_000
+#: Text that is encoded at once.
+SLICE_BYTES = 8 << 20
 LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ",.;:!?%*#&$|\")]"
 _TABLES: dict[tuple[str, str], Table] = {}
 
@@ -326,6 +328,19 @@ class Table:
         return [blob[a + (blob[a : a + 1] == b" " and a < b) : b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
+def slices(batch, column: int, most: int = SLICE_BYTES):
+    """Parts of a batch with about `most` bytes of text each: large enough to encode many new words together."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        end = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + most, "right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def table(path: str, kind: str = "bpe") -> Table:
     """The table of a model file; a worker keeps it."""
     if (path, kind) not in _TABLES:
@@ -347,8 +362,7 @@ def encode(docs: DataFrame, path: str, kind: str = "bpe", doc_id: str = "doc_id"
 
         t = table(path, kind)
         for b in batches:
-            for at in range(0, b.num_rows, 250):
-                part = b.slice(at, 250)
+            for part in slices(b, 1):
                 texts = part.column(1).to_pylist()
                 coded = t.encode(texts)
                 decoded = t.decode(coded)
