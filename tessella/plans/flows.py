@@ -36,12 +36,14 @@ def search(queries: DataFrame, passages: DataFrame, top_k: int = 8, mode: str =
     qv, dv = embed(queries, "query_id"), embed(passages, "doc_id")
     if mode == "dense":
         return retrieval.dense(qv, dv, top_k, positive_only=False)
-    judged = quality.assessed(passages)
+    judged = quality.assessed(passages).select("doc_id", "accepted", "quality_score").persist()  # three small columns, used on both sides
     wide = top_k * (2 if mode == "hybrid-rerank" else 1)
     fused = retrieval.hybrid(queries, passages.select("doc_id", "text"), qv, dv, wide, 2, judged)
     if mode == "hybrid":
         return fused
-    pairs = fused.select("query_id", "doc_id").join(qv.withColumnRenamed("vector", "a"), "query_id").join(dv.withColumnRenamed("vector", "b"), "doc_id")
+    fused = fused.persist()  # top_k * 2 rows for each query
+    needed = embed(passages.join(fused.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id")
+    pairs = fused.select("query_id", "doc_id").join(qv.withColumnRenamed("vector", "a"), "query_id").join(needed.withColumnRenamed("vector", "b"), "doc_id")
     scores = pairs.select("query_id", "doc_id", F.round(V.cosine(F.col("a"), F.col("b")), 6).alias("rerank_score"))
     return retrieval.reranked(fused, scores, top_k)
 
