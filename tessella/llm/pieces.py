@@ -187,6 +187,7 @@ class Table:
 
         keys = left * (self.size + 1) + right
         at = self._slots(keys)
+        apart = self.pair_answers[at]
         if (missing := self.pair_keys[at] < 0).any():
             new = np.unique(keys[missing])
             a, b = new // (self.size + 1), new % (self.size + 1)
@@ -199,9 +200,9 @@ class Table:
                 points = np.where(col < cut, self.points[a[rows][:, None], np.minimum(col, self.longest - 1)], self.points[b[rows][:, None], np.clip(col - cut, 0, self.longest - 1)])
                 end = self._merged(self._chars(points))
                 answer[rows] = (end[:, 0] == a[rows]) & (end[:, 1] == b[rows]) & (end[:, 2] < 0 if n > 2 else True)
-            self._remember(new, answer)
-            at = self._slots(keys)
-        return self.pair_answers[at]
+            apart[missing] = answer[np.searchsorted(new, keys[missing])]
+            self._remember(new, answer)  # may drop pairs of this call: it isn't asked again
+        return apart
 
     def _viterbi(self, points):
         """The best path of each row of characters: (rows, ends) of pieces, -1 where no piece of the path ends."""

@@ -104,6 +104,27 @@ def test_worker_memory_is_bounded(monkeypatch):
     assert [np.frombuffer(c, "<i4").tolist() for c in t.encode(texts)] == lib.encode(texts)
 
 
+def test_pairs_dropped_in_a_batch_are_not_missed(monkeypatch):
+    monkeypatch.setattr(pieces, "MEMORY", 4)
+    t = pieces.Table(PIECES)
+    t.pair_keys, t.pair_answers = np.full(64, -1, np.int64), np.zeros(64, bool)
+    words = sorted({w for x in random_texts("abtheinorsl ", 60, 5) for w in x.split()})
+    drops, remember = [], t._remember
+
+    def watched(keys, answers):
+        before = t.n_pairs
+        remember(keys, answers)
+        drops.append(before > 0 and t.n_pairs == len(keys))
+
+    monkeypatch.setattr(t, "_remember", watched)
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    for part in (words[::2], words):
+        t.known.clear()
+        t.learn([pieces.SPACE + w for w in part])
+        assert [np.frombuffer(t.known[pieces.SPACE + w], "<i4").tolist() for w in part] == lib.encode(part)
+    assert any(drops)
+
+
 @pytest.mark.parametrize("ids", [[], [0], [1, 2]])
 def test_decoding_of_special_ids(ids):
     assert pieces.table(PIECES).decode([np.array(ids, "<i4").tobytes()]) == [b""]
