@@ -7,7 +7,7 @@ with the payload's length and a Xing table (frames, bytes, 100 seek points) come
 
 Reading works on any bytes. Tags are parsed and skipped; a header counts as a frame only if its fields are legal and
 another frame, a tag or the end follows where it says; what doesn't fit is skipped byte by byte until frames are found
-again. Every protected frame's CRC-16 is computed from the stream and compared. Durations are exact: samples over
+again. The letters TAG 128 bytes before the end are an ID3v1 tag only where no frame holds them; they may be payload. Every protected frame's CRC-16 is computed from the stream and compared. Durations are exact: samples over
 sample rate, and the offset of every frame is kept for seeking.
 
 Defined cases: a null or empty text is a payload of 64 zero bytes (n_bytes 0). Bytes that hold no frame have 0 frames.
@@ -130,6 +130,7 @@ class Stream:
     table: tuple[int, int] | None = None  # frames and bytes by the Xing table
     seek_points: bytes = b""
     payload: bytes = b""
+    missing: int = 0  # bytes of the payload that the frames don't hold
 
 
 def _parse(head: int) -> tuple[int, int, int, int, int] | None:
@@ -171,24 +172,26 @@ def read_stream(data: bytes) -> Stream:
     import numpy as np
 
     s, at, end = Stream(), 0, len(data)
-    if data[-128:-125] == b"TAG":
-        end -= 128
-        s.tags.setdefault("title", data[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1"))
-    follows = lambda p: p >= end or _tag_size(data, p) or (p + 4 <= end and _parse(int.from_bytes(data[p : p + 4], "big")))
+    tag_at = end - 128 if data[-128:-125] == b"TAG" else end
+    follows = lambda p: p >= end or p == tag_at or _tag_size(data, p) or (p + 4 <= end and _parse(int.from_bytes(data[p : p + 4], "big")))
     checks: dict[int, list[int]] = {}
     ticks: dict[int, int] = {}
     starts: list[int] = []
     locked = False
     while at < end:
+        if at == tag_at:
+            s.tags.setdefault("title", data[at + 3 : at + 33].rstrip(b"\0 ").decode("latin-1"))
+            break
         if size := _tag_size(data, at):
             _tags(data, at, min(end, at + size), s.tags)
             at += size
             continue
         frame = _parse(int.from_bytes(data[at : at + 4], "big")) if at + 4 <= end else None
-        if frame is None or at + frame[0] > end or not (locked or follows(at + frame[0])):
+        if frame is None or at + frame[0] > end or not ((locked and not at < tag_at < at + frame[0]) or follows(at + frame[0])):
             locked = False
-            step = data.find(b"\xff", at + 1, end)
-            step = end if step < 0 else step
+            stop = tag_at if at < tag_at else end
+            step = data.find(b"\xff", at + 1, stop)
+            step = stop if step < 0 else step
             s.skipped += step - at
             at = step
             continue
@@ -227,7 +230,7 @@ def read_stream(data: bytes) -> Stream:
         take = min(left, FULL, at + size - data_at)
         parts.append(data[data_at : data_at + take])
         left -= take
-    s.payload = b"".join(parts)
+    s.payload, s.missing = b"".join(parts), left
     return s
 
 
@@ -287,6 +290,8 @@ def digests(docs: DataFrame) -> DataFrame:
         for b in batches:
             media = b.column(2).to_pylist()
             found = [read_stream(x or b"") for x in media]
+            if short := sum(s.missing > 0 for s in found):
+                raise ValueError(f"{short} streams hold less than the payload that their tags state")
             feature = [f"layer3;frames={len(s.offsets)};ns={s.nanoseconds};vbr={int(len(s.rates) > 1)};crc={s.protected - s.bad_checksums}/{s.protected};table={s.table[0] if s.table else 0};seek={zlib.crc32(np.array(s.offsets, '<i8').tobytes()):08x}" for s in found]
             cols = [pa.array([len(s.payload) for s in found], pa.int64()), pa.array([hashlib.sha256(s.payload).hexdigest() for s in found]), pa.array([zlib.crc32(s.payload[-ALIGN:]) for s in found], pa.int64())]
             cols += [pa.array([len(m) for m in media], pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in media]), pa.array(feature)]

@@ -39,6 +39,25 @@ def test_reader_finds_frames_again_and_counts_damage():
     assert mpeg.read_stream(b"").offsets == [] and mpeg.read_stream(data[:5]).payload == b""
 
 
+@pytest.mark.parametrize("n", [896, 128, 3 * 896, 2 * 896 + 128])
+def test_letters_tag_in_the_payload_are_no_tag(n):
+    hits = 0
+    for shift in range(3):
+        payload = (b"TAG"[shift:] + b"TAG" * n)[:n]
+        data = mpeg.write_stream(payload)
+        hits += data[-128:-125] == b"TAG"
+        s = mpeg.read_stream(data)
+        assert s.payload == payload and s.missing == s.skipped == 0 and "title" not in s.tags
+        tagged = mpeg.read_stream(data + b"TAG" + b"t".ljust(125, b"\0"))
+        assert tagged.payload == payload and tagged.tags["title"] == "t" and tagged.offsets == s.offsets and tagged.skipped == 0
+    assert hits == 1
+
+
+def test_missing_payload_is_counted():
+    s = mpeg.read_stream(mpeg.write_stream(b"x" * 1792)[:-1])
+    assert s.missing == 896 and len(s.payload) == 896
+
+
 def test_crc_against_bits():
     rows = [random.Random(k).randbytes(19) for k in range(20)]
 
