@@ -1,10 +1,11 @@
 """Secret scan: candidates by one pattern, false positives removed by a random forest compiled to SQL expressions.
 
-A candidate is a run of 16 or more of A-Z a-z 0-9 + / _ = - with a digit in it. Its features are length, changes between
+A candidate is a run of 16 or more of A-Z a-z 0-9 + / _ - with what pads it, or whatever stands up to a blank, quote or
+bracket, six characters at least, behind a secret's name and a sign of assignment. A '=' ends a name. Its features are length, changes between
 kinds of characters, how much of it common letter pairs and dictionary words cover, the path it stands in, and the words
 before and after it. The forest is trained on labelled findings: `labelled_findings` makes them by rule from templates
-of real secrets and of look-alikes (commits, checksums, UUIDs, paths, card numbers, placeholders), a fixed number of
-rows. The fitted trees become CASE expressions, so that scanning is a projection without shuffle, join or Python.
+of real secrets and of look-alikes (commits, checksums, UUIDs, paths, card numbers, placeholders, long words, rules), a
+fixed number of texts, cut into candidates as a scan cuts them. The fitted trees become CASE expressions, so that scanning is a projection without shuffle, join or Python.
 
 Defined cases: null texts hold no candidates and stay null; empty texts stay empty. Every row is judged by itself, so
 repeated rows, null ids and ties need no rule. Columns of any name pass through `redact` unchanged but for the text.
@@ -18,10 +19,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_=\-])(?=[A-Za-z+/_=\-]*[0-9])[A-Za-z0-9+/_=\-]{16,}+"
+NAME = r"(?:token|secret|passw(?:or)?d|pwd|passphrase|api[_ -]?key|access[_ -]?key|private[_ -]?key|secret[_ -]?key|credentials?|authorization|auth)"
+#: A value behind a name; then a long run, padded unless the sign assigns.
+ASSIGNED = rf"(?<=[=:\s\"'])(?:(?<=(?i:{NAME}[\"']?\s?[=:]{{1,2}}\s{{0,2}}[\"']?))|(?<=\b(?i:bearer)\s))(?!(?i:bearer|basic)\s)[^\s\"'`,;<>()\[\]{{}}=:][^\s\"'`,;<>()\[\]{{}}]{{5,}}+"
+RUN = r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_=\-]|[\"'][A-Za-z0-9+/_\-]))?+"
+CANDIDATE = f"{ASSIGNED}|{RUN}"
 MASK = "[SECRET]"
 AROUND = 40
 N_FINDINGS = 2400
+KINDS = 22
 TREES, DEPTH, SEED = 25, 6, 42
 THRESHOLD = 0.5
 
@@ -61,7 +67,7 @@ def features(cand: Column, before: Column, after: Column) -> dict[str, Column]:
         "slashes": (F.regexp_count(cand, F.lit("[/_-]")) / n).cast("double"),
         "repeats": flag(low.rlike(r"(.)\1{4}|0123456|1234567|abcdef")),
         "known": flag(cand.rlike("^(AKIA|ASIA|ghp_|gho_|glpat-|sk_live_|sk-|xox[abp]-|AIza|eyJ|SG_)")),
-        "named": flag(before.rlike(r"(?i)(token|secret|passw(or)?d|pwd|api[_ -]?key|access[_ -]?key|private[_ -]?key|credential|authorization|bearer|auth)\W{0,6}$")),
+        "named": flag(before.rlike(rf"(?i)({NAME}|bearer)\W{{0,6}}$")),
         "hashed": flag(before.rlike(r"(?i)(commit|revision|rev|sha-?1|sha-?256|md5|checksum|digest|hash|etag|uuid|guid|build|request|trace|order|invoice|card|phone|id)\W{0,6}$")),
         "sample": flag(F.concat(before, low, after).rlike("(?i)example|sample|dummy|placeholder|changeme|your[_-]|xxxx")),
         "assigned": flag(before.rlike(r"[=:]\s{0,2}[\"']?$")),
@@ -71,20 +77,32 @@ def features(cand: Column, before: Column, after: Column) -> dict[str, Column]:
 
 
 def labelled_findings(spark: SparkSession, n: int = N_FINDINGS) -> DataFrame:
-    """(cand, before, after, label): n findings made by rule; kinds alternate, every other one a secret."""
-    h, kind = F.sha2(F.concat(F.lit("finding"), F.col("id").cast("string")), 256), (F.col("id") / 2).cast("long") % 12
+    """(cand, before, after, label): the candidates of n texts made by rule; kinds alternate, every other text holds a secret.
+
+    The texts are cut as `judged` cuts them; a candidate that the secret of its text reaches into is one.
+    """
+    h, kind = F.sha2(F.concat(F.lit("finding"), F.col("id").cast("string")), 256), (F.col("id") / 2).cast("long") % KINDS
     g = F.sha2(F.concat(h, F.lit("g")), 256)
     b64 = F.regexp_replace(F.base64(F.unhex(h)), "=", "")
     word = [F.element_at(F.array(*map(F.lit, DICTIONARY)), (F.conv(F.substring(g, 1 + 4 * i, 4), 16, 10).cast("int") % len(DICTIONARY) + 1)) for i in range(6)]
+    figures, letters = F.translate(h, "abcdef", "123456"), F.translate(F.upper(F.substring(h, 1, 16)), "0123456789", "QWRTYUIOPS")
+    small = F.translate(g, "0123456789", "ghkmprtvxz")
+    spoken = F.concat(*(F.element_at(F.array(*map(F.lit, PAIRS)), (F.conv(F.substring(g, 25 + 4 * i, 4), 16, 10).cast("int") % len(PAIRS) + 1)) for i in range(4)))
     yes = [
         ('token = "', F.substring(h, 1, 40), '" '), ('TOKEN = "', F.upper(F.substring(h, 1, 40)), '"!!'), ("api_key: ", F.substring(b64, 1, 32), " "), ("", F.concat(F.lit("AKIA"), F.upper(F.substring(h, 1, 16))), " "),
         ("secret='", F.substring(b64, 1, 40), "' "), ("Authorization: Bearer ", F.concat(F.lit("eyJ"), b64, F.substring(F.base64(F.unhex(g)), 1, 40)), " "), ("", F.concat(F.lit("ghp_"), F.substring(b64, 1, 36)), ", "), ("password=", F.substring(b64, 1, 20), "\n"),
         ("access key ", F.concat(F.lit("sk_live_"), F.substring(b64, 1, 24)), " "), ('"private_key": "', F.concat(h, g), '" '), ('token = "', F.substring(h, 1, 40), '"### '), ("auth: ", F.substring(h, 1, 32), " "),
+        ("key ", F.concat(F.lit("AKIA"), letters), " "), ("AWS_KEY=", F.concat(F.lit("AKIA"), F.upper(F.substring(h, 1, 16))), "\n"), ("password: ", F.concat(word[2], F.substring(figures, 1, 1), F.substring(small, 1, 3)), " "),
+        ("password: ", F.concat(F.substring(b64, 1, 9), F.lit("&"), F.substring(small, 1, 1), F.lit("4"), F.substring(small, 2, 2)), " "), ("DB_PASSWORD=", F.concat(word[2], F.substring(figures, 1, 1), F.initcap(word[3]), F.substring(figures, 2, 2)), "\n"),
+        ("export API_KEY=", F.substring(b64, 1, 24), "\n"), ("pwd: ", F.concat(F.initcap(F.substring(small, 1, 5)), F.lit("!"), F.substring(figures, 1, 3)), "\n"), ('"secret": "', F.concat(F.substring(b64, 1, 12), F.lit("$"), F.substring(h, 1, 4)), '"}'),
+        (F.concat(F.upper(F.concat_ws("_", *word[2:4])), F.element_at(F.array(*map(F.lit, ("_PASSWORD=", "_ADMIN_PASSWORD=", "_SECRET_ACCESS_KEY=", "_API_TOKEN="))), (F.conv(F.substring(g, 30, 2), 16, 10).cast("int") % 4 + 1))), F.substring(b64, 1, 20), "\n"),
     ]
     no = [
         ("commit ", F.substring(h, 1, 40), " "), ("sha256: ", h, " "), ('md5 = "', F.substring(h, 1, 32), '" '), ("id: ", F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12)), " "),
         ("card ", F.substring(F.translate(h, "abcdef", "123456"), 1, 16), " "), ("https://news.site.example/", F.concat_ws("-", *word[:5], F.lit("2024")), ".html"), ("src=/static/", F.concat_ws("/", *word[:3], F.concat(word[3], F.substring(F.translate(h, "abcdef", "123456"), 1, 4))), ".png"),
         ('token = "', F.lit("xxxxxxxx0000xxxxxxxxxxxx"), '" '), ("api_key: ", F.concat(F.lit("YOUR_API_KEY_EXAMPLE_"), F.substring(h, 1, 2), F.lit("0")), " "), ("the ", F.concat(*word[:3], F.substring(F.translate(h, "abcdef", "123456"), 1, 2)), " of "),
+        ("the ", F.concat(*word[:3]), " of "), ("see /", F.concat_ws("/", *word[:4]), "/ "), ("the ", F.concat_ws("-", *word[:4]), ", "), ("", F.repeat(F.element_at(F.array(*map(F.lit, "-_=/+")), (F.conv(F.substring(g, 30, 2), 16, 10).cast("int") % 5 + 1)), 30), "\n"),
+        ("password: ", word[2], " is "), ("token: ", F.concat(word[2], F.lit("."), word[3]), " "), ("call ", F.concat(word[0], F.initcap(word[1]), F.initcap(word[2]), F.initcap(word[3])), "() "), ("api_key=", F.concat(F.lit("<your_"), word[2], F.lit(">")), " "), ("", F.upper(F.concat_ws("_", *word[2:5])), "=30\n"), ("token: ", spoken, " "),
         ("call ", F.concat(F.lit("+49-"), F.substring(F.translate(h, "abcdef", "123456"), 1, 13)), " "), ("of the ", F.substring(F.translate(h, "abcdef", "123456"), 1, 19), ", "),
     ]
 
@@ -98,7 +116,10 @@ def labelled_findings(spark: SparkSession, n: int = N_FINDINGS) -> DataFrame:
         return F.when(F.col("id") % 2 == 1, of(yes, F.lit(""))).otherwise(of(no, F.lit("")))
 
     lead = F.concat(word[0], F.lit(" "), word[1], F.lit(" "))
-    return spark.range(0, n, 1, 1).select(pick(1).alias("cand"), F.concat(lead, pick(0)).alias("before"), pick(2).alias("after"), (F.col("id") % 2).cast("double").alias("label"))
+    made = spark.range(0, n, 1, 1).select(F.concat(lead, pick(0), pick(1), pick(2)).alias("text"), pick(1).alias("value"), (F.col("id") % 2).alias("secret"))
+    found = made.where(F.col("text").rlike(CANDIDATE)).select("value", "secret", F.explode(_split(F.col("text"), lambda c, before, after: F.struct(c.alias("cand"), before.alias("before"), after.alias("after")))[1]).alias("x"))
+    reached = F.col("value").contains(F.col("x.cand")) | F.col("x.cand").contains(F.col("value"))
+    return found.select("x.*", ((F.col("secret") == 1) & reached).cast("double").alias("label"))
 
 
 def _walk(node, names: tuple[str, ...]):
@@ -146,11 +167,19 @@ def forest(trees: list) -> Callable[[Column, Column, Column], Column]:
     return probability
 
 
+def _split(text: Column, made: Callable[[Column, Column, Column], Column]) -> tuple[Column, Column]:
+    """(pieces between the candidates, array of made(cand, before, after)); a candidate before is part of before."""
+    found, pieces = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), F.split(text, CANDIDATE, -1)
+
+    def one(x: Column) -> Callable[[Column, Column], Column]:
+        return lambda c, i: made(c, F.right(F.concat(F.coalesce(F.get(x["found"], i - 1), F.lit("")), x["pieces"][i]), F.lit(AROUND)), F.left(x["pieces"][i + 1], F.lit(AROUND)))
+
+    return pieces, F.transform(F.array(F.struct(found.alias("found"), pieces.alias("pieces"))), lambda x: F.transform(x["found"], one(x)))[0]
+
+
 def judged(text: Column, probability: Callable) -> tuple[Column, Column]:
     """(pieces between the candidates, array of (cand, probability)); for texts that hold candidates."""
-    found, pieces = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), F.split(text, CANDIDATE, -1)
-    whole = F.transform(F.array(F.struct(found.alias("found"), pieces.alias("pieces"))), lambda x: F.transform(x["found"], lambda c, i: F.struct(c.alias("cand"), probability(c, F.right(x["pieces"][i], F.lit(AROUND)), F.left(x["pieces"][i + 1], F.lit(AROUND))).alias("probability"))))
-    return pieces, whole[0]
+    return _split(text, lambda c, before, after: F.struct(c.alias("cand"), probability(c, before, after).alias("probability")))
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", trees: list | None = None, threshold: float = THRESHOLD) -> DataFrame:
