@@ -21,11 +21,11 @@ def corpus(spark, sf):
     return read_spread(spark, sf, "documents", "doc_id").select("doc_id", "text")
 
 
-def passages(spark, sf):
-    """documents as passages: the source is the section, every seventh has no page."""
+def passages(spark, sf, whole=True):
+    """documents as passages, with their whole texts or as the SQL has them: the source is the section, every seventh has no page."""
     d = read_spread(spark, sf, "documents", "doc_id")
     section = F.when(F.col("doc_id") % 11 == 0, "References").when(F.col("doc_id") % 13 == 0, "12:3 running").when(F.col("doc_id") % 4 == 0, "").otherwise(F.col("source"))
-    return d.select("doc_id", F.substring("text", 1, 600).alias("text"), section.alias("section"), F.when(F.col("doc_id") % 7 == 0, F.lit(None)).otherwise(1).cast("int").alias("page_number"), F.col("source").alias("title"))
+    return d.select("doc_id", F.col("text") if whole else F.substring("text", 1, 600).alias("text"), section.alias("section"), F.when(F.col("doc_id") % 7 == 0, F.lit(None)).otherwise(1).cast("int").alias("page_number"), F.col("source").alias("title"))
 
 
 def bm25_sql(k: int, docs: str = "documents", queries: str = "benchmark") -> str:
@@ -103,13 +103,13 @@ qa as (select doc_id, len(hard) = 0 and score >= 0.45 accepted, cast(score as do
 
 @query(f"with {PASSAGES} select * from qa")
 def quality_assessment(spark, sf):
-    return quality.assessed(passages(spark, sf)).select("doc_id", "accepted", "quality_score", F.array_join("reasons", ",").alias("reasons"))
+    return quality.assessed(passages(spark, sf, whole=False)).select("doc_id", "accepted", "quality_score", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query(f"""with {PASSAGES}, {bm25_sql(15)} select query_id, doc_id, score, quality_score, cast("rank" as int) old_rank, cast(row_number() over (partition by query_id order by "rank") as int) new_rank from bm join qa using (doc_id) where accepted qualify new_rank <= 5""")
 def quality_filtered_topk(spark, sf):
     first = retrieval.bm25(asked(spark, sf), corpus(spark, sf), 15)
-    return retrieval.quality_filtered(first, quality.assessed(passages(spark, sf)), 5).withColumnRenamed("rank", "new_rank").select("query_id", "doc_id", "score", "quality_score", "old_rank", "new_rank")
+    return retrieval.quality_filtered(first, quality.assessed(passages(spark, sf, whole=False)), 5).withColumnRenamed("rank", "new_rank").select("query_id", "doc_id", "score", "quality_score", "old_rank", "new_rank")
 
 
 @query(f"""with {DENSE}, r as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as "rank" from ds where query_id <> doc_id qualify "rank" <= 10),
