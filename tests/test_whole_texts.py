@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import pytest
 
-from tessella.catalogue import retrieval_q
+from tessella import catalogue
+from tessella.catalogue import retrieval_q, verify_q
 
 FILLER = "The report of the garden describes plain weather and quiet roads near the old river. "
 
@@ -22,3 +23,11 @@ def folder(spark, tmp_path_factory):
 def test_search_finds_what_stands_late(spark, folder):
     best = retrieval_q.hybrid_search(spark, folder).where("rank = 1").collect()
     assert [r["doc_id"] for r in best] == [1002]
+
+
+def test_claims_of_all_documents(spark, folder):
+    claims, evidence = verify_q.whole_claims(spark, folder)
+    rows = {r["claim_id"]: r for r in claims.collect()}
+    assert len(rows) == 10 and rows["c1004"]["evidence_ids"] == ["e1004", "e1005"] and rows["c1009"]["evidence_ids"] == ["e1009"]
+    assert rows["c1003"]["text"].strip() == FILLER.strip() and all(r["text"].endswith(("markers.", ". ")) for r in evidence.collect())
+    assert catalogue.queries()["claim_gates"](spark, folder).count() == 10
