@@ -6,8 +6,13 @@ transitions say where words begin. A text is cut into chunks of equal length. Fo
 together, which gives a map from start state to end state; a parallel prefix scan composes the maps, and so every chunk
 learns its true start state without waiting for the one before.
 
-The words are a second transducer: a word's last transition emits as many tokens as merging by rank leaves of it. These
-counts are compiled for the distinct words of a batch, those of equal length together, and kept by the worker.
+The merge rules are compiled to a second transducer, over the bytes of a word, whose transitions carry emitted token
+counts (`transducer`). A word leads from its start state back to it, so the map of a word is one number, which the worker
+keeps, and maps of words compose by addition. A long word is cut into chunks; their maps from start state to (end state,
+count) are composed by a prefix scan. Time is linear in the length of a text and of a word.
+
+What is a letter, a number, a blank, and what lower case and NFC make of a character, is read from the library's own
+tables when the tokenizer is compiled (on the driver, as ranges), since versions of Unicode differ.
 Strings of special tokens in a text count as one token each, as the library's default has it.
 
 Defined cases: null and empty texts have 0 bytes and 0 tokens. Every row is counted by itself, so repeated rows, null
@@ -19,11 +24,13 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import small_batches
+from tessella.llm.transducer import Transducer
 
 LIMIT = 2048
 CHUNK = 256
@@ -72,43 +79,68 @@ def transducer():
     return step, emit
 
 
+@cache
+def tables(path: str) -> tuple[bytes, tuple[tuple[int, str], ...]]:
+    """The kinds of all code points as runs (first code point, kind), and the characters that the library normalizes otherwise."""
+    import numpy as np
+    from tokenizers import Regex, Tokenizer
+    from tokenizers.pre_tokenizers import Split
+
+    points = [*range(0xD800), *range(0xE000, 0x40000), *range(0xE0000, 0xF0000)]  # the other planes have no letters, numbers or blanks
+    every = "".join(map(chr, points))
+    kinds = np.full(0x110000, MARK, np.uint8)
+    for pattern, kind in ((r"\p{N}", NUMBER), (r"\p{L}", LETTER), (r"\s", BLANK)):
+        inside = np.ones(len(points), bool)
+        for _, (a, b) in Split(Regex(pattern), "removed").pre_tokenize_str(every):
+            inside[a:b] = False
+        kinds[np.array(points)[inside]] = kind
+    for c, kind in zip("'stmdrevl", (APOSTROPHE, S, T, M, D, R, E, V, L), strict=True):
+        kinds[ord(c)] = kind
+    first = np.flatnonzero(np.diff(kinds, prepend=255))
+    normal = Tokenizer.from_file(path).normalizer.normalize_str
+    odd = tuple((c, made) for c in points if kinds[c] != BLANK and (made := normal(chr(c))) != plain_normal(chr(c)))
+    return np.stack([first, kinds[first]]).astype("<i4").tobytes(), odd
+
+
+def plain_normal(text: str) -> str:
+    """NFC and lower case, character by character."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+    return text.lower()
+
+
 class Counter:
     """A tokenizer file, compiled."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, known_tables: tuple | None = None):
         import numpy as np
 
-        from tessella.llm.merges import Merges
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model, self.vocab = spec["model"], spec["model"]["vocab"]
-        self.suffix = model["end_of_word_suffix"]
-        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.merges = Merges([(self.vocab[a], self.vocab[b], self.vocab[a + b]) for a, b in pairs], max(self.vocab.values()) + 1)
+        model, vocab = spec["model"], spec["model"]["vocab"]
+        suffix = model["end_of_word_suffix"]
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.kinds = self._kinds()
+        runs, odd = known_tables or tables(path)
+        first, kind = np.frombuffer(runs, "<i4").reshape(2, -1)
+        self.kinds = np.repeat(kind.astype(np.uint8), np.diff(first, append=0x110000))
+        self.odd = dict(odd)
+        self.has_odd = re.compile("[" + "".join(map(re.escape, map(chr, self.odd))) + "]") if odd else None
         self.step, self.emit = transducer()
-        shown, spare = {}, 256  # the printable character that stands for each byte
+        byte, spare = {}, 256  # of the printable character that stands for each byte
         for b in range(256):
             printable = 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b
-            shown[b], spare = chr(b if printable else spare), spare + (not printable)
-        self.inner = np.array([self.vocab[shown[b]] for b in range(256)], np.int64)
-        self.final = np.array([self.vocab[shown[b] + self.suffix] for b in range(256)], np.int64)
+            byte[chr(b if printable else spare)], spare = b, spare + (not printable)
+        symbols: list[tuple[int, ...]] = [()] * (max(vocab.values()) + 1)
+        for name, i in vocab.items():
+            ends = name.endswith(suffix)
+            spelled = [byte.get(c, -1) for c in (name[: -len(suffix)] if ends else name)]
+            if spelled and min(spelled) >= 0 and name not in special:
+                symbols[i] = (*spelled[:-1], spelled[-1] + 256 * ends)
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.words = Transducer(symbols, [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs])
         self.known: dict[str, int] = {}
 
-    @staticmethod
-    def _kinds():
-        """The kind of every code point."""
-        import numpy as np
-
-        first = np.array([{"L": LETTER, "N": NUMBER}.get(unicodedata.category(chr(c))[0], MARK) for c in range(0x110000)], np.uint8)
-        first[[*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = BLANK
-        for c, kind in zip("'stmdrevl", (APOSTROPHE, S, T, M, D, R, E, V, L), strict=True):
-            first[ord(c)] = kind
-        return first
-
     def begins(self, points):
         """Where words begin (offsets), and the kinds: by chunk state maps and a prefix scan."""
         import numpy as np
@@ -148,28 +180,17 @@ class Counter:
         return now
 
     def learn(self, words: list[str]) -> None:
-        """Compile the number of tokens that the last transition of each word emits."""
-        import numpy as np
-
+        """Walk the transducer of the merges over new words."""
         if len(self.known) + len(words) > MEMORY:
             self.known.clear()
-        by_length: dict[int, list[tuple[str, bytes]]] = {}
         for w in words:
-            by_length.setdefault(len(raw := w.encode()), []).append((w, raw))
-        for length, group in by_length.items():
-            for at in range(0, len(group), step := max(1, 400_000 // length)):
-                part = group[at : at + step]
-                data = np.frombuffer(b"".join(r for _, r in part), np.uint8).reshape(len(part), length)
-                rows = self.inner[data]
-                rows[:, -1] = self.final[data[:, -1]]
-                self.known.update(zip((w for w, _ in part), self.merges.counts(rows).tolist(), strict=True))
-
-    @staticmethod
-    def normal(text: str) -> str:
-        """NFC and lower case, character by character."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return text.lower()
+            self.known[w] = self.words.count(w.encode())
+
+    def normal(self, text: str) -> str:
+        """NFC and lower case as the library has them."""
+        if self.has_odd and not text.isascii() and self.has_odd.search(text):
+            text = unicodedata.normalize("NFC", text).translate(self.odd)
+        return plain_normal(text)
 
     def count(self, texts: list[str | None]) -> list[int]:
         """The number of tokens of each text."""
@@ -203,20 +224,22 @@ class Counter:
         return (np.bincount(doc, counts, len(texts)).astype(np.int64) + np.array(special, np.int64)).tolist() if len(texts) else []
 
 
-def counter(path: str) -> Counter:
+def counter(path: str, known_tables: tuple | None = None) -> Counter:
     """The compiled tokenizer of a file; a worker keeps it."""
     if path not in _COUNTERS:
-        _COUNTERS[path] = Counter(path)
+        _COUNTERS[path] = Counter(path, known_tables)
     return _COUNTERS[path]
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for every row of docs."""
 
+    shipped = tables(path)
+
     def run(batches):
         import pyarrow as pa
 
-        c = counter(path)
+        c = counter(path, shipped)
         for b in batches:
             for at in range(0, b.num_rows, 250):
                 part = b.slice(at, 250)

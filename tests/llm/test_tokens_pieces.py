@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import string
+import time
 
 import numpy as np
 import public_tokenizers
@@ -11,6 +12,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from tessella.llm import pieces, tokens
+from tessella.llm.transducer import START, composed
 
 WORDS, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
 ODD = [
@@ -36,6 +38,39 @@ def test_counts_equal_the_library(spark):
     assert [tokens.counter(WORDS).count([t])[0] for t in ODD] == want[: len(ODD)]
 
 
+def test_counts_of_random_code_points_and_long_words_equal_the_library():
+    lib, rng = Tokenizer.from_file(WORDS), random.Random(8)
+    texts = ["".join(map(chr, (rng.choice((rng.randrange(32, 0xD800), rng.randrange(0x10000, 0x20000), rng.randrange(32, 127))) for _ in range(12)))) for _ in range(3000)]
+    texts += [" \U0001436c's", "x\U00010d50y", "a" * 30_000, "haha" * 9000, "日本" * 5000, "!?" * 9000, "".join(rng.choice("etaoin") for _ in range(60_000)), "".join(rng.choice(string.ascii_lowercase) for _ in range(200_000))]
+    assert tokens.counter(WORDS).count(texts) == [len(e.ids) for e in lib.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_a_million_letters_are_counted_in_linear_time():
+    rng = random.Random(9)
+    word = "".join(rng.choice(string.ascii_lowercase) for _ in range(1 << 20))
+    began = time.perf_counter()
+    got = tokens.counter(WORDS).count([word])
+    assert time.perf_counter() - began < 60
+    assert got == [len(Tokenizer.from_file(WORDS).encode(word, add_special_tokens=False).ids)]
+
+
+def test_chunk_maps_compose_to_one_walk():
+    machine, rng = tokens.counter(WORDS).words, random.Random(10)
+    for alphabet in (b"a", b"ab", b"etaoin", b"qwertyuiop", bytes(range(128, 256))):
+        word = bytes(rng.choice(alphabet) for _ in range(3000))
+        chunks = [word[i : i + 100] for i in range(0, len(word), 100)]
+        assert composed(machine.chunk_maps(chunks, START), START) == machine.walk(word)
+
+
+def test_transitions_after_a_reset():
+    c, rng = tokens.Counter(WORDS), random.Random(11)
+    words = ["".join(rng.choice("etaoinshr") for _ in range(rng.randrange(1, 40))) for _ in range(400)]
+    want = [c.words.count(w.encode()) for w in words]
+    for w, n in zip(words, want, strict=True):
+        c.words.reset()
+        assert c.words.count(w.encode()) == n
+
+
 def test_state_maps_equal_one_walk():
     c = tokens.counter(WORDS)
     text = random_texts("'strevlmd !1é", 1, 7)[0] * 5
