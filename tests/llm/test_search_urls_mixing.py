@@ -3,7 +3,9 @@ from __future__ import annotations
 import math
 import random
 from collections import Counter, defaultdict
+from fractions import Fraction
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessella.llm import mixing, topk, urls
@@ -56,6 +58,50 @@ def test_top_k_of_few_rows_and_large_numbers(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_finite_components_beyond_a_double(spark):
+    big = [(0, [1e306, 1.0]), (50, [-1e306, 2.0]), (1, [1e300, 4.0]), (2, [0.0, 0.5]), (100, [1.0, -3.0])]
+    df = spark.createDataFrame(big, "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in topk.top_k(df, F.col("vec_id") % 50 == 0).collect())
+    exact = [(i, [math.floor(Fraction(256) * Fraction(x)) for x in v]) for i, v in big]
+    want = []
+    for q, qv in exact:
+        if q % 50 == 0:
+            score = {i: max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(qv, v, strict=True)))) for i, v in exact if i != q}
+            want += [(q, r, i) for r, i in enumerate(sorted(score, key=lambda i: (-score[i], i)), 1)]
+    assert [g[:2] for g in got] == sorted(w[:2] for w in want)
+    clipped = {(q, r): i for q, r, i in want}
+    assert [clipped[100, r] for r in (1, 2, 3, 4)] == [i for q, _, i in got if q == 100]
+
+
+def test_queries_by_another_column_and_no_setting_is_left(spark):
+    before = dict(spark.conf.getAll)
+    rows = [(i, [float(i % 7), float(i % 5)], i % 10 == 3) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, asks boolean")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in topk.top_k(df, F.col("asks"), k=3).collect())
+    want = []
+    for q, qv, asks in rows:
+        score = {i: sum(256 * a * 256 * b for a, b in zip(qv, v, strict=True)) for i, v, _ in rows if i != q}
+        want += [(q, r, i) for r, i in enumerate(sorted(score, key=lambda i: (-score[i], i))[:3], 1)] if asks else []
+    assert got == want
+    assert dict(spark.conf.getAll) == before
+
+
+def test_the_threshold_collects_all_answers_and_few_others():
+    rng = np.random.default_rng(3)
+    x = np.floor(256 * rng.normal(0, 0.2, (3000, 32)))
+    x[:40] = x[0] + rng.integers(-4, 5, (40, 32))  # near copies raise the cutoff
+    q, lists = x[:40], topk.lists_of(32, 4)
+    columns, score, fresh = topk.gathered(q, x, lists, 5)
+    assert columns.shape[1] == 4 * 6  # only leaders are looked up
+    cutoffs = [sorted(s[f], reverse=True)[4] for s, f in zip(score, fresh, strict=True)]
+    at, found, sums = topk.collected(q, x, lists, cutoffs)
+    true = q @ x.T
+    assert (sums == true[at, found]).all()
+    assert len(at) < 0.05 * true.size
+    pairs = set(zip(at.tolist(), found.tolist(), strict=True))
+    assert all((i, j) in pairs for i in range(40) for j in np.argsort(-true[i], kind="stable")[:5].tolist())
+
+
 # ---- URLs
 
 def slow_parts(url):
