@@ -3,21 +3,26 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Arrow batches of whole documents stay small: a batch of 1,000 average texts is a few MB.
+#: Masters whose driver and executors are one process.
+LOCAL = re.compile(r"local(\[.*\])?")
+#: Rows of whole documents that are worked on together: 1,000 average texts are a few MB. Spark bounds the bytes of a batch.
 BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master (as in tests) gets a temporary one; a cluster raises."""
     sc = spark.sparkContext
     held = sc._jsc.sc().getCheckpointDir()
     named = sc.getConf().get("spark.checkpoint.dir") or (held.get() if held.isDefined() else None)
     if not named:
+        if not LOCAL.fullmatch(sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="tessella-")
     if not held.isDefined():
         sc.setCheckpointDir(named)
@@ -52,8 +57,8 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Lower the rows of an Arrow batch, so that a batch of long texts fits a Python worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+def slices(batches, rows: int = BATCH_ROWS):
+    """The Arrow batches in parts of at most `rows` rows, so that what is made of a part stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from tessella.llm.common import cut, small_batches
+from tessella.llm.common import cut, slices
 
 TOPICS = ("abcde", "fghijklm", "nopqrs", "tuvwxyz")
 LANGS = {"en": 0.45, "de": 0.2, "fr": 0.2, "es": 0.14, "other": 0.01}
@@ -63,7 +63,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
                 group[x] = group[x - 32] = k + 1
         white = np.zeros(256, bool)
         white[[32, *range(9, 14)]] = True
-        for b in batches:
+        for b in slices(batches):
             raw = [x or b"" for x in b.column(b.schema.get_field_index(text)).cast(pa.binary()).to_pylist()]
             data = np.frombuffer(b" ".join([*raw, b""]), np.uint8)  # a blank after each text
             ends = np.cumsum([len(x) + 1 for x in raw])
@@ -75,7 +75,6 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
             topic = np.where(counts[:, 1:].max(1) > 0, counts[:, 1:].argmax(1) + 1, 0) if len(raw) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(counts.sum(1)), pa.array(topic.astype(np.int32))], [*b.schema.names, "mix_tokens", "mix_topic"])
 
-    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("mix_tokens", LongType()), StructField("mix_topic", IntegerType())]))
 
 

@@ -24,7 +24,7 @@ from functools import cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import small_batches, stored
+from tessella.llm.common import slices, stored
 
 # Fixed values of the format (MPEG-1/2/2.5 Layer III).
 BITRATES_1 = (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)
@@ -240,13 +240,10 @@ def encoded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
-            for at in range(0, b.num_rows, 250):
-                part = b.slice(at, 250)
-                raw = [x or b"" for x in part.column(1).cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array([write_stream(padded(x)) for x in raw], pa.binary())], ["doc_id", "n_bytes", "media"])
+        for part in slices(batches, 250):
+            raw = [x or b"" for x in part.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array([write_stream(padded(x)) for x in raw], pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    small_batches(docs.sparkSession)
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
@@ -260,15 +257,12 @@ def inspected(media: DataFrame, column: str = "media") -> DataFrame:
         import pyarrow as pa
 
         kinds = {"seek_offsets": pa.list_(pa.int64()), "tags": pa.map_(pa.string(), pa.string()), "payload": pa.binary()}
-        for b in batches:
-            for at in range(0, b.num_rows, 250):
-                part = b.slice(at, 250)
-                found = [read_stream(x or b"") for x in part.column(part.schema.get_field_index(column)).to_pylist()]
-                cols = {"duration_ns": [s.nanoseconds for s in found], "frames": [len(s.offsets) for s in found], "samples": [s.samples for s in found], "skipped": [s.skipped for s in found], "bad_checksums": [s.bad_checksums for s in found]}
-                cols |= {"table_frames": [s.table[0] if s.table else None for s in found], "seek_offsets": [s.offsets for s in found], "tags": [list(s.tags.items()) for s in found], "payload": [s.payload for s in found]}
-                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(v, kinds.get(k, pa.int64())) for k, v in cols.items())], [*part.schema.names, *cols])
-
-    small_batches(media.sparkSession)
+        for part in slices(batches, 250):
+            found = [read_stream(x or b"") for x in part.column(part.schema.get_field_index(column)).to_pylist()]
+            cols = {"duration_ns": [s.nanoseconds for s in found], "frames": [len(s.offsets) for s in found], "samples": [s.samples for s in found], "skipped": [s.skipped for s in found], "bad_checksums": [s.bad_checksums for s in found]}
+            cols |= {"table_frames": [s.table[0] if s.table else None for s in found], "seek_offsets": [s.offsets for s in found], "tags": [list(s.tags.items()) for s in found], "payload": [s.payload for s in found]}
+            yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(v, kinds.get(k, pa.int64())) for k, v in cols.items())], [*part.schema.names, *cols])
+
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema.fields)
     return media.mapInArrow(run, f"{kept}, {INSPECTED}")
 
@@ -287,7 +281,7 @@ def digests(docs: DataFrame) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             media = b.column(2).to_pylist()
             found = [read_stream(x or b"") for x in media]
             if short := sum(s.missing > 0 for s in found):

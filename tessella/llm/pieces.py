@@ -23,7 +23,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import small_batches
+from tessella.llm.common import slices
 
 #: Fixed values of the format.
 SPACE, UNKNOWN = "▁", 0
@@ -362,7 +362,7 @@ def encode(docs: DataFrame, path: str, kind: str = "bpe", doc_id: str = "doc_id"
         import pyarrow as pa
 
         t = table(path, kind)
-        for b in batches:
+        for b in slices(batches):
             for part in slices(b, 1):
                 texts = part.column(1).to_pylist()
                 coded = t.encode(texts)
@@ -376,7 +376,6 @@ def encode(docs: DataFrame, path: str, kind: str = "bpe", doc_id: str = "doc_id"
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     names = ["doc_id", "n_bytes", "n_pieces", "ids_sha256", "decoded_sha256", "round_trip", *["ids"] * ids]
-    small_batches(docs.sparkSession)
     schema = "doc_id long, n_bytes long, n_pieces long, ids_sha256 string, decoded_sha256 string, round_trip boolean" + ", ids array<int>" * ids
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
 
@@ -389,10 +388,9 @@ def decode(encoded: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "id
         import pyarrow as pa
 
         t = table(path)
-        for b in batches:
+        for b in slices(batches):
             rows = b.column(1).to_pylist()
             texts = t.decode([np.array(r or [], "<i4").tobytes() for r in rows])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if r is None else x.decode("utf-8", "replace") for r, x in zip(rows, texts, strict=True)], pa.string())], ["doc_id", "text"])
 
-    small_batches(encoded.sparkSession)
     return encoded.select(F.col(doc_id).alias("doc_id"), F.col(ids).alias("ids")).mapInArrow(run, "doc_id long, text string")

@@ -19,7 +19,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import cut, small_batches
+from tessella.llm.common import cut, slices
 
 SEED = 42
 BITS = 64
@@ -52,11 +52,10 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             made = [fingerprint(t, shingle) for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x - (x >> 63 << 64) for x in made], pa.int64())], ["doc_id", "fp"])
 
-    small_batches(docs.sparkSession)
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 

@@ -29,7 +29,7 @@ from functools import cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import small_batches
+from tessella.llm.common import slices
 from tessella.llm.transducer import Transducer
 
 LIMIT = 2048
@@ -240,12 +240,9 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, doc_id: str = "
         import pyarrow as pa
 
         c = counter(path, shipped)
-        for b in batches:
-            for at in range(0, b.num_rows, 250):
-                part = b.slice(at, 250)
-                texts = part.column(1).to_pylist()
-                n = c.count(texts)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t.encode()) if t else 0 for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
-
-    small_batches(docs.sparkSession)
+        for part in slices(batches, 250):
+            texts = part.column(1).to_pylist()
+            n = c.count(texts)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t.encode()) if t else 0 for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

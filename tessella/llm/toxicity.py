@@ -28,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import cut, small_batches
+from tessella.llm.common import cut, slices
 
 #: Bound of the labelled sample that the classifier is fitted on.
 MAX_LABELLED = 8000
@@ -99,7 +99,7 @@ def mine_stems(sample: DataFrame, n1: int, n0: int, least: int = 5, log_odds: fl
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             found = [(s, y) for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for s in repeated_stems(t)]
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.string()), pa.array([y for _, y in found], pa.int32())], ["stem", "toxic"])
 
@@ -180,7 +180,6 @@ def training_sample(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED
 
 def trained(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model:
     """The classifier of the labelled rows of docs. Texts stay on the executors: the driver gets stems and numbers of `most` rows."""
-    small_batches(docs.sparkSession)
     sample = cut(training_sample(docs, labels, most))
     n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if len(n) < 2:
@@ -191,7 +190,7 @@ def trained(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Mod
         import pyarrow as pa
 
         held = frozenset(stems)
-        for b in batches:
+        for b in slices(batches):
             seen = [evidence(t, held) for t in b.column(0).to_pylist()]
             cols = [pa.array([vector(*e, stems) for e in seen], pa.list_(pa.float64())), pa.array([votes(*e, stems) for e in seen], pa.list_(pa.int32())), b.column(1)]
             yield pa.RecordBatch.from_arrays(cols, ["x", "v", "toxic"])
@@ -208,11 +207,10 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
         import pyarrow as pa
 
         held, w = frozenset(model.stems), np.array(model.weights)
-        for b in batches:
+        for b in slices(batches):
             x = np.array([vector(*evidence(t, held), model.stems) for t in b.column(1).to_pylist()]).reshape(-1, len(w))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))))], ["doc_id", "score"])
 
-    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
@@ -232,10 +230,9 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
         import pyarrow as pa
 
         held, w = frozenset(model.stems), np.array(model.weights)
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(b.schema.get_field_index("text")).cast(pa.string()).to_pylist()
             x = np.array([vector(*evidence(t, held), model.stems) for t in texts]).reshape(-1, len(w))
             yield b.filter(pa.array(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) < threshold))
 
-    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

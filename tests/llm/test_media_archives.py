@@ -138,24 +138,82 @@ def test_small_payloads_may_all_be_responses(spark):
     assert {r["page_id"]: r["record_type"] for r in warc.captures(df, least_bytes=5).collect()} == {1: "response", 2: "response", 3: "revisit", 4: "response"}
 
 
-def test_many_ranges_and_runs(spark, monkeypatch, tmp_path):
-    for name, value in (("RANGE", 10), ("BLOCK", 7), ("SEGMENT", 3000)):
-        monkeypatch.setattr(warc, name, value)
+def ordered(got):
+    return [(r["url_key"], r["captured"], r["page_id"]) for r in sorted(got, key=lambda r: (r["range_no"], r["position"]))]
+
+
+def test_a_thousand_runs_are_merged_in_passes(spark, monkeypatch, tmp_path):
     rng = random.Random(1)
-    df = spark.createDataFrame([(i, f"http://h{rng.randint(0, 30)}.example/", str(i)) for i in range(400)], "page_id long, url string, html string").repartition(7)
+    ids = [*range(3000), *(-5 - i * 10**9 for i in range(40)), *(7 + i * 10**9 for i in range(40)), None]
+    df = spark.createDataFrame([(i, f"http://h{rng.randint(0, 30)}.example/", str(i)) for i in ids], "page_id long, url string, html string").repartition(1000)
     archives, runs = f"file://{tmp_path}/a", f"file://{tmp_path}/r"
-    manifest = warc.write_archives(warc.decided(df), archives)
-    index = warc.index_archives(manifest.repartition(7), archives, runs)
-    got = warc.merge_runs(index, runs).collect()
-    order = [(r["url_key"], r["captured"], r["page_id"]) for r in sorted(got, key=lambda r: (r["range_no"], r["position"]))]
-    assert order == sorted(order) and sorted(x[2] for x in order) == list(range(400)) and len({r["range_no"] for r in got}) > 1
+    manifest = warc.write_archives(df.selectExpr("page_id", "url", "cast(html as binary) payload", "sha1(html) digest", "cast(null as long) largest", "cast(null as string) first_url"), archives)
+    n_runs = manifest.count()
+    assert n_runs > 900
+    index = warc.index_archives(manifest.repartition(8), archives, runs, block=7).persist()
+    n = index.select("run").distinct().count()
+    passes = 0
+    while n > 16:
+        index, passes = warc.merge_pass(index, runs, 16, 7, 50), passes + 1
+        now = index.select("run").distinct().count()
+        assert now == -(-n // 16)
+        n = now
+    got = warc.merge_runs(index, runs, 16, 7, 50).collect()
+    order = ordered(got)
+    by_key = [(k, c, -(2**70) if i is None else i) for k, c, i in order]
+    assert by_key == sorted(by_key) and sorted(x[2] for x in by_key) == sorted(-(2**70) if i is None else i for i in ids) and len({r["range_no"] for r in got}) > 1
+    assert passes >= 1 or n_runs <= 16
+
+
+def test_a_merge_opens_one_block_of_each_run(tmp_path, monkeypatch):
+    folder, rows, open_now, most = f"file://{tmp_path}", [], [0], [0]
+    for k in range(16):
+        lines = [[f"u{j:04d}", "d", j * 16 + k, 0, "", "response", None, "a", j] for j in range(100)]
+        rows += warc._write_run(folder, f"r{k:02d}", f"r{k:02d}", iter(lines), 10)
+    real = warc._get
+
+    def counted(where, name, offset=0, length=None):
+        open_now[0] += 1
+        most[0] = max(most[0], open_now[0])
+        data = real(where, name, offset, length)
+
+        class Block(bytes):
+            def splitlines(self):
+                yield from data.splitlines()
+                open_now[0] -= 1
+
+        return Block(data)
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(warc, "_get", counted)
+    table = [(0, 0, r[0], r[1], r[3], r[4], r[5], None, None) for r in rows]
+    batch = pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*table, strict=True)], [x.split()[0] for x in warc.PLACED.split(", ")])
+    ((_, _, merged),) = [(t, n, [x[2] for x in lines]) for t, n, lines in warc.merged_ranges([batch], folder)]
+    assert len(merged) == 1600 and most[0] == 16
+
+
+def test_ids_of_records_are_unique_and_revisits_name_their_response(spark, tmp_path):
+    archives = f"file://{tmp_path}/a"
+    df = spark.createDataFrame([(*r, "c") for r in pages(random.Random(3))], "page_id long, url string, html string, digest string")
+    manifest = warc.write_archives(warc.decided(df.coalesce(1)).coalesce(1), archives).collect()
+    found = [(h, b) for m in manifest for _, _, h, b in warc.read_records(warc._get(archives, m["archive"]))]
+    ids = [h["WARC-Record-ID"] for h, _ in found]
+    assert len(set(ids)) == len(ids) and {h["WARC-Type"] for h, _ in found} == {"warcinfo", "response", "revisit"}
+    responses = {h["WARC-Record-ID"]: h for h, _ in found if h["WARC-Type"] == "response"}
+    for h, block in found:
+        if h["WARC-Type"] == "revisit":
+            named = responses[h["WARC-Refers-To"]]
+            assert named["WARC-Payload-Digest"] == h["WARC-Payload-Digest"] and named["X-Page-ID"] == h["X-Refers-To-Page-ID"] and block == warc.HTTP
+        if h["WARC-Type"] != "warcinfo":
+            assert h["Content-Type"] == "application/http;msgtype=response" and h["WARC-Block-Digest"] == "sha1:" + warc.digest32(block)
 
 
 def test_loser_tree_merges_any_number_of_runs():
     rng = random.Random(2)
     for k in (0, 1, 2, 3, 5, 8, 300):
         runs = [sorted((rng.randint(0, 50), j) for _ in range(rng.randint(0, 20))) for j in range(k)]
-        assert [x[0] for x in warc.merged([iter(r) for r in runs])] == sorted(x[0] for r in runs for x in r)
+        assert [x[0] for x in warc.LoserTree([iter(r) for r in runs])] == sorted(x[0] for r in runs for x in r)
 
 
 def test_records_are_readable_and_damage_is_seen(tmp_path):
