@@ -5,6 +5,7 @@ import hashlib
 import random
 import struct
 import zlib
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -83,6 +84,35 @@ def test_other_versions_of_headers():
     assert mpeg._parse(0xFFFBF000) is None and mpeg._parse(0xFFFD9000) is None and mpeg._parse(struct.unpack(">I", b"abcd")[0]) is None
 
 
+def frames(head, size, n, fill=b"\x11"):
+    return [struct.pack(">I", head).ljust(size, fill) for _ in range(n)]
+
+
+def test_durations_are_exact_fractions():
+    data = b"".join(frames(0xFFFB9000, 417, 7))  # 44.1 kHz
+    assert mpeg.read_stream(data).seconds == Fraction(7 * 1152, 44100)
+
+
+def test_vbri_table_and_encoder_delay():
+    first = bytearray(frames(0xFFFB9000, 417, 1, b"\0")[0])
+    first[36:62] = b"VBRI" + struct.pack(">HHHIIHHHH", 1, 1105, 75, 4170, 10, 3, 2, 2, 3)
+    first[62:68] = struct.pack(">HHH", 600, 601, 602)
+    s = mpeg.read_stream(bytes(first) + b"".join(frames(0xFFFB9000, 417, 10)))
+    assert (s.table_kind, s.table, s.seek_points, s.delay, len(s.offsets)) == ("VBRI", (10, 4170), (1200, 2402, 3606), 1105, 10)
+    first = bytearray(frames(0xFFFB9000, 417, 1, b"\0")[0])
+    first[36:48] = b"Info" + struct.pack(">II", 1, 10)
+    first[48:72] = b"LAME3.100".ljust(21, b"\0") + (576 << 12 | 1000).to_bytes(3, "big")
+    s = mpeg.read_stream(bytes(first) + b"".join(frames(0xFFFB9000, 417, 10)))
+    assert (s.table_kind, s.table, s.delay, s.padding, len(s.offsets)) == ("Info", (10, 0), 576, 1000, 10)
+
+
+def test_free_format_frames():
+    data = b"".join(frames(0xFFFB0000, 700, 5))
+    s = mpeg.read_stream(b"\0\xff\xfb" + data)
+    assert s.offsets == [3 + 700 * i for i in range(5)] and s.skipped == 3 and s.samples == 5 * 1152
+    assert mpeg.read_stream(data + b"TAG" + b"t".ljust(125, b"\0")).offsets == [700 * i for i in range(5)]
+
+
 def test_media_query(spark):
     texts = [(1, None), (2, ""), (3, "é" * 5000), (None, "x"), (5, "same"), (5, "same")]
     df = spark.createDataFrame([(i, t, b"m") for i, t in texts], "doc_id long, text string, media binary")
@@ -98,6 +128,9 @@ def test_media_query(spark):
     assert mpeg.digests(df.limit(0)).count() == 0
     seen = mpeg.inspected(mpeg.encoded(df)).where("doc_id = 3").first()
     assert seen["payload"] == raw and seen["frames"] == len(seen["seek_offsets"]) and seen["duration_ns"] == seen["frames"] * 24_000_000
+    assert Fraction(*seen["duration"]) == Fraction(seen["samples"], 48000)
+    streams, index = mpeg.media_tables(df)
+    assert {r["doc_id"]: len(r["seek_offsets"]) for r in index.collect()}[3] == seen["frames"] and streams.count() == index.count() == 6
 
 
 # ---- WARC
