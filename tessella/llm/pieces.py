@@ -7,10 +7,16 @@ vectorised maximum over them is stored as a back-pointer.
 
 The score of a path is the sum of its pieces' scores. For a model of the kind "bpe" a step is allowed only if its two
 pieces stay apart when merged by themselves and the piece itself comes out whole; exactly one path of a word has this at
-every step, and it is the one that merging by rank gives. Plain piece sums would not give a BPE model's ids. Whether two
+every step, and it is the one that merging by rank gives (so the maximum has one candidate there). Plain piece sums would
+not give a BPE model's ids. Whether two
 pieces stay apart is found by replaying merges, batched as well, once for each pair of pieces. Characters outside the
 vocabulary become byte pieces. `decode` is the inverse.
 
+A unit of more than WINDOW characters is cut into windows that overlap by half; they advance together like words. Two
+neighbouring windows are joined where both paths have the same piece: every two neighbours of the joined path are
+neighbours in one of the windows, so all stay apart, and only one path has that. Where no such piece exists, windows of
+twice the length are taken. Time is linear in the length of a unit unless windows never meet.
+
 Defined cases: null and empty texts have no pieces and decode to null and the empty text. U+2581, which the format uses
 for spaces, is encoded as a space (round_trip is then false). Repeated rows, null ids and other columns are no matter:
 every row is encoded by itself. An empty table gives an empty result.
@@ -31,6 +37,8 @@ SPACE, UNKNOWN = "▁", 0
 MEMORY = 600_000
 #: Text that is encoded at once.
 SLICE_BYTES = 8 << 20
+#: Characters of a window of a long unit.
+WINDOW = 256
 LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ",.;:!?%*#&$|\")]"
 _TABLES: dict[tuple[str, str], Table] = {}
 
@@ -243,13 +251,42 @@ class Table:
             at[live] = ends - self.length[last[live, ends]]
         return path
 
+    def _long(self, unit: str, window: int = WINDOW):
+        """The path of a long unit, from windows."""
+        import numpy as np
+
+        points = np.frombuffer(unit.encode("utf-32-le"), np.uint32)
+        n = len(points)
+        while 2 * window < n:
+            starts = [*range(0, n - window, window // 2), n - window]
+            step = max(1, 400_000 // window)
+            paths = np.concatenate([self._viterbi(np.stack([points[s : s + window] for s in starts[at : at + step]])) for at in range(0, len(starts), step)])
+            out = np.full(n, -1, np.int64)
+            out[:window] = paths[0]
+            for before, at, path in zip(starts, starts[1:], paths[1:], strict=False):
+                end = before + window
+                shared = np.flatnonzero((out[at:end] == path[: end - at]) & (path[: end - at] >= 0))
+                shared = shared[self.length[path[shared]] <= shared + 1]
+                if not len(shared):
+                    break
+                cut = at + int(shared[len(shared) // 2]) + 1
+                out[cut:end] = -1
+                out[cut : at + window] = path[cut - at :]
+            else:
+                return out
+            window *= 2
+        return self._viterbi(points[None])[0]
+
     def learn(self, units: list[str]) -> None:
         """Encode distinct units; known[unit] holds the ids as little-endian int32."""
         import numpy as np
 
         by_length: dict[int, list[str]] = {}
         for w in units:
-            by_length.setdefault(len(w), []).append(w)
+            if len(w) > 2 * WINDOW and self.kind == "bpe":
+                self.known[w] = self._with_bytes(self._long(w), w)
+            else:
+                by_length.setdefault(len(w), []).append(w)
         for length, group in by_length.items():
             step = max(1, 400_000 // length)
             for at in range(0, len(group), step):
@@ -314,6 +351,9 @@ class Table:
         self.words.update((w, known(units[0]) if len(units) == 1 else b"".join(map(known, units))) for w, units in cut.items())
         own = self.words.__getitem__
         out.extend(b"".join(map(own if plain else known, words)) for plain, words in held)
+        for w in [w for w in (*cut, *raw) if len(w) > 2 * WINDOW]:  # the memory is bounded by the number of words, so it keeps short ones
+            self.words.pop(w, None)
+            self.known.pop(w, None)
         for x in (held, new, raw):
             x.clear()
 
@@ -329,7 +369,7 @@ class Table:
         return [blob[a + (blob[a : a + 1] == b" " and a < b) : b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
-def slices(batch, column: int, most: int = SLICE_BYTES):
+def by_bytes(batch, column: int, most: int = SLICE_BYTES):
     """Parts of a batch with about `most` bytes of text each: large enough to encode many new words together."""
     import numpy as np
     import pyarrow.compute as pc
@@ -362,8 +402,8 @@ def encode(docs: DataFrame, path: str, kind: str = "bpe", doc_id: str = "doc_id"
         import pyarrow as pa
 
         t = table(path, kind)
-        for b in slices(batches):
-            for part in slices(b, 1):
+        for b in batches:
+            for part in by_bytes(b, 1):
                 texts = part.column(1).to_pylist()
                 coded = t.encode(texts)
                 decoded = t.decode(coded)

@@ -1,12 +1,19 @@
 """SimHash near-duplicates: pigeonhole blocks, Hamming check, connected components.
 
-Two fingerprints that differ in at most `radius` of 64 bits, cut into `blocks` blocks, agree in at least
-`blocks - radius` whole blocks. Each fingerprint is dealt out once for every choice of that many blocks; those that
+Two fingerprints that differ in at most RADIUS of 64 bits, cut into `blocks` blocks, agree in at least
+`blocks - RADIUS` whole blocks. Each fingerprint is dealt out once for every choice of that many blocks; those that
 meet under one key are compared. Only distinct fingerprints take part, so exact copies cost one row. A key that more
 than `crowd` distinct fingerprints share is not compared pair by pair: its members are dealt out again to the 65
 fingerprints within one bit of them. Two members within two bits have such a neighbour in common, a neighbour has 65
 members at most, and all of them are within two bits of each other, so a star to the smallest keeps the links whole.
 
+`groups` is the operator for documents that resemble each other less closely: fingerprints of `WIDE` bits over five-word
+shingles, cut into blocks of `BLOCK_BITS`. Pairs within `WIDE / BLOCK_BITS - 1` bits share a block for certain; others do
+with a probability that falls with their distance (measured recall is in the README). Pairs are verified by the Hamming
+distance that a Jaccard similarity of 0.8 has, which 1,536 bits give within about 0.02. Of a key that more than `crowd`
+fingerprints share, every member meets `crowd` heads (others in each block); those that resemble no head meet again
+among themselves until none is left. Key rows are dealt by key, so a key's pairs grow linearly with its members.
+
 Defined cases: a null or empty text, or one of white space only, has the fingerprint zero and is linked like any other.
 A null id keeps its row; ids that are null never name a component (a component of null ids only is null). Repeated rows
 stay. An empty table gives an empty result. Other columns of the input are ignored.
@@ -14,12 +21,15 @@ stay. An empty table gives an empty result. Other columns of the input are ignor
 
 from __future__ import annotations
 
+import functools
+import math
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from tessella.llm.common import cut, slices
+from tessella.llm.common import cut, slices, stored
 
 SEED = 42
 BITS = 64
@@ -70,28 +80,31 @@ def block_keys(blocks: int, radius: int) -> list[int]:
     return [sum(c) for c in combinations(masks, blocks - radius)]
 
 
-def links(fps: DataFrame, radius: int = 2, blocks: int = 5, crowd: int = 256) -> DataFrame:
-    """(u, v), u < v: enough pairs of distinct fingerprints within `radius` bits to connect all that are linked.
+#: Fingerprints link at this many differing bits or fewer; crowded keys rely on its being two.
+RADIUS = 2
+
+
+def links(fps: DataFrame, blocks: int = 5, crowd: int = 256) -> DataFrame:
+    """(u, v), u < v: enough pairs of distinct fingerprints within RADIUS bits to connect all that are linked.
 
     fps has a column fp of distinct signed longs. Pairs come from shared blocks; in crowded keys they come as stars.
     """
-    if radius != 2:
-        raise ValueError("crowded keys are resolved for a radius of two bits")
-    masks = F.array(*(F.lit(_signed(m)) for m in block_keys(blocks, radius)))
+    masks = F.array(*(F.lit(_signed(m)) for m in block_keys(blocks, RADIUS)))
     dealt = fps.select("fp", F.posexplode(F.transform(masks, lambda m: F.col("fp").bitwiseAND(m))).alias("way", "key"))
     full = dealt.groupBy("way", "key").agg(F.count("*").alias("n")).where("n > 1")
     met = _spread(dealt, full, ["way", "key"], "fp")
     a, b = met.where(F.col("n") <= crowd), met.where(F.col("n") <= crowd).select("way", "key", F.col("fp").alias("other"))
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= RADIUS
     pairs = a.join(b, ["way", "key"]).where((F.col("fp") < F.col("other")) & near).select(F.col("fp").alias("u"), F.col("other").alias("v"))
     flips = F.array(F.lit(0), *(F.lit(_signed(1 << i)) for i in range(BITS)))
     around = met.where(F.col("n") > crowd).select("fp").distinct().select("fp", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("mid"))
     stars = around.groupBy("mid").agg(F.sort_array(F.collect_set("fp")).alias("fps")).where(F.size("fps") > 1)  # 65 at most
-    stars = stars.select(F.col("fps")[0].alias("u"), F.explode("fps").alias("v")).where((F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius))
+    stars = stars.select(F.col("fps")[0].alias("u"), F.explode("fps").alias("v")).where((F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS))
     return pairs.unionByName(stars).distinct()
 
 
-#: Shares that the rows of one key are dealt to in joins with one row for each key.
+#: Shares that the rows of one key are dealt to in joins with one row for each key, if all rows were of one key; adaptive
+#: execution splits what is larger.
 SHARES = 4
 
 
@@ -125,12 +138,148 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 2, blocks: int = 5, crowd: int = 256, shingle: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", blocks: int = 5, crowd: int = 256, shingle: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id, fp): one row per input row; component_id is the smallest doc_id reachable."""
     each = cut(fingerprints(docs, doc_id, text, shingle))
     fps = cut(each.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    found = components(links(fps.select("fp"), radius, blocks, crowd))
+    found = components(links(fps.select("fp"), blocks, crowd))
     rooted = fps.join(found, fps.fp == found.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     table = cut(rooted.join(named, "root").select("fp", "component_id"))
     return each.join(table, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp")
+
+
+#: Bits of a wide fingerprint and of its blocks; similarity of two sets of shingles from which they are linked.
+WIDE, BLOCK_BITS, SIMILARITY, HEADS = 1536, 24, 0.8, 16
+
+
+def wide_fingerprint(text: bytes | None, shingle: int = 5, bits: int = WIDE) -> bytes:
+    """A fingerprint of `bits` bits: each shingle's hash is stretched by a mixing step for every 64 of them."""
+    import numpy as np
+    import xxhash
+
+    words = (text or b"").lower().split()
+    if not words:
+        return bytes(bits // 8)
+    n = max(1, len(words) - shingle + 1)
+    ones, step = np.zeros(bits, np.int64), np.arange(1, bits // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    hashed = xxhash.xxh64_intdigest
+    for at in range(0, n, SLICE >> 6):
+        part = words[at : at + (SLICE >> 6) + shingle - 1]
+        runs = zip(*(part[k:] for k in range(shingle)), strict=False) if len(words) >= shingle else [words]
+        h = np.array([hashed(s, SEED) for s in map(b" ".join, runs)], "<u8")[:, None] + step
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h = (h ^ (h >> np.uint64(31))).astype("<u8")
+        rows = np.unpackbits(h.view(np.uint8).reshape(len(h), bits // 8), axis=1, bitorder="little")
+        for k in range(0, len(rows), 255):  # sums of 255 bits fit a byte
+            ones += rows[k : k + 255].sum(0, dtype=np.uint8)
+    return np.packbits(ones * 2 > n, bitorder="little").tobytes()
+
+
+def bits_apart(similarity: float, bits: int = WIDE) -> int:
+    """The expected Hamming distance of two equally large sets of that Jaccard similarity."""
+    return int(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def _dealt(nodes: DataFrame, block_bits: int) -> DataFrame:
+    """(key, node): each node(node, fp) once for every block."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in slices(batches):
+            fps = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+            width = block_bits // 8
+            blocks = fps.shape[1] // width
+            low = np.zeros((b.num_rows, blocks), np.int64)
+            for k in range(width):
+                low |= fps[:, k : blocks * width : width].astype(np.int64) << (8 * k)
+            key = low | np.arange(blocks, dtype=np.int64) << block_bits
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(b.column(0).to_numpy(), blocks))], ["key", "node"])
+
+    return nodes.select("node", "fp").mapInArrow(run, "key long, node long")
+
+
+def _meetings(dealt: DataFrame, heads: int) -> DataFrame:
+    """(key, u, v, crowded): each node v of a key with the first `heads` nodes u of that key, in an order that differs by key.
+
+    A window group limit leaves `heads` rows of a key in each task before the exchange, so a hot key is small there; its
+    members are dealt to shares when the heads come back to them.
+    """
+    order = Window.partitionBy("key").orderBy("o", "node")
+    some = dealt.withColumn("o", F.xxhash64("key", "node")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= heads)
+    first = some.groupBy("key").agg(F.collect_list("node").alias("heads")).where(F.size("heads") > 1)  # `heads` at most
+    met = _spread(dealt, first, ["key"], "node").select("key", F.explode("heads").alias("u"), F.col("node").alias("v"), (F.size("heads") >= heads).alias("crowded"))
+    return met.where("u <> v")
+
+
+def _close(pairs: DataFrame, nodes: DataFrame, apart: int) -> DataFrame:
+    """The distinct (u, v) of pairs whose fingerprints differ in at most `apart` bits."""
+
+    def run(batches):
+        import numpy as np
+
+        for b in slices(batches, 20_000):
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), "<u8").reshape(b.num_rows, -1) for k in (2, 3))
+            yield b.select(["u", "v"]).filter(np.bitwise_count(x ^ y).sum(1) <= apart)
+
+    once = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    left = _spread(once, nodes.select(F.col("node").alias("u"), F.col("fp").alias("x")), ["u"], "v")
+    both = _spread(left, nodes.select(F.col("node").alias("v"), F.col("fp").alias("y")), ["v"], "u")
+    return both.select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
+
+
+def wide_links(nodes: DataFrame, similarity: float = SIMILARITY, block_bits: int = BLOCK_BITS, heads: int = HEADS, bits: int = WIDE) -> DataFrame:
+    """(u, v): verified pairs of nodes(node, fp) that share a block, enough to connect what `groups` links."""
+    apart = bits_apart(similarity, bits)
+    dealt, edges = _dealt(nodes, block_bits), []
+    while True:
+        met = cut(_meetings(dealt, heads))
+        edges.append(found := cut(_close(met, nodes, apart)))
+        crowded = met.where("crowded")
+        if not crowded.take(1):
+            return functools.reduce(DataFrame.unionByName, edges).distinct()
+        both = found.unionByName(found.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        linked = crowded.join(both, ["u", "v"], "left_semi").select("key", F.col("v").alias("node"))
+        done = linked.unionByName(crowded.select("key", F.col("u").alias("node"))).distinct()
+        dealt = cut(crowded.select("key", F.col("v").alias("node")).distinct().join(done, ["key", "node"], "left_anti"))
+
+
+def groups(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY, shingle: int = 5, heads: int = HEADS) -> tuple[DataFrame, DataFrame]:
+    """(rows, table): rows(doc, node), stored, with each row of docs as a struct; and table(node, root), a root for each group of documents that resemble each other.
+
+    node is a hash of the wide fingerprint.
+    """
+    at = docs.columns.index(text)
+
+    def run(batches):
+        import pyarrow as pa
+        import xxhash
+
+        for b in slices(batches):
+            made = [wide_fingerprint(t, shingle) for t in b.column(0).flatten()[at].cast(pa.binary()).to_pylist()]
+            node = [x - (x >> 63 << 64) for x in (xxhash.xxh64_intdigest(f, SEED) for f in made)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node, pa.int64()), pa.array(made, pa.binary())], ["doc", "node", "fp"])
+
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))  # so that no column clashes
+    rows = stored(packed.mapInArrow(run, StructType([*packed.schema.fields, StructField("node", LongType()), StructField("fp", BinaryType())])), "simhash")
+    nodes = cut(rows.groupBy("node").agg(F.min("fp").alias("fp")))
+    found = components(wide_links(nodes, similarity, heads=heads)).withColumnRenamed("node", "v")
+    table = nodes.select("node").join(found, F.col("node") == F.col("v"), "left").select("node", F.coalesce("root", "node").alias("root"))
+    return rows.drop("fp"), cut(table)
+
+
+def first_of_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """Of each group one row of docs: that with the smallest id (null ids last), then the smallest hash of the row; of rows equal in all columns one."""
+    rows, table = groups(docs, text, **how)
+    rows = rows.withColumn("row", F.xxhash64("doc"))
+    slim = cut(rows.select("node", F.col("doc")[doc_id].cast("long").alias("id"), "row"))
+    place = F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("row").alias("c"), F.col("node").alias("d"))
+    best = slim.groupBy("node").agg(F.min(place).alias("best"))  # before the join: a hot node is one row
+    best = best.join(table, "node").groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.d").alias("node"), F.col("best.c").alias("row"))
+    best = cut(best.join(slim.groupBy("node", "row").agg(F.count("*").alias("n")), ["node", "row"]))
+    kept = rows.join(best, ["node", "row"])
+    single, again = kept.where("n = 1"), kept.where("n > 1")
+    return single.unionByName(again.dropDuplicates(["node", "row"])).select("doc.*")

@@ -219,6 +219,8 @@ class Counter:
             new = set(words)
         self.learn(sorted(new))
         counts = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        for w in [w for w in new if len(w) > CHUNK]:  # the memory is bounded by the number of words, so it keeps short ones
+            del self.known[w]
         bounds = np.cumsum([len(t) + 1 for t in plain])
         doc = np.searchsorted(bounds, starts, "right")
         return (np.bincount(doc, counts, len(texts)).astype(np.int64) + np.array(special, np.int64)).tolist() if len(texts) else []

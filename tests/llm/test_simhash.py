@@ -104,3 +104,93 @@ def test_fingerprint_equals_spark_xxhash(spark):
 def test_long_chain_settles(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)], "u long, v long")
     assert {r["root"] for r in simhash.components(edges).collect()} == {0}
+
+
+# ---- groups of documents that resemble each other
+
+def jaccard(a, b):
+    a, b = ({tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def edited(rng, words, n):
+    out = list(words)
+    for i in rng.sample(range(len(out)), n):
+        out[i] = f"new{rng.randrange(10**6)}"
+    return out
+
+
+def slow_wide(text, bits):
+    words = (text or "").lower().split()
+    counts, n = [0] * bits, max(1, len(words) - 4)
+    if not words:
+        return 0
+    for i in range(n):
+        h0 = xxhash.xxh64_intdigest(" ".join(words[i : i + 5]).encode(), 42)
+        for w in range(bits // 64):
+            h = (h0 + (w + 1) * 0x9E3779B97F4A7C15) % 2**64
+            h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+            h = (h ^ h >> 27) * 0x94D049BB133111EB % 2**64
+            h ^= h >> 31
+            for k in range(64):
+                counts[64 * w + k] += h >> k & 1
+    return sum(1 << k for k in range(bits) if counts[k] * 2 > n)
+
+
+def test_wide_fingerprints_against_brute_force():
+    rng = random.Random(2)
+    for n in (0, 1, 4, 5, 6, 300, 1500):
+        text = " ".join(f"w{rng.randrange(50)}" for _ in range(n))
+        assert int.from_bytes(simhash.wide_fingerprint(text.encode()), "little") == slow_wide(text, simhash.WIDE)
+
+
+def family(rng, copies, edits):
+    base = [f"w{rng.randrange(10**5)}" for _ in range(300)]
+    return [" ".join(base)] + [" ".join(edited(rng, base, edits)) for _ in range(copies)]
+
+
+def test_groups_against_pairs(spark):
+    rng = random.Random(3)
+    texts = [t for n, edits in [(3, 1), (5, 2), (1, 3), (2, 0), (1, 30), (2, 25)] * 3 for t in family(rng, n, edits)] + [None, "", " ", "one", "one", "one two three four five six"]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, node string")
+    rows, table = simhash.groups(df)
+    root = {r["doc_id"]: r["root"] for r in rows.join(table, "node").select("doc.doc_id", "root").collect()}
+    assert len(root) == len(texts)
+    for i, a in enumerate(texts):
+        for j in range(i):
+            s = jaccard(a or "", texts[j] or "")
+            assert root[i] == root[j] if s >= 0.9 else (root[i] != root[j] or s > 0.7), (i, j, s)
+
+
+def test_a_crowded_key_links_whom_few_heads_link(spark):
+    """Blocks of one byte: every key is crowded, four heads and rounds without end must find what all pairs find."""
+    rng = random.Random(4)
+    fps = []
+    for _ in range(60):
+        base = rng.getrandbits(simhash.WIDE)
+        fps += [base ^ sum(1 << k for k in rng.sample(range(simhash.WIDE), 60)) for _ in range(4)]
+    nodes = spark.createDataFrame([(i, f.to_bytes(simhash.WIDE // 8, "little")) for i, f in enumerate(fps)], "node long, fp binary")
+    got = {(r["u"], r["v"]) for r in simhash.wide_links(nodes, block_bits=8, heads=4).collect()}
+    parent = list(range(len(fps)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for u, v in got:
+        assert (fps[u] ^ fps[v]).bit_count() <= simhash.bits_apart(0.8) and u < v
+        parent[find(u)] = find(v)
+    assert all(find(i) == find(i - i % 4) for i in range(len(fps))) and len({find(i) for i in range(len(fps))}) == 60
+
+
+def test_one_row_of_each_group_stays(spark):
+    rng = random.Random(5)
+    a, b = family(rng, 1, 1), family(rng, 0, 0)
+    rows = [(7, a[0], 1), (3, a[1], 2), (3, b[0], 3), (3, b[0], 3), (None, b[0], 4), (None, "lonely text of five words", 5), (9, None, 6), (8, "", 7), (8, "", 7)]
+    df = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, n int, node string")
+    for cut in (df, df.repartition(5)):
+        out = simhash.first_of_groups(cut)
+        assert out.columns == df.columns
+        assert sorted(r["n"] for r in out.collect()) == [2, 3, 5, 7]
+    assert simhash.first_of_groups(df.limit(0)).count() == 0

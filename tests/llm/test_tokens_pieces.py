@@ -100,6 +100,22 @@ def test_pieces_equal_the_library(spark):
     assert all(d.decode("utf-8", "replace") == t for d, t in zip(decoded, texts, strict=True) if "▁" not in t)
 
 
+def test_long_words_equal_the_library():
+    lib, rng = sentencepiece.SentencePieceProcessor(model_file=PIECES), random.Random(12)
+    texts = ["".join(rng.choice(a) for _ in range(n)) for a in ("a", "ab", "etaoin", string.ascii_letters + string.digits + "+/", "日本語漢字文中国人一不", "0123456789", "=-_#") for n in (513, 700, 5000)]
+    coded = pieces.Table(PIECES).encode(texts)
+    assert [np.frombuffer(c, "<i4").tolist() for c in coded] == lib.encode(texts)
+
+
+def test_a_million_characters_are_encoded_in_linear_time():
+    rng = random.Random(13)
+    word = "".join(rng.choice(string.ascii_letters + string.digits + "+/") for _ in range(1 << 20))
+    began = time.perf_counter()
+    (got,) = pieces.Table(PIECES).encode([word])
+    assert time.perf_counter() - began < 120
+    assert np.frombuffer(got, "<i4").tolist() == sentencepiece.SentencePieceProcessor(model_file=PIECES).encode(word)
+
+
 def test_unigram_viterbi_against_brute_force():
     t = pieces.Table(PIECES, "unigram")
     rng = random.Random(4)
