@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.catalogue.base import Registry, read
+from tessella.catalogue.base import Registry, read, read_spread
 from tessella.functions import ids
 from tessella.operators import agentlog, evaluate, web
 
@@ -141,9 +141,10 @@ def consecutive_groups(spark, sf):
     return web.consecutive_groups(c).select("stream", "ordinal", F.col("island").cast("bigint").alias("island"))
 
 
-@query("""with s as (select source url, doc_id ordinal, substr(text, 1, 30) snippet from documents), f as (select url, snippet, min(ordinal) o from s group by all) select url, string_agg('...' || snippet || '...', chr(10) || chr(10) order by o) stitched from f group by 1""")
+@query("""with s as (select doc_id // 10 url, doc_id ordinal, text snippet from documents), f as (select url, snippet, min(ordinal) o from s group by all) select url, sha256(string_agg('...' || snippet || '...', chr(10) || chr(10) order by o)) stitched from f group by 1""")
 def snippet_stitch(spark, sf):
-    return web.stitched(read(spark, sf, "documents").select(F.col("source").alias("url"), F.col("doc_id").alias("ordinal"), F.substring("text", 1, 30).alias("snippet")))
+    found = web.stitched(read_spread(spark, sf, "documents", "doc_id").select(F.floor(F.col("doc_id") / 10).alias("url"), F.col("doc_id").alias("ordinal"), F.col("text").alias("snippet")))
+    return found.withColumn("stitched", F.sha2("stitched", 256))
 
 
 @query(f"""with {RES}, b as (select query_id, ordinal, chr(10) || chr(10) || '--- SOURCE ' || row_number() over (partition by query_id order by ordinal) || ': ' || host || ' ---' || chr(10) || 'URL: ' || url || chr(10) || chr(10) || 'SUMMARY:' || chr(10) || length(html) || repeat(chr(10), 4) || repeat('-', 80) || chr(10) b from rs) select query_id, 'Search results: ' || chr(10) || chr(10) || string_agg(b, '' order by ordinal) sources from b group by 1""")

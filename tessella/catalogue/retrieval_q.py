@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.catalogue.base import Registry, read, read_spread
+from tessella.functions import text as T
 from tessella.functions import vectors as V
 from tessella.operators import evaluate, quality, retrieval
 from tessella.plans import flows
@@ -21,11 +22,11 @@ def corpus(spark, sf):
     return read_spread(spark, sf, "documents", "doc_id").select("doc_id", "text")
 
 
-def passages(spark, sf, whole=True):
-    """documents as passages, with their whole texts or as the SQL has them: the source is the section, every seventh has no page."""
+def passages(spark, sf):
+    """documents as passages with their whole texts: the source is the section, every seventh has no page."""
     d = read_spread(spark, sf, "documents", "doc_id")
     section = F.when(F.col("doc_id") % 11 == 0, "References").when(F.col("doc_id") % 13 == 0, "12:3 running").when(F.col("doc_id") % 4 == 0, "").otherwise(F.col("source"))
-    return d.select("doc_id", F.col("text") if whole else F.substring("text", 1, 600).alias("text"), section.alias("section"), F.when(F.col("doc_id") % 7 == 0, F.lit(None)).otherwise(1).cast("int").alias("page_number"), F.col("source").alias("title"))
+    return d.select("doc_id", "text", section.alias("section"), F.when(F.col("doc_id") % 7 == 0, F.lit(None)).otherwise(1).cast("int").alias("page_number"), F.col("source").alias("title"))
 
 
 def bm25_sql(k: int, docs: str = "documents", queries: str = "benchmark") -> str:
@@ -42,7 +43,7 @@ def bm25_topk(spark, sf):
 
 
 DENSE = """u as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) v from embeddings), uu as (select vec_id, sqrt(list_sum(list_transform(v, lambda x: x * x))) s, v from u), un as (select vec_id, list_transform(v, lambda x: case when s > 0 then x / s else x end) v from uu),
-ds as (select a.vec_id query_id, b.vec_id doc_id, round(list_dot_product(a.v, b.v), 6) score from un a, un b where a.vec_id % 25 = 0)"""
+ds as (select a.vec_id query_id, b.vec_id doc_id, round(list_dot_product(a.v, b.v), 6) score from un a, un b where a.vec_id % 20 = 0)"""
 
 
 def vectors(spark, sf):
@@ -50,7 +51,7 @@ def vectors(spark, sf):
 
 
 def vector_queries(spark, sf):
-    return vectors(spark, sf).where("doc_id % 25 = 0").withColumnRenamed("doc_id", "query_id")
+    return vectors(spark, sf).where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
 
 
 @query(f'with {DENSE} select query_id, doc_id, score, cast(row_number() over (partition by query_id order by score desc, doc_id) as int) as "rank" from ds where score > 0 qualify "rank" <= 5')
@@ -81,16 +82,18 @@ def rrf_fusion(spark, sf):
     return retrieval.fused([(first, 1.0), (second_list(first), 0.5)], 5)
 
 
-@query(f"""with {RRF}, top as (select *, row_number() over (partition by query_id order by score desc, doc_id) old_rank from f qualify old_rank <= 10), s as (select *, round((doc_id % 17) / 17.0::double, 6) rerank_score from top)
+@query(f"""with {RRF}, top as (select *, row_number() over (partition by query_id order by score desc, doc_id) old_rank from f qualify old_rank <= 10), qt as (select item_id query_id, list_distinct({TOK}) qt from benchmark), dt as (select doc_id, list_distinct(toks) dt from d), s as (select top.*, round(case when len(qt) > 0 then len(list_intersect(qt, dt)) / len(qt) else 0 end, 6) rerank_score from top join qt using (query_id) join dt using (doc_id))
 select query_id, doc_id, score, rerank_score, cast(old_rank as int) old_rank, cast(row_number() over (partition by query_id order by rerank_score desc, old_rank, doc_id) as int) as "rank" from s qualify "rank" <= 5""")
 def rerank_topk(spark, sf):
     first = retrieval.bm25(asked(spark, sf), corpus(spark, sf), 10)
     fused = retrieval.fused([(first, 1.0), (second_list(first), 0.5)], 10).select("query_id", "doc_id", "score", "rank")
-    scores = fused.select("query_id", "doc_id", F.round((F.col("doc_id") % 17) / F.lit(17.0), 6).alias("rerank_score"))
+    texts = fused.select("query_id", "doc_id").join(asked(spark, sf), "query_id").withColumnRenamed("text", "asked").join(corpus(spark, sf), "doc_id")
+    both = texts.select("query_id", "doc_id", F.array_distinct(T.retrieval_tokens(F.col("asked"))).alias("qt"), F.array_distinct(T.retrieval_tokens(F.col("text"))).alias("dt"))
+    scores = both.select("query_id", "doc_id", F.round(T.coverage(F.col("qt"), F.col("dt")), 6).alias("rerank_score"))
     return retrieval.reranked(fused, scores, 5).select("query_id", "doc_id", "score", "rerank_score", "old_rank", "rank")
 
 
-PASSAGES = r"""p as (select doc_id, substr(text, 1, 600) text, case when doc_id % 11 = 0 then 'References' when doc_id % 13 = 0 then '12:3 running' when doc_id % 4 = 0 then '' else source end section, case when doc_id % 7 = 0 then null else 1 end page_number from documents),
+PASSAGES = r"""p as (select doc_id, text, case when doc_id % 11 = 0 then 'References' when doc_id % 13 = 0 then '12:3 running' when doc_id % 4 = 0 then '' else source end section, case when doc_id % 7 = 0 then null else 1 end page_number from documents),
 x as (select doc_id, section s, page_number pg, trim(regexp_replace(text, '[\s\x{A0}\x{85}\x{2028}\x{2029}\x{3000}\x0B]+', ' ', 'g')) t from p),
 y as (select *, length(t) n, regexp_extract_all(lower(t), '[a-z0-9]+|[一-鿿]') tk, len(regexp_extract_all(t, '[一-鿿]')) cjk, regexp_matches(t, '[.!?。！？]["''”’)]?$') ends, length(t) - length(regexp_replace(t, '[\p{L}\p{N}]', '', 'g')) readable from x),
 z as (select *, list_filter([case when n < 48 then 'too_short' end, case when pg is null then 'missing_page' end, case when s <> '' and regexp_matches(s, '(?i)\b(?:references|bibliography|works cited)\b|参考文献') then 'reference_section' end,
@@ -103,17 +106,17 @@ qa as (select doc_id, len(hard) = 0 and score >= 0.45 accepted, cast(score as do
 
 @query(f"with {PASSAGES} select * from qa")
 def quality_assessment(spark, sf):
-    return quality.assessed(passages(spark, sf, whole=False)).select("doc_id", "accepted", "quality_score", F.array_join("reasons", ",").alias("reasons"))
+    return quality.assessed(passages(spark, sf)).select("doc_id", "accepted", "quality_score", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query(f"""with {PASSAGES}, {bm25_sql(15)} select query_id, doc_id, score, quality_score, cast("rank" as int) old_rank, cast(row_number() over (partition by query_id order by "rank") as int) new_rank from bm join qa using (doc_id) where accepted qualify new_rank <= 5""")
 def quality_filtered_topk(spark, sf):
     first = retrieval.bm25(asked(spark, sf), corpus(spark, sf), 15)
-    return retrieval.quality_filtered(first, quality.assessed(passages(spark, sf, whole=False)), 5).withColumnRenamed("rank", "new_rank").select("query_id", "doc_id", "score", "quality_score", "old_rank", "new_rank")
+    return retrieval.quality_filtered(first, quality.assessed(passages(spark, sf)), 5).withColumnRenamed("rank", "new_rank").select("query_id", "doc_id", "score", "quality_score", "old_rank", "new_rank")
 
 
 @query(f"""with {DENSE}, r as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as "rank" from ds where query_id <> doc_id qualify "rank" <= 10),
-f as (select query_id, min(case when e.label = q.label then "rank" end) fr from r join embeddings e on e.vec_id = doc_id join embeddings q on q.vec_id = query_id group by 1), qq as (select vec_id query_id from embeddings where vec_id % 25 = 0)
+f as (select query_id, min(case when e.label = q.label then "rank" end) fr from r join embeddings e on e.vec_id = doc_id join embeddings q on q.vec_id = query_id group by 1), qq as (select vec_id query_id from embeddings where vec_id % 20 = 0)
 select count(*) n_queries, round(avg(case when fr <= 10 then 1.0::double else 0 end), 6) recall, round(avg(case when fr <= 10 then 1.0::double / fr else 0 end), 6) mrr from qq left join f using (query_id)""")
 def recall_mrr(spark, sf):
     e = read(spark, sf, "embeddings")

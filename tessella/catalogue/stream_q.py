@@ -2,26 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from tessella.catalogue.base import Registry, read
+from tessella.operators.layout import shared_folder
 from tessella.streaming import events
 
 query = Registry()
 
 
-def _checkpoint(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessella-stream-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
-
-
 @query("select strftime(ts, '%Y-%m-%d') as \"day\", event_type, count(*) n, round(sum(value), 2) total from events group by all")
 def stream_metrics(spark, sf):
     stream = events.read_events(spark, f"{sf}/events.parquet")
-    out = events.run_to_table(events.window_metrics(stream), f"t{uuid.uuid4().hex}", _checkpoint(spark))
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    out = events.run_to_table(events.window_metrics(stream), f"{folder}/table", f"{folder}/checkpoint", ["w", "event_type"])
     return out.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 2).alias("total"))
 
 

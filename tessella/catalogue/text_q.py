@@ -52,12 +52,12 @@ def doc_lengths(spark, sf):
     return t.select("doc_id", F.size("t").cast("bigint").alias("doc_length"), F.size(F.array_distinct("t")).cast("bigint").alias("n_terms"))
 
 
-@query("""with d as (select doc_id, translate(substr(text, 1, 300), 'aeiou', '异常检测图') t from documents), x as (select doc_id, regexp_extract_all(lower(t), '[a-z0-9]+|[一-鿿]') r from d),
+@query("""with d as (select doc_id, translate(text, 'aeiou', '异常检测图') t from documents), x as (select doc_id, regexp_extract_all(lower(t), '[a-z0-9]+|[一-鿿]') r from d),
 y as (select doc_id, r, list_filter(list_transform(range(1, len(r)), lambda i: case when regexp_full_match(r[i], '[一-鿿]') and regexp_full_match(r[i + 1], '[一-鿿]') then r[i] || r[i + 1] end), lambda p: p is not null) b from x)
-select doc_id, array_to_string(list_concat(r, b), ' ') tokens from y""")
+select doc_id, cast(len(r) + len(b) as bigint) n, sha256(array_to_string(list_concat(r, b), ' ')) digest from y""")
 def cjk_bigrams(spark, sf):
-    t = F.translate(F.substring("text", 1, 300), "aeiou", "异常检测图")
-    return read_spread(spark, sf, "documents", "doc_id").select("doc_id", F.array_join(T.retrieval_tokens(t), " ").alias("tokens"))
+    t = T.retrieval_tokens(F.translate("text", "aeiou", "异常检测图"))
+    return read_spread(spark, sf, "documents", "doc_id").select("doc_id", t.alias("t")).select("doc_id", F.size("t").cast("bigint").alias("n"), F.sha2(F.array_join("t", " "), 256).alias("digest"))
 
 
 @query(r"""with s as (select doc_id, unnest(string_split(regexp_replace(text, '([.!?。！？])[\s\x{A0}\x{85}\x{2028}\x{2029}\x{3000}\x0B]+', '\1' || chr(31), 'g'), chr(31))) s from documents) select doc_id, count(*) n_sentences, cast(max(length(s)) as bigint) longest from s where trim(s, ' ' || chr(9) || chr(10) || chr(13)) <> '' group by 1""")
@@ -67,7 +67,7 @@ def sentence_counts(spark, sf):
 
 
 STOP = "['" + "','".join(T.VERIFIER_STOPWORDS) + "']"
-VT = rf"list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z]+(?:[-''][a-z]+)*|[0-9]+(?:\.[0-9]+)?%?|[一-鿿]')), lambda w: not list_contains({STOP}, w))"
+VT = rf"list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z]+(?:[-''][a-z]+)*|\p{{Nd}}+(?:\.\p{{Nd}}+)?%?|[一-鿿]')), lambda w: not list_contains({STOP}, w))"
 
 
 @query(f"select doc_id, cast(len({VT}) as bigint) n, sha256(array_to_string(list_sort({VT}), ' ')) digest from documents")
@@ -133,8 +133,7 @@ def informative_sentences(spark, sf):
     return read_spread(spark, sf, "documents", "doc_id").select("doc_id", T.best_sentence(F.col("text"), F.lit("which method detects the thing")).alias("best"))
 
 
-@query("""with m as (select conv_id, turn, text || case when turn % 2 = 0 then chr(1) else '' end t from conversations) select conv_id, turn, cast(length(t) - length(replace(t, chr(1), '')) as bigint) removed, replace(t, chr(1), '') cleaned from m""")
+@query("""with m as (select conv_id, turn, text || case when turn % 2 = 0 then chr(0) else '' end t from conversations) select conv_id, turn, cast(length(t) - length(replace(t, chr(0), '')) as bigint) removed, replace(t, chr(0), '') cleaned from m""")
 def control_cleanup(spark, sf):
-    """NUL can't stand in a DuckDB string literal; the same plan with another character."""
-    t = F.concat("text", F.when(F.col("turn") % 2 == 0, F.char(F.lit(1))).otherwise(""))
-    return read(spark, sf, "conversations").select("conv_id", "turn", (F.length(t) - F.length(F.translate(t, "\x01", ""))).cast("bigint").alias("removed"), F.translate(t, "\x01", "").alias("cleaned"))
+    t = F.concat("text", F.when(F.col("turn") % 2 == 0, F.char(F.lit(0))).otherwise(""))
+    return read(spark, sf, "conversations").select("conv_id", "turn", (F.length(t) - F.length(T.without_nul(t))).cast("bigint").alias("removed"), T.without_nul(t).alias("cleaned"))

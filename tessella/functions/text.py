@@ -13,13 +13,27 @@ VERIFIER_STOPWORDS = "a an and are as at be by for from in is it of on or that t
 QUERY_STOPWORDS = "a an and are do does for how in is of the to what which with".split()
 METHOD_TERMS = "approach detect detection method model results uses using".split()
 REFERENCE_TERMS = ["proceedings of", "conference on", "transactions on", " et al.", " pp."]
-VERIFIER_TOKEN = r"[a-zA-Z]+(?:[-'][a-zA-Z]+)*|[0-9]+(?:\.[0-9]+)?%?|[一-鿿]"
+VERIFIER_TOKEN = r"[a-zA-Z]+(?:[-'][a-zA-Z]+)*|\p{Nd}+(?:\.\p{Nd}+)?%?|[一-鿿]"
 NUMBER = r"(?U)(?<![\w.])[-+]?\d+(?:\.\d+)?(?:%|(?![\w.]))"
 NEGATION = r"(?iU)\b(?:no|not|never|neither|without|failed?|cannot|can't|didn't|doesn't|isn't|wasn't|weren't)\b|(?:不|未|无|没有|并非|不能|失败)"
 TERMINAL = r"[.!?。！？][\"'”’)]?$"
 SENTENCE_END = r"(?U)(?<=[.!?。！？])\s+"
 URL = r"https?://[^\s<>()\[\]{}\"']+"
 CJK = "一-鿿"
+#: Letters that a pattern for a to z takes as well when case is ignored.
+CASELESS = "\u0130\u0131\u017f\u212a"
+
+# Characters whose case folding isn't their lower case, by the rule of Unicode: one for one, and to several.
+_FOLDS = {c: f for c in map(chr, range(0x80, 0x20000)) if not "\ud800" <= c <= "\udfff" and (f := c.casefold()) != c.lower() and c.lower() == c}
+_ONE = {c: f for c, f in _FOLDS.items() if len(f) == 1}
+_MORE = {c: f for c, f in _FOLDS.items() if len(f) > 1}
+
+
+def folded(text: Column) -> Column:
+    """Case folding: lower case, and what is left of it, such as the sharp s."""
+    low = F.translate(F.lower(text), "".join(_ONE), "".join(_ONE.values()))
+    pairs = F.array(*(F.struct(F.lit(c).alias("a"), F.lit(f).alias("b")) for c, f in _MORE.items()))
+    return F.when(low.rlike(f"[{''.join(_MORE)}]"), F.aggregate(pairs, low, lambda t, p: F.replace(t, p["a"], p["b"]))).otherwise(low)
 
 
 def normalized(text: Column) -> Column:
@@ -29,7 +43,9 @@ def normalized(text: Column) -> Column:
 
 def retrieval_tokens(text: Column) -> Column:
     """Latin words and single CJK characters in order, then the bigrams of CJK characters that follow each other as tokens."""
-    raw = F.regexp_extract_all(F.lower(text), F.lit(f"[a-z0-9]+|[{CJK}]"), F.lit(0))
+    quick = F.regexp_extract_all(F.lower(text), F.lit(f"[a-z0-9]+|[{CJK}]"), F.lit(0))
+    exact = F.transform(F.regexp_extract_all(text, F.lit(f"[a-zA-Z0-9{CASELESS}]+|[{CJK}]"), F.lit(0)), folded)
+    raw = F.when(text.rlike(f"[{CASELESS}]"), exact).otherwise(quick)
     single = lambda t: t.rlike(f"^[{CJK}]$")
     pairs = F.filter(F.zip_with(raw, F.slice(raw, 2, F.greatest(F.size(raw) - 1, F.lit(0))), lambda a, b: F.when(single(a) & single(b), F.concat(a, b))), lambda p: p.isNotNull())
     return F.when(text.rlike(f"[{CJK}]"), F.concat(raw, pairs)).otherwise(raw)
@@ -37,7 +53,7 @@ def retrieval_tokens(text: Column) -> Column:
 
 def verifier_tokens(text: Column) -> Column:
     """The set of content words, numbers and CJK characters, without stop words."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(VERIFIER_TOKEN.replace("a-zA-Z", "a-z")), F.lit(0))
+    found = F.transform(F.regexp_extract_all(text, F.lit(VERIFIER_TOKEN), F.lit(0)), F.lower)
     return F.array_except(F.array_distinct(found), F.array(*map(F.lit, VERIFIER_STOPWORDS)))
 
 
@@ -67,8 +83,8 @@ def coverage(claim: Column, evidence: Column) -> Column:
 
 def extractive(claim: Column, span: Column) -> Column:
     """Whether the normalized claim stands in the normalized span, whatever the case."""
-    c = F.lower(normalized(claim))
-    return (F.length(c) > 0) & F.contains(F.lower(normalized(span)), c)
+    c = folded(normalized(claim))
+    return (F.length(c) > 0) & F.contains(folded(normalized(span)), c)
 
 
 def informative(sentence: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections import Counter
@@ -11,11 +12,17 @@ from pyspark.sql import functions as F
 
 
 def dot(a: Column, b: Column) -> Column:
+    """The inner product; vectors of different lengths are an error."""
+    same = F.when(F.size(a) == F.size(b), b).otherwise(F.when(a.isNotNull() & b.isNotNull(), F.raise_error(F.lit("vectors of different lengths"))))
+    return _product(a, same)
+
+
+def _product(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
 def norm(a: Column) -> Column:
-    return F.sqrt(dot(a, a))
+    return F.sqrt(_product(a, a))
 
 
 def l2_normalized(a: Column) -> Column:
@@ -39,6 +46,11 @@ def encoded(a: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(a, lambda x: F.format_string("%.12g", x.cast("double"))), ","), F.lit("]"))
 
 
+@functools.lru_cache(1 << 18)
+def _hashed(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
+
+
 def hashing_embedding(tokens: Column, dimension: int = 64) -> Column:
     """Bag of words hashed by BLAKE2b to dimensions, 1 + ln(count) each, unit length; Arrow, because no builtin hashes so."""
 
@@ -49,7 +61,7 @@ def hashing_embedding(tokens: Column, dimension: int = 64) -> Column:
         def one(words):
             v = [0.0] * dimension
             for word, n in Counter(words if words is not None else []).items():
-                v[int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big") % dimension] += 1 + math.log(n)
+                v[_hashed(word) % dimension] += 1 + math.log(n)
             size = math.sqrt(sum(x * x for x in v))
             return [x / size for x in v] if size else v
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +13,7 @@ from tessella.functions import vectors as V
 MAX_CHARS = 1800
 # Fixed value: where a text may be cut.
 BOUNDARY = re.compile(r"\n|[.!?。！？；;]\s*|\s+")
+FILLED = re.compile(r"\S+")
 
 
 def in_margin(y0: Column, y1: Column, height: Column) -> Column:
@@ -44,28 +46,37 @@ def with_section(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("section", F.coalesce(F.last(F.when(F.col("is_heading"), F.trim(F.regexp_replace("text", r"\s+", " "))), ignorenulls=True).over(w), F.lit("document")))
 
 
-def split_text(text: str, most: int = MAX_CHARS) -> list[str]:
-    """Parts of at most `most` characters, cut behind the last boundary in the second half (from 55 %), else hard."""
-    if isinstance(most, bool) or not isinstance(most, int) or most <= 0:
+def part_offsets(text: str, most: int = MAX_CHARS) -> list[tuple[int, int]]:
+    """(start, stop) of the parts of a text: at most `most` characters, up to the last place to cut that is past 55 % of it, else up to the limit itself.
+
+    White space around a part belongs to none. The places to cut are found once, in one pass over the text, and each part
+    looks its own up by bisection, so the time is linear in the text.
+    """
+    if type(most) is not int or most < 1:
         raise ValueError("most must be a positive integer")
-    rest, parts, least = text.strip(), [], max(1, int(most * 0.55))
-    while len(rest) > most:
-        ends = [m.end() for m in BOUNDARY.finditer(rest[: most + 1])]
-        cut = max((e for e in ends if least <= e <= most), default=most)
-        part = rest[:cut].strip()
-        if not part:
-            cut, part = most, rest[:most]
-        parts.append(part)
-        rest = rest[cut:].lstrip()
-    return parts + [rest] * bool(rest)
+    places = [m.end() for m in BOUNDARY.finditer(text)]
+    filled = [m.span() for m in FILLED.finditer(text)]  # runs without white space
+    if not filled:
+        return []
+    run_starts, run_stops = zip(*filled, strict=True)
+    out, begin, end = [], run_starts[0], run_stops[-1]
+    while begin < end:
+        stop = end
+        if end - begin > most:
+            last = bisect.bisect_right(places, begin + most) - 1
+            stop = places[last] if last >= 0 and places[last] >= begin + max(1, most * 55 // 100) else begin + most
+        run = bisect.bisect_left(run_starts, stop) - 1  # the last run that begins before the cut
+        out.append((begin, min(stop, run_stops[run])))
+        begin = stop if stop < run_stops[run] else run_starts[run + 1] if run + 1 < len(run_starts) else end
+    return out
 
 
 def split_column(text: Column, most: int = MAX_CHARS) -> Column:
-    """An array of parts; Arrow, because a cut depends on the one before."""
+    """An array of the parts of each text; Arrow, because a cut depends on the one before."""
 
     @F.pandas_udf("array<string>")
     def split(batch):
-        return batch.map(lambda t: split_text(t or "", most))
+        return batch.map(lambda t: [t[a:b] for a, b in part_offsets(t or "", most)])
 
     return split(text)
 

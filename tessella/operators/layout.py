@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+#: Masters whose driver and executors are one process.
+LOCAL = re.compile(r"local(\[.*\])?")
 
 
 def spread(scan: DataFrame, key: str) -> DataFrame:
@@ -13,3 +19,17 @@ def spread(scan: DataFrame, key: str) -> DataFrame:
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master (as in tests) gets a temporary one; a cluster raises."""
+    sc = spark.sparkContext
+    held = sc._jsc.sc().getCheckpointDir()
+    named = sc.getConf().get("spark.checkpoint.dir") or (held.get() if held.isDefined() else None)
+    if not named:
+        if not LOCAL.fullmatch(sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="tessella-")
+    if not held.isDefined():
+        sc.setCheckpointDir(named)
+    return named.rstrip("/")

@@ -16,15 +16,19 @@ def embedded(rows: DataFrame, embed: Callable[[list[str]], list[list[float]]], k
 
         import pyarrow as pa
 
-        for b in batches:
-            texts = [instruction + (t or "") for t in b.column(1).to_pylist()]
+        def one_by_one(texts: list[str]) -> list[tuple]:
+            """(vector, error) of each text; a call that fails is made again for both halves, so an error stays with its text."""
             try:
                 got = [list(map(float, v)) for v in embed(texts)]
                 if len(got) != len(texts):
                     raise ValueError("wrong number of vectors")
-                out = [(v, None) if v and all(map(math.isfinite, v)) and dimension in (None, len(v)) else (None, "invalid vector") for v in got]
             except ValueError as e:
-                out = [(None, str(e))] * len(texts)
+                half = len(texts) // 2
+                return one_by_one(texts[:half]) + one_by_one(texts[half:]) if half else [(None, str(e))] * len(texts)
+            return [(v, None) if v and all(map(math.isfinite, v)) and dimension in (None, len(v)) else (None, "invalid vector") for v in got]
+
+        for b in batches:
+            out = one_by_one([instruction + (t or "") for t in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v for v, _ in out], pa.list_(pa.float64())), pa.array([e for _, e in out], pa.string())], [key, "vector", "error"])
 
     kind = rows.schema[key].dataType.simpleString()

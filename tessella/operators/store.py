@@ -11,8 +11,11 @@ from tessella.functions import vectors as V
 
 
 def upsert(table: DataFrame, batch: DataFrame, key: str, ordinal: str | None = None) -> DataFrame:
-    """The table after the batch: a key's last row of the batch (by `ordinal`) replaces it."""
-    if ordinal:
+    """The table after the batch: a key's last row of the batch (by `ordinal`) replaces it. Without one a batch has no order, and of rows that repeat a key the greatest by hash counts."""
+    if ordinal is None:
+        whole = F.struct(*(F.col(c) for c in batch.columns))
+        batch = batch.groupBy(F.col(key).alias("_k")).agg(F.max_by(whole, F.xxhash64(whole)).alias("_b")).select("_b.*")
+    else:
         batch = batch.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(ordinal)))).where("_n = 1").drop("_n", ordinal)
     return table.join(batch.select(key), key, "left_anti").unionByName(batch)
 
@@ -24,9 +27,10 @@ def upsert_outcome(table: DataFrame, batch: DataFrame, key: str, compared: list[
     return joined.select(key, F.when(F.col("_k").isNull(), "insert").when(F.col("_new").eqNullSafe(F.col("_old")), "unchanged").otherwise("update").alias("outcome"))
 
 
-def replace_edges(edges: DataFrame, batch: DataFrame, owner: str) -> DataFrame:
-    """Edges after all edges of the batch's owners are replaced."""
-    return edges.join(batch.select(owner).distinct(), owner, "left_anti").unionByName(batch.distinct())
+def replace_edges(edges: DataFrame, batch: DataFrame, owner: str, owners: DataFrame | None = None) -> DataFrame:
+    """Edges after all edges of the batch's owners are replaced; owners, if given, names them all, those without edges in the batch too."""
+    named = batch.select(owner) if owners is None else owners.select(owner).unionByName(batch.select(owner))
+    return edges.join(named.distinct(), owner, "left_anti").unionByName(batch.distinct())
 
 
 def missing_keys(rows: DataFrame, key: str, parents: DataFrame, parent_key: str) -> DataFrame:

@@ -20,15 +20,15 @@ def verdicts(claims: DataFrame, evidence: DataFrame, supported: float = SUPPORTE
         raise ValueError("thresholds must satisfy 0 <= partial <= supported <= 1")
     ids = F.array_distinct(F.coalesce("evidence_ids", F.array().cast("array<string>")))
     links = claims.select("claim_id", F.posexplode(ids).alias("link_no", "evidence_id"))
-    found = links.join(evidence.select("evidence_id", F.col("text").alias("evidence_text")), "evidence_id", "left")
-    span = F.posexplode_outer(T.sentences(F.col("evidence_text"))).alias("span_no", "span")
-    own = claims.select("claim_id", F.col("text").alias("claim_text"))
-    spans = found.select("claim_id", "link_no", "evidence_id", span).join(own, "claim_id").where("span is not null")
-    terms = T.verifier_tokens(F.col("claim_text"))
-    cover = T.coverage(terms, T.verifier_tokens(F.col("span")))
-    order = F.struct(T.extractive(F.col("claim_text"), F.col("span")).alias("extractive"), cover.alias("coverage"), (-F.length("span")).alias("short"), (-F.col("link_no")).alias("link"), (-F.col("span_no")).alias("first"))
+    found = links.join(evidence.select("evidence_id", T.numbers(F.col("text")).alias("evidence_numbers"), F.col("text").isNotNull().alias("there")), "evidence_id", "left")
+    own = claims.select("claim_id", T.verifier_tokens(F.col("text")).alias("terms"), T.folded(T.normalized(F.col("text"))).alias("flat"))
+    each = evidence.select("evidence_id", F.posexplode(T.sentences(F.col("text"))).alias("span_no", "span"))  # tokens of a span are made once, whatever links to it
+    each = each.select("*", T.verifier_tokens(F.col("span")).alias("span_terms"), T.folded(T.normalized(F.col("span"))).alias("span_flat"))
+    spans = links.join(own, "claim_id").join(each, "evidence_id")
+    cover = T.coverage(F.col("terms"), F.col("span_terms"))
+    order = F.struct(((F.length("flat") > 0) & F.contains("span_flat", "flat")).alias("extractive"), cover.alias("coverage"), (-F.length("span")).alias("short"), (-F.col("link_no")).alias("link"), (-F.col("span_no")).alias("first"))
     best = spans.groupBy("claim_id").agg(F.max(F.struct(order.alias("o"), F.col("span"), F.col("evidence_id"))).alias("best"))
-    numbers = found.groupBy("claim_id").agg(F.array_distinct(F.flatten(F.collect_list(T.numbers(F.col("evidence_text"))))).alias("evidence_numbers"), F.count_if(F.col("evidence_text").isNull()).alias("missing"))
+    numbers = found.groupBy("claim_id").agg(F.array_distinct(F.flatten(F.collect_list("evidence_numbers"))).alias("evidence_numbers"), F.count_if(~F.coalesce("there", F.lit(False))).alias("missing"))
     joined = claims.select("claim_id", "text").join(numbers, "claim_id", "left").join(best, "claim_id", "left")
     extra = F.size(F.array_except(T.numbers(F.col("text")), F.col("evidence_numbers"))) > 0
     coverage, extractive = F.coalesce("best.o.coverage", F.lit(0.0)), F.coalesce("best.o.extractive", F.lit(False))

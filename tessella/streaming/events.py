@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def read_events(spark: SparkSession, path: str, files_per_trigger: int = 16) -> DataFrame:
@@ -30,11 +31,22 @@ def node_durations(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return a.join(b, on).select("run_id", "node", F.floor((F.unix_micros("b") - F.unix_micros("a")) / 1000).alias("ms"))
 
 
-def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Run over all data there is, into a table in memory; for tests and queries."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_table(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> DataFrame:
+    """Run over all data there is; the last row of each key, from a table below path.
+
+    Each batch writes only the rows that it changed, as a folder of its own number, so state behind the watermark can go,
+    nothing passes through the driver, and a batch that is run again replaces itself.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    query = stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    rows = stream.sparkSession.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).option("basePath", path).parquet(path)
+    values = [c for c in stream.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max(F.struct("batch", *values)).alias("last"))
+    return last.select(*keys, *(F.col(f"last.{c}").alias(c) for c in values))
 
 
 def append_once(stream: DataFrame, path: str, checkpoint: str):

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tessella.functions import ids
 from tessella.functions import text as T
 from tessella.functions import vectors as V
-from tessella.operators import agentlog, chunking, corpus, evaluate, quality, research, retrieval, review, store, validate, verify, web
+from tessella.operators import agentlog, chunking, corpus, evaluate, ports, quality, research, retrieval, review, store, validate, verify, web
 from tessella.plans import flows
 from tessella.sources import adapters, files, sinks
 
@@ -118,15 +118,25 @@ def test_fusion_prefers_shared_second_places(spark):
     assert [r["doc_id"] for r in sorted(rows, key=lambda r: r["rank"])] == [9, 1, 2]
 
 
-def test_dense_sides_agree_and_ties_go_to_the_smaller_id(spark, monkeypatch):
+@pytest.mark.parametrize("block", [3, 1024])
+def test_dense_against_all_pairs_and_ties_go_to_the_smaller_id(spark, block):
     rng = random.Random(3)
     rows = [(i, [float(rng.randint(-2, 2)) for _ in range(3)]) for i in range(80)]
     v = spark.createDataFrame([*rows, (500, None), (501, [float("nan")] * 3)], "doc_id int, vector array<double>")
     q = v.where("doc_id < 6").withColumnRenamed("doc_id", "query_id")
-    few = sorted(map(tuple, retrieval.dense(q, v, 4).collect()))
-    monkeypatch.setattr(retrieval, "MAX_BROADCAST_ROWS", 0)
-    assert sorted(map(tuple, retrieval.dense(q, v, 4).collect())) == few
-    assert all(r[2] > 0 for r in few)
+    for positive in (True, False):
+        got = sorted(tuple(r) for r in retrieval.dense(q, v, 4, positive, block).select("query_id", "rank", "doc_id", "score").collect())
+        want = []
+        for i, a in rows[:6]:
+            score = {}
+            for j, b in rows:
+                n = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+                score[j] = round(sum(x * y for x, y in zip(a, b, strict=True)) / n, 6) if n else 0.0
+            best = sorted((-s, j) for j, s in score.items() if s > 0 or not positive)[:4]
+            want += [(i, n, j, -s) for n, (s, j) in enumerate(best, 1)]
+        assert [g[:3] for g in got] == [w[:3] for w in sorted(want)] and all(abs(g[3] - w[3]) < 2e-6 for g, w in zip(got, sorted(want), strict=True))
+    named = retrieval.dense(q.withColumn("query_id", F.concat(F.lit("q"), "query_id")), v.withColumn("doc_id", F.col("doc_id").cast("string")), 2)
+    assert {type(r["doc_id"]) for r in named.collect()} == {str}
 
 
 def test_quality_reasons(spark):
@@ -229,12 +239,45 @@ def test_packing_against_a_loop(spark):
             assert [r["text"] for r in got if (r["paper_id"], r["page_number"]) == (p, g)] == slow_pack([(i, h, t) for a, b, i, h, t in rows if (a, b) == (p, g)], 500)
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="ab .!\n。", max_size=200), st.integers(1, 40))
-def test_split_parts_keep_the_text(text, most):
-    parts = chunking.split_text(text, most)
+def slow_parts(text, most):
+    """Character by character: where may a text be cut, and which of these places does a part take?"""
+    places, i = set(), 0
+    while i < len(text):
+        if text[i] == "\n":
+            i += 1
+        elif text[i] in ".!?。！？；;" or text[i].isspace():
+            i += 1
+            while i < len(text) and text[i].isspace():
+                i += 1
+        else:
+            i += 1
+            continue
+        places.add(i)
+    out, at, end = [], len(text) - len(text.lstrip()), len(text.rstrip())
+    while at < end:
+        stop = end if end - at <= most else max((p for p in range(at + max(1, int(most * 0.55)), at + most + 1) if p in places), default=at + most)
+        out.append(text[at:stop].strip())
+        at = stop
+        while at < end and text[at].isspace():
+            at += 1
+    return out
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="ab .!\n。\t", max_size=200), st.integers(1, 40))
+def test_parts_of_a_text_against_a_slow_walk(text, most):
+    parts = [text[a:b] for a, b in chunking.part_offsets(text, most)]
     assert all(0 < len(p) <= most for p in parts)
     assert "".join("".join(parts).split()) == "".join(text.split())
+    assert parts == slow_parts(text, most)
+
+
+def test_limit_of_parts_and_long_texts():
+    for wrong in (0, -1, True):
+        with pytest.raises(ValueError):
+            chunking.part_offsets("text", wrong)
+    text = ("Alpha beta gamma. " * 100_000).strip()
+    assert " ".join(text[a:b] for a, b in chunking.part_offsets(text, 500)) == text
 
 
 # ---- checks, reviews, logs, web
@@ -339,3 +382,42 @@ def test_entailment_port_fails_closed(spark):
 
     claims = spark.createDataFrame([("a", "ok", ["t"]), ("b", "boom", ["t"])], "claim_id string, text string, texts array<string>")
     assert [r["claim_id"] for r in ports.entailment(claims, judge).collect()] == ["a"]
+
+
+def test_upsert_without_order_and_owners_without_edges(spark):
+    table = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    out = store.upsert(table, spark.createDataFrame([(2, "x"), (2, "y"), (3, "z")], "k int, v string"), "k").collect()
+    assert sorted(r["k"] for r in out) == [1, 2, 3] and {r["v"] for r in out if r["k"] == 2} <= {"x", "y"}
+    edges = spark.createDataFrame([("c1", "e1"), ("c2", "e2"), ("c3", "e3")], "claim string, edge string")
+    batch, owners = edges.where("claim = 'c1'").withColumn("edge", F.lit("e9")), spark.createDataFrame([("c1",), ("c2",)], "claim string")
+    assert sorted(map(tuple, store.replace_edges(edges, batch, "claim", owners).collect())) == [("c1", "e9"), ("c3", "e3")]
+
+
+def test_folding_and_tokens_of_odd_letters(spark):
+    words = ["Straße", "STRASSE", "Kelvin \u212a5", "\u017fix", "ﬁne Ǆ", "ΣΊΣΥΦΟΣ ς", "plain", "١٢ 3.5%"]
+    rows = spark.createDataFrame([(w,) for w in words], "t string").select("t", T.folded(F.col("t")).alias("f"), T.retrieval_tokens(F.col("t")).alias("r"), T.verifier_tokens(F.col("t")).alias("v")).collect()
+    import re
+
+    for r in rows:
+        assert r["f"] == r["t"].casefold()
+        assert r["r"] == [x.casefold() for x in re.findall(r"[a-z0-9]+|[一-鿿]", r["t"], re.IGNORECASE)]
+        want = [x.casefold() for x in re.findall(r"[a-zA-Z]+(?:[-'][a-zA-Z]+)*|\d+(?:\.\d+)?%?|[一-鿿]", r["t"])]
+        assert sorted(r["v"]) == sorted(set(want) - set(T.VERIFIER_STOPWORDS))
+
+
+def test_vectors_of_different_lengths_are_an_error(spark):
+    from pyspark.errors import PySparkException
+
+    with pytest.raises(PySparkException):
+        spark.createDataFrame([([1.0, 2.0], [1.0])], "a array<double>, b array<double>").select(V.cosine(F.col("a"), F.col("b"))).collect()
+
+
+def test_an_error_of_a_model_stays_with_its_text(spark):
+    def embed(texts):
+        if "bad" in texts:
+            raise ValueError("refused")
+        return [[float(len(t))] for t in texts]
+
+    rows = spark.createDataFrame([(i, "bad" if i == 5 else "x" * i) for i in range(12)], "id int, text string").coalesce(1)
+    got = {r["id"]: r for r in ports.embedded(rows, embed, "id").collect()}
+    assert got[5]["error"] == "refused" and all((r["error"] is None) == (i != 5) for i, r in got.items())

@@ -26,7 +26,7 @@ def test_search_finds_what_stands_late(spark, folder):
 
 
 def test_claims_of_all_documents(spark, folder):
-    claims, evidence = verify_q.whole_claims(spark, folder)
+    claims, evidence = verify_q.claims(spark, folder)
     rows = {r["claim_id"]: r for r in claims.collect()}
     assert len(rows) == 10 and rows["c1004"]["evidence_ids"] == ["e1004", "e1005"] and rows["c1009"]["evidence_ids"] == ["e1009"]
     assert rows["c1003"]["text"].strip() == FILLER.strip() and all(r["text"].endswith(("markers.", ". ")) for r in evidence.collect())
