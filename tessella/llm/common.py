@@ -3,35 +3,19 @@
 from __future__ import annotations
 
 import atexit
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Masters whose driver and executors are one process.
-LOCAL = re.compile(r"local(\[.*\])?")
+from tessella.operators.layout import shared_folder
+
 #: Rows of whole documents that are worked on together: 1,000 average texts are a few MB. Spark bounds the bytes of a batch.
 BATCH_ROWS = 1000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master (as in tests) gets a temporary one; a cluster raises."""
-    sc = spark.sparkContext
-    held = sc._jsc.sc().getCheckpointDir()
-    named = sc.getConf().get("spark.checkpoint.dir") or (held.get() if held.isDefined() else None)
-    if not named:
-        if not LOCAL.fullmatch(sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="tessella-")
-    if not held.isDefined():
-        sc.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
     """A folder of its own below the shared one; removed when the driver's interpreter ends."""
-    path = f"{shared_dir(spark)}/tessella/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tessella/{name}-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
     return path
 
@@ -46,7 +30,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 def cut(df: DataFrame) -> DataFrame:
     """The same rows without their lineage, kept in the shared folder so that a lost executor costs nothing."""
-    shared_dir(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

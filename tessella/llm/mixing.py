@@ -11,16 +11,22 @@ A document stays with the probability min(1, rate * weight), `rate` being set so
 stays; the draw is a hash of its id. What the cap at 1 cuts off is left to `weight / probability`, the weight in training.
 
 Targets: sources and topics get shares in proportion to tokens ** `temper`, or topics as given; languages as given, with
-"other" for all not named. Shares of languages or topics without tokens go to the others. A topic is the number of the
-commonest group of first letters among the text's words (TOPICS), 0 for none of them.
+"other" for all not named. Shares of languages or topics without tokens go to the others. A topic is a number from 0 to
+len(TOPICS): that of a column, if one is named (null and other values are topic 0), else a stand-in, the commonest group of
+first letters among the text's words (TOPICS), 0 for none of them.
+
+Raking ends when every margin is within `close` of its target. If that isn't reached, because cells without tokens make
+targets impossible together, the largest error is in the result and a warning says so.
 
 Defined cases: a null or empty text has no tokens and topic 0; a null source or language is a value of its own and
 goes with "other" for languages. A document without tokens in a cell without tokens has weight 1. A null id is hashed
-like a value; repeated rows are drawn alike. An empty table gives an empty result. Other columns are kept by `mixed`.
+like a value; repeated rows are drawn alike. An empty table gives an empty result. Other columns of any
+name are kept by `mixed`.
 """
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -50,8 +56,10 @@ class Raked:
     error: float
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with mix_tokens and mix_topic."""
+def measured(docs: DataFrame, text: str = "text", topic: str | None = None) -> DataFrame:
+    """(doc, tokens, topic): each row of docs as a struct, so that no column clashes."""
+    at, topic_at = docs.columns.index(text), None if topic is None else docs.columns.index(topic)
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
 
     def run(batches):
         import numpy as np
@@ -64,7 +72,8 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         white = np.zeros(256, bool)
         white[[32, *range(9, 14)]] = True
         for b in slices(batches):
-            raw = [x or b"" for x in b.column(b.schema.get_field_index(text)).cast(pa.binary()).to_pylist()]
+            fields = b.column(0).flatten()
+            raw = [x or b"" for x in fields[at].cast(pa.binary()).to_pylist()]
             data = np.frombuffer(b" ".join([*raw, b""]), np.uint8)  # a blank after each text
             ends = np.cumsum([len(x) + 1 for x in raw])
             blank = white[data]
@@ -73,9 +82,12 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
             counts = np.zeros((len(raw), len(TOPICS) + 1), np.int64)
             np.add.at(counts, (doc, group[data[starts]]), 1)
             topic = np.where(counts[:, 1:].max(1) > 0, counts[:, 1:].argmax(1) + 1, 0) if len(raw) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(counts.sum(1)), pa.array(topic.astype(np.int32))], [*b.schema.names, "mix_tokens", "mix_topic"])
+            if topic_at is not None:
+                given = [0 if x is None else int(x) for x in fields[topic_at].to_pylist()]
+                topic = np.array([x if 0 <= x <= len(TOPICS) else 0 for x in given], np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts.sum(1)), pa.array(topic.astype(np.int32))], ["doc", "tokens", "topic"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("mix_tokens", LongType()), StructField("mix_topic", IntegerType())]))
+    return packed.mapInArrow(run, StructType([*packed.schema.fields, StructField("tokens", LongType()), StructField("topic", IntegerType())]))
 
 
 def _lang(lang: Column, langs: tuple[str, ...]) -> Column:
@@ -130,6 +142,8 @@ def rake(cells: DataFrame, langs: dict[str, float] | None = None, topics: dict[i
             b, m = b * f, m * f[:, None]
             g = np.where(m.sum(0) > 0, want_c / np.maximum(m.sum(0), 1e-300), 1)
             c, m = c * g, m * g
+    if error >= close:
+        warnings.warn(f"raking stopped after {sweeps} sweeps with a margin off by {error:.2g}", stacklevel=2)
     b, c = np.array([float(f"{x:.12g}") for x in b]), np.array([float(f"{x:.12g}") for x in c])
     fitted = cut(table.select("source", "n", F.coalesce(own(b, c), F.lit(1.0)).alias("a")))
     flat = np.outer(b, c).ravel().tolist()
@@ -146,30 +160,30 @@ def rake(cells: DataFrame, langs: dict[str, float] | None = None, topics: dict[i
 
 
 def drawn(docs: DataFrame, fit: Raked, doc_id: str = "doc_id", source: str = "source", lang: str = "lang") -> DataFrame:
-    """docs (as `measured` gives them) with mix_weight, mix_probability, mix_sampled."""
-    factors = fit.sources.select(F.col("source").alias("mix_source"), F.col("a").alias("mix_a"))
+    """docs (as `measured` gives them) with weight, probability, sampled."""
+    factors = fit.sources.select(F.col("source").alias("of_source"), "a")
     factors = F.broadcast(factors) if fit.n_sources <= MAX_BROADCAST else factors
-    own_lang = F.array_position(F.array(*map(F.lit, fit.langs)), _lang(F.col(lang), fit.langs)).cast("int") - 1
-    weight = F.coalesce("mix_a", F.lit(1.0)) * F.array(*map(F.lit, fit.b))[own_lang] * F.array(*map(F.lit, fit.c))[F.col("mix_topic")]
-    u = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), F.col(doc_id)), 11) / F.lit(float(1 << 53))
-    joined = docs.join(factors, docs[source].eqNullSafe(factors["mix_source"]), "left")
-    out = joined.withColumn("mix_weight", F.bround(weight, 12)).withColumn("mix_probability", F.least(F.lit(1.0), F.bround(F.col("mix_weight") * fit.rate, 12)))
-    return out.withColumn("mix_sampled", u < F.col("mix_probability")).drop("mix_source", "mix_a")
+    own_lang = F.array_position(F.array(*map(F.lit, fit.langs)), _lang(F.col("doc")[lang], fit.langs)).cast("int") - 1
+    weight = F.coalesce("a", F.lit(1.0)) * F.array(*map(F.lit, fit.b))[own_lang] * F.array(*map(F.lit, fit.c))[F.col("topic")]
+    u = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), F.col("doc")[doc_id]), 11) / F.lit(float(1 << 53))
+    out = docs.join(factors, F.col("doc")[source].eqNullSafe(F.col("of_source")), "left")
+    out = out.withColumn("weight", F.bround(weight, 12)).withColumn("probability", F.least(F.lit(1.0), F.bround(F.col("weight") * fit.rate, 12)))
+    return out.withColumn("sampled", u < F.col("probability")).drop("of_source", "a")
 
 
 def _cells(docs: DataFrame) -> DataFrame:
-    return docs.groupBy("source", "lang", F.col("mix_topic").alias("topic")).agg(F.sum("mix_tokens").alias("tokens"))
+    return docs.groupBy(F.col("doc.source").alias("source"), F.col("doc.lang").alias("lang"), "topic").agg(F.sum("tokens").alias("tokens"))
 
 
-def sampling_plan(docs: DataFrame, **how) -> DataFrame:
+def sampling_plan(docs: DataFrame, topic: str | None = None, **how) -> DataFrame:
     """(doc_id, source, lang, topic, n_tokens, weight, probability, sampled) for every row of docs."""
-    rows = measured(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", "lang")).drop("text")
-    rows = cut(rows)
+    rows = measured(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", "lang", *[topic] * (topic is not None)), topic=topic)
+    rows = cut(rows.withColumn("doc", F.struct("doc.doc_id", "doc.source", "doc.lang")))
     out = drawn(rows, rake(_cells(rows), **how))
-    return out.select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), F.col("mix_weight").alias("weight"), F.col("mix_probability").alias("probability"), F.col("mix_sampled").alias("sampled"))
+    return out.select("doc.doc_id", "doc.source", "doc.lang", "topic", F.col("tokens").alias("n_tokens"), "weight", "probability", "sampled")
 
 
-def mixed(docs: DataFrame, **how) -> DataFrame:
+def mixed(docs: DataFrame, topic: str | None = None, **how) -> DataFrame:
     """The sampled rows of docs, with all their columns."""
-    fit = rake(_cells(measured(docs.select("text", "source", "lang")).drop("text")), **how)
-    return drawn(measured(docs), fit).where("mix_sampled").select(*(F.col(f"`{c}`") for c in docs.columns))
+    fit = rake(_cells(measured(docs, topic=topic)), **how)
+    return drawn(measured(docs, topic=topic), fit).where("sampled").select("doc.*")

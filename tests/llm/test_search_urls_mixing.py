@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessella.llm import mixing, topk, urls
@@ -235,8 +236,75 @@ def test_weights_meet_all_margins(spark):
     assert abs(sum(r["sampled"] for r in small) - sum(r["probability"] for r in small)) < 4 * math.sqrt(len(small)) / 2
 
 
+def slow_rake(rows):
+    """Plain proportional fitting of all cells, and the rate by bisection over documents."""
+    cells, docs = defaultdict(float), []
+    for _, t, lang, source in rows:
+        words = [w[0].lower() for w in (t or "").split()]
+        groups = Counter(k + 1 for w in words for k, letters in enumerate(mixing.TOPICS) if w in letters)
+        topic = min((-n, k) for k, n in groups.items())[1] if groups else 0
+        cell = (source, lang if lang in mixing.LANGS else "other", topic)
+        docs.append((cell, len(words)))
+        cells[cell] += len(words)
+    total = sum(cells.values())
+    sums = [Counter(), Counter(), Counter()]
+    for cell, n in cells.items():
+        for k in range(3):
+            sums[k][cell[k]] += n
+    targets = []
+    for k, s in enumerate(sums):
+        raw = {v: (mixing.LANGS[v] if k == 1 else n**mixing.TEMPER) for v, n in s.items() if n}
+        targets.append({v: x / sum(raw.values()) for v, x in raw.items()})
+    weight = {c: 1.0 for c in cells}
+    for _ in range(500):
+        for k in range(3):
+            now = Counter()
+            for c, n in cells.items():
+                now[c[k]] += n * weight[c] / total
+            weight = {c: w * targets[k].get(c[k], 0) / now[c[k]] if now[c[k]] else w for c, w in weight.items()}
+    low, high = 0.0, 1e6
+    for _ in range(200):
+        rate = (low + high) / 2
+        kept = sum(n * min(1, rate * weight[c]) for c, n in docs)
+        low, high = (rate, high) if kept < mixing.FRACTION * total else (low, rate)
+    return [(weight[c], min(1, rate * weight[c])) for c, _ in docs], targets
+
+
+def test_plan_against_brute_force(spark):
+    rows = [(i, *r[1:]) for i, r in enumerate(mix_rows(1500))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    want, _ = slow_rake(rows)
+    got = {r["doc_id"]: r for r in mixing.sampling_plan(df).collect()}
+    for (i, t, *_), (weight, probability) in zip(rows, want, strict=True):
+        if (t or "").split():
+            assert abs(got[i]["weight"] - weight) < 1e-4 * weight and abs(got[i]["probability"] - probability) < 0.02 * probability, i
+
+
+def test_margins_of_the_sample(spark):
+    """Of the drawn documents, weighted by weight / probability, the margins are the targets."""
+    rows = [(i, *r[1:]) for i, r in enumerate(mix_rows(8000))]
+    _, targets = slow_rake(rows)
+    got = [r for r in mixing.sampling_plan(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect() if r["n_tokens"] < 1000]
+    left = [r for r in mixing.sampling_plan(spark.createDataFrame([r for r in rows if len(r[1] or "") < 9000], "doc_id long, text string, lang string, source string")).collect() if r["sampled"] and r["n_tokens"]]
+    whole = sum(r["n_tokens"] * r["weight"] / r["probability"] for r in left)
+    assert len(got) > 7900
+    lang = Counter()
+    for r in left:
+        lang[r["lang"] if r["lang"] in mixing.LANGS else "other"] += r["n_tokens"] * r["weight"] / r["probability"] / whole
+    assert all(abs(lang[k] - v) < 0.03 for k, v in targets[1].items() if v > 0.02)
+
+
+def test_a_topic_column_and_impossible_targets(spark):
+    rows = [(i, "word " * 10, "en", "s", k) for i, k in enumerate([1, 1, 1, 2, None, 99, -1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, kind int")
+    assert sorted(r["topic"] for r in mixing.sampling_plan(df, topic="kind").collect()) == [0, 0, 0, 1, 1, 1, 2]
+    tied = spark.createDataFrame([(1, "word " * 10, "en", "s", 1), (2, "word " * 10, "de", "t", 2)], "doc_id long, text string, lang string, source string, kind int")
+    with pytest.warns(UserWarning, match="raking"):
+        assert mixing.sampling_plan(tied, topic="kind").count() == 2
+
+
 def test_mixed_keeps_columns_and_agrees_with_the_plan(spark):
-    df = spark.createDataFrame([(*r, 1.0) for r in mix_rows(500)], "doc_id long, text string, lang string, source string, weight double")
+    df = spark.createDataFrame([(*r, 1.0, 2, "x", None) for r in mix_rows(500)], "doc_id long, text string, lang string, source string, weight double, mix_topic int, a string, doc string").withColumn("tokens", F.lit(3))
     out = mixing.mixed(df)
     assert out.columns == df.columns
     plan = {r["doc_id"] for r in mixing.sampling_plan(df).collect() if r["sampled"]}
@@ -253,5 +321,5 @@ def test_many_sources_use_a_join(spark, monkeypatch):
 
 def test_repeated_words_of_topics(spark):
     df = spark.createDataFrame([(1, "apple bear north"), (2, "émile 12"), (3, "Zulu\tvery\nNorth")], "doc_id long, text string")
-    got = {r["doc_id"]: (r["mix_tokens"], r["mix_topic"]) for r in mixing.measured(df).collect()}
+    got = {r["doc"]["doc_id"]: (r["tokens"], r["topic"]) for r in mixing.measured(df).collect()}
     assert got == {1: (3, 1), 2: (2, 0), 3: (3, 4)}
