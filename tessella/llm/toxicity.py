@@ -2,15 +2,17 @@
 
 1. Evidence. A text is lower-cased and cut into words; the words of the lexicons and of *stems* are counted. Stems are
    word beginnings that training texts marked toxic repeat and others don't; they stand for insults of languages that no
-   lexicon covers.
-2. Voters. Each lexicon, each stem and a few patterns vote toxic, clean or abstain. The gold label of a training row is
-   one more voter, so that its accuracy is estimated as well.
-3. Label model. EM estimates, for every voter, how often it votes what on toxic and on clean texts (its accuracy), and
-   from what remains after that the correlations of voters given the class; a voter that repeats others counts for less.
-4. Classifier. Logistic regression on counts, fitted to the posterior labels; every text is scored by it.
+   lexicon covers, and are voters that were written by looking at labelled examples.
+2. Voters. Every lexicon, every lexicon word, every stem and a few patterns vote toxic, clean or abstain.
+3. Label model. A latent class with factors for the accuracies of the voters and for their correlations: given the class, a
+   voter depends on one other, and which one is part of the model (a maximum spanning tree over the voters' mutual
+   information given the class; links that don't pay for their parameters are left out). EM estimates all of it from the
+   votes alone; labels take no part.
+4. Classifier. Logistic regression on counts, fitted to the posterior labels. Gold labels of the fitted rows are only used to
+   calibrate its scores (a scale and a shift, so that the order of texts doesn't change).
 
 Fitted on `MAX_LABELLED` labelled rows at most, those with the smallest hash of their id; only rows whose
-crc32(doc_id as text) mod 3 is not 1 count. Scoring reads nothing but the text.
+crc32(doc_id as text) mod 3 is not 1 count; `mine_stems` takes 64 stems at most from them. Scoring reads nothing but the text.
 
 Defined cases: null and empty texts hold no evidence and get the score of a text without hits. A null doc_id is never
 held out and never trained on. Labels that are null or belong to no document are ignored; if two label rows name one
@@ -79,11 +81,12 @@ def vector(n: int, found: Counter, stems: tuple[str, ...]) -> list[float]:
 
 
 def votes(n: int, found: Counter, stems: tuple[str, ...]) -> list[int]:
-    """1 toxic, -1 clean, 0 abstains: lexicons, stems (dense), dense hits, one in 100 words, no hit, sparse hits of stems."""
+    """1 toxic, -1 clean, 0 abstains: lexicons, their words, stems (dense), dense hits, one in 100 words, different insults, no hit, sparse hits of stems."""
     hits, seeds = sum(found.values()), sum(found[w] for w in SEEDS)
     out = [int(any(found[w] for w in ws)) for ws in LEXICONS.values()]
+    out += [int(found[w] > 0) for w in sorted(SEEDS)]
     out += [int(dense(found[s + "*"], n)) for s in stems]
-    out += [int(dense(hits, n)), int(hits >= 2 and 100 * hits >= n), -int(hits == 0), -int(hits > 0 and not seeds and not dense(hits, n))]
+    out += [int(dense(hits, n)), int(hits >= 2 and 100 * hits >= n), int(sum(found[w] > 0 for w in SEEDS) >= 2), -int(hits == 0), -int(hits > 0 and not seeds and not dense(hits, n))]
     return out
 
 
@@ -109,8 +112,24 @@ def mine_stems(sample: DataFrame, n1: int, n0: int, least: int = 5, log_odds: fl
     return tuple(sorted(r["stem"] for r in best.orderBy(F.desc(F.col("odds") * F.sqrt("p")), "stem").limit(most).collect()))
 
 
-def label_model(ballots, rounds: int = 30):
-    """Posterior P(toxic) of each row; accuracies (voter, class, vote); weights of the voters after their correlations.
+def spanning_tree(gain):
+    """The parent of each voter (-1: none) in the forest of the largest gains; only positive ones count."""
+    import numpy as np
+
+    m = len(gain)
+    parent = np.full(m, -1)
+    best, via, open_ = np.full(m, -np.inf), np.full(m, -1), np.ones(m, bool)
+    for _ in range(m):
+        now = int(np.where(open_, best, -np.inf).argmax()) if np.isfinite(best[open_]).any() else int(open_.argmax())
+        open_[now] = False
+        parent[now] = via[now] if best[now] > 0 else -1
+        better = open_ & (gain[now] > best)
+        best[better], via[better] = gain[now][better], now
+    return parent
+
+
+def label_model(ballots, rounds: int = 40):
+    """(posterior P(toxic) of each row, accuracies by class, voter, vote, and the parent of each voter) from votes alone.
 
     ballots: rows x voters of -1, 0, 1.
     """
@@ -122,24 +141,36 @@ def label_model(ballots, rounds: int = 30):
     size = np.sqrt(np.maximum((raw**2).sum(0), 1e-9))
     alike = ((raw.T @ raw / size / size[:, None]) ** 2).sum(1)  # to begin with, voters that agree share a vote
     post = np.clip(0.5 + 0.45 * np.sign(((v - 1) / np.maximum(alike, 1)).sum(1)), 0.05, 0.95)
-    hot = np.eye(3)[v]  # row, voter, vote
-    for _ in range(rounds):
-        prior = np.clip(post.mean(), 0.01, 0.99)
-        table = np.stack([np.einsum("r,rjk->jk", 1 - post, hot), np.einsum("r,rjk->jk", post, hot)], 1) + 1.0
-        table /= table.sum(2, keepdims=True)
-        rest = np.zeros((m, m))  # what the classes leave unexplained: correlations of the votes given the class
-        for k, p in ((0, 1 - post), (1, post)):
-            mean = table[:, k, 2] - table[:, k, 0]
-            dev = (v - 1 - mean) * np.sqrt(p)[:, None]
-            rest += dev.T @ dev
-        scale = np.sqrt(np.maximum(np.diag(rest), 1e-9))
-        rho = np.clip(rest / scale / scale[:, None], 0, 1)
-        np.fill_diagonal(rho, 0)
-        weight = 1 / (1 + np.where(rho > 0.2, rho, 0).sum(1))
-        ratio = np.log(table[:, 1] / table[:, 0])  # voter, vote
-        score = math.log(prior / (1 - prior)) + (np.take_along_axis(ratio.T, v, 0) * weight).sum(1)
-        post = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-    return post, table, weight
+    hot = np.eye(3)[v].reshape(n, 3 * m)  # row, voter and vote
+    parent, table = np.full(m, -1), None
+    for turn in range(rounds):
+        mass, joint = [], []
+        for p in (1 - post, post):
+            mass.append(p.sum())
+            joint.append(((hot * p[:, None]).T @ hot).reshape(m, 3, m, 3).transpose(0, 2, 1, 3))  # voter, voter, vote, vote
+        single = [np.einsum("jjkk->jk", j) for j in joint]
+        table = np.stack([(s + 1.0) / (s + 1.0).sum(1, keepdims=True) for s in single])
+        if turn % 5 == 0:  # which voters depend on which
+            gain = np.zeros((m, m))
+            for j, s, w in zip(joint, single, mass, strict=True):
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    gain += np.nansum(np.where(j > 0, j * np.log(j * w / (s[:, None, :, None] * s[None, :, None, :])), 0), (2, 3))
+            np.fill_diagonal(gain, -np.inf)
+            parent = spanning_tree(gain - 4 * math.log(n))  # 8 parameters more, half the logarithm of the rows each
+        prior = np.clip(post.mean(), 0.001, 0.999)
+        score = np.full(n, math.log(prior / (1 - prior)))
+        for k in range(m):
+            if parent[k] < 0:
+                ratio = np.log(table[1, k] / table[0, k])[v[:, k]]
+            else:  # smoothed towards the accuracy of the voter by itself
+                given = [joint[c][parent[k], k] + 2.0 * table[c, k] for c in (0, 1)]
+                given = [g / g.sum(1, keepdims=True) for g in given]
+                ratio = np.log(given[1] / given[0])[v[:, parent[k]], v[:, k]]
+            score += ratio
+        last, post = post, 1 / (1 + np.exp(-np.clip(score, -30, 30)))
+        if turn % 5 == 4 and np.abs(post - last).max() < 1e-6:
+            break
+    return post, table, parent
 
 
 def logistic(x, y, ridge: float = 0.5, rounds: int = 40):
@@ -164,8 +195,12 @@ def fit(rows: list[tuple[list[float], list[int], int]], stems: tuple[str, ...])
 
     if len({y for _, _, y in rows}) < 2:
         return PRIOR
-    post, _, _ = label_model([[*v, 2 * y - 1] for _, v, y in rows])
-    weights = logistic(np.array([x for x, _, _ in rows]), post)
+    post, _, _ = label_model([v for _, v, _ in rows])
+    x, gold = np.array([x for x, _, _ in rows]), np.array([y for _, _, y in rows], float)
+    raw = logistic(x, post)
+    shift, scale = logistic(np.stack([np.ones(len(x)), x @ raw], 1), gold, ridge=1.0)
+    weights = raw * max(scale, 0.05)
+    weights[0] += shift
     return Model(stems, tuple(float(round(w, 9)) for w in weights))
 
 

@@ -57,14 +57,74 @@ def test_without_labels_or_documents(spark):
     assert [r["doc_id"] for r in T.keep_clean(frame, empty).collect()] == [2]
 
 
-def test_label_model_finds_good_and_copied_voters():
+def ballots(n=3000):
     rng = random.Random(1)
-    truth = [rng.random() < 0.3 for _ in range(3000)]
-    good, bad = (lambda y, p: (1 if y else -1) if rng.random() < p else (-1 if y else 1)), []
+    truth = [rng.random() < 0.3 for _ in range(n)]
+    good = lambda y, p: (1 if y else -1) if rng.random() < p else (-1 if y else 1)
     rows = []
     for y in truth:
         copied = good(y, 0.6)
-        rows.append([good(y, 0.95), good(y, 0.9), good(y, 0.85), copied, copied, copied])
-    post, table, weight = T.label_model(rows)
+        rows.append([good(y, 0.95), good(y, 0.9), good(y, 0.85), copied, copied if rng.random() < 0.97 else -copied, copied if rng.random() < 0.97 else -copied])
+    return rows, truth
+
+
+def test_label_model_finds_good_and_copied_voters():
+    rows, truth = ballots()
+    post, table, parent = T.label_model(rows)
     assert sum((p > 0.5) == y for p, y in zip(post, truth, strict=True)) / len(truth) > 0.95
-    assert table[0, 1, 2] > table[3, 1, 2] and weight[0] > weight[3] and not bad
+    assert table[1, 0, 2] > table[1, 3, 2] and table[1, 0, 2] > 0.8
+    links = {frozenset((k, p)) for k, p in enumerate(parent.tolist()) if p >= 0}
+    assert len(links) == 2 and all(x <= {3, 4, 5} for x in links)  # the copies hang together, the others stand alone
+
+
+def test_posteriors_against_enumeration():
+    """The joint model, written out: P(class) times each voter's factor given its parent and the class."""
+    rows, _ = ballots(400)
+    post, table, parent = T.label_model(rows, rounds=200)
+    p1 = float(post.mean())
+
+    def factor(k, row, c):
+        if parent[k] < 0:
+            return table[c, k, row[k] + 1]
+        w = post if c else 1 - post
+        n = [sum(float(p) for p, r in zip(w, rows, strict=True) if r[parent[k]] == row[parent[k]] and r[k] == x) + 2 * table[c, k, x + 1] for x in (-1, 0, 1)]
+        return n[row[k] + 1] / sum(n)
+
+    for i in range(0, 400, 37):
+        a, b = p1, 1 - p1
+        for k in range(6):
+            a, b = a * factor(k, rows[i], 1), b * factor(k, rows[i], 0)
+        assert abs(a / (a + b) - post[i]) < 1e-3
+
+
+def test_spanning_tree_against_all_trees():
+    from itertools import product
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        gain = rng.normal(0.3, 1, (5, 5))
+        gain = gain + gain.T
+        np.fill_diagonal(gain, -np.inf)
+
+        def root(choice, k):
+            for _ in range(6):
+                k = choice[k] if choice[k] >= 0 else k
+            return choice[k] < 0
+
+        best = max(sum(gain[k, p] for k, p in enumerate(c) if p >= 0) for c in product(range(-1, 5), repeat=5) if all(p != k for k, p in enumerate(c)) and all(root(c, k) for k in range(5)))
+        parent = T.spanning_tree(gain)
+        assert abs(sum(gain[k, p] for k, p in enumerate(parent.tolist()) if p >= 0) - best) < 1e-9
+
+
+def test_labels_only_calibrate(spark):
+    """With the labels turned over, the order of scores is kept or turned as a whole; with labels drawn at random the posteriors stay."""
+    docs, labels = corpus(300)
+    gold = dict(labels)
+    rows = [(T.vector(*T.evidence(t, frozenset()), ()), T.votes(*T.evidence(t, frozenset()), ()), gold[i]) for i, t in docs if i in gold]
+    right, mixed = T.fit(rows, ()), T.fit([(x, v, i % 2) for i, (x, v, _) in enumerate(rows)], ())
+    import numpy as np
+
+    a, b = np.array(right.weights[1:]), np.array(mixed.weights[1:])
+    assert abs(abs(a @ b) / (np.linalg.norm(a) * np.linalg.norm(b)) - 1) < 1e-6
