@@ -56,7 +56,7 @@ def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = secrets.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), path="source")
     return found.select("doc_id", "finding_no", F.length("cand").alias("length"), F.sha2("cand", 256).alias("cand_sha256"), "probability", "is_secret")
 
 

@@ -1,9 +1,11 @@
 """Secret scan: candidates by one pattern, false positives removed by a random forest compiled to SQL expressions.
 
-A candidate is a run of 16 or more of A-Z a-z 0-9 + / _ - with what pads it, or whatever stands up to a blank, quote or
-bracket, six characters at least, behind a secret's name and a sign of assignment. A '=' ends a name. Its features are length, changes between
-kinds of characters, how much of it common letter pairs and dictionary words cover, the path it stands in, and the words
-before and after it. The forest is trained on labelled findings: `labelled_findings` makes them by rule from templates
+A candidate is a run of 16 or more of A-Z a-z 0-9 + / _ - with what pads it; or whatever stands up to a blank, quote or
+bracket, six characters at least, behind a secret's name and a sign of assignment; or the password of a URL with a user. A
+'=' ends a name. A shorter run that no name announces, and a value of under six characters, is no candidate. The features
+are length, transitions between kinds of characters and between consonants and vowels, how much of it common letter pairs and
+dictionary words cover, the path of the file that it was found in (if a column is named), whether it is itself part of a path
+or URL, and the words before and after it. The forest is trained on labelled findings: `labelled_findings` makes them by rule from templates
 of real secrets and of look-alikes (commits, checksums, UUIDs, paths, card numbers, placeholders, long words, rules), a
 fixed number of texts, cut into candidates as a scan cuts them. The fitted trees become CASE expressions, so that scanning is a projection without shuffle, join or Python.
 
@@ -23,11 +25,13 @@ NAME = r"(?:token|secret|passw(?:or)?d|pwd|passphrase|api[_ -]?key|access[_ -]?k
 #: A value behind a name; then a long run, padded unless the sign assigns.
 ASSIGNED = rf"(?<=[=:\s\"'])(?:(?<=(?i:{NAME}[\"']?\s?[=:]{{1,2}}\s{{0,2}}[\"']?))|(?<=\b(?i:bearer)\s))(?!(?i:bearer|basic)\s)[^\s\"'`,;<>()\[\]{{}}=:][^\s\"'`,;<>()\[\]{{}}]{{5,}}+"
 RUN = r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_=\-]|[\"'][A-Za-z0-9+/_\-]))?+"
-CANDIDATE = f"{ASSIGNED}|{RUN}"
+#: The password in scheme://user:password@host.
+LOGIN = r"(?<=://[^\s:/@\"']{1,40}:)[^\s@/\"']{6,}+(?=@)"
+CANDIDATE = f"{LOGIN}|{ASSIGNED}|{RUN}"
 MASK = "[SECRET]"
 AROUND = 40
-N_FINDINGS = 2400
-KINDS = 22
+N_FINDINGS = 3360
+KINDS = 28
 TREES, DEPTH, SEED = 25, 6, 42
 THRESHOLD = 0.5
 
@@ -41,11 +45,12 @@ DICTIONARY = (
 ).split()
 PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce".split()
 
-FEATURES = ("length", "changes", "digits", "uppers", "distinct", "pairs", "words", "hex", "slashes", "repeats", "known", "named", "hashed", "sample", "assigned", "extension", "only_digits")
+FEATURES = ("length", "changes", "digits", "uppers", "distinct", "pairs", "words", "hex", "slashes", "repeats", "known", "named", "hashed", "sample", "assigned", "extension", "only_digits", "syllables", "clusters", "case_changes", "digit_changes", "in_path", "path_sample", "path_config")
 
 
-def features(cand: Column, before: Column, after: Column) -> dict[str, Column]:
-    """The features of a candidate, in the order of FEATURES."""
+def features(cand: Column, before: Column, after: Column, path: Column | None = None) -> dict[str, Column]:
+    """The features of a candidate, in the order of FEATURES; path is that of its file."""
+    path = F.lit("") if path is None else F.coalesce(path.cast("string"), F.lit(""))
     n = F.length(cand).cast("double")
     low = F.lower(cand)
 
@@ -66,18 +71,25 @@ def features(cand: Column, before: Column, after: Column) -> dict[str, Column]:
         "hex": flag(cand.rlike("^[0-9a-f]+$|^[0-9A-F]+$")),
         "slashes": (F.regexp_count(cand, F.lit("[/_-]")) / n).cast("double"),
         "repeats": flag(low.rlike(r"(.)\1{4}|0123456|1234567|abcdef")),
-        "known": flag(cand.rlike("^(AKIA|ASIA|ghp_|gho_|glpat-|sk_live_|sk-|xox[abp]-|AIza|eyJ|SG_)")),
+        "known": flag(cand.rlike("^(AKIA|ASIA|ghp_|gho_|glpat-|sk_live_|sk-|xox[abp]-|AIza|eyJ|SG_|SG[.]|npm_|xox[a-z]-)")),
         "named": flag(before.rlike(rf"(?i)({NAME}|bearer)\W{{0,6}}$")),
-        "hashed": flag(before.rlike(r"(?i)(commit|revision|rev|sha-?1|sha-?256|md5|checksum|digest|hash|etag|uuid|guid|build|request|trace|order|invoice|card|phone|id)\W{0,6}$")),
+        "hashed": flag(before.rlike(r"(?i)(commit|revision|rev|sha-?1|sha-?256|md5|checksum|digest|hash|etag|uuid|guid|build|request|trace|order|invoice|card|phone|id)\b[^.!?\n]{0,16}$")),
         "sample": flag(F.concat(before, low, after).rlike("(?i)example|sample|dummy|placeholder|changeme|your[_-]|xxxx")),
         "assigned": flag(before.rlike(r"[=:]\s{0,2}[\"']?$")),
         "extension": flag(after.rlike(r"^\.[a-z]{2,4}\b")),
         "only_digits": flag(cand.rlike("^[0-9=+_-]+$")),
+        "syllables": (F.regexp_count(low, F.lit("[bcdfghjklmnpqrstvwxz][aeiouy]")) / n).cast("double"),
+        "clusters": (F.regexp_count(low, F.lit("[bcdfghjklmnpqrstvwxz]{4}")) / n).cast("double"),
+        "case_changes": (F.regexp_count(cand, F.lit("(?<=[a-z])[A-Z]|(?<=[A-Z])[a-z]")) / n).cast("double"),
+        "digit_changes": (F.regexp_count(cand, F.lit("(?<=[0-9])[A-Za-z]|(?<=[A-Za-z])[0-9]")) / n).cast("double"),
+        "in_path": flag(before.rlike(r"(://|/)[^\s\"'=]*$") & ~before.rlike(r"://[^\s/@]*:$")),
+        "path_sample": flag(path.rlike(r"(?i)\b(tests?|fixtures?|examples?|samples?|docs?|specs?|mocks?)\b")),
+        "path_config": flag(path.rlike(r"(?i)\.(env|ya?ml|properties|ini|cfg|conf|pem)\b|\b(config|secrets?|credentials?|deploy)\b")),
     }
 
 
 def labelled_findings(spark: SparkSession, n: int = N_FINDINGS) -> DataFrame:
-    """(cand, before, after, label): the candidates of n texts made by rule; kinds alternate, every other text holds a secret.
+    """(cand, before, after, path, label): the candidates of n texts made by rule; kinds alternate, every other text holds a secret.
 
     The texts are cut as `judged` cuts them; a candidate that the secret of its text reaches into is one.
     """
@@ -96,6 +108,9 @@ def labelled_findings(spark: SparkSession, n: int = N_FINDINGS) -> DataFrame:
         ("password: ", F.concat(F.substring(b64, 1, 9), F.lit("&"), F.substring(small, 1, 1), F.lit("4"), F.substring(small, 2, 2)), " "), ("DB_PASSWORD=", F.concat(word[2], F.substring(figures, 1, 1), F.initcap(word[3]), F.substring(figures, 2, 2)), "\n"),
         ("export API_KEY=", F.substring(b64, 1, 24), "\n"), ("pwd: ", F.concat(F.initcap(F.substring(small, 1, 5)), F.lit("!"), F.substring(figures, 1, 3)), "\n"), ('"secret": "', F.concat(F.substring(b64, 1, 12), F.lit("$"), F.substring(h, 1, 4)), '"}'),
         (F.concat(F.upper(F.concat_ws("_", *word[2:4])), F.element_at(F.array(*map(F.lit, ("_PASSWORD=", "_ADMIN_PASSWORD=", "_SECRET_ACCESS_KEY=", "_API_TOKEN="))), (F.conv(F.substring(g, 30, 2), 16, 10).cast("int") % 4 + 1))), F.substring(b64, 1, 20), "\n"),
+        ("SLACK_BOT: ", F.concat(F.lit("xoxb-"), F.substring(figures, 1, 12), F.lit("-"), F.substring(figures, 13, 12), F.lit("-"), F.substring(b64, 1, 24)), " "), ("Cookie: session=", F.substring(h, 1, 32), "; "), ("maps key ", F.concat(F.lit("AIza"), F.substring(b64, 1, 35)), "\n"),
+        ("//registry/:_authToken=", F.concat(F.lit("npm_"), F.substring(b64, 1, 36)), "\n"), (F.concat(F.lit("postgres://"), word[3], F.lit(":")), F.concat(word[2], F.substring(figures, 1, 3), F.lit("!"), F.substring(small, 1, 4)), "@db.host/app "), ("git ", F.concat(F.lit("glpat-"), F.substring(b64, 1, 20)), " "),
+        ("SENDGRID=", F.concat(F.lit("SG."), F.substring(b64, 1, 22), F.lit("."), F.substring(b64, 23, 18)), "\n"),
     ]
     no = [
         ("commit ", F.substring(h, 1, 40), " "), ("sha256: ", h, " "), ('md5 = "', F.substring(h, 1, 32), '" '), ("id: ", F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12)), " "),
@@ -104,6 +119,8 @@ def labelled_findings(spark: SparkSession, n: int = N_FINDINGS) -> DataFrame:
         ("the ", F.concat(*word[:3]), " of "), ("see /", F.concat_ws("/", *word[:4]), "/ "), ("the ", F.concat_ws("-", *word[:4]), ", "), ("", F.repeat(F.element_at(F.array(*map(F.lit, "-_=/+")), (F.conv(F.substring(g, 30, 2), 16, 10).cast("int") % 5 + 1)), 30), "\n"),
         ("password: ", word[2], " is "), ("token: ", F.concat(word[2], F.lit("."), word[3]), " "), ("call ", F.concat(word[0], F.initcap(word[1]), F.initcap(word[2]), F.initcap(word[3])), "() "), ("api_key=", F.concat(F.lit("<your_"), word[2], F.lit(">")), " "), ("", F.upper(F.concat_ws("_", *word[2:5])), "=30\n"), ("token: ", spoken, " "),
         ("call ", F.concat(F.lit("+49-"), F.substring(F.translate(h, "abcdef", "123456"), 1, 13)), " "), ("of the ", F.substring(F.translate(h, "abcdef", "123456"), 1, 19), ", "),
+        ("sha1 checksum token = ", F.substring(h, 1, 40), " "), ("etag: ", F.substring(h, 1, 32), " "), (F.concat(F.lit("https://cdn.site.example/"), word[0], F.lit("/")), F.concat(F.substring(h, 1, 20), F.lit("-"), word[1]), ".js"), ("import ", F.concat_ws("/", *word[:3], F.concat(F.initcap(word[3]), F.initcap(word[4]))), "\n"),
+        ("build request ", F.substring(b64, 1, 22), " "), ("data:image/png;base64,iVBORw0KGgo", F.concat(b64, F.substring(F.base64(F.unhex(g)), 1, 40)), '" '),
     ]
 
     def pick(which: int) -> Column:
@@ -115,11 +132,14 @@ def labelled_findings(spark: SparkSession, n: int = N_FINDINGS) -> DataFrame:
 
         return F.when(F.col("id") % 2 == 1, of(yes, F.lit(""))).otherwise(of(no, F.lit("")))
 
+    places = F.array(*map(F.lit, ("", "web", "src/main.py", "notes.txt")))
+    own = F.array(F.when(F.col("id") % 2 == 1, F.lit("deploy/app.env")).otherwise("tests/fixtures/data.json"))
+    path = F.element_at(F.concat(places, own), F.conv(F.substring(g, 40, 2), 16, 10).cast("int") % 5 + 1)
     lead = F.concat(word[0], F.lit(" "), word[1], F.lit(" "))
-    made = spark.range(0, n, 1, 1).select(F.concat(lead, pick(0), pick(1), pick(2)).alias("text"), pick(1).alias("value"), (F.col("id") % 2).alias("secret"))
-    found = made.where(F.col("text").rlike(CANDIDATE)).select("value", "secret", F.explode(_split(F.col("text"), lambda c, before, after: F.struct(c.alias("cand"), before.alias("before"), after.alias("after")))[1]).alias("x"))
+    made = spark.range(0, n, 1, 1).select(F.concat(lead, pick(0), pick(1), pick(2)).alias("text"), pick(1).alias("value"), path.alias("path"), (F.col("id") % 2).alias("secret"))
+    found = made.where(F.col("text").rlike(CANDIDATE)).select("value", "secret", "path", F.explode(_split(F.col("text"), lambda c, before, after: F.struct(c.alias("cand"), before.alias("before"), after.alias("after")))[1]).alias("x"))
     reached = F.col("value").contains(F.col("x.cand")) | F.col("x.cand").contains(F.col("value"))
-    return found.select("x.*", ((F.col("secret") == 1) & reached).cast("double").alias("label"))
+    return found.select("x.*", "path", ((F.col("secret") == 1) & reached).cast("double").alias("label"))
 
 
 def _walk(node, names: tuple[str, ...]):
@@ -132,18 +152,18 @@ def _walk(node, names: tuple[str, ...]):
 
 
 def train(spark: SparkSession, findings: DataFrame | None = None, trees: int = TREES, depth: int = DEPTH) -> list:
-    """The fitted trees. findings: (cand, before, after, label), by default those of `labelled_findings`."""
+    """The fitted trees. findings: (cand, before, after, path, label), by default those of `labelled_findings`."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    rows = (labelled_findings(spark) if findings is None else findings).select(F.col("label").cast("double").alias("label"), *(c.alias(k) for k, c in features(F.col("cand"), F.col("before"), F.col("after")).items()))
+    rows = (labelled_findings(spark) if findings is None else findings).select(F.col("label").cast("double").alias("label"), *(c.alias(k) for k, c in features(F.col("cand"), F.col("before"), F.col("after"), F.col("path")).items()))
     ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=SEED, featureSubsetStrategy="sqrt").fit(ready)
     return [_walk(t._java_obj.rootNode(), FEATURES) for t in model.trees]
 
 
-def forest(trees: list) -> Callable[[Column, Column, Column], Column]:
-    """The probability that (candidate, before, after) is a secret, as an expression."""
+def forest(trees: list, path: Column | None = None) -> Callable[[Column, Column, Column], Column]:
+    """The probability that (candidate, before, after), found in a file of that path, is a secret, as an expression."""
 
     def expression(tree, of: dict[str, Column]) -> Column:
         if not isinstance(tree, tuple):
@@ -153,7 +173,7 @@ def forest(trees: list) -> Callable[[Column, Column, Column], Column]:
 
     def probability(cand: Column, before: Column, after: Column) -> Column:
         of = {k: F.col(f"f.{k}") for k in FEATURES}
-        packed = F.struct(*(c.alias(k) for k, c in features(cand, before, after).items()))
+        packed = F.struct(*(c.alias(k) for k, c in features(cand, before, after, path).items()))
 
         def mean(f: Column) -> Column:
             own = {k: f[k] for k in of}
@@ -182,17 +202,17 @@ def judged(text: Column, probability: Callable) -> tuple[Column, Column]:
     return _split(text, lambda c, before, after: F.struct(c.alias("cand"), probability(c, before, after).alias("probability")))
 
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", trees: list | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", trees: list | None = None, threshold: float = THRESHOLD, path: str | None = None) -> DataFrame:
     """(doc_id, finding_no, cand, probability, is_secret): a row for every candidate, numbered within its text from 1."""
-    probability = forest(trees or train(docs.sparkSession))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).where(F.col("text").rlike(CANDIDATE))
+    probability = forest(trees or train(docs.sparkSession), F.col("path"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), (F.lit("") if path is None else F.col(path)).alias("path")).where(F.col("text").rlike(CANDIDATE))
     found = rows.select("doc_id", F.posexplode(judged(F.col("text"), probability)[1]).alias("pos", "x"))
     return found.select("doc_id", (F.col("pos") + 1).alias("finding_no"), F.col("x.cand").alias("cand"), F.round("x.probability", 6).alias("probability"), (F.col("x.probability") >= threshold).alias("is_secret"))
 
 
-def redact(docs: DataFrame, text: str = "text", trees: list | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", trees: list | None = None, threshold: float = THRESHOLD, path: str | None = None) -> DataFrame:
     """docs with every secret in the text replaced by MASK."""
-    probability = forest(trees or train(docs.sparkSession))
+    probability = forest(trees or train(docs.sparkSession), None if path is None else F.col(path))
     pieces, found = judged(F.col(text), probability)
     kept = F.concat(F.transform(found, lambda x: F.when(x["probability"] >= threshold, F.lit(MASK)).otherwise(x["cand"])), F.array(F.lit("")))
     return docs.withColumn(text, F.when(F.col(text).rlike(CANDIDATE), F.array_join(F.zip_with(pieces, kept, lambda a, b: F.concat(a, b)), "")).otherwise(F.col(text)))
