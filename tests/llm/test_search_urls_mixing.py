@@ -149,48 +149,89 @@ def test_urls_against_brute_force(spark):
     assert all(r["verdict"] == "allow" and r["score"] == 0 for r in got if not r["host"] and r["page_id"] in (5000, 5001))
 
 
-def test_url_scores_against_brute_force(spark):
-    rows = [(i, u) for i, u in url_rows()[:300]]
+def slow_model(urls_with_labels):
+    """Two models as functions of (context string, symbol): plain dictionaries of contexts of any length."""
+    counts = [defaultdict(Counter), defaultdict(Counter)]
+    for s, y in urls_with_labels:
+        for k in range(urls.ORDER, len(s)):
+            for order in range(urls.ORDER + 1):
+                counts[y][s[k - order : k]][s[k]] += 1
+    totals = Counter()
+    for y in (0, 1):
+        for c, n in counts[y].items():
+            totals[c] += sum(n.values())
+    key = lambda c: urls.context_key(len(c), sum(x * urls.N**i for i, x in enumerate(reversed(c))))
+    some = sorted((c for c in totals if len(c) >= 3 and totals[c] >= urls.LEAST), key=lambda c: (-totals[c], key(c)))[: urls.CONTEXTS]
+    kept = set()
+
+    def p(y, context, symbol):
+        c = context[-2:]
+        for order in range(urls.ORDER, 2, -1):
+            if len(context) >= order and context[-order:] in kept:
+                c = context[-order:]
+                break
+        return own(y, c, symbol)
+
+    def own(y, c, symbol):
+        n = counts[y].get(c, Counter())
+        total = sum(n.values())
+        if not c:
+            return (n[symbol] + len(n) / urls.N) / (total + len(n))
+        under = own(y, c[1:], symbol) if len(c) <= 2 else p(y, c[1:], symbol)
+        return (n[symbol] + len(n) * under) / (total + len(n)) if total else under
+
+    for c in sorted(some, key=key):
+        gain = cost = 0.0
+        for y in (0, 1):
+            n = counts[y].get(c, Counter())
+            gain += sum(k * math.log(own(y, c, x) / p(y, c[1:], x)) for x, k in n.items())
+            cost += 0.5 * len(n) * math.log(sum(n.values())) if n else 0
+        if gain > cost:
+            kept.add(c)
+    return p, kept
+
+
+def test_url_scores_and_verdicts_against_brute_force(spark, monkeypatch):
+    rows = [(i, u) for i, u in url_rows()[:900]]
     df = spark.createDataFrame(rows, "page_id long, url string")
-    got = {r["page_id"]: r["score"] for r in urls.judged(df).collect()}
+    got = {r["page_id"]: r for r in urls.judged(df).collect()}
 
     def code(c):
         c = c.lower()
         return ord(c) - 97 if "a" <= c <= "z" else {".": urls.DOT, "-": urls.DASH, "/": urls.SLASH}.get(c, urls.DIGIT if c.isdigit() else urls.REST)
 
-    grams = {}
-    for i, u in rows:
-        s = [urls.EDGE] * 2 + [code(c) for c in u] + [urls.EDGE]
-        grams[i] = [(s[k - 2], s[k - 1], s[k]) for k in range(2, len(s))]
-    counts = {0: Counter(), 1: Counter()}
+    held = {r["page_id"]: r["h"] for r in spark.createDataFrame([(i, slow_parts(u)[0]) for i, u in rows], "page_id long, host string").select("page_id", (F.pmod(F.xxhash64("host"), F.lit(urls.FOLDS)) == 0).alias("h")).collect()}
+    syms, label = {}, {}
     for i, u in rows:
+        syms[i] = tuple([urls.EDGE] * urls.ORDER + [code(c) for c in u] + [urls.EDGE])
         host, path = slow_parts(u)
-        bad = any(m in host for m in urls.MARKERS)
-        if bad or slow_rule(host, path)[1] != "block":
-            counts[int(bad)].update(grams[i])
-
-    def log_p(n, g):
-        def mix(count, context, kinds, lower):
-            return (count + kinds * lower) / (context + kinds) if context else lower
-
-        one, two = Counter(), Counter()
-        for (_, b, c), k in n.items():
-            one[c] += k
-            two[b, c] += k
-        kinds, total = len(one), sum(one.values())
-        a, b, c = g
-        p0 = (one[c] + kinds / urls.N) / (total + kinds)
-        p1 = mix(two[b, c], sum(k for (x, _), k in two.items() if x == b), len({y for x, y in two if x == b}), p0)
-        return math.log(mix(n[g], sum(k for (x, y, _), k in n.items() if (x, y) == (a, b)), len({z for x, y, z in n if (x, y) == (a, b)}), p1))
-
-    memo = {}
-    for i in list(grams)[:25]:
-        total = 0.0
-        for g in grams[i]:
-            if g not in memo:
-                memo[g] = log_p(counts[1], g) - log_p(counts[0], g)
-            total += memo[g]
-        assert abs(got[i] - total / len(grams[i])) < 1e-5
+        label[i] = 1 if any(m in host for m in urls.MARKERS) else None if slow_rule(host, path)[1] == "block" or not host else 0
+    p, kept = slow_model([(syms[i], label[i]) for i, _ in rows if label[i] is not None and not held[i]])
+    assert {3, 4} <= {len(c) for c in kept}
+    score = {}
+    for i, _ in rows:
+        s = syms[i]
+        score[i] = sum(math.log(p(1, s[k - 5 : k], s[k]) / p(0, s[k - 5 : k], s[k])) for k in range(5, len(s))) / (len(s) - 5)
+        assert abs(got[i]["score"] - score[i]) < 1e-5
+    errors = lambda t: sum(score[i] <= t for i in bad) / len(bad) + sum(score[i] > t for i in good) / len(good)
+    bad, good = ([i for i, _ in rows if held[i] and label[i] == y] for y in (1, 0))
+    free = [i for i, _ in rows if got[i]["rule"] is None]
+    top = max((score[i] for i in free if got[i]["verdict"] == "allow"), default=-9.0)
+    low = min(score[i] for i in free if got[i]["verdict"] == "block")
+    assert top < low and errors((top + low) / 2) <= min(errors(t) for t in score.values()) + 0.03
+
+
+def test_every_key_has_one_of_two_places():
+    rng = random.Random(6)
+    for n in (0, 1, 5, 4096):
+        keys = rng.sample(range(32**3, 2 * 32**5), n)
+        bits, slots = urls.two_places(keys)
+        assert sorted(k for k in slots if k >= 0) == sorted(keys) and all(slots[at] in (-1,) or at in (urls.place(slots[at], 0, bits), urls.place(slots[at], 1, bits)) for at in range(len(slots)))
+
+
+def test_urls_without_markers_are_allowed(spark):
+    df = spark.createDataFrame([(1, "http://a.example.net/x"), (2, "http://b.example.org/es/y")], "page_id long, url string")
+    assert {r["page_id"]: (r["verdict"], r["score"]) for r in urls.judged(df).collect()} == {1: ("allow", 0.0), 2: ("block", 0.0)}
 
 
 def test_urls_native_and_empty(spark):
