@@ -7,7 +7,8 @@ are length, transitions between kinds of characters and between consonants and v
 dictionary words cover, the path of the file that it was found in (if a column is named), whether it is itself part of a path
 or URL, and the words before and after it. The forest is trained on labelled findings: `labelled_findings` makes them by rule from templates
 of real secrets and of look-alikes (commits, checksums, UUIDs, paths, card numbers, placeholders, long words, rules), a
-fixed number of texts, cut into candidates as a scan cuts them. The fitted trees become CASE expressions, so that scanning is a projection without shuffle, join or Python.
+fixed number of texts, cut into candidates as a scan cuts them. The fitted trees become arrays of nodes that an expression
+walks, so that scanning is a projection without shuffle, join or Python.
 
 Defined cases: null texts hold no candidates and stay null; empty texts stay empty. Every row is judged by itself, so
 repeated rows, null ids and ties need no rule. Columns of any name pass through `redact` unchanged but for the text.
@@ -21,6 +22,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.llm.common import cut
+
 NAME = r"(?:token|secret|passw(?:or)?d|pwd|passphrase|api[_ -]?key|access[_ -]?key|private[_ -]?key|secret[_ -]?key|credentials?|authorization|auth)"
 #: A value behind a name; then a long run, padded unless the sign assigns.
 ASSIGNED = rf"(?<=[=:\s\"'])(?:(?<=(?i:{NAME}[\"']?\s?[=:]{{1,2}}\s{{0,2}}[\"']?))|(?<=\b(?i:bearer)\s))(?!(?i:bearer|basic)\s)[^\s\"'`,;<>()\[\]{{}}=:][^\s\"'`,;<>()\[\]{{}}]{{5,}}+"
@@ -93,16 +96,16 @@ def labelled_findings(spark: SparkSession, n: int = N_FINDINGS) -> DataFrame:
 
     The texts are cut as `judged` cuts them; a candidate that the secret of its text reaches into is one.
     """
-    h, kind = F.sha2(F.concat(F.lit("finding"), F.col("id").cast("string")), 256), (F.col("id") / 2).cast("long") % KINDS
-    g = F.sha2(F.concat(h, F.lit("g")), 256)
-    b64 = F.regexp_replace(F.base64(F.unhex(h)), "=", "")
-    word = [F.element_at(F.array(*map(F.lit, DICTIONARY)), (F.conv(F.substring(g, 1 + 4 * i, 4), 16, 10).cast("int") % len(DICTIONARY) + 1)) for i in range(6)]
-    figures, letters = F.translate(h, "abcdef", "123456"), F.translate(F.upper(F.substring(h, 1, 16)), "0123456789", "QWRTYUIOPS")
-    small = F.translate(g, "0123456789", "ghkmprtvxz")
-    spoken = F.concat(*(F.element_at(F.array(*map(F.lit, PAIRS)), (F.conv(F.substring(g, 25 + 4 * i, 4), 16, 10).cast("int") % len(PAIRS) + 1)) for i in range(4)))
+    base = spark.range(0, n, 1, 1).select("id", F.sha2(F.concat(F.lit("finding"), F.col("id").cast("string")), 256).alias("h"), ((F.col("id") / 2).cast("long") % KINDS).cast("int").alias("kind"))
+    base = base.withColumn("g", F.sha2(F.concat("h", F.lit("g")), 256))
+    take = lambda xs, i, at: F.element_at(F.array(*map(F.lit, xs)), F.conv(F.substring("g", at, i), 16, 10).cast("int") % len(xs) + 1)
+    words = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.element_at(F.array(*map(F.lit, DICTIONARY)), F.conv(F.substr("g", 1 + 4 * i, F.lit(4)), 16, 10).cast("int") % len(DICTIONARY) + 1))
+    spoken = F.concat(*(take(PAIRS, 4, 25 + 4 * i) for i in range(4)))
+    base = base.select("*", words.alias("w"), F.regexp_replace(F.base64(F.unhex("h")), "=", "").alias("b64"), F.base64(F.unhex("g")).alias("more"), F.translate("h", "abcdef", "123456").alias("figures"), F.translate(F.upper(F.substring("h", 1, 16)), "0123456789", "QWRTYUIOPS").alias("letters"), F.translate("g", "0123456789", "ghkmprtvxz").alias("small"), spoken.alias("spoken"))
+    h, g, b64, figures, letters, small, spoken, word = F.col("h"), F.col("g"), F.col("b64"), F.col("figures"), F.col("letters"), F.col("small"), F.col("spoken"), [F.col("w")[i] for i in range(6)]
     yes = [
         ('token = "', F.substring(h, 1, 40), '" '), ('TOKEN = "', F.upper(F.substring(h, 1, 40)), '"!!'), ("api_key: ", F.substring(b64, 1, 32), " "), ("", F.concat(F.lit("AKIA"), F.upper(F.substring(h, 1, 16))), " "),
-        ("secret='", F.substring(b64, 1, 40), "' "), ("Authorization: Bearer ", F.concat(F.lit("eyJ"), b64, F.substring(F.base64(F.unhex(g)), 1, 40)), " "), ("", F.concat(F.lit("ghp_"), F.substring(b64, 1, 36)), ", "), ("password=", F.substring(b64, 1, 20), "\n"),
+        ("secret='", F.substring(b64, 1, 40), "' "), ("Authorization: Bearer ", F.concat(F.lit("eyJ"), b64, F.substring("more", 1, 40)), " "), ("", F.concat(F.lit("ghp_"), F.substring(b64, 1, 36)), ", "), ("password=", F.substring(b64, 1, 20), "\n"),
         ("access key ", F.concat(F.lit("sk_live_"), F.substring(b64, 1, 24)), " "), ('"private_key": "', F.concat(h, g), '" '), ('token = "', F.substring(h, 1, 40), '"### '), ("auth: ", F.substring(h, 1, 32), " "),
         ("key ", F.concat(F.lit("AKIA"), letters), " "), ("AWS_KEY=", F.concat(F.lit("AKIA"), F.upper(F.substring(h, 1, 16))), "\n"), ("password: ", F.concat(word[2], F.substring(figures, 1, 1), F.substring(small, 1, 3)), " "),
         ("password: ", F.concat(F.substring(b64, 1, 9), F.lit("&"), F.substring(small, 1, 1), F.lit("4"), F.substring(small, 2, 2)), " "), ("DB_PASSWORD=", F.concat(word[2], F.substring(figures, 1, 1), F.initcap(word[3]), F.substring(figures, 2, 2)), "\n"),
@@ -114,29 +117,25 @@ def labelled_findings(spark: SparkSession, n: int = N_FINDINGS) -> DataFrame:
     ]
     no = [
         ("commit ", F.substring(h, 1, 40), " "), ("sha256: ", h, " "), ('md5 = "', F.substring(h, 1, 32), '" '), ("id: ", F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12)), " "),
-        ("card ", F.substring(F.translate(h, "abcdef", "123456"), 1, 16), " "), ("https://news.site.example/", F.concat_ws("-", *word[:5], F.lit("2024")), ".html"), ("src=/static/", F.concat_ws("/", *word[:3], F.concat(word[3], F.substring(F.translate(h, "abcdef", "123456"), 1, 4))), ".png"),
-        ('token = "', F.lit("xxxxxxxx0000xxxxxxxxxxxx"), '" '), ("api_key: ", F.concat(F.lit("YOUR_API_KEY_EXAMPLE_"), F.substring(h, 1, 2), F.lit("0")), " "), ("the ", F.concat(*word[:3], F.substring(F.translate(h, "abcdef", "123456"), 1, 2)), " of "),
+        ("card ", F.substring(figures, 1, 16), " "), ("https://news.site.example/", F.concat_ws("-", *word[:5], F.lit("2024")), ".html"), ("src=/static/", F.concat_ws("/", *word[:3], F.concat(word[3], F.substring(figures, 1, 4))), ".png"),
+        ('token = "', F.lit("xxxxxxxx0000xxxxxxxxxxxx"), '" '), ("api_key: ", F.concat(F.lit("YOUR_API_KEY_EXAMPLE_"), F.substring(h, 1, 2), F.lit("0")), " "), ("the ", F.concat(*word[:3], F.substring(figures, 1, 2)), " of "),
         ("the ", F.concat(*word[:3]), " of "), ("see /", F.concat_ws("/", *word[:4]), "/ "), ("the ", F.concat_ws("-", *word[:4]), ", "), ("", F.repeat(F.element_at(F.array(*map(F.lit, "-_=/+")), (F.conv(F.substring(g, 30, 2), 16, 10).cast("int") % 5 + 1)), 30), "\n"),
         ("password: ", word[2], " is "), ("token: ", F.concat(word[2], F.lit("."), word[3]), " "), ("call ", F.concat(word[0], F.initcap(word[1]), F.initcap(word[2]), F.initcap(word[3])), "() "), ("api_key=", F.concat(F.lit("<your_"), word[2], F.lit(">")), " "), ("", F.upper(F.concat_ws("_", *word[2:5])), "=30\n"), ("token: ", spoken, " "),
-        ("call ", F.concat(F.lit("+49-"), F.substring(F.translate(h, "abcdef", "123456"), 1, 13)), " "), ("of the ", F.substring(F.translate(h, "abcdef", "123456"), 1, 19), ", "),
+        ("call ", F.concat(F.lit("+49-"), F.substring(figures, 1, 13)), " "), ("of the ", F.substring(figures, 1, 19), ", "),
         ("sha1 checksum token = ", F.substring(h, 1, 40), " "), ("etag: ", F.substring(h, 1, 32), " "), (F.concat(F.lit("https://cdn.site.example/"), word[0], F.lit("/")), F.concat(F.substring(h, 1, 20), F.lit("-"), word[1]), ".js"), ("import ", F.concat_ws("/", *word[:3], F.concat(F.initcap(word[3]), F.initcap(word[4]))), "\n"),
-        ("build request ", F.substring(b64, 1, 22), " "), ("data:image/png;base64,iVBORw0KGgo", F.concat(b64, F.substring(F.base64(F.unhex(g)), 1, 40)), '" '),
+        ("build request ", F.substring(b64, 1, 22), " "), ("data:image/png;base64,iVBORw0KGgo", F.concat(b64, F.substring("more", 1, 40)), '" '),
     ]
 
-    def pick(which: int) -> Column:
-        def of(rows: list, default: Column) -> Column:
-            for i, row in enumerate(rows):
-                part = row[which] if isinstance(row[which], Column) else F.lit(row[which])
-                default = F.when(kind == i, part).otherwise(default)
-            return default
-
-        return F.when(F.col("id") % 2 == 1, of(yes, F.lit(""))).otherwise(of(no, F.lit("")))
+    def rows(of: list) -> Column:
+        text = lambda x: x if isinstance(x, Column) else F.lit(x)
+        return F.array(*(F.struct(text(a).alias("pre"), text(b).alias("value"), text(c).alias("post")) for a, b, c in of))
 
+    base = base.withColumn("x", F.when(F.col("id") % 2 == 1, F.get(rows(yes), F.col("kind"))).otherwise(F.get(rows(no), F.col("kind")))).where("x is not null")
     places = F.array(*map(F.lit, ("", "web", "src/main.py", "notes.txt")))
     own = F.array(F.when(F.col("id") % 2 == 1, F.lit("deploy/app.env")).otherwise("tests/fixtures/data.json"))
     path = F.element_at(F.concat(places, own), F.conv(F.substring(g, 40, 2), 16, 10).cast("int") % 5 + 1)
     lead = F.concat(word[0], F.lit(" "), word[1], F.lit(" "))
-    made = spark.range(0, n, 1, 1).select(F.concat(lead, pick(0), pick(1), pick(2)).alias("text"), pick(1).alias("value"), path.alias("path"), (F.col("id") % 2).alias("secret"))
+    made = cut(base.select(F.concat(lead, "x.pre", "x.value", "x.post").alias("text"), F.col("x.value").alias("value"), path.alias("path"), (F.col("id") % 2).alias("secret")))
     found = made.where(F.col("text").rlike(CANDIDATE)).select("value", "secret", "path", F.explode(_split(F.col("text"), lambda c, before, after: F.struct(c.alias("cand"), before.alias("before"), after.alias("after")))[1]).alias("x"))
     reached = F.col("value").contains(F.col("x.cand")) | F.col("x.cand").contains(F.col("value"))
     return found.select("x.*", "path", ((F.col("secret") == 1) & reached).cast("double").alias("label"))
@@ -157,6 +156,7 @@ def train(spark: SparkSession, findings: DataFrame | None = None, trees: int = T
     from pyspark.ml.feature import VectorAssembler
 
     rows = (labelled_findings(spark) if findings is None else findings).select(F.col("label").cast("double").alias("label"), *(c.alias(k) for k, c in features(F.col("cand"), F.col("before"), F.col("after"), F.col("path")).items()))
+    rows = cut(rows)  # so that the forest's passes read a plain table
     ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=SEED, featureSubsetStrategy="sqrt").fit(ready)
     return [_walk(t._java_obj.rootNode(), FEATURES) for t in model.trees]
@@ -165,22 +165,30 @@ def train(spark: SparkSession, findings: DataFrame | None = None, trees: int = T
 def forest(trees: list, path: Column | None = None) -> Callable[[Column, Column, Column], Column]:
     """The probability that (candidate, before, after), found in a file of that path, is a secret, as an expression."""
 
-    def expression(tree, of: dict[str, Column]) -> Column:
-        if not isinstance(tree, tuple):
-            return F.lit(float(tree))
-        name, limit, left, right = tree
-        return F.when(of[name] <= F.lit(float(limit)), expression(left, of)).otherwise(expression(right, of))
+    roots, nodes = [], []  # (feature, limit, left, right, share of secrets); a leaf leads to itself
+
+    def place(tree) -> int:
+        at = len(nodes)
+        nodes.append((0, 0.0, at, at, float(tree) if not isinstance(tree, tuple) else 0.0))
+        if isinstance(tree, tuple):
+            name, limit, left, right = tree
+            nodes[at] = (FEATURES.index(name), float(limit), place(left), place(right), 0.0)
+        return at
+
+    def depth(tree) -> int:
+        return 1 + max(depth(tree[2]), depth(tree[3])) if isinstance(tree, tuple) else 0
+
+    roots = [place(t) for t in trees]
+    literal = lambda xs, kind: F.split(F.lit(",".join(map(repr, xs))), ",").cast(f"array<{kind}>")  # noqa: E731  folded to one literal
+    feature, limit, left, right, share = (literal(xs, kind) for xs, kind in zip(zip(*nodes, strict=True), ("int", "double", "int", "int", "double"), strict=True))
+    steps = F.sequence(F.lit(1), F.lit(max(1, max(map(depth, trees)))))
 
     def probability(cand: Column, before: Column, after: Column) -> Column:
-        of = {k: F.col(f"f.{k}") for k in FEATURES}
-        packed = F.struct(*(c.alias(k) for k, c in features(cand, before, after, path).items()))
+        packed = F.array(*features(cand, before, after, path).values())
 
         def mean(f: Column) -> Column:
-            own = {k: f[k] for k in of}
-            total = expression(trees[0], own)
-            for t in trees[1:]:
-                total = total + expression(t, own)
-            return total / len(trees)
+            walk = lambda root: F.aggregate(steps, root, lambda at, _: F.when(F.get(f, F.get(feature, at)) <= F.get(limit, at), F.get(left, at)).otherwise(F.get(right, at)))
+            return F.aggregate(literal(roots, "int"), F.lit(0.0), lambda sum_, root: sum_ + F.get(share, walk(root))) / len(trees)
 
         return F.transform(F.array(packed), mean)[0]  # the features are computed once, the trees look at them
 
