@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 from tessella.llm.common import cut
 
 NAME = r"(?:token|secret|passw(?:or)?d|pwd|passphrase|api[_ -]?key|access[_ -]?key|private[_ -]?key|secret[_ -]?key|credentials?|authorization|auth)"
-#: A value behind a name; then a long run, padded unless the sign assigns.
-ASSIGNED = rf"(?<=[=:\s\"'])(?:(?<=(?i:{NAME}[\"']?\s?[=:]{{1,2}}\s{{0,2}}[\"']?))|(?<=\b(?i:bearer)\s))(?!(?i:bearer|basic)\s)[^\s\"'`,;<>()\[\]{{}}=:][^\s\"'`,;<>()\[\]{{}}]{{5,}}+"
+#: A value behind a name (short looks behind come first: long ones are slow at every blank); then a long run, padded unless the sign assigns.
+ASSIGNED = rf"(?<=[=:\s\"'])(?:(?<=[=:]\s{{0,2}}[\"']?)(?<=(?i:{NAME}[\"']?\s?[=:]{{1,2}}\s{{0,2}}[\"']?))|(?<=[rR]\s)(?<=\b(?i:bearer)\s))(?!(?i:bearer|basic)\s)[^\s\"'`,;<>()\[\]{{}}=:][^\s\"'`,;<>()\[\]{{}}]{{5,}}+"
 RUN = r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_=\-]|[\"'][A-Za-z0-9+/_\-]))?+"
 #: The password in scheme://user:password@host.
-LOGIN = r"(?<=://[^\s:/@\"']{1,40}:)[^\s@/\"']{6,}+(?=@)"
+LOGIN = r"(?<=:)(?<=://[^\s:/@\"']{1,40}:)[^\s@/\"']{6,}+(?=@)"
 CANDIDATE = f"{LOGIN}|{ASSIGNED}|{RUN}"
 MASK = "[SECRET]"
 AROUND = 40
