@@ -36,7 +36,7 @@ SPACE, UNKNOWN = "▁", 0
 #: Known words a worker keeps; beyond, it starts anew.
 MEMORY = 600_000
 #: Text that is encoded at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 3 << 20
 #: Characters of a window of a long unit.
 WINDOW = 256
 LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ",.;:!?%*#&$|\")]"

@@ -10,9 +10,11 @@ members at most, and all of them are within two bits of each other, so a star to
 `groups` is the operator for documents that resemble each other less closely: fingerprints of `WIDE` bits over five-word
 shingles, cut into blocks of `BLOCK_BITS`. Pairs within `WIDE / BLOCK_BITS - 1` bits share a block for certain; others do
 with a probability that falls with their distance (measured recall is in the README). Pairs are verified by the Hamming
-distance that a Jaccard similarity of 0.8 has, which 1,536 bits give within about 0.02. Of a key that more than `heads`
-fingerprints share, every member meets `heads` of them, the same in all blocks as far as they are there; those that resemble no head meet again
-among themselves until none is left. Key rows are dealt by key, so a key's pairs grow linearly with its members.
+distance that a Jaccard similarity of 0.8 has, which 1,536 bits give within about 0.02. Of a key, every member meets
+`heads` of its fingerprints, the same in all blocks as far as they are there; those that resemble no head meet again
+among themselves, with eight times the heads in each round, until none is left. So a group of near copies brings rows in
+proportion to its members, and a member that resembles another but no head of a key is found in a later round, unless one
+of the two was linked before: then the two groups meet in other blocks only.
 
 Defined cases: a null or empty text, or one of white space only, has the fingerprint zero and is linked like any other.
 A null id keeps its row; ids that are null never name a component (a component of null ids only is null). Repeated rows
@@ -150,7 +152,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 #: Bits of a wide fingerprint and of its blocks; similarity of two sets of shingles from which they are linked.
-WIDE, BLOCK_BITS, SIMILARITY, HEADS = 1536, 24, 0.8, 4
+WIDE, BLOCK_BITS, SIMILARITY, HEADS = 1536, 24, 0.8, 1
 
 
 def wide_fingerprint(text: bytes | None, shingle: int = 5, bits: int = WIDE) -> bytes:
@@ -205,13 +207,14 @@ def _dealt(nodes: DataFrame, block_bits: int) -> DataFrame:
 def _meetings(dealt: DataFrame, heads: int) -> DataFrame:
     """(key, u, v, crowded): each node v of a key with the first `heads` nodes u of that key, in one order for all keys: a group of near copies shares many keys, and has few heads then.
 
-    A window group limit leaves `heads` rows of a key in each task before the exchange, so a hot key is small there; its
+    A window group limit leaves `heads + 2` rows of a key in each task before the exchange, so a hot key is small there; its
     members are dealt to shares when the heads come back to them.
     """
     order = Window.partitionBy("key").orderBy("o", "node")
-    some = dealt.withColumn("o", F.xxhash64("node")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= heads)
-    first = some.groupBy("key").agg(F.collect_list("node").alias("heads")).where(F.size("heads") > 1)  # `heads` at most
-    met = _spread(dealt, first, ["key"], "node").select("key", F.explode("heads").alias("u"), F.col("node").alias("v"), (F.size("heads") >= heads).alias("crowded"))
+    some = dealt.withColumn("o", F.xxhash64("node")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= heads + 2)
+    first = some.groupBy("key").agg(F.collect_list(F.struct("r", "node")).alias("some")).where(F.size("some") > 1)  # heads + 2 at most
+    first = first.select("key", F.transform(F.filter("some", lambda x: x["r"] <= heads), lambda x: x["node"]).alias("heads"), (F.size("some") > heads + 1).alias("crowded"))
+    met = _spread(dealt, first, ["key"], "node").select("key", F.explode("heads").alias("u"), F.col("node").alias("v"), "crowded")
     return met.where("u <> v")
 
 
@@ -244,6 +247,7 @@ def wide_links(nodes: DataFrame, similarity: float = SIMILARITY, block_bits: int
         both = found.unionByName(found.select(F.col("v").alias("u"), F.col("u").alias("v")))
         linked = crowded.join(both, ["u", "v"], "left_semi").select("key", F.col("v").alias("node"))
         done = linked.unionByName(crowded.select("key", F.col("u").alias("node"))).distinct()
+        heads *= 8
         dealt = cut(crowded.select("key", F.col("v").alias("node")).distinct().join(done, ["key", "node"], "left_anti"))
 
 
