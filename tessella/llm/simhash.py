@@ -184,8 +184,8 @@ def bits_apart(similarity: float, bits: int = WIDE) -> int:
     return int(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
-def _dealt(nodes: DataFrame, block_bits: int) -> DataFrame:
-    """(key, node): each node(node, fp) once for every block."""
+def _dealt(nodes: DataFrame, block_bits: int, first: int, last: int | None = None) -> DataFrame:
+    """(key, node, root): each row of nodes(node, fp, root) once for every block from `first` up to `last`."""
 
     def run(batches):
         import numpy as np
@@ -194,14 +194,15 @@ def _dealt(nodes: DataFrame, block_bits: int) -> DataFrame:
         for b in slices(batches):
             fps = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1)
             width = block_bits // 8
-            blocks = fps.shape[1] // width
-            low = np.zeros((b.num_rows, blocks), np.int64)
+            blocks = np.arange(fps.shape[1] // width)[first:last]
+            low = np.zeros((b.num_rows, len(blocks)), np.int64)
             for k in range(width):
-                low |= fps[:, k : blocks * width : width].astype(np.int64) << (8 * k)
-            key = low | np.arange(blocks, dtype=np.int64) << block_bits
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(b.column(0).to_numpy(), blocks))], ["key", "node"])
+                low |= fps[:, blocks * width + k].astype(np.int64) << (8 * k)
+            key = low | blocks.astype(np.int64) << block_bits
+            node, root = (np.repeat(b.column(k).to_numpy(), len(blocks)) for k in (0, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(node), pa.array(root)], ["key", "node", "root"])
 
-    return nodes.select("node", "fp").mapInArrow(run, "key long, node long")
+    return nodes.select("node", "fp", "root").mapInArrow(run, "key long, node long, root long")
 
 
 def _meetings(dealt: DataFrame, heads: int) -> DataFrame:
@@ -234,10 +235,13 @@ def _close(pairs: DataFrame, nodes: DataFrame, apart: int) -> DataFrame:
     return both.select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
 
 
-def wide_links(nodes: DataFrame, similarity: float = SIMILARITY, block_bits: int = BLOCK_BITS, heads: int = HEADS, bits: int = WIDE) -> DataFrame:
-    """(u, v): verified pairs of nodes(node, fp) that share a block, enough to connect what `groups` links."""
-    apart = bits_apart(similarity, bits)
-    dealt, edges = _dealt(nodes, block_bits), []
+#: Blocks of the first pass.
+FIRST = 8
+
+
+def _linked(dealt: DataFrame, nodes: DataFrame, apart: int, heads: int) -> DataFrame:
+    """(u, v): verified pairs of nodes that share a key of dealt(key, node)."""
+    edges = []
     while True:
         met = cut(_meetings(dealt, heads))
         edges.append(found := cut(_close(met, nodes, apart)))
@@ -251,6 +255,21 @@ def wide_links(nodes: DataFrame, similarity: float = SIMILARITY, block_bits: int
         dealt = cut(crowded.select("key", F.col("v").alias("node")).distinct().join(done, ["key", "node"], "left_anti"))
 
 
+def wide_links(nodes: DataFrame, similarity: float = SIMILARITY, block_bits: int = BLOCK_BITS, heads: int = HEADS, bits: int = WIDE) -> DataFrame:
+    """(u, v): verified pairs of nodes(node, fp) that share a block, enough to connect what `groups` links.
+
+    The first blocks find the large groups. In the others the members of a group that share a key count there as one, so a
+    group doesn't come back with all its members in every block.
+    """
+    apart = bits_apart(similarity, bits)
+    alone = nodes.withColumn("root", F.col("node"))
+    early = cut(_linked(_dealt(alone, block_bits, 0, FIRST).select("key", "node"), nodes, apart, heads))
+    roots = cut(components(early))
+    known = _dealt(nodes.join(roots, "node"), block_bits, FIRST).groupBy("key", "root").agg(F.min("node").alias("node")).select("key", "node")
+    rest = known.unionByName(_dealt(alone.join(roots.select("node"), "node", "left_anti"), block_bits, FIRST).select("key", "node"))
+    return early.unionByName(_linked(rest, nodes, apart, heads)).distinct()
+
+
 def groups(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY, shingle: int = 5, heads: int = HEADS) -> tuple[DataFrame, DataFrame]:
     """(rows, table): rows(doc, node), stored, with each row of docs as a struct; and table(node, root), a root for each group of documents that resemble each other.
 
