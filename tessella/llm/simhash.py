@@ -264,7 +264,9 @@ def wide_links(nodes: DataFrame, similarity: float = SIMILARITY, block_bits: int
     apart = bits_apart(similarity, bits)
     alone = nodes.withColumn("root", F.col("node"))
     early = cut(_linked(_dealt(alone, block_bits, 0, FIRST).select("key", "node"), nodes, apart, heads))
-    roots = cut(components(early))
+    both = early.unionByName(early.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    near = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("m", "u").alias("m"))
+    roots = cut(_spread(both, near, ["v"], "u").groupBy("u").agg(F.min("m").alias("root")).select(F.col("u").alias("node"), "root"))  # equal roots are one group; one group may have several, which only costs rows
     known = _dealt(nodes.join(roots, "node"), block_bits, FIRST).groupBy("key", "root").agg(F.min("node").alias("node")).select("key", "node")
     rest = known.unionByName(_dealt(alone.join(roots.select("node"), "node", "left_anti"), block_bits, FIRST).select("key", "node"))
     return early.unionByName(_linked(rest, nodes, apart, heads)).distinct()
