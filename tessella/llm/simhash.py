@@ -206,17 +206,18 @@ def _dealt(nodes: DataFrame, block_bits: int, first: int, last: int | None = Non
 
 
 def _meetings(dealt: DataFrame, heads: int) -> DataFrame:
-    """(key, u, v, crowded): each node v of a key with the first `heads` nodes u of that key, in one order for all keys: a group of near copies shares many keys, and has few heads then.
+    """(key, u, v, crowded): each node v of a key with those of the first `heads` nodes u of that key that come before it, in one order for all keys: a group of near copies shares many keys, and has few heads then.
 
-    A window group limit leaves `heads + 2` rows of a key in each task before the exchange, so a hot key is small there; its
-    members are dealt to shares when the heads come back to them.
+    Two heads meet once, not once for each of them. A window group limit leaves `heads + 2` rows of a key in each task before
+    the exchange, so a hot key is small there; its members are dealt to shares when the heads come back to them.
     """
     order = Window.partitionBy("key").orderBy("o", "node")
     some = dealt.withColumn("o", F.xxhash64("node")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= heads + 2)
-    first = some.groupBy("key").agg(F.collect_list(F.struct("r", "node")).alias("some")).where(F.size("some") > 1)  # heads + 2 at most
-    first = first.select("key", F.transform(F.filter("some", lambda x: x["r"] <= heads), lambda x: x["node"]).alias("heads"), (F.size("some") > heads + 1).alias("crowded"))
-    met = _spread(dealt, first, ["key"], "node").select("key", F.explode("heads").alias("u"), F.col("node").alias("v"), "crowded")
-    return met.where("u <> v")
+    first = some.groupBy("key").agg(F.collect_list(F.struct("r", "o", "node")).alias("some")).where(F.size("some") > 1)  # heads + 2 at most
+    first = first.select("key", F.transform(F.filter("some", lambda x: x["r"] <= heads), lambda x: F.struct(x["o"], x["node"])).alias("heads"), (F.size("some") > heads + 1).alias("crowded"))
+    place = F.struct(F.xxhash64("node").alias("o"), F.col("node").alias("node"))
+    met = _spread(dealt, first, ["key"], "node").select("key", F.filter("heads", lambda x: x < place).alias("heads"), F.col("node").alias("v"), "crowded")
+    return met.select("key", F.explode(F.transform("heads", lambda x: x["node"])).alias("u"), "v", "crowded")
 
 
 def _close(pairs: DataFrame, nodes: DataFrame, apart: int) -> DataFrame:
