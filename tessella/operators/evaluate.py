@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions import text as T
+
 
 def first_relevant(ranked: DataFrame, relevant: Column) -> DataFrame:
     """(query_id, first_rank): the rank of the first relevant hit, null if there is none."""
@@ -18,6 +20,32 @@ def recall_mrr(questions: DataFrame, firsts: DataFrame, k: int) -> DataFrame:
     return joined.agg(F.count("*").alias("n_queries"), F.round(F.avg(hit.cast("double")), 6).alias("recall"), F.round(F.avg(F.when(hit, 1 / F.col("first_rank")).otherwise(F.lit(0.0))), 6).alias("mrr"))
 
 
+def label_contained(a: Column, b: Column) -> Column:
+    """Whether one text holds the other, whatever the case and the white space; false for null."""
+    flat = [F.trim(F.regexp_replace(T.folded(c), r"(?U)\s+", " ")) for c in (a, b)]
+    return F.coalesce(F.contains(*flat) | F.contains(*flat[::-1]), F.lit(False))
+
+
+def retrieval_levels(cases: DataFrame, results: DataFrame) -> DataFrame:
+    """One row of recall and mean reciprocal rank by source, page and exact text, with the share of rejected hits and the mean time.
+
+    cases(query_id, source_id, page_number, label, seconds); results(query_id, rank, source_id, page_number, text, rejected).
+    A page counts on its source only, a text on its page only; cases without hits are misses. No case gives nulls.
+    """
+    hits = results.select("query_id", "rank", F.col("source_id").alias("_s"), F.col("page_number").alias("_p"), F.col("text").alias("_t"), "rejected")
+    source = F.col("source_id") == F.col("_s")
+    page = source & (F.col("page_number") == F.col("_p"))
+    first = lambda ok, name: F.min(F.when(ok, F.col("rank"))).alias(name)
+    each = cases.join(hits, "query_id", "left").groupBy("query_id").agg(
+        F.first("seconds").alias("seconds"), F.count("rank").alias("n"), F.count_if(F.coalesce("rejected", F.lit(False))).alias("bad"), first(source, "source"), first(page, "page"), first(page & label_contained(F.col("label"), F.col("_t")), "exact"),
+    )
+    levels = ("source", "page", "exact")
+    return each.agg(
+        F.count("*").alias("case_count"), *(F.round(F.avg(F.col(c).isNotNull().cast("double")), 6).alias(f"{c}_recall") for c in levels), *(F.round(F.avg(F.coalesce(1 / F.col(c), F.lit(0.0))), 6).alias(f"{c}_mrr") for c in levels),
+        F.round(F.coalesce(F.sum("bad") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)), 6).alias("rejected_rate"), F.round(F.avg("seconds"), 3).alias("mean_seconds"),
+    )
+
+
 def confusion(rows: DataFrame, labels: list[str]) -> DataFrame:
     """One row for each expected label, one column for each predicted one."""
     return rows.groupBy("expected").pivot("predicted", labels).agg(F.count(F.lit(1))).na.fill(0, labels)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,3 +37,17 @@ def payloads(rows: DataFrame, key: str, hidden: list[str] | None = None) -> Data
     """(key, payload): rows as JSON, without the columns that hold content."""
     kept = [c for c in rows.columns if c not in (hidden or [])]
     return rows.select(key, F.to_json(F.struct(*kept)).alias("payload"))
+
+
+def replace_file(path: str, text: str) -> None:
+    """Write a small file of the driver beside the old one, force it to disk, then put it in the old one's place."""
+    staged = f"{path}.{uuid.uuid4().hex[:12]}.tmp"
+    try:
+        with open(staged, "w", encoding="utf-8") as f:
+            f.write(text)
+            f.flush()
+            os.fsync(f.fileno())
+        os.replace(staged, path)
+    finally:
+        if os.path.exists(staged):
+            os.remove(staged)
