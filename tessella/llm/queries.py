@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import mixing, mpeg, pieces, secrets, simhash, tokens, topk, toxicity, urls, warc
+from tessella.llm import aligned, clusters, mixing, mpeg, pieces, secrets, shards, simhash, tokens, topk, toxicity, urls, warc
 from tessella.operators.layout import spread
 
 
@@ -60,8 +60,20 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "finding_no", F.length("cand").alias("length"), F.sha2("cand", 256).alias("cand_sha256"), "probability", "is_secret")
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.clustered(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.sharded(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op13_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned.alignment(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_warc, op4_mpeg, op5_topk, op6_mixing, op7_pieces, op8_urls, op9_tokens, op10_secrets)}
+    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_warc, op4_mpeg, op5_topk, op6_mixing, op7_pieces, op8_urls, op9_tokens, op10_secrets, op11_clusters, op12_shards, op13_aligned)}
 
 
 #: Base32 of a SHA-1: 32 groups of five bits.
@@ -74,5 +86,20 @@ OP5_SQL = """with v as (select vec_id, list_transform(embedding, lambda x: floor
 select q.vec_id query_id, cast(row_number() over (partition by q.vec_id order by list_dot_product(q.v, c.v) desc, c.vec_id) as int) as "rank", c.vec_id, cast(list_dot_product(q.v, c.v) as bigint) score from v q, v c where q.vec_id % 50 = 0 and c.vec_id <> q.vec_id qualify "rank" <= 5"""
 
 
+def _op11_sql(k: int = 16, rounds: int = 3) -> str:
+    far = "list_sum(list_transform(range(1, 65), lambda i: (v.v[i] - c.v[i]) * (v.v[i] - c.v[i])))"
+    parts = [
+        "v as materialized (select row_number() over () r, vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) v from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)",
+        f"c0 as materialized (select cast(row_number() over (order by sha256('1:' || vec_id), v) - 1 as int) c, v from v where vec_id is not null qualify c < {k})",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"a{i} as materialized (select v.r, v.vec_id, v.v, c.c, {far} d from v cross join c{i} c qualify row_number() over (partition by v.r order by {far}, c.c) = 1)")
+        if i < rounds:
+            mean = "list(cast((s - ((s % n) + n) % n) // n as bigint) order by i)"  # floor of the mean
+            parts.append(f"c{i + 1} as materialized (select o.c, coalesce(m.v, o.v) v from c{i} o left join (select c, {mean} v from (select c, i, sum(v[i]) s, count(*) n from a{i} cross join range(1, 65) t(i) group by c, i) group by c) m on o.c = m.c)")
+    last = f"select vec_id, a.c as \"cluster\", cast(d as bigint) distance, cast(sum(d) over (partition by a.c) as bigint) cluster_inertia, cast(sum(d) over () as bigint) inertia, sha256(array_to_string(z.v, ',')) centroid_sha256 from a{rounds} a join c{rounds} z on a.c = z.c"
+    return f"with {', '.join(parts)} {last}"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op5_topk": OP5_SQL}
+    return {"op3_warc": OP3_SQL, "op5_topk": OP5_SQL, "op11_clusters": _op11_sql()}
