@@ -33,9 +33,9 @@ from tessella.llm.common import cut, stored
 from tessella.llm.pieces import by_bytes
 
 #: Known words a worker keeps; beyond, it starts anew.
-MEMORY = 600_000
+MEMORY = 300_000
 #: Text whose distinct units stand in one row, and the longest word that is a unit.
-SLICE_BYTES, LONG_WORD = 8 << 20, 256
+SLICE_BYTES, LONG_WORD = 4 << 20, 256
 #: Up to so many tokens a shared end is looked up in a unit's ends, beyond by sorting.
 SHORT = 24
 #: Pairs of ids that are broadcast at most: 24 bytes each.
