@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,3 +35,24 @@ def shared_folder(spark: SparkSession) -> str:
     if not held.isDefined():
         sc.setCheckpointDir(named)
     return named.rstrip("/")
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own below the shared one; removed when the driver's interpreter ends."""
+    path = f"{shared_folder(spark)}/tessella/{name}-{uuid.uuid4().hex}"
+
+    def remove():
+        try:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # the JVM has ended before: the folder stays for the cluster's own cleaning
+            pass
+
+    atexit.register(remove)
+    return path
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows, worked out once and kept in the shared folder: for frames that several parts of a plan read."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
