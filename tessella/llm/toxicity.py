@@ -142,6 +142,7 @@ def label_model(ballots, rounds: int = 40):
     alike = ((raw.T @ raw / size / size[:, None]) ** 2).sum(1)  # to begin with, voters that agree share a vote
     post = np.clip(0.5 + 0.45 * np.sign(((v - 1) / np.maximum(alike, 1)).sum(1)), 0.05, 0.95)
     hot = np.eye(3)[v].reshape(n, 3 * m)  # row, voter and vote
+    seen = (hot.T @ hot).reshape(m, 3, m, 3).transpose(0, 2, 1, 3)  # voter, voter, vote, vote
     parent, table = np.full(m, -1), None
     for turn in range(rounds):
         mass, joint = [], []
@@ -150,13 +151,15 @@ def label_model(ballots, rounds: int = 40):
             joint.append(((hot * p[:, None]).T @ hot).reshape(m, 3, m, 3).transpose(0, 2, 1, 3))  # voter, voter, vote, vote
         single = [np.einsum("jjkk->jk", j) for j in joint]
         table = np.stack([(s + 1.0) / (s + 1.0).sum(1, keepdims=True) for s in single])
-        if turn % 5 == 0:  # which voters depend on which
-            gain = np.zeros((m, m))
-            for j, s, w in zip(joint, single, mass, strict=True):
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    gain += np.nansum(np.where(j > 0, j * np.log(j * w / (s[:, None, :, None] * s[None, :, None, :])), 0), (2, 3))
+        if turn % 5 == 0:  # which voters depend on which: pairs that agree more or less often than the classes explain
+            share = np.array(mass) / n
+            alone = [s / max(w, 1e-9) for s, w in zip(single, mass, strict=True)]
+            expected = sum(w * a[:, None, :, None] * a[None, :, None, :] for w, a in zip(share, alone, strict=True))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                gain = np.nansum(np.where(seen > 0, seen * np.log(seen / (n * expected)), 0), (2, 3))
             np.fill_diagonal(gain, -np.inf)
-            parent = spanning_tree(gain - 4 * math.log(n))  # 8 parameters more, half the logarithm of the rows each
+            least = max(4 * math.log(n), 0.25 * gain.max() if turn < 10 else 0)  # 8 parameters more, half the logarithm of the rows each; the strongest links come first
+            parent = spanning_tree(gain - least)
         prior = np.clip(post.mean(), 0.001, 0.999)
         score = np.full(n, math.log(prior / (1 - prior)))
         for k in range(m):

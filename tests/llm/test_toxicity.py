@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 import zlib
 
+import pytest
+
 from tessella.llm import toxicity as T
 
 SCHEMA = "doc_id long, text string, score double, toxic string"
@@ -57,8 +59,8 @@ def test_without_labels_or_documents(spark):
     assert [r["doc_id"] for r in T.keep_clean(frame, empty).collect()] == [2]
 
 
-def ballots(n=3000):
-    rng = random.Random(1)
+def ballots(n=3000, seed=1):
+    rng = random.Random(seed)
     truth = [rng.random() < 0.3 for _ in range(n)]
     good = lambda y, p: (1 if y else -1) if rng.random() < p else (-1 if y else 1)
     rows = []
@@ -68,8 +70,9 @@ def ballots(n=3000):
     return rows, truth
 
 
-def test_label_model_finds_good_and_copied_voters():
-    rows, truth = ballots()
+@pytest.mark.parametrize("seed", range(1, 9))
+def test_label_model_finds_good_and_copied_voters(seed):
+    rows, truth = ballots(seed=seed)
     post, table, parent = T.label_model(rows)
     assert sum((p > 0.5) == y for p, y in zip(post, truth, strict=True)) / len(truth) > 0.95
     assert table[1, 0, 2] > table[1, 3, 2] and table[1, 0, 2] > 0.8
