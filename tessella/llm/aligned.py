@@ -33,9 +33,9 @@ from tessella.llm.common import cut, stored
 from tessella.llm.pieces import by_bytes
 
 #: Known words a worker keeps; beyond, it starts anew.
-MEMORY = 300_000
+MEMORY = 250_000
 #: Text whose distinct units stand in one row, and the longest word that is a unit.
-SLICE_BYTES, LONG_WORD = 4 << 20, 256
+SLICE_BYTES, LONG_WORD = 2 << 20, 256
 #: Up to so many tokens a shared end is looked up in a unit's ends, beyond by sorting.
 SHORT = 24
 #: Pairs of ids that are broadcast at most: 24 bytes each.
@@ -184,6 +184,8 @@ def tokenised(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id",
                 held = pa.StructArray.from_arrays(columns, ["a_ids", "a_ends", "b_ids", "b_ends"])
                 rows = pa.StructArray.from_arrays([part.column(0), *totals, lists(sizes, pa.array(flat))], ["doc_id", "n_a", "n_b", "units"])
                 yield pa.RecordBatch.from_arrays([lists([len(held)], held), lists([len(rows)], rows)], ["units", "docs"])
+                del units, of, flat, doc, columns, held, rows
+                pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, "units array<struct<a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>>>, docs array<struct<doc_id long, n_a long, n_b long, units array<int>>>")
