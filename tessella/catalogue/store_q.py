@@ -142,7 +142,7 @@ union all select 'next_link', a.chunk_id from ch a left join ch b on b.chunk_id
 union all select 'one_split', work_id from w where s <> 1 union all select 'one_tuning_flag', work_id from w where t <> 1 union all select 'test_not_tuned', chunk_id from ch where dataset_split = 'test' and tuning_allowed""")
 def validator_rules(spark, sf):
     chunks, papers = chunk_table(spark, sf)
-    return validate.gathered(validate.chunk_rules(chunks, papers, 100000), validate.link_rules(chunks), validate.split_rules(chunks))
+    return validate.chunk_rules(chunks, papers, 100000)
 
 
 @query(f"""with {CHUNKS}, v as (select 'char_count' as rule, chunk_id as "key" from ch where char_count <> length(text) or char_count > 100000 union all select 'content_sha256', chunk_id from ch where content_sha256 <> sha256(text)), n as (select count(*) n_total from v)

@@ -1,4 +1,8 @@
-"""Dataset validation: every rule is one branch that gives (rule, key) for each violation; all are gathered."""
+"""Dataset validation: rules give (rule, key) for each violation.
+
+Rules about the rows of one table are compiled into one expression, the array of the rules that a row breaks, which is
+exploded once: a table is read once for all of them. Rules that compare tables meet in one aggregation by key (`met`).
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.layout import settled
+
 MAX_ERRORS = 50
 
 
@@ -14,6 +20,32 @@ def _hits(rows: DataFrame, rule: str, key: str, bad: Column) -> DataFrame:
     return rows.where(F.coalesce(bad, F.lit(True))).select(F.lit(rule).alias("rule"), F.col(key).cast("string").alias("key"))
 
 
+def compiled(rules: dict[str, Column]) -> Column:
+    """The names of the rules that a row breaks; a rule is what must not be. Unknown counts as broken."""
+    return F.array_compact(F.array(*(F.when(F.coalesce(bad, F.lit(True)), F.lit(name)) for name, bad in rules.items())))
+
+
+def broken(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
+    """(rule, key) for every rule that a row breaks, in one pass."""
+    return told(rows.select(F.col(key).cast("string").alias("key"), compiled(rules).alias("broken")), "key")
+
+
+def told(rows: DataFrame, key: str, found: str = "broken") -> DataFrame:
+    """(rule, key) of rows that hold the array of their broken rules. The outer form: the inner one would test the array, and so make it, twice."""
+    return rows.select(F.explode_outer(found).alias("rule"), F.col(key).cast("string").alias("key")).where("rule is not null")
+
+
+def met(key: str, **sides: DataFrame) -> DataFrame:
+    """One row for each key of any side: n_<side>, its number of rows, and <side>, the columns of one (the greatest).
+
+    All sides go through one aggregation, which is begun before the shuffle, so a key of many rows is no more than a row
+    from each task.
+    """
+    parts = [df.select(F.col(key).alias("key"), F.lit(1).alias(f"n_{name}"), F.struct(*df.columns).alias(name)) for name, df in sides.items()]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return rows.groupBy("key").agg(*(F.coalesce(F.sum(f"n_{name}"), F.lit(0)).alias(f"n_{name}") for name in sides), *(F.max(name).alias(name) for name in sides))
+
+
 def gathered(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -36,31 +68,38 @@ def same_sets(a: DataFrame, b: DataFrame, key: str, rule: str) -> DataFrame:
     return gathered(subset(a, key, b, f"{rule}_missing"), subset(b, key, a, f"{rule}_extra"))
 
 
-def chunk_rules(chunks: DataFrame, papers: DataFrame, most: int) -> DataFrame:
-    """Counts, digests, identifiers and inherited fields of chunks(chunk_id, paper_id, text, char_count, content_sha256, page_number, work_id)."""
+def chunk_facts(chunks: DataFrame, papers: DataFrame, most: int) -> DataFrame:
+    """What the rules about chunks need, without their texts, kept in the shared folder; broken: the rules that a chunk breaks by itself."""
     joined = chunks.join(papers.select("paper_id", F.col("work_id").alias("_work"), F.col("pages").alias("_pages")), "paper_id", "left")
-    return gathered(
-        unique(chunks, "chunk_id_unique", "chunk_id"),
-        _hits(chunks, "char_count", "chunk_id", (F.col("char_count") != F.length("text")) | (F.col("char_count") > most)),
-        _hits(chunks, "content_sha256", "chunk_id", F.col("content_sha256") != F.sha2("text", 256)),
-        _hits(joined, "known_paper", "chunk_id", F.col("_work").isNull()),
-        _hits(joined.where("_work is not null"), "inherited_work", "chunk_id", ~F.col("work_id").eqNullSafe(F.col("_work"))),
-        _hits(joined.where("_work is not null"), "page_range", "chunk_id", ~F.col("page_number").between(1, F.col("_pages"))),
-    )
+    known = F.col("_work").isNotNull()
+    rules = {
+        "char_count": (F.col("char_count") != F.length("text")) | (F.col("char_count") > most), "content_sha256": F.col("content_sha256") != F.sha2("text", 256), "known_paper": ~known,
+        "inherited_work": known & ~F.col("work_id").eqNullSafe(F.col("_work")), "page_range": known & ~F.col("page_number").between(1, F.col("_pages")),
+    }
+    there = [c for c in ("previous_chunk_id", "next_chunk_id", "work_id", "dataset_split", "tuning_allowed") if c in chunks.columns]
+    if "tuning_allowed" in there:
+        rules["test_not_tuned"] = F.coalesce(F.col("dataset_split") == "test", F.lit(False)) & F.col("tuning_allowed")
+    return settled(joined.select("chunk_id", *there, compiled(rules).alias("broken")))
+
+
+def chunk_rules(chunks: DataFrame, papers: DataFrame, most: int) -> DataFrame:
+    """All rules about chunks(chunk_id, paper_id, text, char_count, content_sha256, page_number, work_id, previous_chunk_id, next_chunk_id, dataset_split, tuning_allowed); each table is read once."""
+    facts = chunk_facts(chunks, papers, most)
+    return gathered(unique(facts, "chunk_id_unique", "chunk_id"), told(facts, "chunk_id"), link_rules(facts), split_rules(facts))
 
 
 def link_rules(chunks: DataFrame) -> DataFrame:
     """Neighbours exist and point back."""
-    ids = chunks.select(F.col("chunk_id").alias("_id"), F.col("previous_chunk_id").alias("_p"), F.col("next_chunk_id").alias("_n"))
-    ahead = chunks.where("next_chunk_id is not null").join(ids, F.col("next_chunk_id") == F.col("_id"), "left")
-    back = chunks.where("previous_chunk_id is not null").join(ids, F.col("previous_chunk_id") == F.col("_id"), "left")
-    return gathered(_hits(ahead, "next_link", "chunk_id", ~F.col("_p").eqNullSafe(F.col("chunk_id"))), _hits(back, "previous_link", "chunk_id", ~F.col("_n").eqNullSafe(F.col("chunk_id"))))
+    ids = chunks.select(F.col("chunk_id").alias("_id"), F.col("previous_chunk_id").alias("previous_link"), F.col("next_chunk_id").alias("next_link"))
+    links = chunks.select("chunk_id", F.explode(F.array(F.struct(F.lit("next_link").alias("rule"), F.col("next_chunk_id").alias("to")), F.struct(F.lit("previous_link").alias("rule"), F.col("previous_chunk_id").alias("to")))).alias("x")).select("chunk_id", "x.*").where("to is not null")
+    back = F.when(F.col("rule") == "next_link", F.col("previous_link")).otherwise(F.col("next_link"))
+    return links.join(ids, F.col("to") == F.col("_id"), "left").where(~back.eqNullSafe(F.col("chunk_id"))).select("rule", F.col("chunk_id").cast("string").alias("key"))
 
 
 def split_rules(chunks: DataFrame) -> DataFrame:
-    """One split and one tuning flag for a work; test is never tuned on."""
-    by = chunks.groupBy("work_id").agg(F.countDistinct("dataset_split").alias("s"), F.countDistinct("tuning_allowed").alias("t"))
-    return gathered(_hits(by, "one_split", "work_id", F.col("s") != 1), _hits(by, "one_tuning_flag", "work_id", F.col("t") != 1), _hits(chunks.where("dataset_split = 'test'"), "test_not_tuned", "chunk_id", F.col("tuning_allowed")))
+    """One split and one tuning flag for a work."""
+    by = chunks.groupBy("work_id").agg(F.min("dataset_split").alias("s"), F.max("dataset_split").alias("s2"), F.min("tuning_allowed").alias("t"), F.max("tuning_allowed").alias("t2"))
+    return broken(by, "work_id", {"one_split": F.col("s") != F.col("s2"), "one_tuning_flag": F.col("t") != F.col("t2")})
 
 
 def duplicate_rules(files: DataFrame) -> DataFrame:
