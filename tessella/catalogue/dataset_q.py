@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.catalogue.base import Registry, read
 from tessella.operators import dataset_rules as R
+from tessella.operators import schema
 
 query = Registry()
 def docs(spark, sf):
@@ -118,3 +119,31 @@ def partition_rules(spark, sf):
 def flag_rules(spark, sf):
     facts = docs(spark, sf).agg(F.bool_and(F.col("n_chars") > 0).alias("source_integrity_verified"), F.max("n_chars").alias("max_chunk_chars"))
     return R.flag_rules(facts, facts.where("max_chunk_chars < 0"))
+
+
+#: What a conversation must be; the turns are checked one by one.
+CONVERSATION = {
+    "type": "object", "required": ["conv", "turns"], "additionalProperties": False, "$defs": {"turn": {"type": "object", "required": ["role", "text"], "properties": {"role": {"enum": ["user", "assistant"]}, "text": {"type": "string", "minLength": 40, "pattern": "[.!?]"}, "n": {"type": "integer", "maximum": 4}}}},
+    "properties": {"conv": {"oneOf": [{"type": "integer", "multipleOf": 2}, {"type": "integer", "minimum": 50}]}, "turns": {"type": "array", "minItems": 2, "maxItems": 6, "items": {"$ref": "#/$defs/turn"}}},
+}
+
+
+@query("""with t as (select conv_id, role, text, turn, row_number() over (partition by conv_id order by turn, role, text) - 1 i from conversations), c as (select conv_id, count(*) n from t group by 1), p as (select *, '$.turns[' || i || ']' path from t)
+select cast(conv_id as varchar) as "key", path || '.role' path, 'enum' keyword from p where role not in ('user', 'assistant') union all select cast(conv_id as varchar), path || '.text', 'minLength' from p where length(text) < 40 union all select cast(conv_id as varchar), path || '.text', 'pattern' from p where not regexp_matches(text, '[.!?]')
+ union all select cast(conv_id as varchar), path || '.n', 'maximum' from p where turn > 4 union all select cast(conv_id as varchar), '$.turns', 'minItems' from c where n < 2 union all select cast(conv_id as varchar), '$.turns', 'maxItems' from c where n > 6 union all select cast(conv_id as varchar), '$.conv', 'oneOf' from c where (conv_id % 2 = 0) = (conv_id >= 50)""")
+def schema_violations(spark, sf):
+    """Conversations as JSON documents, held against a schema with references, choices and arrays."""
+    c = read(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    turns = F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"), x["turn"].alias("n")))
+    return schema.checked(c.select("conv_id", F.to_json(F.struct(F.col("conv_id").alias("conv"), turns.alias("turns"))).alias("j")), "conv_id", "j", CONVERSATION)
+
+
+@query("""with d as (select doc_id i, doc_id % 6 deep, '$' || repeat('.a', doc_id % 6) at, case when doc_id % 4 = 0 then '/data/' else 'data/' end || source p from documents)
+select cast(i as varchar) as "key", at || '.file_path' path, p as "text" from d where p like '/%' union all select cast(i as varchar), at || '.aliases[1].root', 'C:/' || i from d where i % 9 = 0""")
+def absolute_paths_nested(spark, sf):
+    """Paths in JSON documents whose depth differs from row to row."""
+    i = F.col("doc_id")
+    deep = (i % 6).cast("int")
+    inner = F.to_json(F.struct(F.concat(F.when(i % 4 == 0, "/data/").otherwise("data/"), "source").alias("file_path"), F.lit("/not a path field").alias("text"), F.array(F.struct(F.lit("x").alias("root")), F.struct(F.when(i % 9 == 0, named("C:/", i)).otherwise("y").alias("root"))).alias("aliases")))
+    rows = docs(spark, sf).select("doc_id", F.concat(F.repeat(F.lit('{"a":'), deep), inner, F.repeat(F.lit("}"), deep)).alias("j"))
+    return schema.absolute_paths(rows, "doc_id", "j")
