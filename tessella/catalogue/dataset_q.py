@@ -138,8 +138,8 @@ def schema_violations(spark, sf):
     return schema.checked(c.select("conv_id", F.to_json(F.struct(F.col("conv_id").alias("conv"), turns.alias("turns"))).alias("j")), "conv_id", "j", CONVERSATION)
 
 
-@query("""with d as (select doc_id i, doc_id % 6 deep, '$' || repeat('.a', doc_id % 6) at, case when doc_id % 4 = 0 then '/data/' else 'data/' end || source p from documents)
-select cast(i as varchar) as "key", at || '.file_path' path, p as "text" from d where p like '/%' union all select cast(i as varchar), at || '.aliases[1].root', 'C:/' || i from d where i % 9 = 0""")
+@query("""with d as (select doc_id i, doc_id % 6 deep, '$' || repeat('.a', cast(doc_id % 6 as int)) place, case when doc_id % 4 = 0 then '/data/' else 'data/' end || source p from documents)
+select cast(i as varchar) as "key", place || '.file_path' path, p as "text" from d where p like '/%' union all select cast(i as varchar), place || '.aliases[1].root', 'C:/' || i from d where i % 9 = 0""")
 def absolute_paths_nested(spark, sf):
     """Paths in JSON documents whose depth differs from row to row."""
     i = F.col("doc_id")
