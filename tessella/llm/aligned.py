@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import json
 import os
+from itertools import chain
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -120,8 +121,10 @@ class Encoder:
             return b"", b""
         return np.array(ids[0], "<i4").tobytes(), np.array(ids[1], "<i4").tobytes()
 
-    def units(self, texts: list[str | None]) -> tuple[list[tuple[bytes, bytes]], list[list[int]]]:
-        """The distinct units of texts, as ids of both sides, and the numbers of each text's units."""
+    def units(self, texts: list[str | None]):
+        """(units, sizes, flat): the distinct units of texts, as ids of both sides, the number of units of each text, and all their numbers one after the other."""
+        import numpy as np
+
         cut = [t.replace("\n", " \n").split(" ") if t else [] for t in texts]
         words = set().union(*cut)
         new = words.difference(self.known)
@@ -130,20 +133,24 @@ class Encoder:
             new = words
         self.learn([w for w in new if w])
         self.known[""] = None
-        number = dict(zip(words, range(len(words)), strict=True))
-        found = [self.known[w] for w in words]
-        odd = {w for w, pair in zip(words, found, strict=True) if pair is None}
-        out = []
-        for t, own in zip(texts, cut, strict=True):
-            if odd and not odd.isdisjoint(own):
-                pair = self.whole(t)
-                out.append([len(found)] if pair[0] else [])
-                found.append(pair)
-            else:
-                out.append([number[w] for w in own])
+        found = list(map(self.known.__getitem__, words))
+        number = dict(zip(words, range(len(found)), strict=True))
+        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+        flat = np.fromiter(map(number.__getitem__, chain.from_iterable(cut)), np.int32, int(sizes.sum()))
+        odd = np.fromiter((pair is None for pair in found), bool, len(found))
+        text = np.repeat(np.arange(len(cut)), sizes)
+        if (whole := np.unique(text[odd[flat]])).size:  # these texts are one unit each
+            pairs = [self.whole(texts[i]) for i in whole.tolist()]
+            kept = ~np.isin(text, whole)
+            some = np.array([bool(p[0]) for p in pairs])
+            text = np.concatenate([text[kept], whole[some]])
+            flat = np.concatenate([flat[kept], len(found) + np.flatnonzero(some)]).astype(np.int32)
+            order = np.argsort(text, kind="stable")
+            flat, sizes = flat[order], np.bincount(text, minlength=len(cut))
+            found += pairs
         for w in [w for w in new if len(w) > LONG_WORD]:
             self.known.pop(w, None)
-        return [pair or (b"", b"") for pair in found], out
+        return [pair or (b"", b"") for pair in found], sizes, flat
 
 
 def encoder(a_path: str, b_path: str) -> Encoder:
@@ -169,10 +176,8 @@ def tokenised(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id",
         e = encoder(a_path, b_path)
         for b in batches:
             for part in by_bytes(b, 1, SLICE_BYTES):
-                units, of = e.units(part.column(1).to_pylist())
-                sizes = np.array([len(x) for x in of], np.int64)
-                flat = np.array([u for own in of for u in own], np.int32)
-                doc = np.repeat(np.arange(len(of)), sizes)
+                units, sizes, flat = e.units(part.column(1).to_pylist())
+                doc = np.repeat(np.arange(len(sizes)), sizes)
                 columns, totals = [], []
                 for side, length in enumerate((e.a_length, e.b_length)):
                     ids = np.frombuffer(b"".join([u[side] for u in units]), "<i4")
@@ -180,11 +185,11 @@ def tokenised(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id",
                     total = np.concatenate([[0], np.cumsum(length[ids])])
                     ends = total[1:] - np.repeat(total[np.cumsum(counts) - counts], counts)
                     columns += [lists(counts, pa.array(ids)), lists(counts, pa.array(ends.astype(np.int32)))]
-                    totals.append(pa.array(np.bincount(doc, counts[flat], len(of)).astype(np.int64)))
+                    totals.append(pa.array(np.bincount(doc, counts[flat], len(sizes)).astype(np.int64)))
                 held = pa.StructArray.from_arrays(columns, ["a_ids", "a_ends", "b_ids", "b_ends"])
                 rows = pa.StructArray.from_arrays([part.column(0), *totals, lists(sizes, pa.array(flat))], ["doc_id", "n_a", "n_b", "units"])
                 yield pa.RecordBatch.from_arrays([lists([len(held)], held), lists([len(rows)], rows)], ["units", "docs"])
-                del units, of, flat, doc, columns, held, rows
+                del units, sizes, flat, doc, columns, held, rows
                 pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
