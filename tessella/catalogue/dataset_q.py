@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.catalogue.base import Registry, read
+from tessella.functions import ids
 from tessella.operators import dataset_rules as R
-from tessella.operators import schema
+from tessella.operators import gold, schema
 
 query = Registry()
 def docs(spark, sf):
@@ -147,3 +148,38 @@ def absolute_paths_nested(spark, sf):
     inner = F.to_json(F.struct(F.concat(F.when(i % 4 == 0, "/data/").otherwise("data/"), "source").alias("file_path"), F.lit("/not a path field").alias("text"), F.array(F.struct(F.lit("x").alias("root")), F.struct(F.when(i % 9 == 0, named("C:/", i)).otherwise("y").alias("root"))).alias("aliases")))
     rows = docs(spark, sf).select("doc_id", F.concat(F.repeat(F.lit('{"a":'), deep), inner, F.repeat(F.lit("}"), deep)).alias("j"))
     return schema.absolute_paths(rows, "doc_id", "j")
+
+
+@query(r"""with b as (select item_id i, cast(item_id as varchar) q, trim(regexp_replace(text, '\s+', ' ', 'g')) t, 'part two of ' || item_id p2, case item_id % 4 when 2 then 'edit' when 3 then 'reject' else 'keep' end d from benchmark),
+e as (select *, d = 'keep' and i % 11 = 5 lost, array_to_string(list_filter([case when i % 17 = 4 then 'annotation_id' end, case when i % 13 <> 6 and i % 7 = 3 then 'recheck_gap' end, case when i % 13 = 6 then 'other_reviewer' end, case when d = 'keep' and i % 11 = 5 then 'unknown_blocks' end,
+ case when d = 'keep' and i % 11 <> 5 and i % 5 = 2 then 'answer_extractive' end], lambda x: x is not null), ',') errors from b)
+select q question_id, d decision, errors, case when errors = '' and d <> 'reject' then 'gold-' || substr(sha256(encode('v1') || unhex('00') || encode(q)), 1, 16) end gold_question_id, case when errors = '' and d = 'keep' then t || ' ' || p2 when errors = '' and d = 'edit' then p2 end answer,
+ case when errors = '' and d = 'keep' then 'b1,b2' when errors = '' and d = 'edit' then 'b2' end block_ids, case when errors = '' and d <> 'reject' then case when d = 'keep' then 0.1::double else 0.2::double end end "left" from e""")
+def gold_built(spark, sf):
+    """Benchmark items as reviewed questions, some with tampered answers, blocks, times and ids; what is sound becomes gold, with evidence from its blocks."""
+    i, q = F.col("item_id"), F.col("item_id").cast("string")
+    b = read(spark, sf, "benchmark").select("item_id", "text")
+    second = named("part two of ", i)
+    page = lambda n, o, t, x: F.struct(F.lit(f"b{n}").alias("block_id"), F.lit(o).alias("reading_order"), t.alias("text"), F.array(F.lit(x), F.lit(10.0), F.lit(90.0), F.lit(20.0)).alias("bbox"))
+    blocks = b.select(named("p", i).alias("paper_id"), (i % 50).cast("string").alias("work_id"), F.lit(1).alias("page_number"), F.lit(100.0).alias("width"), F.lit(100.0).alias("height"), F.explode(F.array(page(2, 2, second, 20.0), page(1, 1, F.col("text"), 10.0))).alias("x")).select("*", "x.*").drop("x")
+    evidence = lambda text, of: F.struct(F.lit(None).cast("int").alias("page_number"), text.alias("text"), of.alias("block_ids"), F.lit(None).cast("array<double>").alias("bbox"), F.lit(None).cast("array<double>").alias("bbox_normalized_top_left"))
+    both = F.concat_ws(" ", "text", second)
+    questions = b.select(q.alias("question_id"), named("p", i).alias("paper_id"), (i % 50).cast("string").alias("work_id"), F.lit("abstract").alias("question_type"), F.lit("Q").alias("question"), F.when(i % 5 == 2, "no such answer").otherwise(both).alias("answer"), evidence(both, F.array(F.lit("b1"), F.when(i % 11 == 5, "b9").otherwise("b2"))).alias("evidence"))
+    d = F.when(i % 4 == 2, "edit").when(i % 4 == 3, "reject").otherwise("keep")
+    none, nothing = F.lit(None).cast("string"), F.array().cast("array<string>")
+    empty = F.struct(none.alias("question_type"), none.alias("question"), none.alias("answer"), nothing.alias("acceptable_answers"), evidence(none, nothing).alias("evidence"))
+    edit = F.struct(F.lit("abstract").alias("question_type"), F.lit("Q2").alias("question"), second.alias("answer"), nothing.alias("acceptable_answers"), evidence(second, F.array(F.lit("b2"))).alias("evidence"))
+    revision = F.when(d == "edit", edit).otherwise(empty)
+
+    def one(at):
+        return F.struct(F.lit("ann").alias("reviewer_alias"), at.alias("reviewed_at_utc"), d.alias("decision"), F.lit("high").alias("confidence"), F.array(d == "keep").alias("checks"), F.when(d == "keep", nothing).otherwise(F.array(F.lit("OTHER"))).alias("issue_codes"), F.when(d != "keep", "noted").alias("notes"), revision.alias("proposed_revision"))
+
+    source = F.struct(F.lit("r1").alias("dataset_release"), q.alias("question_id"), named("p", i).alias("paper_id"), (i % 50).cast("string").alias("work_id"), F.lit("s").alias("questions_silver_file_sha256"), F.lit("c").alias("source_checksums_file_sha256"))
+    end = F.struct(F.lit("not_required").alias("status"), d.alias("final_decision"), F.when(d == "keep", "silver").when(d == "edit", "final_revision").otherwise("none").alias("final_payload_source"), F.lit("2026-02-01T00:00:00Z").alias("resolved_at_utc"), revision.alias("final_revision"), none.alias("resolver_alias"), none.alias("rationale"))
+    export = F.struct(F.lit(False).alias("eligible"), *(none.alias(c) for c in ("gold_question_id", "label_quality", "review_status", "derivation")))
+    reviews = b.select(
+        q.alias("question_id"), ids.release_id("annotation", F.when(i % 17 == 4, "r0").otherwise("r1"), q).alias("annotation_record_id"), source.alias("source"), F.when(i % 13 == 6, gold.INDEPENDENT).otherwise(gold.SINGLE).alias("review_protocol"), F.lit("resolved").alias("record_status"),
+        one(F.lit("2026-01-01T00:00:00Z")).alias("round_1"), one(F.when(i % 7 == 3, "2026-01-01T23:59:59Z").otherwise("2026-01-02T00:00:00Z")).alias("round_2"), end.alias("resolution"), export.alias("gold_export"),
+    )
+    out = gold.built(reviews, questions, blocks, "r1", "v1", "s", "c")
+    return out.select("question_id", "decision", F.array_join("errors", ",").alias("errors"), "gold.gold_question_id", "gold.answer", F.array_join("gold.evidence.block_ids", ",").alias("block_ids"), F.col("gold.evidence.bbox_normalized_top_left")[0].alias("left"))
