@@ -8,6 +8,7 @@ from tessella.catalogue.base import Registry, read, read_spread
 from tessella.functions import text as T
 from tessella.functions import vectors as V
 from tessella.operators import evaluate, quality, retrieval
+from tessella.operators.layout import settled
 from tessella.plans import flows
 
 query = Registry()
@@ -78,17 +79,18 @@ def second_list(first):
 
 @query(f'with {RRF} select query_id, doc_id, score, cast(rank_0 as int) rank_0, cast(rank_1 as int) rank_1, cast(row_number() over (partition by query_id order by score desc, doc_id) as int) as "rank" from f qualify "rank" <= 5')
 def rrf_fusion(spark, sf):
-    first = retrieval.bm25(asked(spark, sf), corpus(spark, sf), 10)
+    first = settled(retrieval.bm25(asked(spark, sf), corpus(spark, sf), 10))
     return retrieval.fused([(first, 1.0), (second_list(first), 0.5)], 5)
 
 
 @query(f"""with {RRF}, top as (select *, row_number() over (partition by query_id order by score desc, doc_id) old_rank from f qualify old_rank <= 10), qt as (select item_id query_id, list_distinct({TOK}) qt from benchmark), dt as (select doc_id, list_distinct(toks) dt from d), s as (select top.*, round(case when len(qt) > 0 then len(list_intersect(qt, dt)) / len(qt) else 0 end, 6) rerank_score from top join qt using (query_id) join dt using (doc_id))
 select query_id, doc_id, score, rerank_score, cast(old_rank as int) old_rank, cast(row_number() over (partition by query_id order by rerank_score desc, old_rank, doc_id) as int) as "rank" from s qualify "rank" <= 5""")
 def rerank_topk(spark, sf):
-    first = retrieval.bm25(asked(spark, sf), corpus(spark, sf), 10)
-    fused = retrieval.fused([(first, 1.0), (second_list(first), 0.5)], 10).select("query_id", "doc_id", "score", "rank")
-    texts = fused.select("query_id", "doc_id").join(asked(spark, sf), "query_id").withColumnRenamed("text", "asked").join(corpus(spark, sf), "doc_id")
-    both = texts.select("query_id", "doc_id", F.array_distinct(T.retrieval_tokens(F.col("asked"))).alias("qt"), F.array_distinct(T.retrieval_tokens(F.col("text"))).alias("dt"))
+    first = settled(retrieval.bm25(asked(spark, sf), corpus(spark, sf), 10))
+    fused = settled(retrieval.fused([(first, 1.0), (second_list(first), 0.5)], 10).select("query_id", "doc_id", "score", "rank"))
+    words = lambda df, key, name: settled(df.select(key, F.array_distinct(T.retrieval_tokens(F.col("text"))).alias(name)))
+    needed = words(corpus(spark, sf).join(fused.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id", "dt")  # each document once
+    both = fused.select("query_id", "doc_id").join(words(asked(spark, sf), "query_id", "qt"), "query_id").join(needed, "doc_id")
     scores = both.select("query_id", "doc_id", F.round(T.coverage(F.col("qt"), F.col("dt")), 6).alias("rerank_score"))
     return retrieval.reranked(fused, scores, 5).select("query_id", "doc_id", "score", "rerank_score", "old_rank", "rank")
 
@@ -112,7 +114,7 @@ def quality_assessment(spark, sf):
 @query(f"""with {PASSAGES}, {bm25_sql(15)} select query_id, doc_id, score, quality_score, cast("rank" as int) old_rank, cast(row_number() over (partition by query_id order by "rank") as int) new_rank from bm join qa using (doc_id) where accepted qualify new_rank <= 5""")
 def quality_filtered_topk(spark, sf):
     first = retrieval.bm25(asked(spark, sf), corpus(spark, sf), 15)
-    return retrieval.quality_filtered(first, quality.assessed(passages(spark, sf)), 5).withColumnRenamed("rank", "new_rank").select("query_id", "doc_id", "score", "quality_score", "old_rank", "new_rank")
+    return retrieval.gated(first, passages(spark, sf), 5).withColumnRenamed("rank", "new_rank").select("query_id", "doc_id", "score", "quality_score", "old_rank", "new_rank")
 
 
 @query(f"""with {DENSE}, r as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as "rank" from ds where query_id <> doc_id qualify "rank" <= 10),

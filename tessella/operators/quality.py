@@ -14,8 +14,8 @@ REFERENCE_ENTRY = r"(?i)^(?:\[\d{1,4}\]|\d{1,4}\.)\s+.{0,100}\b(?:19|20)\d{2}\b"
 REFERENCE_MARKER = r"(?:^|\s)\[\d{1,4}\]\s+(?=[A-Z])"
 
 
-def assessment(text: Column, section: Column, page: Column, minimum_characters: int = MIN_CHARACTERS, minimum_score: float = MIN_SCORE) -> Column:
-    """A struct (accepted, score, reasons); hard reasons come first."""
+def assessment(text: Column, section: Column, page: Column, minimum_characters: int = MIN_CHARACTERS, minimum_score: float = MIN_SCORE, tokens: Column | None = None) -> Column:
+    """A struct (accepted, score, reasons); hard reasons come first. tokens: the text's, where they are known already."""
     if minimum_characters < 1 or not 0 <= minimum_score <= 1:
         raise ValueError("minimum_characters must be positive and minimum_score in 0..1")
 
@@ -42,7 +42,7 @@ def assessment(text: Column, section: Column, page: Column, minimum_characters:
         return F.struct(((F.size(rejected) == 0) & (score >= minimum_score)).alias("accepted"), score.alias("score"), F.concat(rejected, weak).alias("reasons"))
 
     flat = T.normalized(text)
-    packed = F.struct(flat.alias("t"), T.normalized(F.coalesce(section, F.lit(""))).alias("s"), page.alias("page"), T.retrieval_tokens(flat).alias("tokens"))
+    packed = F.struct(flat.alias("t"), T.normalized(F.coalesce(section, F.lit(""))).alias("s"), page.alias("page"), (T.retrieval_tokens(flat) if tokens is None else tokens).alias("tokens"))
     return F.transform(F.array(packed), judge)[0]
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions import text as T
 from tessella.functions import vectors as V
 from tessella.operators import quality, research, retrieval, store, verify
+from tessella.operators.layout import settled
 
 MODES = ("dense", "hybrid", "hybrid-rerank")
 
@@ -25,25 +26,31 @@ def index(evidence: DataFrame, embedded: DataFrame, model: str, dimension: int =
     return pending.select("evidence_id", "content_sha256", F.lit(model).alias("model"), V.hashing_embedding(T.retrieval_tokens(F.col("text")), dimension).alias("vector"))
 
 
-def search(queries: DataFrame, passages: DataFrame, top_k: int = 8, mode: str = "hybrid-rerank", dimension: int = 64) -> DataFrame:
+def prepared(passages: DataFrame, dimension: int = 64) -> DataFrame:
+    """(doc_id, tokens, vector, accepted, quality_score) of passages(doc_id, text, section, page_number), kept in the shared folder: every text is tokenized and assessed once."""
+    rows = passages.select("doc_id", "text", "section", "page_number", T.retrieval_tokens(F.col("text")).alias("tokens"))
+    rows = rows.withColumn("vector", V.hashing_embedding(F.col("tokens"), dimension))
+    rows = settled(rows.select("doc_id", "tokens", "vector", quality.assessment(F.col("text"), F.col("section"), F.col("page_number"), tokens=F.col("tokens")).alias("q")))
+    return rows.select("doc_id", "tokens", "vector", F.col("q.accepted").alias("accepted"), F.col("q.score").alias("quality_score"))
+
+
+def search(queries: DataFrame, passages: DataFrame, top_k: int = 8, mode: str = "hybrid-rerank", dimension: int = 64, ready: DataFrame | None = None) -> DataFrame:
     """Ranked passages(doc_id, text, section, page_number) for queries(query_id, text), with hashed vectors.
 
     hybrid gates both sides by quality before fusion and takes twice the number from each; hybrid-rerank fuses twice as
-    many and orders them by the cosine of the hashed vectors.
+    many and orders them by the cosine of the hashed vectors. ready: the passages as `prepared` gives them, for several searches.
     """
     checked(mode, top_k)
-    embed = lambda df, key: df.select(key, V.hashing_embedding(T.retrieval_tokens(F.col("text")), dimension).alias("vector"))
-    qv, dv = embed(queries, "query_id"), embed(passages, "doc_id")
+    ready = prepared(passages, dimension) if ready is None else ready
+    qv = settled(queries.select("query_id", V.hashing_embedding(T.retrieval_tokens(F.col("text")), dimension).alias("vector")))
+    dv = ready.select("doc_id", "vector")
     if mode == "dense":
         return retrieval.dense(qv, dv, top_k, positive_only=False)
-    judged = quality.assessed(passages).select("doc_id", "accepted", "quality_score").persist()  # three small columns, used on both sides
     wide = top_k * (2 if mode == "hybrid-rerank" else 1)
-    fused = retrieval.hybrid(queries, passages.select("doc_id", "text"), qv, dv, wide, 2, judged)
+    fused = settled(retrieval.hybrid(queries, ready.select("doc_id", "tokens"), qv, dv, wide, 2, ready.select("doc_id", "accepted", "quality_score")))  # wide rows for each query
     if mode == "hybrid":
         return fused
-    fused = fused.persist()  # top_k * 2 rows for each query
-    needed = embed(passages.join(fused.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id")
-    pairs = fused.select("query_id", "doc_id").join(qv.withColumnRenamed("vector", "a"), "query_id").join(needed.withColumnRenamed("vector", "b"), "doc_id")
+    pairs = fused.select("query_id", "doc_id").join(qv.withColumnRenamed("vector", "a"), "query_id").join(dv.withColumnRenamed("vector", "b"), "doc_id")
     scores = pairs.select("query_id", "doc_id", F.round(V.cosine(F.col("a"), F.col("b")), 6).alias("rerank_score"))
     return retrieval.reranked(fused, scores, top_k)
 
@@ -53,7 +60,7 @@ def answer(questions: DataFrame, passages: DataFrame, top_k: int = 5, mode: str
     hits = search(questions, passages, top_k, mode).select("query_id", F.col("doc_id").cast("string").alias("evidence_id"), "rank")
     evidence = passages.select(F.col("doc_id").cast("string").alias("evidence_id"), "text", "page_number", F.lit(None).cast("int").alias("page_end"), "title")
     located = research.located(hits.join(evidence, "evidence_id"))
-    drafts = research.drafts(located, questions).persist()  # a few rows for each question, used four times
+    drafts = settled(research.drafts(located, questions))  # a few rows for each question, used four times
     claims = drafts.groupBy("claim_id").agg(F.first("claim_text").alias("text"), F.array_sort(F.collect_set("evidence_id")).alias("evidence_ids"))
     judged = verify.verdicts(claims, evidence.select("evidence_id", "text")).select("claim_id", "status", F.col("evidence_id").alias("support"))
     published = drafts.join(judged, "claim_id")
