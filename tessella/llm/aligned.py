@@ -34,9 +34,9 @@ from tessella.llm.common import cut, stored
 from tessella.llm.pieces import by_bytes
 
 #: Known words a worker keeps; beyond, it starts anew.
-MEMORY = 250_000
-#: Text whose distinct units stand in one row, and the longest word that is a unit.
-SLICE_BYTES, LONG_WORD = 2 << 20, 256
+MEMORY = 500_000
+#: Text whose distinct units stand in one row, text that is cut into words at once, and the longest word that is a unit.
+ROW_BYTES, SLICE_BYTES, LONG_WORD = 16 << 20, 2 << 20, 256
 #: Up to so many tokens a shared end is looked up in a unit's ends, beyond by sorting.
 SHORT = 24
 #: Pairs of ids that are broadcast at most: 24 bytes each.
@@ -73,7 +73,7 @@ class Encoder:
         self.b_bytes = [bytes([int(n[3:5], 16)]) if self.b.is_byte(i) else b"" if self.b.is_control(i) or self.b.is_unknown(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
         self.a_length, self.b_length = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
         self.fast = self._fast(spec)
-        self.known: dict[str, tuple[bytes, bytes] | None] = {}
+        self.known: dict[str, bytes | None] = {}  # the number of A's ids in two bytes, the ids of A, the ids of B
 
     def _fast(self, spec: dict):
         """The same vocabulary in the faster library, if its ids follow the merges' ranks."""
@@ -110,7 +110,7 @@ class Encoder:
                 flat = np.array([i for own in ids for i in own], "<i4").tobytes()
                 ends = np.cumsum([4 * len(own) for own in ids]).tolist()
                 blobs.append([flat[s:e] for s, e in zip([0, *ends], ends, strict=False)])
-            self.known.update((w, (x, y)) for w, good, x, y in zip(some, ok.tolist(), *blobs, strict=True) if good)
+            self.known.update((w, (len(x) // 4).to_bytes(2, "little") + x + y) for w, good, x, y in zip(some, ok.tolist(), *blobs, strict=True) if good)
 
     def whole(self, text: str) -> tuple[bytes, bytes]:
         """The ids of a text that is one unit; nothing where a side's bytes are not the text's."""
@@ -121,20 +121,30 @@ class Encoder:
             return b"", b""
         return np.array(ids[0], "<i4").tobytes(), np.array(ids[1], "<i4").tobytes()
 
-    def units(self, texts: list[str | None]):
-        """(units, sizes, flat): the distinct units of texts, as ids of both sides, the number of units of each text, and all their numbers one after the other."""
+    def units(self, texts: list[str | None], number: dict[str, int], found: list[tuple[bytes, bytes] | None]):
+        """(sizes, flat): how many units each text has, and the numbers of all of them one after the other.
+
+        number and found hold the units of a row so far, by word and as ids of both sides; what is new is added.
+        """
         import numpy as np
 
         cut = [t.replace("\n", " \n").split(" ") if t else [] for t in texts]
-        words = set().union(*cut)
-        new = words.difference(self.known)
+        here = set().union(*cut).difference(number)
+        new = [w for w in here if w and w not in self.known]
         if len(self.known) + len(new) > MEMORY:
             self.known.clear()
-            new = words
-        self.learn([w for w in new if w])
+            new = [w for w in here if w]
+        self.learn(new)
         self.known[""] = None
-        found = list(map(self.known.__getitem__, words))
-        number = dict(zip(words, range(len(found)), strict=True))
+        for w in here:
+            number[w] = len(found)
+            if (blob := self.known[w]) is None:
+                found.append(None)
+            else:
+                end = 2 + 4 * int.from_bytes(blob[:2], "little")
+                found.append((blob[2:end], blob[end:]))
+        for w in [w for w in new if len(w) > LONG_WORD]:
+            self.known.pop(w, None)
         sizes = np.fromiter(map(len, cut), np.int64, len(cut))
         flat = np.fromiter(map(number.__getitem__, chain.from_iterable(cut)), np.int32, int(sizes.sum()))
         odd = np.fromiter((pair is None for pair in found), bool, len(found))
@@ -148,9 +158,7 @@ class Encoder:
             order = np.argsort(text, kind="stable")
             flat, sizes = flat[order], np.bincount(text, minlength=len(cut))
             found += pairs
-        for w in [w for w in new if len(w) > LONG_WORD]:
-            self.known.pop(w, None)
-        return [pair or (b"", b"") for pair in found], sizes, flat
+        return sizes, flat
 
 
 def encoder(a_path: str, b_path: str) -> Encoder:
@@ -175,8 +183,12 @@ def tokenised(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id",
 
         e = encoder(a_path, b_path)
         for b in batches:
-            for part in by_bytes(b, 1, SLICE_BYTES):
-                units, sizes, flat = e.units(part.column(1).to_pylist())
+            for part in by_bytes(b, 1, ROW_BYTES):
+                number: dict[str, int] = {}
+                found: list = []
+                sizes, flat = (np.concatenate(x) for x in zip(*(e.units(some.column(1).to_pylist(), number, found) for some in by_bytes(part, 1, SLICE_BYTES)), strict=True))
+                units = [pair or (b"", b"") for pair in found]
+                number, found = {}, []
                 doc = np.repeat(np.arange(len(sizes)), sizes)
                 columns, totals = [], []
                 for side, length in enumerate((e.a_length, e.b_length)):
@@ -189,7 +201,7 @@ def tokenised(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id",
                 held = pa.StructArray.from_arrays(columns, ["a_ids", "a_ends", "b_ids", "b_ends"])
                 rows = pa.StructArray.from_arrays([part.column(0), *totals, lists(sizes, pa.array(flat))], ["doc_id", "n_a", "n_b", "units"])
                 yield pa.RecordBatch.from_arrays([lists([len(held)], held), lists([len(rows)], rows)], ["units", "docs"])
-                del units, sizes, flat, doc, columns, held, rows
+                del units, sizes, flat, doc, columns, totals, held, rows
                 pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
