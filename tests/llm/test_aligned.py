@@ -34,7 +34,7 @@ def loops(rows):
         groups = []
         if text:
             x = a.encode(" " + text, add_special_tokens=False)
-            y = b.encode(text)
+            a_ids, y = x.ids, b.encode(text)
             left = [bytes(byte[c] for c in t) for t in x.tokens]
             right = [bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode() for i in y for p in [b.id_to_piece(i)]]
             if b"".join(left) == b"".join(right) == b" " + text.encode():
@@ -42,7 +42,7 @@ def loops(rows):
                 at = [0, 0]
                 for end in sorted(set(ends[0]) & set(ends[1])):
                     until = [ends[0].index(end, at[0]) + 1, ends[1].index(end, at[1]) + 1]
-                    groups.append((x.ids[at[0] : until[0]], y[at[1] : until[1]]))
+                    groups.append((a_ids[at[0] : until[0]], y[at[1] : until[1]]))
                     at = until
         found.append(groups)
     links = [[(p, q) for g in groups for p in g[0] for q in g[1]] for groups in found]
