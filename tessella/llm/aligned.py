@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import json
 import os
+from functools import cached_property
 from itertools import chain
 
 from pyspark.sql import DataFrame, Window
@@ -34,9 +35,11 @@ from tessella.llm.common import cut, stored
 from tessella.llm.pieces import by_bytes
 
 #: Known words a worker keeps; beyond, it starts anew.
-MEMORY = 500_000
+MEMORY = 400_000
 #: Text whose distinct units stand in one row, text that is cut into words at once, and the longest word that is a unit.
-ROW_BYTES, SLICE_BYTES, LONG_WORD = 16 << 20, 2 << 20, 256
+ROW_BYTES, SLICE_BYTES, LONG_WORD = 6 << 20, 1 << 20, 256
+#: Words that are encoded at once.
+LEARNT = 20_000
 #: Up to so many tokens a shared end is looked up in a unit's ends, beyond by sorting.
 SHORT = 24
 #: Pairs of ids that are broadcast at most: 24 bytes each.
@@ -53,11 +56,7 @@ class Encoder:
         import numpy as np
         import sentencepiece
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
+        self.a_path = a_path
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         with open(a_path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -75,6 +74,16 @@ class Encoder:
         self.fast = self._fast(spec)
         self.known: dict[str, bytes | None] = {}  # the number of A's ids in two bytes, the ids of A, the ids of B
 
+    @cached_property
+    def a(self):
+        """A's own library; most texts never need it."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        a = Tokenizer.from_file(self.a_path)
+        a.encode_special_tokens = True
+        return a
+
     def _fast(self, spec: dict):
         """The same vocabulary in the faster library, if its ids follow the merges' ranks."""
         import public_tokenizers
@@ -134,7 +143,8 @@ class Encoder:
         if len(self.known) + len(new) > MEMORY:
             self.known.clear()
             new = [w for w in here if w]
-        self.learn(new)
+        for at in range(0, len(new), LEARNT):
+            self.learn(new[at : at + LEARNT])
         self.known[""] = None
         for w in here:
             number[w] = len(found)
