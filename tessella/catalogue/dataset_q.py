@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessella.catalogue.base import Registry, read
 from tessella.functions import ids
 from tessella.operators import dataset_rules as R
-from tessella.operators import gold, schema
+from tessella.operators import gold, pages, schema
 
 query = Registry()
 def docs(spark, sf):
@@ -183,3 +183,18 @@ def gold_built(spark, sf):
     )
     out = gold.built(reviews, questions, blocks, "r1", "v1", "s", "c")
     return out.select("question_id", "decision", F.array_join("errors", ",").alias("errors"), "gold.gold_question_id", "gold.answer", F.array_join("gold.evidence.block_ids", ",").alias("block_ids"), F.col("gold.evidence.bbox_normalized_top_left")[0].alias("left"))
+
+
+@query()
+def page_markdown(spark, sf):
+    """Every page as Markdown; SQL has no stack of tags."""
+    return pages.markdown(read(spark, sf, "pages"), "page_id", "html")
+
+
+@query("""select page_id, case when page_id % 11 = 3 then 'Error fetching URL: timed out' when page_id % 7 = 2 then 'Error: Received status code 404' else 'Content type: ' || case when page_id % 5 = 1 then 'application/pdf' else '' end || ' (not converted to markdown)' end as "content"
+ from pages where page_id % 11 = 3 or page_id % 7 = 2 or page_id % 5 in (1, 4)""")
+def page_placeholders(spark, sf):
+    """What stands in place of pages that failed or are no HTML."""
+    i = F.col("page_id")
+    rows = read(spark, sf, "pages").select("page_id", F.when(i % 7 == 2, 404).otherwise(200).alias("status"), F.when(i % 5 == 1, "application/pdf").when(i % 5 != 4, "text/html; charset=utf-8").alias("content_type"), F.when(i % 11 == 3, "timed out").alias("error"), F.col("html").alias("body"))
+    return pages.fetched(rows, "page_id").where((i % 11 == 3) | (i % 7 == 2) | (i % 5).isin(1, 4)).select("page_id", "content")

@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def jsonl_strict(spark: SparkSession, path: str, schema: StructType | str) -> tuple[DataFrame, DataFrame]:
-    """(rows, errors): rows with line_no; errors (file, line_no, reason) for blank lines and lines that are no JSON object.
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, line) of text files of any size; lines end with a newline, a carriage return before it goes.
 
-    Line numbers come from the byte order of a file: it is read as one text, so this is for manifests, not for bulk data.
+    Files are read in splits as always. A row's place in its split comes from the increasing ids that Spark gives the rows
+    of a task in their order; the number of the lines before a split is a running sum over one row for each split.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
-    body = F.regexp_replace("value", "\r?\n$", "")
-    lines = whole.select("file", F.posexplode(F.split(body, "\r?\n")).alias("n", "line")).select("file", (F.col("n") + 1).alias("line_no"), "line")
+    rows = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"), F.regexp_replace("value", "\r$", "").alias("line"))
+    splits = rows.groupBy("_path", "_at").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("_path").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("_path", "_at", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    return rows.join(starts, ["_path", "_at"]).select("file", (F.col("_id") + F.col("_shift")).alias("line_no"), "line")
+
+
+def jsonl_strict(spark: SparkSession, path: str, schema: StructType | str) -> tuple[DataFrame, DataFrame]:
+    """(rows, errors): rows with line_no; errors (file, line_no, reason) for blank lines and lines that are no JSON object."""
+    lines = numbered_lines(spark, path)
     blank, broken = F.trim("line") == "", ~F.coalesce(F.trim("line").rlike(r"(?s)^\{.*\}$") & F.try_parse_json("line").isNotNull(), F.lit(False))
     judged = lines.withColumn("reason", F.when(blank, "blank line").when(broken, "not a JSON object"))
     rows = judged.where("reason is null").select("file", "line_no", F.from_json("line", schema if isinstance(schema, str) else schema.simpleString()).alias("r")).select("file", "line_no", "r.*")
