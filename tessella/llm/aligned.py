@@ -34,10 +34,10 @@ from pyspark.sql import functions as F
 from tessella.llm.common import cut, stored
 from tessella.llm.pieces import by_bytes
 
-#: Known words a worker keeps; beyond, it starts anew.
-MEMORY = 400_000
+#: Known words a worker keeps; beyond, only those of the present row stay.
+MEMORY = 300_000
 #: Text whose distinct units stand in one row, text that is cut into words at once, and the longest word that is a unit.
-ROW_BYTES, SLICE_BYTES, LONG_WORD = 6 << 20, 1 << 20, 256
+ROW_BYTES, SLICE_BYTES, LONG_WORD = 3 << 20, 1 << 20, 256
 #: Words that are encoded at once.
 LEARNT = 20_000
 #: Up to so many tokens a shared end is looked up in a unit's ends, beyond by sorting.
@@ -141,8 +141,7 @@ class Encoder:
         here = set().union(*cut).difference(number)
         new = [w for w in here if w and w not in self.known]
         if len(self.known) + len(new) > MEMORY:
-            self.known.clear()
-            new = [w for w in here if w]
+            self.known = {w: self.known[w] for w in chain(here, number) if w in self.known}
         for at in range(0, len(new), LEARNT):
             self.learn(new[at : at + LEARNT])
         self.known[""] = None
