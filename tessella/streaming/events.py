@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -56,3 +56,22 @@ def append_once(stream: DataFrame, path: str, checkpoint: str):
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def appended(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run `append_once` over all data there is; all rows appended so far, with the number of their batch."""
+    where = stream.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(stream.sparkSession._jsc.hadoopConfiguration()).mkdirs(where)  # a stream without data writes nothing
+    append_once(stream, path, checkpoint).awaitTermination()
+    return stream.sparkSession.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).option("basePath", path).parquet(path)
+
+
+def progress(appended: DataFrame, *counts: Column) -> DataFrame:
+    """One row for each batch of a table of `appended`: its counts (aggregates with names), and all of them so far as total_<name>.
+
+    The totals come from the batches' folders and not from a running process, so they go on after a restart, and a batch that
+    is run again counts once. The window runs over one row for each batch.
+    """
+    each = appended.groupBy("batch").agg(F.count("*").alias("rows"), *counts)
+    so_far = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)
+    return each.select("*", *(F.sum(c).over(so_far).alias(f"total_{c}") for c in each.columns if c != "batch"))
