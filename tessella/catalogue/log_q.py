@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.catalogue.base import Registry, read, read_spread
 from tessella.functions import ids
+from tessella.functions import text as T
 from tessella.operators import agentlog, evaluate, web
 
 query = Registry()
@@ -210,3 +211,20 @@ def connector_summaries(spark, sf):
 def connector_renamed(spark, sf):
     r = read(spark, sf, "pages").select("page_id", "url", ((F.col("page_id") % 10) / F.lit(4.0)).alias("rr"))
     return web.renamed_scores(r, query="page_id", link="url", score="rr")
+
+
+@query("""with c as (select conv_id, turn, '{"content": {"Role": ' || to_json(role) || ', "share": ' || cast(turn / 7.0::double as varchar) || ', "text": ' || case when turn % 3 = 2 then 'null' else to_json(text) end || '}, "ids": [' || conv_id || ', ' || turn || '], "tool": {' || case when turn % 2 = 0 then '' else '"a": true, "b": ' || length(text) end || '}}' t from conversations)
+select conv_id, turn, sha256(t) content_sha256, length(t) n_chars from c""")
+def canonical_content(spark, sf):
+    """Turns as nested values whose fields and keys are not in order, the text null in every third turn."""
+    c = read(spark, sf, "conversations")
+    content = F.struct(F.when(F.col("turn") % 3 != 2, F.col("text")).alias("text"), (F.col("turn") / 7).alias("share"), F.col("role").alias("Role"))
+    tool = F.when(F.col("turn") % 2 == 0, F.parse_json(F.lit("{}"))).otherwise(F.parse_json(F.concat(F.lit('{"b": '), F.length("text"), F.lit(', "a": true}'))))
+    t = T.canonical_text(F.struct(tool.alias("tool"), F.array("conv_id", "turn").alias("ids"), content.alias("content")))
+    return c.select("conv_id", "turn", t.alias("t")).select("conv_id", "turn", F.sha2("t", 256).alias("content_sha256"), F.length("t").alias("n_chars"))
+
+
+@query("select conv_id, turn, sha256(trim(text, ' ' || chr(9) || chr(10) || chr(13))) content_sha256 from (select conv_id, turn, chr(10) || ' ' || text || ' ' || chr(9) text from conversations)")
+def stripped_content(spark, sf):
+    c = read(spark, sf, "conversations").withColumn("text", F.concat(F.lit("\n "), "text", F.lit(" \t")))
+    return c.select("conv_id", "turn", F.sha2(T.content_text(F.col("text")), 256).alias("content_sha256"))

@@ -135,6 +135,14 @@ def hybrid_search(spark, sf):
     return flows.search(asked(spark, sf), passages(spark, sf), 5).select("query_id", "doc_id", "rank", "rerank_score")
 
 
+@query()
+def nearest_parts(spark, sf):
+    """The five nearest parts of the ten documents that BM25 finds for each benchmark item; the hashed vectors have no SQL form."""
+    q, docs = asked(spark, sf), corpus(spark, sf)
+    vectors = q.select("query_id", V.hashing_embedding(T.retrieval_tokens(F.col("text"))).alias("vector"))
+    return retrieval.best_parts(retrieval.bm25(q, docs, 10), docs, vectors).select("query_id", "doc_id", "start", F.sha2("part", 256).alias("part_sha256"), "score", "rank")
+
+
 @query()
 def research_answers(spark, sf):
     """From benchmark items to cited reports over documents."""

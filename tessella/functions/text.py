@@ -5,6 +5,8 @@ There are three tokenizers on purpose: retrieval, verification and sentence rank
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -165,8 +167,22 @@ def safe_file_name(name: Column) -> Column:
 
 
 def content_text(value: Column) -> Column:
-    """A stripped string, or the JSON of anything else."""
-    return F.trim(value.cast("string"))
+    """A string without white space at its ends; null is empty. For other values see `canonical_text`."""
+    return F.coalesce(F.regexp_replace(value, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", ""), F.lit(""))
+
+
+def canonical_text(value: Column) -> Column:
+    """The JSON text of a struct, array, map or VARIANT: keys in code point order at every depth, `, ` and `: ` between, letters unescaped, null fields shown.
+
+    Numbers with a fraction are doubles in their shortest form; in a VARIANT, which doesn't keep a fraction of zero, 100.0 is 100. A null value is empty. The JVM makes the JSON; the order of keys
+    that only the data know and the shortest form of a double are left to an Arrow helper.
+    """
+
+    @F.pandas_udf("string")
+    def ordered(batch):
+        return batch.map(lambda t: "" if t is None else json.dumps(json.loads(t), ensure_ascii=False, sort_keys=True))
+
+    return ordered(F.to_json(value, {"ignoreNullFields": "false"}))
 
 
 def page_text(html: Column) -> Column:

@@ -81,6 +81,77 @@ def split_column(text: Column, most: int = MAX_CHARS) -> Column:
     return split(text)
 
 
+# Fixed value: separators in the order in which they are tried.
+SEPARATORS = ("\n\n", "\n", " ")
+
+
+def _cut(text: str, begin: int, end: int, separator: str) -> list[tuple[int, int]]:
+    """The pieces of text[begin:end]; each but the first begins with the separator."""
+    places, at = [begin], text.find(separator, begin, end)
+    while at >= 0:
+        if at > begin:
+            places.append(at)
+        at = text.find(separator, at + len(separator), end)
+    return list(zip(places, [*places[1:], end], strict=True))
+
+
+def _joined(pieces: list[tuple[int, int]], size: int, overlap: int):
+    """Spans of adjacent pieces, each as long as fits; the last pieces of one, up to the overlap, begin the next."""
+    first = 0
+    for i, (a, b) in enumerate(pieces):
+        if b - pieces[first][0] > size and first < i:
+            yield pieces[first][0], a
+            while first < i and (a - pieces[first][0] > overlap or b - pieces[first][0] > size):
+                first += 1
+    if pieces:
+        yield pieces[first][0], pieces[-1][1]
+
+
+def recursive_offsets(text: str, size: int = 1500, overlap: int = 200) -> list[tuple[int, int]]:
+    """(start, stop) of parts of at most `size` characters that overlap by up to `overlap`.
+
+    A text is cut at the first of SEPARATORS that it holds, what is still too long at the next, and what holds none into
+    windows. Adjacent pieces are joined as long as they fit. White space around a part belongs to none. The time is linear
+    in the text for each separator.
+    """
+    if not 0 <= overlap < size:
+        raise ValueError("overlap must be smaller than size")
+    found: list[tuple[int, int]] = []
+
+    def walk(begin: int, end: int, level: int) -> None:
+        while level < len(SEPARATORS) and text.find(SEPARATORS[level], begin, end) < 0:
+            level += 1
+        if level == len(SEPARATORS):
+            for at in range(begin, max(begin + 1, end - overlap), size - overlap):
+                found.append((at, min(at + size, end)))
+            return
+        small: list[tuple[int, int]] = []
+        for a, b in _cut(text, begin, end, SEPARATORS[level]):
+            if b - a < size:
+                small.append((a, b))
+            else:
+                found.extend(_joined(small, size, overlap))
+                small = []
+                walk(a, b, level + 1)
+        found.extend(_joined(small, size, overlap))
+
+    if text:
+        walk(0, len(text), 0)
+    bare = ((a, b, text[a:b]) for a, b in found)
+    return [(a + len(t) - len(t.lstrip()), b - len(t) + len(t.rstrip())) for a, b, t in bare if t.strip()]
+
+
+def recursive_split(text: Column, size: int = 1500, overlap: int = 200) -> Column:
+    """An array of (start, part) of each text, starts from 0; Arrow, because a cut depends on the ones before. A null text has no parts."""
+    recursive_offsets("", size, overlap)  # wrong sizes are an error of the caller's, not of a task
+
+    @F.pandas_udf("array<struct<start:int,part:string>>")
+    def split(batch):
+        return batch.map(lambda t: [{"start": a, "part": t[a:b]} for a, b in recursive_offsets(t or "", size, overlap)])
+
+    return split(text)
+
+
 def overlapping(text: Column, size: int = 1500, overlap: int = 200) -> Column:
     """Windows of `size` characters that overlap."""
     if not 0 <= overlap < size:
