@@ -50,6 +50,61 @@ def corpus_summary(spark, sf):
     return C.summary(f)
 
 
+MANIFEST = POLICY + """,
+man as (select m.*, r.index_policy, r.indexable, r.translation_of, printf('doc %08d', m.doc_id) title, 2000 + m.doc_id % 25 as "year", case when m.doc_id % 97 % 5 = 0 then 'test' else 'development' end dataset_split, m.doc_id % 97 % 5 <> 0 tuning_allowed from marked m left join records r using (file_id)),
+best as (select * from man where not is_exact_duplicate qualify row_number() over (partition by work_id order by case when index_policy in ('primary', 'primary_translation_only') then 0 else 1 end, p1, p2, relative_path, file_id) = 1)"""
+OWN = "not is_exact_duplicate"
+
+
+def manifest(spark, sf):
+    """All files with their policies, titles and splits; a fifth of the works is for tests."""
+    f = C.canonical(files(spark, sf))
+    policies = C.index_policies(f.where("not is_exact_duplicate")).select("file_id", "index_policy", "indexable", "translation_of")
+    test = F.col("doc_id") % 97 % 5 == 0
+    split = F.when(test, "test").otherwise("development")
+    return f.join(policies, "file_id", "left").withColumns({"title": C.clean_title(F.col("relative_path")), "year": 2000 + F.col("doc_id") % 25, "dataset_split": split, "tuning_allowed": ~test})
+
+
+def listed(column: str, where: str = "true") -> str:
+    """SQL for the sorted set of a column as one text."""
+    return f"coalesce(array_to_string(list_sort(list(distinct {column}) filter ({where})), ','), '')"
+
+
+@query(f"""with {MANIFEST}, w as (select work_id, count(*) source_file_count, count(distinct paper_id) filter ({OWN}) unique_content_count, {listed('"language"')} languages, {listed('paper_id', OWN + " and document_type = 'original'")} original_paper_ids,
+ {listed('paper_id', OWN + " and document_type = 'translation'")} translation_paper_ids, {listed('paper_id', OWN + ' and indexable')} indexable_paper_ids, {listed('file_id')} source_file_ids from man group by 1)
+select w.*, title, category, "year", paper_id primary_paper_id, dataset_split, tuning_allowed from w left join best using (work_id)""")
+def work_records(spark, sf):
+    w = C.work_records(manifest(spark, sf))
+    return w.withColumns({c: F.array_join(c, ",") for c in ("languages", "original_paper_ids", "translation_paper_ids", "indexable_paper_ids", "source_file_ids")})
+
+
+@query(f"""with {MANIFEST} select distinct work_id, 'languages' kind, "language" as "member" from man union all select distinct work_id, document_type || '_paper_ids', paper_id from man where {OWN}
+ union all select distinct work_id, 'indexable_paper_ids', paper_id from man where {OWN} and indexable union all select distinct work_id, 'source_file_ids', file_id from man""")
+def work_members(spark, sf):
+    return C.work_members(manifest(spark, sf))
+
+
+def told(name: str, rows: str, value: str) -> str:
+    """SQL for the one row of a histogram as text."""
+    return f"(select string_agg({value} || '=' || n, ',' order by {value}) from (select {value}, count(*) n from {rows} group by 1)) {name}"
+
+
+@query(f"""with {MANIFEST}, ch as (select case when doc_id % 97 % 5 = 0 then 'test' else 'development' end dataset_split, doc_id % 3 <> 0 indexable from documents)
+select count(*) source_pdf_count, cast(sum(pages) as bigint) source_total_pages, count(*) filter ({OWN}) canonical_pdf_count, cast(sum(pages) filter ({OWN}) as bigint) canonical_total_pages, count(distinct work_id) logical_work_count, count(*) filter ({OWN} and indexable) indexable_content_count,
+ count(*) filter ({OWN} and index_policy = 'skip_semantic_variant') semantic_variant_content_count, count(distinct work_id) filter ({OWN} and index_policy = 'skip_semantic_variant') semantic_variant_work_count, count(*) filter (is_exact_duplicate) exact_duplicate_file_count,
+ (select count(*) from (select sha256 from man group by 1 having count(*) > 1)) exact_duplicate_group_count, count(*) filter (document_type = 'translation') translation_file_count, count(*) filter ({OWN} and document_type = 'translation') canonical_translation_content_count,
+ count(*) filter ({OWN} and translation_of is not null) linked_translation_content_count, count(distinct work_id) filter ({OWN} and translation_of is not null) linked_translation_work_count,
+ (select count(*) from ch) chunk_count, (select count(*) from ch where dataset_split = 'development') development_chunk_count, (select count(*) from ch where dataset_split = 'test') evaluation_corpus_chunk_count, (select count(*) from ch where indexable) indexable_chunk_count,
+ count(*) filter ({OWN} and dataset_split = 'test') evaluation_paper_count, (select count(*) from benchmark) evaluation_question_count, {told('category_counts', 'best', 'category')}, {told('language_counts', f'(select * from man where {OWN})', '"language"')} from man""")
+def corpus_counts(spark, sf):
+    m = manifest(spark, sf)
+    d = read(spark, sf, "documents")
+    chunks = d.select(F.when(F.col("doc_id") % 97 % 5 == 0, "test").otherwise("development").alias("dataset_split"), (F.col("doc_id") % 3 != 0).alias("indexable"))
+    out = C.corpus_counts(m, chunks, m.where("not is_exact_duplicate and dataset_split = 'test'"), read(spark, sf, "benchmark"))
+    text = lambda c: F.array_join(F.transform(c, lambda e: F.concat(e["value"], F.lit("="), e["n"])), ",")
+    return out.withColumns({c: text(c) for c in ("category_counts", "language_counts")})
+
+
 @query("""with d as (select case when contains(lower(text), 'survey') or contains(lower(text), 'review') then 'survey' when contains(lower(text), 'language model') or contains(lower(text), 'logllm') or contains(lower(source), 'llm') then 'llm_for_aiops'
  when contains(lower(source), 'mamba') then 'sequence_modeling' when contains(lower(source), 'svdd') or contains(lower(text), 'one-class') then 'one_class_anomaly_detection' when contains(lower(text), 'wavelet') then 'wavelet_time_series'
  when contains(lower(text), 'dynamic graph') then 'dynamic_graph' when regexp_matches(lower(text), 'root cause|failure localization|fault localization|troubleshooting|causal|causality') then 'microservice_root_cause_analysis'

@@ -83,6 +83,15 @@ def rrf_fusion(spark, sf):
     return retrieval.fused([(first, 1.0), (second_list(first), 0.5)], 5)
 
 
+@query(f"""with {RRF}, j as (select query_id, doc_id, (doc_id % 10) / 10.0::double q from bm union all select query_id, doc_id, case when doc_id % 3 <> 0 then (doc_id % 7) / 10.0::double end from second), m as (select query_id, doc_id, max(q) quality_score from j group by all)
+select query_id, doc_id, score, quality_score, cast(row_number() over (partition by query_id order by score desc, doc_id) as int) as "rank" from f join m using (query_id, doc_id) qualify "rank" <= 5""")
+def fusion_with_quality(spark, sf):
+    """Two lists with qualities of their own, the second with gaps; a document has the better one."""
+    first = settled(retrieval.bm25(asked(spark, sf), corpus(spark, sf), 10))
+    second = second_list(first).withColumn("quality_score", F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") % 7 / 10))
+    return retrieval.fused([(first.withColumn("quality_score", F.col("doc_id") % 10 / 10), 1.0), (second, 0.5)], 5).select("query_id", "doc_id", "score", "quality_score", "rank")
+
+
 @query(f"""with {RRF}, top as (select *, row_number() over (partition by query_id order by score desc, doc_id) old_rank from f qualify old_rank <= 10), qt as (select item_id query_id, list_distinct({TOK}) qt from benchmark), dt as (select doc_id, list_distinct(toks) dt from d), s as (select top.*, round(case when len(qt) > 0 then len(list_intersect(qt, dt)) / len(qt) else 0 end, 6) rerank_score from top join qt using (query_id) join dt using (doc_id))
 select query_id, doc_id, score, rerank_score, cast(old_rank as int) old_rank, cast(row_number() over (partition by query_id order by rerank_score desc, old_rank, doc_id) as int) as "rank" from s qualify "rank" <= 5""")
 def rerank_topk(spark, sf):

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.layout import settled
+
 # Marks of translated files, title aliases, generic titles, and the category rules in their order.
 TRANSLATION_MARKS = ["翻译结果", "【翻译】", "（翻译）", "(翻译结果)", "中文翻译", "翻译"]
 GENERIC_TITLES = ["untitled", "microsoft word", "document", "main", "paper"]
@@ -142,6 +144,77 @@ def works(records: DataFrame) -> DataFrame:
     )
 
 
+def _first_of_work() -> Column:
+    """The place of a canonical record in its work: records of a primary policy first, then by preference of their path."""
+    chosen = ~F.col("index_policy").isin("primary", "primary_translation_only")
+    fields = ("paper_id", "title", "category", "year", "dataset_split", "tuning_allowed")
+    place = F.struct(F.coalesce(chosen, F.lit(True)).alias("a"), *(c.alias(f"o{i}") for i, c in enumerate(_preference(F.col("relative_path")))), F.col("file_id").alias("id"), *fields)
+    return F.min(F.when(~F.col("is_exact_duplicate"), place))
+
+
+def work_records(manifest: DataFrame) -> DataFrame:
+    """One row for a work of manifest(file_id, relative_path, paper_id, work_id, is_exact_duplicate, document_type, language, index_policy, indexable, title, category, year, dataset_split, tuning_allowed).
+
+    Title, category, year and split are the primary record's. Sets are sorted; all but languages and files hold canonical
+    records only. For reports: a row holds the ids of a whole work; where works may be very large, `work_members` has a row
+    for each id. A work of duplicates only has no primary.
+    """
+    own = ~F.col("is_exact_duplicate")
+    ids = lambda c, of: F.array_sort(F.collect_set(F.when(c, F.col(of))))
+    rows = manifest.groupBy("work_id").agg(
+        _first_of_work().alias("p"), F.count("*").alias("source_file_count"), F.array_sort(F.collect_set("language")).alias("languages"), ids(own, "paper_id").alias("papers"),
+        ids(own & (F.col("document_type") == "original"), "paper_id").alias("original_paper_ids"), ids(own & (F.col("document_type") == "translation"), "paper_id").alias("translation_paper_ids"),
+        ids(own & F.col("indexable"), "paper_id").alias("indexable_paper_ids"), F.array_sort(F.collect_list("file_id")).alias("source_file_ids"),
+    )
+    lists = ("languages", "original_paper_ids", "translation_paper_ids", "indexable_paper_ids", "source_file_ids")
+    return rows.select("work_id", "p.title", "p.category", "p.year", F.col("p.paper_id").alias("primary_paper_id"), "source_file_count", F.size("papers").alias("unique_content_count"), *lists, "p.dataset_split", "p.tuning_allowed")
+
+
+def work_members(manifest: DataFrame) -> DataFrame:
+    """(work_id, kind, member): the sets of `work_records` as rows, so that no work is gathered anywhere."""
+    own = ~F.col("is_exact_duplicate")
+    kinds = {"languages": (F.lit(True), "language"), "original_paper_ids": (own & (F.col("document_type") == "original"), "paper_id"), "translation_paper_ids": (own & (F.col("document_type") == "translation"), "paper_id"),
+             "indexable_paper_ids": (own & F.col("indexable"), "paper_id"), "source_file_ids": (F.lit(True), "file_id")}
+    each = F.array(*(F.struct(F.lit(kind).alias("kind"), F.when(c, F.col(of)).alias("member")) for kind, (c, of) in kinds.items()))
+    return manifest.select("work_id", F.explode(each).alias("m")).select("work_id", "m.*").where("member is not null").distinct()
+
+
+def _listed(counts: DataFrame, key: str, name: str) -> DataFrame:
+    """One row: the few values of a column with their counts, in order."""
+    each = counts.groupBy(key).agg(F.sum("n").alias("n")).select(F.struct(F.col(key).alias("value"), "n").alias("e"))
+    return each.agg(F.array_sort(F.collect_list("e")).alias(name))
+
+
+def corpus_counts(manifest: DataFrame, chunks: DataFrame, papers: DataFrame, questions: DataFrame) -> DataFrame:
+    """One row with the counts of a whole dataset: files, contents, works, variants, translations, chunks, evaluation; categories of works and languages of contents.
+
+    Distinct works are counted by grouping by work first, which is one shuffle of a row for each work and task, and not one
+    copy of the manifest for each distinct count.
+    """
+    own = ~F.col("is_exact_duplicate")
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    translated, variant = F.col("document_type") == "translation", F.col("index_policy") == "skip_semantic_variant"
+    linked = F.col("translation_of").isNotNull()
+    works = manifest.groupBy("work_id").agg(
+        F.count("*").alias("source_pdf_count"), F.sum("pages").alias("source_total_pages"), n(own).alias("canonical_pdf_count"), F.coalesce(F.sum(F.when(own, F.col("pages"))), F.lit(0)).alias("canonical_total_pages"), n(own & F.col("indexable")).alias("indexable_content_count"),
+        n(own & variant).alias("semantic_variant_content_count"), n(F.col("is_exact_duplicate")).alias("exact_duplicate_file_count"), n(translated).alias("translation_file_count"), n(own & translated).alias("canonical_translation_content_count"),
+        n(own & linked).alias("linked_translation_content_count"), _first_of_work()["category"].alias("category"),
+    )
+    works = settled(works)
+    sums = [F.sum(c).alias(c) for c in works.columns if c not in ("work_id", "category")]
+    at_least_one = {"semantic_variant_work_count": "semantic_variant_content_count", "linked_translation_work_count": "linked_translation_content_count"}
+    files = works.agg(F.count("*").alias("logical_work_count"), *sums, *(F.count_if(F.col(c) > 0).alias(name) for name, c in at_least_one.items()))
+    repeated = manifest.groupBy("sha256").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).alias("exact_duplicate_group_count"))
+    split = F.col("dataset_split")
+    parts = chunks.agg(F.count("*").alias("chunk_count"), n(split == "development").alias("development_chunk_count"), n(split == "test").alias("evaluation_corpus_chunk_count"), n(F.col("indexable")).alias("indexable_chunk_count"))
+    judged = papers.agg(F.count("*").alias("evaluation_paper_count")), questions.agg(F.count("*").alias("evaluation_question_count"))
+    kinds = _listed(works.groupBy("category").agg(F.count("*").alias("n")), "category", "category_counts"), _listed(manifest.where(own).groupBy("language").agg(F.count("*").alias("n")), "language", "language_counts")
+    out = files
+    for one in (repeated, parts, *judged, *kinds):  # each of one row
+        out = out.crossJoin(one)
+    return out
+
+
 def holdout(records: DataFrame, size: int) -> DataFrame:
     """`size` eligible records, taken in turn from the categories in their order; each category gives its records by digest.
 
