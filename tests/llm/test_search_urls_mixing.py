@@ -364,3 +364,14 @@ def test_repeated_words_of_topics(spark):
     df = spark.createDataFrame([(1, "apple bear north"), (2, "émile 12"), (3, "Zulu\tvery\nNorth")], "doc_id long, text string")
     got = {r["doc"]["doc_id"]: (r["tokens"], r["topic"]) for r in mixing.measured(df).collect()}
     assert got == {1: (3, 1), 2: (2, 0), 3: (3, 4)}
+
+
+def test_contexts_beyond_the_literals_are_kept(spark, monkeypatch):
+    df = spark.createDataFrame([*url_rows()[:900], (None, None), (7, ""), (7, "")], "page_id long, url string")
+    few = sorted(map(tuple, urls.judged(df).collect()), key=str)
+    monkeypatch.setattr(urls, "CONTEXTS", 3)
+    assert isinstance(urls.ratios(df.select(urls.symbols(F.col("url")).alias("s"), (F.col("page_id") % 2).cast("int").alias("label"))), urls.RatioTable)
+    many = sorted(map(tuple, urls.judged(df).collect()), key=str)
+    assert len({r[5] for r in few}) > 100
+    assert [r[:5] for r in many] == [r[:5] for r in few]
+    assert all(abs(a[5] - b[5]) <= 2e-6 for a, b in zip(many, few, strict=True))
