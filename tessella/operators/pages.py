@@ -129,13 +129,17 @@ def to_markdown(html: str | None) -> str | None:
     return _tidy("".join(r.stack[0][2]))
 
 
+#: Pages that a task holds as text and Markdown at once.
+PAGES = 64
+
+
 def markdown(rows: DataFrame, key: str, html: str) -> DataFrame:
     """(key, markdown) of rows(key, html); null for null."""
 
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in (whole.slice(at, PAGES) for whole in batches for at in range(0, whole.num_rows, PAGES)):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([to_markdown(x) for x in b.column(1).to_pylist()], pa.string())], [key, "markdown"])
 
     return rows.select(key, F.col(html).cast("string").alias("html")).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, markdown string")

@@ -52,3 +52,9 @@ def test_placeholders_and_source_text(spark):
     text = pages.source_text(got.where("position < 3").select(F.lit("q").alias("g"), "position", F.lit("T").alias("title"), F.lit("u").alias("url"), "content"), "g").first()["text"]
     line = "-" * 80
     assert text == f"Search results: \n\n\n\n--- SOURCE 1: T ---\nURL: u\n\nFULL CONTENT:\n hi\n\n{line}\n\n\n--- SOURCE 2: T ---\nURL: u\n\nFULL CONTENT:\n Content type: application/pdf (not converted to markdown)\n\n{line}\n"
+
+
+def test_batches_are_cut_to_few_pages(spark, monkeypatch):
+    monkeypatch.setattr(pages, "PAGES", 2)
+    rows = spark.createDataFrame([(i, None if i == 3 else f"<p>{i}</p>") for i in range(5)], "page_id long, html string").coalesce(1)
+    assert sorted(map(tuple, pages.markdown(rows, "page_id", "html").collect())) == [(i, None if i == 3 else str(i)) for i in range(5)]
