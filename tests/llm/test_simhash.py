@@ -196,3 +196,29 @@ def test_one_row_of_each_group_stays(spark):
         assert out.columns == df.columns
         assert sorted(r["n"] for r in out.collect()) == [2, 3, 5, 7]
     assert simhash.first_of_groups(df.limit(0)).count() == 0
+
+
+def flipped(rng, fp, n, free):
+    """fp with n bits of every block of 24 turned that isn't in `free`."""
+    return fp ^ sum(1 << 24 * b + k for b in range(simhash.WIDE // 24) if b not in free for k in rng.sample(range(24), n))
+
+
+@pytest.mark.parametrize("place", [{5}, {60}, {5, 60}])
+def test_members_that_resemble_only_linked_members_are_linked(spark, place):
+    """In a key that all share, chains hang on one text each: the next resembles only the one before, which a head has taken."""
+    rng = random.Random(6)
+    base, fps = rng.getrandbits(simhash.WIDE), []
+    for _ in range(3):
+        one = base ^ sum(rng.getrandbits(24) << 24 * b for b in range(simhash.WIDE // 24) if b not in place)
+        fps.append([one])
+        for _ in range(4):
+            fps[-1].append(flipped(rng, fps[-1][-1], 3, place))
+    apart = simhash.bits_apart(0.8)
+    for seed in range(2):  # the order of the heads is that of the ids' hashes
+        ids = random.Random(seed).sample(range(10**6), 15)
+        nodes = spark.createDataFrame([(i, f.to_bytes(simhash.WIDE // 8, "little")) for i, f in zip(ids, sum(fps, []), strict=True)], "node long, fp binary")
+        links = simhash.wide_links(nodes).collect()
+        of = dict(zip(ids, sum(fps, []), strict=True))
+        assert all((of[r["u"]] ^ of[r["v"]]).bit_count() <= apart for r in links)
+        found = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(links, "u long, v long")).collect()}
+        assert [{found.get(i) for i in ids[5 * k : 5 * k + 5]} for k in range(3)] == [{min(ids[5 * k : 5 * k + 5])} for k in range(3)]
