@@ -15,7 +15,7 @@ distance that a Jaccard similarity of 0.8 has, which 1,536 bits give within abou
 among themselves, with eight times the heads in each round, until none is left. So a group of near copies brings rows in
 proportion to its members. A member that resembles another but no head of a key is found in a later round; where one of
 the two was linked before, `_missed` finds the pair at the end: members of different components that share a key are
-compared, by way of the members that they hang on. So no pair that shares a block and meets the threshold stays apart.
+compared inside tasks, in bounded parts of the key. So no pair that shares a block and meets the threshold stays apart.
 
 Defined cases: a null or empty text, or one of white space only, has the fingerprint zero and is linked like any other.
 A null id keeps its row; ids that are null never name a component (a component of null ids only is null). Repeated rows
@@ -221,25 +221,20 @@ def _meetings(dealt: DataFrame, heads: int) -> DataFrame:
     return met.select("key", F.explode(F.transform("heads", lambda x: x["node"])).alias("u"), "v", "crowded")
 
 
-def _within(pairs: DataFrame, nodes: DataFrame, apart: int) -> DataFrame:
-    """The distinct (u, v) of pairs whose fingerprints differ in at most `apart` bits, times the pair's `times` if it has any."""
+def _close(pairs: DataFrame, nodes: DataFrame, apart: int) -> DataFrame:
+    """The distinct (u, v), u < v, of pairs whose fingerprints differ in at most `apart` bits."""
 
     def run(batches):
         import numpy as np
 
         for b in slices(batches, 20_000):
-            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), "<u8").reshape(b.num_rows, -1) for k in (3, 4))
-            yield b.select(["u", "v"]).filter(np.bitwise_count(x ^ y).sum(1) <= apart * b.column(2).to_numpy())
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), "<u8").reshape(b.num_rows, -1) for k in (2, 3))
+            yield b.select(["u", "v"]).filter(np.bitwise_count(x ^ y).sum(1) <= apart)
 
-    times = F.col("times") if "times" in pairs.columns else F.lit(1).alias("times")
-    left = _spread(pairs.select("u", "v", times).distinct(), nodes.select(F.col("node").alias("u"), F.col("fp").alias("x")), ["u"], "v")
+    ordered = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    left = _spread(ordered, nodes.select(F.col("node").alias("u"), F.col("fp").alias("x")), ["u"], "v")
     both = _spread(left, nodes.select(F.col("node").alias("v"), F.col("fp").alias("y")), ["v"], "u")
-    return both.select("u", "v", "times", "x", "y").mapInArrow(run, "u long, v long")
-
-
-def _close(pairs: DataFrame, nodes: DataFrame, apart: int) -> DataFrame:
-    """`_within`, with u < v."""
-    return _within(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), nodes, apart)
+    return both.select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
 
 
 #: Blocks of the first pass.
@@ -280,36 +275,48 @@ def wide_links(nodes: DataFrame, similarity: float = SIMILARITY, block_bits: int
     return found.unionByName(stored(_missed(found, nodes, apart, block_bits), "links")).distinct()
 
 
-def _missed(edges: DataFrame, nodes: DataFrame, apart: int, block_bits: int) -> DataFrame:
+#: Members of a key that stand in one part of it at the mean.
+PART = 1024
+
+
+def _missed(edges: DataFrame, nodes: DataFrame, apart: int, block_bits: int, part: int = PART) -> DataFrame:
     """(u, v): all pairs of nodes within `apart` bits that share a block but are in different components of edges.
 
-    A node hangs on its neighbour with the most edges, its centre, within `apart` bits; a node without edges is its own.
-    If two nodes of a key are within `apart` bits, one of them and the other's centre are within twice that, and the two
-    centres within three times; a centre on which no other node hangs adds nothing. So of a key the centres of different
-    components meet, and single nodes only where these are near. Unlike texts are beyond three times the distance.
+    The members of a key lie in one row, by parts of about `part` where they are more; every two parts of a key then meet in
+    a row of their own, so a row is bounded and a large key is the work of many tasks. The members of different
+    components are compared inside the task; only pairs that are near become rows.
     """
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    busy = both.groupBy("u").agg(F.count("*").alias("n"))
-    most = _spread(both, busy.withColumnRenamed("u", "v"), ["v"], "u").groupBy("u").agg(F.max(F.struct("n", "v")).alias("m"))
-    centre = F.greatest("m", F.struct(F.col("n"), F.col("u").alias("v")))["v"]
-    linked = most.join(busy, "u").select(F.col("u").alias("node"), centre.alias("centre")).join(components(edges), "node")
-    placed = stored(nodes.select("node", "fp").join(linked, "node", "left").select("node", "fp", F.coalesce("centre", "node").alias("centre"), F.coalesce("root", "node").alias("root")), "placed")
-    wide = placed.where("node <> centre").groupBy("centre").agg(F.lit(1).alias("wide"))
-    dealt = _dealt(placed.select(F.col("centre").alias("node"), "fp", "root"), block_bits, 0)
-    mixed = dealt.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
-    met = _spread(dealt, mixed.select("key"), ["key"], "node").distinct()
-    met = cut(met.join(wide.withColumnRenamed("centre", "node"), "node", "left").select("key", "node", "root", F.coalesce("wide", F.lit(0)).alias("wide")))
-    left = met.select("key", F.col("node").alias("u"), F.col("root").alias("a"), F.col("wide").alias("more"), F.pmod(F.xxhash64("node"), F.lit(SHARES)).cast("int").alias("share"))
-    right = met.select("key", F.col("node").alias("v"), F.col("root").alias("b"), "wide", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"))
-    pairs = cut(left.join(right, ["key", "share"]).where("a <> b and (more, a) < (wide, b)").select("key", "u", "v", "wide", (1 + F.col("more") + F.col("wide")).alias("times")))
-    near = cut(pairs.join(_within(pairs, nodes, apart), ["u", "v"]).select("key", "u", "v", (1 + F.col("wide")).alias("times")))
-    if not near.take(1):
-        return edges.limit(0)
-    some = placed.join(near.select(F.explode(F.array("u", "v")).alias("centre")).distinct(), "centre", "left_semi")
-    members = cut(_dealt(some.select("node", "fp", F.col("centre").alias("root")), block_bits, 0).join(near.select("key").distinct(), "key", "left_semi").withColumnRenamed("root", "centre"))
-    near = cut(members.withColumnRenamed("centre", "u").join(near, ["key", "u"]).select("key", F.col("node").alias("u"), "v", "times"))
-    near = cut(near.join(_within(near, nodes, apart), ["u", "v"]).select("key", "u", "v"))
-    return _close(members.withColumnRenamed("centre", "v").join(near, ["key", "v"]).select("u", F.col("node").alias("v")), nodes, apart)
+    placed = stored(nodes.join(components(edges), "node", "left").select("node", "fp", F.coalesce("root", "node").alias("root")), "placed")
+    dealt = _dealt(placed, block_bits, 0)
+    mixed = dealt.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.ceil(F.count("*") / part).alias("parts")).where("a <> b")
+    met = _spread(dealt, mixed.select("key", "parts"), ["key"], "node").withColumn("at", F.pmod(F.xxhash64("node"), F.col("parts")))
+    met = _spread(met, placed.select("node", "fp"), ["node"], "key")
+    others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda x: F.struct(F.least(x, "at").alias("p"), F.greatest(x, "at").alias("q")))
+    packed = met.select("key", F.explode(others).alias("way"), F.struct("root", "node", "fp", "at").alias("m")).groupBy("key", "way").agg(F.collect_list("m").alias("m")).where(F.size("m") > 1)
+
+    def near(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in slices(batches, 64):
+            ends = b.column(0).offsets.to_numpy() - b.column(0).offsets[0].as_py()
+            root, node, fp, at = b.column(0).flatten().flatten()
+            root, node, at, fps = root.to_numpy(), node.to_numpy(), at.to_numpy(), np.frombuffer(b"".join(fp.to_pylist()), "<u8").reshape(len(root), -1)
+            found = [np.empty((0, 2), np.int64)]
+            for s, e, p, q in zip(ends[:-1], ends[1:], b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                mine = s + np.argsort(root[s:e], kind="stable")
+                for x, y in [(mine, mine)] if p == q else [(mine[at[mine] == p], mine[at[mine] == q])]:
+                    last = np.searchsorted(root[y], root[x], "right")  # those of a larger root
+                    first = last if p == q else np.searchsorted(root[y], root[x], "left")
+                    for i, l, f in zip(x.tolist(), last.tolist(), first.tolist(), strict=True):
+                        for those in (y[l:],) if p == q else (y[:f], y[l:]):
+                            close = those[np.bitwise_count(fps[those] ^ fps[i]).sum(1) <= apart]
+                            if close.size:
+                                found.append(np.stack([np.minimum(node[i], node[close]), np.maximum(node[i], node[close])], 1))
+            pairs = np.concatenate(found)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+
+    return packed.select("m", "way.p", "way.q").mapInArrow(near, "u long, v long").distinct()
 
 
 def groups(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY, shingle: int = 5, heads: int = HEADS) -> tuple[DataFrame, DataFrame]:

@@ -222,3 +222,39 @@ def test_members_that_resemble_only_linked_members_are_linked(spark, place):
         assert all((of[r["u"]] ^ of[r["v"]]).bit_count() <= apart for r in links)
         found = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(links, "u long, v long")).collect()}
         assert [{found.get(i) for i in ids[5 * k : 5 * k + 5]} for k in range(3)] == [{min(ids[5 * k : 5 * k + 5])} for k in range(3)]
+
+
+def joined_rows(spark, work):
+    """What work gives, and the rows that each of its joins made, by the first columns of its description."""
+    store = spark._jsparkSession.sharedState().statusStore()
+
+    def executions():
+        found = store.executionsList()
+        return {found.apply(i).executionId() for i in range(found.size())}
+
+    before, out, made = executions(), work(), []
+    for e in executions() - before:
+        values, nodes = store.executionMetrics(e), store.planGraph(e).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            for m in (node.metrics().apply(i) for i in range(node.metrics().size())):
+                if "Join" in node.name() and m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    made.append(int(values.apply(m.accumulatorId()).replace(",", "")))
+    return out, made
+
+
+@pytest.mark.parametrize("part", [simhash.PART, 16])
+def test_unlike_texts_of_one_key_make_no_pairs_of_rows(spark, part):
+    """One block that all texts share, and pairs among them that no link joins yet: what is near is found, and no join makes a row for each pair."""
+    rng = random.Random(7)
+    base, fps = rng.getrandbits(simhash.WIDE), []
+    for _ in range(150):
+        fps.append(base ^ sum(rng.getrandbits(24) << 24 * b for b in range(simhash.WIDE // 24) if b != 9))
+        fps.append(flipped(rng, fps[-1], 3, {9}))
+    schema = "node long, fp binary"
+    nodes = spark.createDataFrame([(i, f.to_bytes(simhash.WIDE // 8, "little")) for i, f in enumerate(fps)], schema)
+    linked = [(i, i + 1) for i in range(0, 100, 2)]
+    edges = spark.createDataFrame(linked, "u long, v long")
+    more = {} if part == simhash.PART else {"part": part}
+    found, made = joined_rows(spark, lambda: sorted(tuple(r) for r in simhash._missed(edges, nodes, simhash.bits_apart(0.8), 24, **more).collect()))
+    assert found == [(i, i + 1) for i in range(100, 300, 2)]
+    assert max(made) < 3000, made
