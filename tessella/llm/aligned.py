@@ -1,14 +1,12 @@
 """Cross-tokenizer alignment: where two tokenizers end a token at the same byte, and which tokens stand between.
 
 A text with a space before it is encoded by a byte-level BPE (A) and by a SentencePiece model (B, which adds the space
-itself). Python only tokenises: an Arrow function cuts texts into units at spaces and newlines that stand alone (no token
-of either side reaches over such a cut) and returns rows of some MB of text each: the distinct units with ids and end
-offsets (in bytes) of both sides, and for every document the numbers of its units. A text with runs of blanks, blanks at
-its ends or very long words is one unit, encoded as a whole by the libraries.
-
-The rest is Spark's higher-order functions. For every unit `array_intersect` of the end arrays gives the shared ends;
-`transform` over `sequence` cuts the ids of both sides into groups there, and links are the products of groups. A unit
-ends where both sides end, so a document's groups and links are those of its units in order.
+itself). An Arrow function cuts texts into units at spaces and newlines that stand alone (no token of either side reaches
+over such a cut); the distinct units of some MB of text are aligned together, in arrays: one search gives the ends that both
+sides share, they cut the ids of both sides into groups, and links are the products of groups. A text with runs of
+blanks, blanks at its ends or very long words is one unit, encoded as a whole by the libraries. A unit ends where both
+sides end, so a document's groups and links are those of its units in order. What documents have in common, the
+counts of pairs over the corpus, is Spark's.
 
 A pair of ids counts once for each document (row) that holds it linked. Counts are summed over the distinct pairs of
 documents before and after the shuffle, so a pair that every document has costs one row for each task. They go back to the
@@ -36,12 +34,10 @@ from tessella.llm.pieces import by_bytes
 
 #: Known words a worker keeps; beyond, only those of the present row stay.
 MEMORY = 300_000
-#: Text whose distinct units stand in one row, text that is cut into words at once, and the longest word that is a unit.
+#: Text whose distinct units are aligned together, text that is cut into words at once, and the longest word that is a unit.
 ROW_BYTES, SLICE_BYTES, LONG_WORD = 3 << 20, 1 << 20, 256
 #: Words that are encoded at once.
 LEARNT = 20_000
-#: Up to so many tokens a shared end is looked up in a unit's ends, beyond by sorting.
-SHORT = 24
 #: Pairs of ids that are broadcast at most: 24 bytes each.
 MAX_BROADCAST = 1_000_000
 #: Characters that both of A's libraries class alike.
@@ -177,76 +173,71 @@ def encoder(a_path: str, b_path: str) -> Encoder:
     return _ENCODERS[a_path, b_path]
 
 
-def tokenised(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of several documents: (units, docs).
+def unit_groups(units: list[tuple[bytes, bytes]], a_length, b_length, b_size: int):
+    """(n_a, n_b, n_groups, n_links, links, spelled) of units (ids of A, ids of B), all units at once: four counts for each unit, the links of all of them one after the other, and each unit's groups in digits.
 
-    units: array of (a_ids, a_ends, b_ids, b_ends); docs: array of (doc_id, n_a, n_b, units), with indexes into the row's units.
+    Ends are numbered by unit and byte, so the shared ones of all units are found by one search in sorted arrays; the
+    last end of a unit is shared, so both sides number the groups alike.
     """
+    import numpy as np
+
+    ids, n, unit, ends = [], [], [], []
+    for side, length in enumerate((a_length, b_length)):
+        own = np.frombuffer(b"".join([u[side] for u in units]), "<i4")
+        count = np.array([len(u[side]) // 4 for u in units], np.int64)
+        at = np.repeat(np.arange(len(units)), count)
+        total = np.concatenate([[0], np.cumsum(length[own])])
+        ids.append(own)
+        n.append(count)
+        unit.append(at)
+        ends.append(at << 32 | total[1:] - np.repeat(total[np.cumsum(count) - count], count))
+    shared = [np.isin(ends[0], ends[1], assume_unique=True), np.isin(ends[1], ends[0], assume_unique=True)]
+    group = [np.cumsum(x) - x for x in shared]
+    home = unit[0][shared[0]]  # the unit of each group
+    size = [np.bincount(g, minlength=len(home)) for g in group]
+    start = [np.cumsum(x) - x for x in size]
+    times = size[1][group[0]]
+    first = start[1][group[0]] - (np.cumsum(times) - times)
+    links = np.repeat(ids[0].astype(np.int64), times) * b_size + ids[1][np.repeat(first, times) + np.arange(int(times.sum()))]
+    n_groups = np.bincount(home, minlength=len(units))
+    n_links = np.bincount(home, size[0] * size[1], len(units)).astype(np.int64)
+    left, right = (list(map(str, x.tolist())) for x in ids)
+    parts = [f"{left[i]}|{right[j]}" if p == q == 1 else f"{','.join(left[i : i + p])}|{','.join(right[j : j + q])}" for i, j, p, q in zip(*(x.tolist() for x in (*start, *size)), strict=True)]
+    last = np.cumsum(n_groups)
+    spelled = [";".join(parts[i:j]) for i, j in zip((last - n_groups).tolist(), last.tolist(), strict=True)]
+    return n[0], n[1], n_groups, n_links, links, spelled
+
+
+def aligned(docs: DataFrame, a_path: str, b_path: str, b_size: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_a, n_b, n_groups, groups_sha256, links) of each document; links: a * b_size + b of every linked pair of occurrences."""
 
     def run(batches):
+        import hashlib
+
         import numpy as np
         import pyarrow as pa
 
-        def lists(counts, values):
-            return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), values)
-
         e = encoder(a_path, b_path)
         for b in batches:
             for part in by_bytes(b, 1, ROW_BYTES):
                 number: dict[str, int] = {}
                 found: list = []
                 sizes, flat = (np.concatenate(x) for x in zip(*(e.units(some.column(1).to_pylist(), number, found) for some in by_bytes(part, 1, SLICE_BYTES)), strict=True))
-                units = [pair or (b"", b"") for pair in found]
+                *counts, n_links, links, spelled = unit_groups([pair or (b"", b"") for pair in found], e.a_length, e.b_length, b_size)
                 number, found = {}, []
                 doc = np.repeat(np.arange(len(sizes)), sizes)
-                columns, totals = [], []
-                for side, length in enumerate((e.a_length, e.b_length)):
-                    ids = np.frombuffer(b"".join([u[side] for u in units]), "<i4")
-                    counts = np.array([len(u[side]) // 4 for u in units], np.int64)
-                    total = np.concatenate([[0], np.cumsum(length[ids])])
-                    ends = total[1:] - np.repeat(total[np.cumsum(counts) - counts], counts)
-                    columns += [lists(counts, pa.array(ids)), lists(counts, pa.array(ends.astype(np.int32)))]
-                    totals.append(pa.array(np.bincount(doc, counts[flat], len(sizes)).astype(np.int64)))
-                held = pa.StructArray.from_arrays(columns, ["a_ids", "a_ends", "b_ids", "b_ends"])
-                rows = pa.StructArray.from_arrays([part.column(0), *totals, lists(sizes, pa.array(flat))], ["doc_id", "n_a", "n_b", "units"])
-                yield pa.RecordBatch.from_arrays([lists([len(held)], held), lists([len(rows)], rows)], ["units", "docs"])
-                del units, sizes, flat, doc, columns, totals, held, rows
+                totals = [pa.array(np.bincount(doc, n[flat], len(sizes)).astype(np.int64)) for n in counts]
+                last, each = np.cumsum(sizes), flat.tolist()
+                digests = [hashlib.sha256(";".join([spelled[u] for u in each[i:j]]).encode()).hexdigest() if j > i else "" for i, j in zip((last - sizes).tolist(), last.tolist(), strict=True)]
+                times = n_links[flat]
+                own = links[np.repeat((np.cumsum(n_links) - n_links)[flat] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))]
+                ends = np.concatenate([[0], np.cumsum(np.bincount(doc, times, len(sizes)).astype(np.int64))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), *totals, pa.array(digests, pa.string()), pa.ListArray.from_arrays(ends, pa.array(own))], ["doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "links"])
+                del sizes, flat, doc, each, spelled, links, own, totals
                 pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "units array<struct<a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>>>, docs array<struct<doc_id long, n_a long, n_b long, units array<int>>>")
-
-
-def _index(side: str) -> str:
-    """0 and the index (from 1) of every shared end among a side's ends. Sorted together, each shared end stands beside its equal."""
-    both = f"sort_array(concat(x.{side}_ends, s))"
-    sorted_ = f"transform(array({both}), y -> transform(filter(sequence(0, size(y) - 2), p -> y[p] = y[p + 1]), (p, k) -> p - k + 1))[0]"
-    return f"concat(array(0), if(size(x.{side}_ends) <= {SHORT}, transform(s, c -> int(array_position(x.{side}_ends, c))), {sorted_}))"
-
-
-def unit_groups(b_size: int) -> str:
-    """Of a unit x: (n, s, l), the number of its groups, the groups in digits and the links.
-
-    Where all ends are shared, tokens pair off one by one.
-    """
-    pairs = f"struct(size(x.a_ids) as n, array_join(zip_with(x.a_ids, x.b_ids, (p, q) -> concat(p, '|', q)), ';') as s, zip_with(x.a_ids, x.b_ids, (p, q) -> p * {b_size}L + q) as l)"
-    cut = "transform(sequence(1, size(y.s)), k -> struct(slice(x.a_ids, y.i[k - 1] + 1, y.i[k] - y.i[k - 1]) as a, slice(x.b_ids, y.j[k - 1] + 1, y.j[k] - y.j[k - 1]) as b))"
-    at = f"transform(array(array_intersect(x.a_ends, x.b_ends)), s -> struct(s, {_index('a')} as i, {_index('b')} as j))"
-    spelled = "array_join(transform(g, y -> concat(array_join(y.a, ','), '|', array_join(y.b, ','))), ';')"
-    links = f"flatten(transform(g, y -> flatten(transform(y.a, p -> transform(y.b, q -> p * {b_size}L + q)))))"
-    groups = f"transform(transform({at}, y -> {cut}), g -> struct(size(g) as n, {spelled} as s, {links} as l))[0]"
-    return f"if(x.a_ends = x.b_ends, {pairs}, {groups})"
-
-
-def aligned(units: DataFrame, b_size: int) -> DataFrame:
-    """(doc_id, n_a, n_b, n_groups, groups, links) of each document in rows of `tokenised`.
-
-    groups: `a1,a2|b1;a3|b2,b3`; links: a * b_size + b of every linked pair of occurrences.
-    """
-    done = units.select("docs", F.expr(f"transform(units, x -> {unit_groups(b_size)})").alias("u"))
-    one = "struct(d.doc_id as doc_id, d.n_a as n_a, d.n_b as n_b, aggregate(d.units, 0L, (n, w) -> n + t.u[w].n) as n_groups, array_join(transform(d.units, w -> t.u[w].s), ';') as groups, flatten(transform(d.units, w -> t.u[w].l)) as links)"
-    # a lambda's variable binds the units, so that they are made once for a row
-    return done.select(F.expr(f"inline(flatten(transform(array(struct(docs, u)), t -> transform(t.docs, d -> {one}))))"))
+    return rows.mapInArrow(run, "doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, links array<long>")
 
 
 def pair_counts(held: DataFrame, b_size: int) -> DataFrame:
@@ -261,9 +252,8 @@ def alignment(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id",
     import sentencepiece
 
     b_size = sentencepiece.SentencePieceProcessor(model_file=b_path).get_piece_size()
-    made = aligned(tokenised(docs, a_path, b_path, doc_id, text), b_size)
-    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
-    held = stored(made.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_a", "n_b", "n_groups", F.size("links").cast("long").alias("n_links"), digest, "links"), "aligned")
+    made = aligned(docs, a_path, b_path, b_size, doc_id, text)
+    held = stored(made.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_a", "n_b", "n_groups", F.size("links").cast("long").alias("n_links"), "groups_sha256", "links"), "aligned")
     pairs = cut(pair_counts(held, b_size))
     links = held.select("row", F.explode("links").alias("pair"))
     if pairs.count() <= max_broadcast:

@@ -106,3 +106,17 @@ def test_words_are_forgotten_in_between(spark, monkeypatch):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert aligned.alignment(df, A, B).collect() == []
+
+
+def test_units_are_aligned_in_arrays_as_in_loops():
+    """Groups of one and of several tokens, a unit without ids in between, and shared ends at equal bytes of other units."""
+    import numpy as np
+
+    pack = lambda ids: np.array(ids, "<i4").tobytes()
+    length = np.array([1, 2, 3])
+    units = [([0, 1], [2]), ([], []), ([2, 0, 1], [0, 1, 2]), ([1, 1], [1, 1]), ([0, 0, 0, 2], [1, 0, 1, 0])]
+    n_a, n_b, n_groups, n_links, links, spelled = aligned.unit_groups([(pack(a), pack(b)) for a, b in units], length, length, 10)
+    assert n_a.tolist() == [2, 0, 3, 2, 4] and n_b.tolist() == [1, 0, 3, 2, 4]
+    assert spelled == ["0,1|2", "", "2|0,1;0,1|2", "1|1;1|1", "0,0|1;0|0;2|1,0"]
+    assert n_groups.tolist() == [1, 0, 2, 2, 3] and n_links.tolist() == [2, 0, 4, 2, 5]
+    assert links.tolist() == [2, 12, 20, 21, 2, 12, 11, 11, 1, 1, 0, 21, 20]
