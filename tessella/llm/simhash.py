@@ -13,9 +13,9 @@ with a probability that falls with their distance (measured recall is in the REA
 distance that a Jaccard similarity of 0.8 has, which 1,536 bits give within about 0.02. Of a key, every member meets
 `heads` of its fingerprints, the same in all blocks as far as they are there; those that resemble no head meet again
 among themselves, with eight times the heads in each round, until none is left. So a group of near copies brings rows in
-proportion to its members. A member that resembles another but no head of a key is found in a later round; where one of
-the two was linked before, `_missed` finds the pair at the end: members of different components that share a key are
-compared inside tasks, in bounded parts of the key. So no pair that shares a block and meets the threshold stays apart.
+proportion to its members. This is done for the first blocks; what they leave apart `_missed` finds: over all blocks, members
+of different components that share a key are compared inside tasks, in bounded parts of the key. So no pair that shares a
+block and meets the threshold stays apart.
 
 Defined cases: a null or empty text, or one of white space only, has the fingerprint zero and is linked like any other.
 A null id keeps its row; ids that are null never name a component (a component of null ids only is null). Repeated rows
@@ -260,19 +260,13 @@ def _linked(dealt: DataFrame, nodes: DataFrame, apart: int, heads: int) -> DataF
 def wide_links(nodes: DataFrame, similarity: float = SIMILARITY, block_bits: int = BLOCK_BITS, heads: int = HEADS, bits: int = WIDE) -> DataFrame:
     """(u, v): verified pairs of nodes(node, fp) that share a block, enough to connect what `groups` links.
 
-    The first blocks find the large groups. In the others the members of a group that share a key count there as one, so a
-    group doesn't come back with all its members in every block.
+    The first blocks find the large groups. `_missed` then compares, over all blocks, what these left apart, so a member comes
+    back to a key of the other blocks once, and only where unlike texts share it.
     """
     apart = bits_apart(similarity, bits)
     alone = nodes.withColumn("root", F.col("node"))
-    early = cut(_linked(_dealt(alone, block_bits, 0, FIRST).select("key", "node"), nodes, apart, heads))
-    both = early.unionByName(early.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    near = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("m", "u").alias("m"))
-    roots = cut(_spread(both, near, ["v"], "u").groupBy("u").agg(F.min("m").alias("root")).select(F.col("u").alias("node"), "root"))  # equal roots are one group; one group may have several, which only costs rows
-    known = _dealt(nodes.join(roots, "node"), block_bits, FIRST).groupBy("key", "root").agg(F.min("node").alias("node")).select("key", "node")
-    rest = known.unionByName(_dealt(alone.join(roots.select("node"), "node", "left_anti"), block_bits, FIRST).select("key", "node"))
-    found = stored(early.unionByName(_linked(rest, nodes, apart, heads)).distinct(), "links")  # a table, so that its size is known and not guessed from all joins before
-    return found.unionByName(stored(_missed(found, nodes, apart, block_bits), "links")).distinct()
+    early = stored(_linked(_dealt(alone, block_bits, 0, FIRST).select("key", "node"), nodes, apart, heads), "links")  # a table, so that its size is known and not guessed from all joins before
+    return early.unionByName(stored(_missed(early, nodes, apart, block_bits), "links")).distinct()
 
 
 #: Members of a key that stand in one part of it at the mean.
@@ -280,11 +274,12 @@ PART = 1024
 
 
 def _missed(edges: DataFrame, nodes: DataFrame, apart: int, block_bits: int, part: int = PART) -> DataFrame:
-    """(u, v): all pairs of nodes within `apart` bits that share a block but are in different components of edges.
+    """(u, v): pairs of nodes within `apart` bits that share a block, enough to connect all such pairs that are in different components of edges.
 
     The members of a key lie in one row, by parts of about `part` where they are more; every two parts of a key then meet in
     a row of their own, so a row is bounded and a large key is the work of many tasks. The members of different
-    components are compared inside the task; only pairs that are near become rows.
+    components are compared inside the task. A pair that is near joins its components there, so members that it connects are
+    not compared again in this row, and a row gives fewer pairs than it holds components.
     """
     placed = stored(nodes.join(components(edges), "node", "left").select("node", "fp", F.coalesce("root", "node").alias("root")), "placed")
     dealt = _dealt(placed, block_bits, 0)
@@ -301,18 +296,19 @@ def _missed(edges: DataFrame, nodes: DataFrame, apart: int, block_bits: int, par
         for b in slices(batches, 64):
             ends = b.column(0).offsets.to_numpy() - b.column(0).offsets[0].as_py()
             root, node, fp, at = b.column(0).flatten().flatten()
-            root, node, at, fps = root.to_numpy(), node.to_numpy(), at.to_numpy(), np.frombuffer(b"".join(fp.to_pylist()), "<u8").reshape(len(root), -1)
+            root, node, at, fps = root.to_numpy().copy(), node.to_numpy(), at.to_numpy(), np.frombuffer(b"".join(fp.to_pylist()), "<u8").reshape(len(root), -1)
             found = [np.empty((0, 2), np.int64)]
             for s, e, p, q in zip(ends[:-1], ends[1:], b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                mine = s + np.argsort(root[s:e], kind="stable")
-                for x, y in [(mine, mine)] if p == q else [(mine[at[mine] == p], mine[at[mine] == q])]:
-                    last = np.searchsorted(root[y], root[x], "right")  # those of a larger root
-                    first = last if p == q else np.searchsorted(root[y], root[x], "left")
-                    for i, l, f in zip(x.tolist(), last.tolist(), first.tolist(), strict=True):
-                        for those in (y[l:],) if p == q else (y[:f], y[l:]):
-                            close = those[np.bitwise_count(fps[those] ^ fps[i]).sum(1) <= apart]
-                            if close.size:
-                                found.append(np.stack([np.minimum(node[i], node[close]), np.maximum(node[i], node[close])], 1))
+                mine = s + np.argsort(node[s:e])  # one order for all keys, so that they give the same pairs
+                x, y = (mine, mine) if p == q else (mine[at[mine] == p], mine[at[mine] == q])
+                for k, i in enumerate(x.tolist()):
+                    those = y[k + 1 :] if p == q else y
+                    those = those[root[those] != root[i]]
+                    close = those[np.bitwise_count(fps[those] ^ fps[i]).sum(1) <= apart] if those.size else those
+                    if close.size:
+                        joined, first = np.unique(root[close], return_index=True)
+                        found.append(np.stack([np.minimum(node[i], node[close[first]]), np.maximum(node[i], node[close[first]])], 1))
+                        root[mine[np.isin(root[mine], joined)]] = root[i]
             pairs = np.concatenate(found)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 

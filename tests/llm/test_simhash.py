@@ -258,3 +258,24 @@ def test_unlike_texts_of_one_key_make_no_pairs_of_rows(spark, part):
     found, made = joined_rows(spark, lambda: sorted(tuple(r) for r in simhash._missed(edges, nodes, simhash.bits_apart(0.8), 24, **more).collect()))
     assert found == [(i, i + 1) for i in range(100, 300, 2)]
     assert max(made) < 3000, made
+
+
+def test_unlike_texts_of_many_keys_come_back_to_a_key_once(spark):
+    """100 unlike texts that share 20 of the later blocks: each is a row of each of these keys once, not again for each round of heads."""
+    rng = random.Random(8)
+    base = rng.getrandbits(simhash.WIDE)
+    fps = [base ^ sum(rng.getrandbits(24) << 24 * b for b in range(simhash.WIDE // 24) if not 20 <= b < 40) for _ in range(100)]
+    nodes = spark.createDataFrame([(i, f.to_bytes(simhash.WIDE // 8, "little")) for i, f in enumerate(fps)], "node long, fp binary")
+    found, made = joined_rows(spark, lambda: simhash.wide_links(nodes).collect())
+    assert found == []
+    assert sum(made) < 3 * 2000, made  # 2,000 members of keys, joined with the keys and with the fingerprints
+
+
+def test_near_texts_of_one_key_make_fewer_pairs_than_there_are_texts(spark):
+    rng = random.Random(9)
+    base = rng.getrandbits(simhash.WIDE)
+    fps = [flipped(rng, base, 1, range(4, 64)) for _ in range(60)]
+    nodes = spark.createDataFrame([(i, f.to_bytes(simhash.WIDE // 8, "little")) for i, f in enumerate(fps)], "node long, fp binary")
+    found = simhash._missed(spark.createDataFrame([], "u long, v long"), nodes, simhash.bits_apart(0.8), 24).collect()
+    assert {r["root"] for r in simhash.components(spark.createDataFrame(found, "u long, v long")).collect()} == {0}
+    assert len(found) < 8 * 60, len(found)  # all 1,770 pairs are near
