@@ -90,3 +90,24 @@ def test_a_stream_without_data_and_a_negative_patience(spark, tmp_path):
     assert run(spark, f"file://{tmp_path}/in", f"file://{tmp_path}") == []
     with pytest.raises(ValueError, match="negative"):
         pairing.paired(events.read_events(spark, f"file://{tmp_path}/in"), patience_ms=-1)
+
+
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_runs_share_the_state_of_their_bucket(spark, tmp_path, buckets):
+    """60 runs in a few groups, in five batches: the outcomes are those of a loop over each run, and the store holds a row for each bucket."""
+    rng = random.Random(8)
+    rows = [(f"r{rng.randrange(60)}", rng.choice(["n", None]), rng.choice(["start", "end"]), m) for m in range(300) for _ in range(3)]
+    rows = [*{(r, k, m): (r, n, k, m) for r, n, k, m in rows}.values()]
+    for at in range(0, len(rows), 180):
+        write(spark, rng.sample(part := rows[at : at + 180], len(part)), f"file://{tmp_path}/in")
+    expected = []
+    for r in {r for r, *_ in rows}:
+        out, _, _ = pairing.settle([(m, k == "end", n) for x, n, k, m in rows if x == r], None, 289, 20)
+        expected += [(r, n, o, a, b) for n, o, a, b in out]
+    stream = pairing.paired(events.read_events(spark, f"file://{tmp_path}/in", 1), "10 minutes", 20 * 60_000, buckets=buckets)
+    found = events.appended(stream, f"file://{tmp_path}/table", f"file://{tmp_path}/checkpoint")
+    minute = lambda c: ((F.unix_micros(c) / 1_000_000 - int(START.replace(tzinfo=dt.UTC).timestamp())) / 60).cast("int")
+    got = [tuple(r) for r in found.select("run_id", "node", "outcome", minute("started"), minute("ended")).collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+    assert {o for _, _, o, *_ in got} == {"paired", "restarted", "unfinished", "no start"}
+    assert spark.read.format("statestore").load(f"file://{tmp_path}/checkpoint").count() == buckets
