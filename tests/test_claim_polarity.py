@@ -21,7 +21,7 @@ def test_negation_beside_any_letter(spark):
     assert [t for t, a, b in zip(texts, got, asked, strict=True) if a != b[0]] == []
 
 
-@pytest.mark.parametrize("name", ["claim_gates"])
+@pytest.mark.parametrize("name", ["claim_gates", "claim_verdicts"])
 def test_claims_with_negation_before_other_letters(spark, tmp_path, name):
     text = "Osll noñcorr queda la casa grande de todos. El 中no中 rio."
     spark.createDataFrame([(i, text) for i in range(10, 16)], "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
